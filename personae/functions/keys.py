@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from personae.functions.text import blank_to_null, js_trim
+from personae.functions.text import js_trim
 
-# scheme://[user@]host[:port]path, query and fragment ignored
-_URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)(?::[0-9]+)?([^?#]*)"
+_SPECIAL = r"(?:https?|ftp|wss?):[/\\]*"      # schemes that always have a host
+_WITH_HOST = rf"(?is)^(?:{_SPECIAL}|[a-z][a-z0-9+.-]*://)(?:[^/@?#]*@)?"
+_HOST = rf"{_WITH_HOST}([^/:?#\\]+)"
+# host without www., path without trailing slashes; user, port, query and fragment go
+_KEY = rf"{_WITH_HOST}(?:www\.)?([^/:?#\\]+)(?::[0-9]*)?([^?#]*?)/*(?:[?#].*)?$"
+# scheme:path without a host
+_OPAQUE_KEY = r"(?s)^[a-z][a-z0-9+.-]*:(?!//)(?!(?:https?|ftp|wss?):)([^?#]*?)/*(?:[?#].*)?$"
 
 
 def canonical_email(c: Column) -> Column:
@@ -21,20 +26,18 @@ def canonical_username(c: Column) -> Column:
 
 def url_host(c: Column) -> Column:
     """Lower-case host without ``www.``, '' when the text is not an absolute URL."""
-    return F.regexp_replace(F.lower(F.regexp_extract(js_trim(c), _URL, 1)), r"^www\.", "")
+    return F.regexp_replace(F.lower(F.regexp_extract(js_trim(c), _HOST, 1)), r"^www\.", "")
 
 
 def canonical_profile_url(c: Column) -> Column:
-    host = url_host(c)
-    path = F.lower(F.regexp_extract(js_trim(c), _URL, 2))
-    absolute = F.concat(host, F.regexp_replace(path, "/+$", ""))
-    plain = F.regexp_replace(F.lower(js_trim(c)), "/+$", "")
-    return F.when(js_trim(c).rlike(_URL), absolute).otherwise(plain)
+    """Lower-case host and path; text that is no URL only loses trailing slashes."""
+    key = F.regexp_replace(F.lower(js_trim(c)), _KEY, "$1$2")
+    absolute = js_trim(c).rlike(_HOST)
+    plain = F.regexp_replace(F.lower(js_trim(c)), _OPAQUE_KEY, "$1")
+    return F.when(absolute, key).otherwise(F.regexp_replace(plain, "/+$", ""))
 
 
-def platform_of(url: Column) -> Column:
-    host = url_host(url)
-
+def platform_of_host(host: Column) -> Column:
     def within(domain: str) -> Column:
         return (host == domain) | host.endswith("." + domain)
 
@@ -47,20 +50,31 @@ def platform_of(url: Column) -> Column:
     )
 
 
+def platform_of(url: Column) -> Column:
+    return platform_of_host(F.coalesce(url_host(url), F.lit("")))
+
+
 def identity_keys(email: Column, username: Column, profile_url: Column) -> Column:
     """array<struct<key_type,key_value>> of the keys that are present, in that order."""
+    return key_array(
+        canonical_email(email), canonical_username(username),
+        canonical_profile_url(profile_url),
+    )
+
+
+def key_array(email: Column, username: Column, profile_url: Column) -> Column:
+    """``identity_keys`` of already canonical values."""
 
     def entry(kind: str, value: Column) -> Column:
-        value = blank_to_null(value)
         return F.when(
-            value.isNotNull(),
+            value != "",
             F.struct(F.lit(kind).alias("key_type"), value.alias("key_value")),
         )
 
     return F.array_compact(
         F.array(
-            entry("email", canonical_email(email)),
-            entry("username", canonical_username(username)),
-            entry("profile_url", canonical_profile_url(profile_url)),
+            entry("email", email),
+            entry("username", username),
+            entry("profile_url", profile_url),
         )
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from personae.config import DESCRIPTORS
@@ -70,7 +70,7 @@ _SUFFIX_ONE_WORD = (
 
 def blank_to_null(c: Column) -> Column:
     """'' counts as absent everywhere in the engine."""
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
 def js_trim(c: Column) -> Column:
@@ -221,7 +221,9 @@ def title_case_if_shouty(c: Column) -> Column:
 
 def strip_decoration(c: Column) -> Column:
     """Everything of ``clean_name`` except the final casing."""
-    c = strip_emoji(fold_unicode(strip_bio_tags(c)))
+    name = strip_bio_tags(c)
+    # neither folding nor pictographs concern plain ASCII
+    c = F.when(is_ascii(name), name).otherwise(strip_emoji(fold_unicode(name)))
     c = collapse_whitespace(collapse_punctuation(c))
     c = strip_of_count(strip_descriptors(c))
     c = collapse_whitespace(trim_separators(c))
@@ -233,6 +235,19 @@ def clean_name(c: Column) -> Column:
     return title_case_if_shouty(strip_decoration(c))
 
 
+def with_clean_names(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Add ``clean_name`` of {new column: source column}, NULL if nothing is left.
+
+    Same result as the Column function, but the stripped text is computed once in
+    a projection of its own instead of once per use in the casing rule.
+    """
+    stripped = {f"_s_{out}": strip_decoration(F.col(src)) for out, src in names.items()}
+    cased = {
+        out: blank_to_null(title_case_if_shouty(F.col(f"_s_{out}"))) for out in names
+    }
+    return df.withColumns(stripped).withColumns(cased).drop(*stripped)
+
+
 # --- tokens ----------------------------------------------------------------------
 
 

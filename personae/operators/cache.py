@@ -11,7 +11,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from personae.functions.keys import identity_keys
+from personae.functions.keys import (
+    canonical_email,
+    canonical_profile_url,
+    canonical_username,
+    key_array,
+)
 from personae.functions.text import blank_to_null
 from personae.operators.scale import HOT_ROWS, skew_join
 from personae.schema import IDENTITY_CACHE, IDENTITY_CACHE_KEYS, conform
@@ -23,10 +28,16 @@ def record_keys(
     df: DataFrame, email: Column, username: Column, profile_url: Column, *carry: str
 ) -> DataFrame:
     """One row per identity key of a record: ``carry`` columns, key_pos and the key."""
-    return df.select(
+    canonical = df.select(
         *carry,
-        F.posexplode(identity_keys(email, username, profile_url)).alias("key_pos", "_key"),
-    ).select(*carry, "key_pos", "_key.key_type", "_key.key_value")
+        canonical_email(email).alias("_email"),
+        canonical_username(username).alias("_username"),
+        canonical_profile_url(profile_url).alias("_url"),
+    )
+    keys = key_array(F.col("_email"), F.col("_username"), F.col("_url"))
+    return canonical.select(*carry, F.posexplode(keys).alias("key_pos", "_key")).select(
+        *carry, "key_pos", "_key.key_type", "_key.key_value"
+    )
 
 
 def lookup_keys(df: DataFrame, *carry: str) -> DataFrame:

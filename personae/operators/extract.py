@@ -161,12 +161,7 @@ def with_username_candidate(
             .when(b_known, F.col("_a")),
         }
     )
-    df = df.withColumns(
-        {
-            "_first_clean": T.clean_name(F.col("_first")),
-            "_last_clean": T.blank_to_null(T.clean_name(F.col("_last"))),
-        }
-    )
+    df = T.with_clean_names(df, {"_first_clean": "_first", "_last_clean": "_last"})
     df = dictionary.flag(
         df, {"_first_known": "_first_clean", "_last_known": "_last_clean"}, row_id
     )
@@ -187,7 +182,7 @@ def with_username_candidate(
             )
         ),
     )
-    usable = (n > 0) & (fallback | (F.col("_first_clean") != ""))
+    usable = (n > 0) & (fallback | F.col("_first_clean").isNotNull())
     return df.withColumn(out, F.when(usable, built).otherwise(_no_candidate())).drop(
         "_handle", "_raw", "_kept", "_a", "_b", "_a_known", "_b_known", "_run_on", "_cut",
         "_first", "_last", "_first_clean", "_last_clean", "_first_known", "_last_known",

@@ -10,9 +10,9 @@ from personae.functions import text as T
 
 def normalize_records(df: DataFrame) -> DataFrame:
     """Add n_full_name, n_username, n_email, n_profile_url and n_platform."""
+    df = T.with_clean_names(df, {"n_full_name": "raw_full_name"})
     return df.withColumns(
         {
-            "n_full_name": T.blank_to_null(T.clean_name(F.col("raw_full_name"))),
             "n_username": T.blank_to_null(
                 F.regexp_replace(T.collapse_whitespace(F.col("raw_username")), "^@", "")
             ),

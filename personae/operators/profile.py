@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from personae.config import DEFAULT_WEIGHTS, PLATFORMS, SOURCE_BY_PLATFORM, Weights
 from personae.functions import text as T
 from personae.functions.html import markup, meta_content, meta_tags, page_title
-from personae.functions.keys import canonical_profile_url, platform_of
+from personae.functions.keys import canonical_profile_url, platform_of_host, url_host
 from personae.operators.dictionary import NameDictionary
 from personae.operators.extract import CANDIDATE_TYPE, candidate
 from personae.operators.scale import HOT_ROWS, skew_join
@@ -135,7 +135,9 @@ def with_profile_candidate(
     gets the error ``page_not_found``; nothing raises.
     """
     link, platform = F.col(url), F.col("scrape_platform")
-    df = df.withColumn("scrape_platform", F.when(link.isNotNull(), platform_of(link)))
+    df = df.withColumn("_host", url_host(link)).withColumn(
+        "scrape_platform", F.when(link.isNotNull(), platform_of_host(F.col("_host")))
+    ).drop("_host")
     parts = {name: adapter(link) for name, adapter in ADAPTERS.items()}
     df = df.withColumns(
         {
@@ -148,7 +150,7 @@ def with_profile_candidate(
         }
     )
     shown, handle, name = F.col("_shown"), F.col("_handle"), F.col("_name")
-    df = df.withColumn("_name", T.blank_to_null(T.clean_name(shown)))
+    df = T.with_clean_names(df, {"_name": "_shown"})
     df = df.withColumn("_split", T.words(name)).withColumns(
         {"_first": T.first_of(F.col("_split")), "_last": T.last_of(F.col("_split"))}
     )

@@ -66,8 +66,8 @@ def lookup_join(
 
 
 def skew_join(
-    fact: DataFrame, dim: DataFrame, on: Sequence[str], row_id: str, how: str = "left",
-    hot_rows: int = HOT_ROWS,
+    fact: DataFrame, dim: DataFrame, on: Sequence[str], row_id: str | Sequence[str],
+    how: str = "left", hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Equi-join where any share of ``fact`` may sit on one key.
 
@@ -85,7 +85,7 @@ def skew_join(
         .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
     )
     hot = F.broadcast(hot)
-    spread = F.xxhash64(row_id)
+    spread = F.xxhash64(*([row_id] if isinstance(row_id, str) else row_id))
     salted = fact.join(hot, keys, "left").withColumn(
         "_salt",
         F.when(~_all_present(keys), spread)

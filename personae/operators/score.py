@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from personae.config import DEFAULT_WEIGHTS, PIPELINE_VERSION, Weights
-from personae.functions.text import js_trim, title_case_if_shouty, utf16_length
+from personae.functions.text import js_trim, title_case_if_shouty
 from personae.schema import RESOLVED
 
 
 def is_plausible(c: Column) -> Column:
     name = js_trim(F.coalesce(c["first_name"], c["display_name"], F.lit("")))
-    return ~c["business_like"] & (utf16_length(name) >= 2) & name.rlike("[a-zA-Z]")
+    return ~c["business_like"] & (F.length(name) >= 2) & name.rlike("[a-zA-Z]")
 
 
 def is_last_resort(c: Column) -> Column:
@@ -29,31 +29,45 @@ def is_verified(c: Column) -> Column:
     return ~c["handle_fallback"] & ((c["source"] == "full_name") | c["known_name"])
 
 
-def winner(candidates: Column) -> Column:
-    """The strongest candidate of an array, NULL for an empty array."""
-
-    def ranked(c: Column, i: Column) -> Column:
-        return F.struct(
+def ranked(c: Column, position: Column) -> Column:
+    """Candidate behind its sort key; NULL for an absent candidate."""
+    return F.when(
+        c.isNotNull(),
+        F.struct(
             is_plausible(c).alias("plausible"),
             (~is_last_resort(c)).alias("evidence"),
             is_verified(c).alias("verified"),
             c["confidence"].alias("confidence"),
-            (-i).alias("earlier"),
+            (-position).alias("earlier"),
             c.alias("candidate"),
-        )
+        ),
+    )
+
 
+def winner(candidates: Column) -> Column:
+    """The strongest candidate of an array, NULL for an empty array."""
     return F.array_max(F.transform(candidates, ranked))["candidate"]
 
 
+def winner_of(*candidates: str) -> Column:
+    """The strongest of several candidate columns (the earlier one on a full tie)."""
+    entries = [ranked(F.col(c), F.lit(i)) for i, c in enumerate(candidates)]
+    return F.greatest(*entries)["candidate"]
+
+
 def score(
-    df: DataFrame, candidates: str = "candidates", weights: Weights = DEFAULT_WEIGHTS,
+    df: DataFrame, candidates: str | list[str] = "candidates", weights: Weights = DEFAULT_WEIGHTS,
     version: str = PIPELINE_VERSION,
 ) -> DataFrame:
-    """Add w_* identity columns and the status the evidence earns."""
+    """Add w_* identity columns and the status the evidence earns.
+
+    ``candidates`` is an array column, or the names of single candidate columns.
+    """
+    chosen = winner(F.col(candidates)) if isinstance(candidates, str) else winner_of(*candidates)
     w = F.col("_winner")
     needs_review = w["ambiguous"] | (w["confidence"] < weights.review_threshold)
     return (
-        df.withColumn("_winner", winner(F.col(candidates)))
+        df.withColumn("_winner", chosen)
         .withColumns(
             {
                 "w_first_name": title_case_if_shouty(w["first_name"]),

@@ -56,7 +56,7 @@ def gather_candidates(
     records: DataFrame, dictionary: NameDictionary, pages: DataFrame | None = None,
     weights: Weights = DEFAULT_WEIGHTS, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """All candidates of normalized records, as single columns and as one array."""
+    """All candidates of normalized records, one column per source."""
     df = X.with_full_name_candidate(records, weights=weights)
     df = X.with_username_candidate(df, dictionary, weights=weights)
     df = X.with_email_candidate(df, dictionary, weights=weights)
@@ -72,7 +72,7 @@ def gather_candidates(
         )
     else:
         df = with_profile_candidate(df, dictionary, weights=weights)
-    return df.withColumn("candidates", X.collect_candidates(*CANDIDATE_COLUMNS))
+    return df
 
 
 def _hide_hits(df: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def enrich(
     if mode == "snapshot":
         evidence = _show_hits(evidence)
     # resolved_* are rebuilt here; cached fields replace them for hits below
-    evidence = fill_from_input(score(evidence, weights=weights))
+    evidence = fill_from_input(score(evidence, CANDIDATE_COLUMNS, weights))
     evidence = materialize(evidence, "evidence")
 
     if mode == "snapshot":
