@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from personae.operators.dictionary import NameDictionary
-from personae.schema import new_creators
+from personae.schema import CREATORS, conform, new_creators
 
 # one record per order; the person's names are the two words of a part name
 RAW_IMPORT = """
@@ -198,3 +198,134 @@ def import_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+# --- records as they look after a run, for the review, report and export queries ----
+
+RESOLVED_CREATORS = """
+SELECT CAST(k AS STRING) AS id, import_id, k AS row_index,
+  raw_full_name, raw_username, raw_email, raw_profile_url,
+  CASE WHEN k % 9 = 0 THEN NULL ELSE f END AS resolved_first_name,
+  CASE WHEN k % 4 = 0 THEN NULL ELSE l END AS resolved_last_name,
+  CASE WHEN k % 8 = 1 THEN f || ' ' || l ELSE NULL END AS resolved_display_name,
+  CASE WHEN k % 11 = 0 THEN 'instagram' ELSE NULL END AS resolved_platform,
+  raw_profile_url AS resolved_profile_url,
+  CASE WHEN k % 5 = 0 THEN NULL ELSE lower(trim(raw_email)) END AS resolved_email,
+  CASE WHEN k % 6 = 0 THEN NULL ELSE replace(raw_username, '@', '') END AS resolved_social_handle,
+  CAST(CASE k % 6 WHEN 0 THEN NULL WHEN 1 THEN 100 WHEN 2 THEN 95 WHEN 3 THEN 80
+       WHEN 4 THEN 60 ELSE 0 END AS INT) AS confidence_score,
+  CASE k % 6 WHEN 0 THEN NULL WHEN 1 THEN 'full_name' WHEN 2 THEN 'email'
+       WHEN 3 THEN 'instagram' WHEN 4 THEN 'username' ELSE NULL END AS confidence_source,
+  CASE k % 6 WHEN 0 THEN 'cache_hit' WHEN 4 THEN 'needs_review' WHEN 5 THEN 'failed'
+       ELSE 'enriched' END AS processing_status,
+  '1.0.0' AS pipeline_version,
+  k % 6 >= 4 AS needs_review,
+  CASE WHEN k % 13 = 0 THEN 'ignored' WHEN k % 13 = 1 THEN 'approved' ELSE 'pending'
+       END AS review_status,
+  CASE WHEN k % 17 = 0 THEN 'note ' || CAST(k AS STRING) ELSE NULL END AS notes,
+  CASE WHEN k % 3 = 0 THEN 'idn-' || CAST(k % 1000 AS STRING) ELSE NULL END AS identity_cache_id,
+  CASE WHEN k % 29 = 1 THEN CAST(k - 1 AS STRING) ELSE NULL END AS duplicate_of_creator_id
+FROM (SELECT *, row_index AS k FROM {raw_import}) AS source
+"""
+
+# every record of an import that shares an e-mail is merged into the first of them;
+# some requests are invalid
+MERGE_PAIRS = """
+SELECT k AS seq, CAST(k AS STRING) AS source_id,
+  CASE WHEN k % 40 = 3 THEN CAST(k AS STRING) WHEN k % 40 = 5 THEN 'nobody'
+       ELSE CAST(keep AS STRING) END AS target_id
+FROM (
+  SELECT row_index AS k,
+         min(row_index) OVER (PARTITION BY import_id, lower(trim(raw_email))) AS keep
+  FROM {raw_import} WHERE raw_email IS NOT NULL
+) AS grouped
+WHERE k <> keep
+"""
+
+UNMERGE_REQUESTS = """
+SELECT row_index AS seq,
+  CASE WHEN row_index % 100 = 7 THEN 'nobody' ELSE CAST(row_index AS STRING) END AS creator_id
+FROM {raw_import} WHERE row_index % 3 <> 0
+"""
+
+OVERRIDES = """
+SELECT seq, CAST(row_index AS STRING) AS creator_id, field, value, reason
+FROM {actions} WHERE action = 'override'
+UNION ALL
+SELECT seq + 1000000000, CAST(row_index AS STRING), field, 'again ' || CAST(seq AS STRING), reason
+FROM {actions} WHERE action = 'override' AND seq % 3 = 0
+"""
+
+# users of the event stream as records, five imports
+USERS = """
+SELECT CAST(user_id AS STRING) AS id, 'users-' || CAST(user_id % 5 AS STRING) AS import_id,
+       user_id AS row_index
+FROM {events} GROUP BY user_id
+"""
+
+JOB_ITEMS = """
+SELECT 'job-' || import_id AS job_id, CAST(row_index AS STRING) AS creator_id, row_index,
+  CASE WHEN row_index % 50 < 30 AND row_index < 900 THEN 'done'
+       WHEN row_index % 7 = 0 THEN 'failed' WHEN row_index % 7 = 1 THEN 'processing'
+       ELSE 'pending' END AS status,
+  CAST(row_index % 3 AS INT) AS attempts
+FROM {raw_import}
+"""
+
+# exports: one per order of the two smallest imports' first days
+EXPORT_HISTORY = """
+SELECT 'exp-' || CAST(o_orderkey AS STRING) AS id, o_orderpriority AS import_id,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'quick' ELSE 'full' END AS export_type,
+  'export-' || CAST(o_orderkey AS STRING) || '.csv' AS file_name,
+  o_custkey AS row_count, o_orderdate AS created_at
+FROM {orders}
+"""
+
+HEADERS = """
+SELECT DISTINCT CASE k % 12
+    WHEN 0 THEN ' Full_Name ' WHEN 1 THEN 'E-MAIL' WHEN 2 THEN 'Instagram  Handle'
+    WHEN 3 THEN 'user-name' WHEN 4 THEN 'Channel' WHEN 5 THEN 'contact--email'
+    WHEN 6 THEN 'tiktok_url' WHEN 7 THEN upper(f) WHEN 8 THEN f || ' ' || l
+    WHEN 9 THEN f || '_email' WHEN 10 THEN 'NAME' ELSE 'link' END AS header
+FROM (SELECT row_index AS k, f, l FROM {raw_import}) AS rows_
+"""
+
+SHEET = """
+SELECT row_index, raw_full_name AS "Full Name", raw_email AS "Email Address",
+  CASE WHEN row_index % 2 = 0 THEN raw_profile_url ELSE '  ' END AS "Instagram",
+  CASE WHEN row_index % 3 = 0 THEN raw_profile_url ELSE '' END AS "TikTok",
+  raw_username AS "Handle", f AS "Notes"
+FROM {raw_import}
+"""
+SHEET_MAPPING = {
+    "Full Name": "fullName", "Email Address": "email", "Instagram": "profileUrl",
+    "TikTok": "profileUrl", "Handle": "username",
+}
+
+
+def resolved_creators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(RESOLVED_CREATORS, raw_import=raw_import(spark, sf_dir))
+    return conform(rows.withColumns({"created_at": now(), "updated_at": now()}), CREATORS)
+
+
+def derived(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A fixture that only depends on raw_import."""
+    return spark.sql(text, raw_import=raw_import(spark, sf_dir))
+
+
+def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(OVERRIDES, actions=review_actions(spark, sf_dir))
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(USERS, events=read(spark, sf_dir, "events"))
+    return conform(rows, CREATORS)
+
+
+def export_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(EXPORT_HISTORY, orders=read(spark, sf_dir, "orders"))
+
+
+def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Spark takes double quotes for strings, so the column names need backticks
+    return derived(spark, sf_dir, SHEET.replace('"', "`"))
