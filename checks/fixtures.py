@@ -141,36 +141,57 @@ FROM {orders} GROUP BY o_orderpriority
 """
 
 
+_memo: dict[tuple, object] = {}
+
+
+def once(build):
+    """Build a fixture's plan once per session and data set."""
+
+    def get(spark: SparkSession, sf_dir: str, *rest):
+        key = (build.__name__, spark.sparkContext.applicationId, sf_dir, *rest)
+        if key not in _memo:
+            _memo[key] = build(spark, sf_dir, *rest)
+        return _memo[key]
+
+    return get
+
+
+@once
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     cores = spark.sparkContext.defaultParallelism
     # a table of one small file would otherwise be worked on by a single task
-    return df.repartition(cores) if table in ("orders", "pages") and len(df.inputFiles()) == 1 else df
+    one_task = table in ("orders", "pages") and len(df.inputFiles()) == 1
+    return df.repartition(cores) if one_task else df
 
 
+@once
 def raw_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
         RAW_IMPORT, orders=read(spark, sf_dir, "orders"), part=read(spark, sf_dir, "part")
     )
 
 
-
 def now() -> Column:
     return F.lit("2024-01-01 00:00:00").cast("timestamp")
 
 
+@once
 def creators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new_creators(raw_import(spark, sf_dir), now())
 
 
+@once
 def dictionary(spark: SparkSession, sf_dir: str) -> NameDictionary:
     return NameDictionary(spark.sql(FIRST_NAMES, part=read(spark, sf_dir, "part")))
 
 
+@once
 def profile_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PROFILE_PAGES, raw_import=raw_import(spark, sf_dir))
 
 
+@once
 def identity_cache(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     raw = raw_import(spark, sf_dir)
     return (
