@@ -425,6 +425,7 @@ def cache_identities(spark, sf_dir):
     )
 
 
+@X.once
 def enriched(spark, sf_dir, with_cache=True, with_pages=True, mode="snapshot") -> EnrichResult:
     cache, keys = X.identity_cache(spark, sf_dir) if with_cache else (None, None)
     rows = X.later_creators(spark, sf_dir) if with_cache else X.creators(spark, sf_dir)
@@ -741,6 +742,7 @@ def approve_ignore(spark, sf_dir):
     )
 
 
+@X.once
 def overridden(spark, sf_dir) -> V.ReviewResult:
     cache = spark.sql(
         "SELECT DISTINCT identity_cache_id AS id, 'old' AS first_name, 'old@x' AS email, "
@@ -793,6 +795,7 @@ def override_rejects(spark, sf_dir):
     return overridden(spark, sf_dir).rejects.select("seq", "creator_id", "reject_reason")
 
 
+@X.once
 def merged(spark, sf_dir) -> V.ReviewResult:
     return V.merge_duplicates(
         X.resolved_creators(spark, sf_dir), X.derived(spark, sf_dir, X.MERGE_PAIRS), X.now()
@@ -832,6 +835,7 @@ def merge_rejects(spark, sf_dir):
     return merged(spark, sf_dir).rejects.select("seq", "source_id", "target_id", "reject_reason")
 
 
+@X.once
 def unmerged(spark, sf_dir) -> V.ReviewResult:
     before = merged(spark, sf_dir)
     return V.unmerge(
@@ -885,6 +889,7 @@ def export_csv(spark, sf_dir):
     )
 
 
+@X.once
 def after_delete(spark, sf_dir) -> I.Tables:
     creators = X.resolved_creators(spark, sf_dir)
     logs = creators.select(

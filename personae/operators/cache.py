@@ -89,7 +89,7 @@ def lookup(
 
 def attach_identities(
     records: DataFrame, identity_cache: DataFrame, on: str, row_id: str = "id",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_ROWS, measured: DataFrame | None = None,
 ) -> DataFrame:
     """Left-join the cached fields as c_* columns."""
     fields = [
@@ -99,7 +99,7 @@ def attach_identities(
     dim = identity_cache.select(
         F.col("id").alias(on), *[F.col(f).alias(f"c_{f}") for f in fields]
     )
-    return skew_join(records, dim, [on], row_id, "left", hot_rows)
+    return skew_join(records, dim, [on], row_id, "left", hot_rows, measured)
 
 
 @dataclass

@@ -1,7 +1,7 @@
 """Building blocks that keep plans healthy on large and skewed tables.
 
 * ``materialize``  - cut lineage with a table in the cluster's shared folder
-* ``lookup_join``  - dimension join: broadcast after a size check, else salted
+* ``fits_broadcast`` - the size check in front of a broadcast
 * ``skew_join``    - equi-join whose hot keys are measured and salted
 * ``dense_index``  - 0..n-1 numbering per group without a one-task window
 """
@@ -11,6 +11,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 # A join key with more rows than this is split over ceil(n / HOT_ROWS) salts.
 HOT_ROWS = 1_000_000
+# No more than this many keys are treated as hot.
+HOT_KEYS = 1_000
 
 _local_dir: str | None = None
 
@@ -55,60 +59,57 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def lookup_join(
-    fact: DataFrame, dim: DataFrame, on: Sequence[str], row_id: str, how: str = "left",
-    broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Join ``dim`` (one row per key) to ``fact``; use for stored dimensions."""
-    if fits_broadcast(dim.select(*on), broadcast_rows):
-        return fact.join(F.broadcast(dim), list(on), how)
-    return skew_join(fact, dim, on, row_id, how, hot_rows)
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> list[tuple[int, int]]:
+    """(key hash, salts) of the keys with more than ``hot_rows`` rows.
+
+    A frequent-items sketch per task, merged: no shuffle of the keys, never more
+    than HOT_KEYS results. Keys above 1/500 of all rows are certain to be found;
+    what a smaller key can do to a task is left to adaptive skew handling.
+    """
+    sketch = F.call_function(
+        "approx_top_k", F.xxhash64(*keys), F.lit(HOT_KEYS), F.lit(2 * HOT_KEYS)
+    )
+    found = df.where(_all_present(keys)).agg(sketch.alias("top")).first()["top"] or []
+    return [(i["item"], -(-i["count"] // hot_rows)) for i in found if i["count"] > hot_rows]
 
 
 def skew_join(
     fact: DataFrame, dim: DataFrame, on: Sequence[str], row_id: str | Sequence[str],
-    how: str = "left", hot_rows: int = HOT_ROWS,
+    how: str = "left", hot_rows: int = HOT_ROWS, measured: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join where any share of ``fact`` may sit on one key.
 
-    Keys are counted first (partial aggregation, so skew does not matter there).
-    A key is hot if it has more than ``hot_rows`` rows, so at most
-    rows/hot_rows keys are hot: that bounds the broadcast list of hot keys. Hot
-    rows get a salt from their ``row_id`` hash, the matching ``dim`` row is
-    copied once per salt. NULL keys never match; each goes to its own bucket.
+    Rows of hot keys get a salt from their ``row_id`` hash and the matching ``dim``
+    row is copied once per salt. Rows with a NULL key match nothing; in a left join
+    they are spread instead of meeting in one task. ``measured`` is a cheaper table
+    with the same keys to look for hot ones in (by default ``fact`` itself).
     """
     keys = list(on)
-    hot = (
-        fact.groupBy(*keys).agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .where(_all_present(keys))
-        .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
-    )
-    hot = F.broadcast(hot)
+    hot = hot_keys(fact if measured is None else measured, keys, hot_rows)
     spread = F.xxhash64(*([row_id] if isinstance(row_id, str) else row_id))
-    salted = fact.join(hot, keys, "left").withColumn(
-        "_salt",
-        F.when(~_all_present(keys), spread)
-        .when(F.col("_salts").isNull(), F.lit(0).cast("bigint"))
-        .otherwise(F.pmod(spread, F.col("_salts"))),
-    ).drop("_salts")
-    copies = dim.join(hot, keys, "left").withColumn(
-        "_salt",
-        F.explode(
-            F.sequence(
-                F.lit(0).cast("bigint"),
-                F.coalesce(F.col("_salts"), F.lit(1)).cast("bigint") - 1,
-            )
-        ),
-    ).drop("_salts")
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    none = F.lit(0).cast("bigint")
+    if hot:
+        table = F.broadcast(  # at most HOT_KEYS rows
+            fact.sparkSession.createDataFrame(hot, "_hash bigint, _salts bigint")
+        )
+        fact = fact.withColumn("_hash", F.xxhash64(*keys)).join(table, "_hash", "left")
+        dim = dim.withColumn("_hash", F.xxhash64(*keys)).join(table, "_hash", "left")
+        last = F.coalesce("_salts", F.lit(1)) - 1
+        dim = dim.withColumn("_salt", F.explode(F.sequence(none, last)))
+        salt = F.coalesce(F.pmod(spread, F.col("_salts")), none)
+        fact, dim = fact.withColumn("_salt", salt), dim.drop("_hash", "_salts")
+    elif how == "left":
+        fact, dim = fact.withColumn("_salt", none), dim.withColumn("_salt", none)
+    else:
+        return fact.join(dim, keys, how)
+    if how == "left":
+        salt = F.when(_all_present(keys), F.col("_salt")).otherwise(spread)
+        fact = fact.withColumn("_salt", salt)
+    return fact.join(dim, [*keys, "_salt"], how).drop("_salt", "_hash", "_salts")
 
 
 def _all_present(keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).isNotNull()
-    return cond
+    return reduce(and_, [F.col(k).isNotNull() for k in keys])
 
 
 def dense_index(

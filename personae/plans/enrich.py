@@ -57,10 +57,11 @@ def gather_candidates(
     weights: Weights = DEFAULT_WEIGHTS, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """All candidates of normalized records, one column per source."""
-    df = X.with_full_name_candidate(records, weights=weights)
+    # pages first: their join measures its keys on the records as they come in
+    df = attach_pages(records, pages, hot_rows=hot_rows)
+    df = X.with_full_name_candidate(df, weights=weights)
     df = X.with_username_candidate(df, dictionary, weights=weights)
     df = X.with_email_candidate(df, dictionary, weights=weights)
-    df = attach_pages(df, pages, hot_rows=hot_rows)
     if pages is None:
         df = df.withColumns(
             {
@@ -130,11 +131,13 @@ def enrich(
         writers = evidence.where("cache_status = 'miss' AND w_processing_status = 'enriched'")
         writes = C.plan_writes(writers, keys, ["import_rank", "row_index"], hot_rows=hot_rows)
         new_keys = materialize(writes.new_keys, "new-keys")
+        looked_up = evidence
         decided = evidence.join(writes.decisions, "id", "left")
     else:
         order = F.struct("import_rank", "row_index")
         decisions, written = decide_in_order(evidence, keys, order, hot_rows)
         new_keys = written.select(*C.KEY, "identity_cache_id")
+        looked_up = decisions
         decided = evidence.join(decisions, "id", "left").withColumn(
             "cache_status", F.coalesce("cache_status", F.lit("miss"))
         )
@@ -148,7 +151,8 @@ def enrich(
         visible = conform(cache, IDENTITY_CACHE).unionByName(created)
     hit_id = F.when(F.col("cache_status") == "hit", F.get("matched_ids", F.lit(0)))
     final = C.attach_identities(
-        decided.withColumn("hit_id", hit_id), visible, "hit_id", hot_rows=hot_rows
+        decided.withColumn("hit_id", hit_id), visible, "hit_id", hot_rows=hot_rows,
+        measured=looked_up.select(hit_id.alias("hit_id")),
     )
     final = materialize(_apply_hits(final), "enriched")
 
