@@ -110,7 +110,7 @@ def ingest_csv(spark, sf_dir):
     """A CSV import written by Spark, scanned and numbered in file order."""
     path = f"{scratch_dir(spark)}/csv-{uuid.uuid4().hex}"
     (X.sheet(spark, sf_dir).orderBy("row_index").drop("row_index")
-     .write.option("header", True).csv(path))
+     .write.options(**O.CSV_OPTIONS).csv(path))
     result = S.ingest_csv(spark, path, "sheet", X.now(), "sheet.csv", multi_line=False)
     mapping = M.suggested_mapping(spark, result.headers)
     return M.apply_mapping_to_payload(result.creators, mapping).select(

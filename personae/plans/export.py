@@ -24,6 +24,11 @@ FULL_COLUMNS: dict[str, str] = {
     "exportedAt": "",
     "notes": "notes",
 }
+# quotes doubled inside quotes, values written as they are, nothing for an absent value
+CSV_OPTIONS = {
+    "header": True, "quote": '"', "escape": '"', "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 QUICK_COLUMNS = ["firstName", "email", "socialHandle"]
 
 
@@ -77,7 +82,7 @@ def write_export(
     if single_file:
         rows = rows.coalesce(1)
     name = export_name(export_type, import_id, exported_at_ms)
-    rows.write.option("header", True).option("emptyValue", "").csv(f"{folder}/{name}")
+    rows.write.options(**CSV_OPTIONS).csv(f"{folder}/{name}")
     return export_record(
         creators.sparkSession, import_id, export_type, name, seen.get["rows"], exported_at_ms
     )
