@@ -33,6 +33,7 @@ from personae.plans.enrich import CANDIDATE_COLUMNS, EnrichResult, enrich, gathe
 from personae.schema import IDENTITY_CACHE as R_CACHE
 from personae.schema import IDENTITY_CACHE_KEYS as R_KEYS
 from personae.schema import IMPORT_HISTORY as R_IMPORTS
+from personae.schema import literal_table
 from personae.sources import imports as S
 from personae.sources import mapping as M
 from personae.sources.pages import usable_pages
@@ -899,7 +900,7 @@ def after_delete(spark, sf_dir) -> I.Tables:
         "import_history": X.import_history(spark, sf_dir), "creators": creators,
         "processing_logs": logs, "export_history": X.export_history(spark, sf_dir),
     }
-    gone = spark.createDataFrame([("2-HIGH",), ("5-LOW",)], "id string")
+    gone = literal_table(spark, [("2-HIGH",), ("5-LOW",)], ["id"])
     return I.delete_imports(tables, gone)
 
 

@@ -18,7 +18,7 @@ from personae.functions.keys import (
     key_array,
 )
 from personae.functions.text import blank_to_null
-from personae.operators.scale import HOT_ROWS, skew_join
+from personae.operators.scale import HOT_ROWS, materialize, skew_join
 from personae.schema import IDENTITY_CACHE, IDENTITY_CACHE_KEYS, conform
 
 KEY = ["key_type", "key_value"]
@@ -89,7 +89,7 @@ def lookup(
 
 def attach_identities(
     records: DataFrame, identity_cache: DataFrame, on: str, row_id: str = "id",
-    hot_rows: int = HOT_ROWS, measured: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Left-join the cached fields as c_* columns."""
     fields = [
@@ -99,7 +99,7 @@ def attach_identities(
     dim = identity_cache.select(
         F.col("id").alias(on), *[F.col(f).alias(f"c_{f}") for f in fields]
     )
-    return skew_join(records, dim, [on], row_id, "left", hot_rows, measured)
+    return skew_join(records, dim, [on], row_id, "left", hot_rows)
 
 
 @dataclass
@@ -128,6 +128,7 @@ def plan_writes(
             "_n_keys": F.count("*").over(per_record),
         }
     )
+    seen = materialize(seen.drop("key_pos"), "write-keys")
     free = seen.where(F.col("identity_cache_id").isNull() & (F.size("_owners") <= 1))
     first = free.groupBy(*KEY).agg(
         F.min(F.struct(*order, row_id, "_owners", "_n_keys")).alias("_f")
@@ -142,11 +143,10 @@ def plan_writes(
         F.when(F.size("_owners") == 1, F.get("_owners", F.lit(0)))
         .when(F.col("_won") == F.col("_n_keys"), identity_id(F.col(row_id))),
     )
-    new_keys = first.where(F.col("write_identity_id").isNotNull()).select(
-        *KEY, F.col("write_identity_id").alias("identity_cache_id")
-    )
+    first = materialize(first.where("write_identity_id IS NOT NULL"), "claimed-keys")
+    new_keys = first.select(*KEY, F.col("write_identity_id").alias("identity_cache_id"))
     creates = (
-        first.where((F.size("_owners") == 0) & F.col("write_identity_id").isNotNull())
+        first.where(F.size("_owners") == 0)
         .select(row_id, F.lit("create").alias("write_action"), "write_identity_id")
         .distinct()
     )

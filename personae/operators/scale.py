@@ -17,6 +17,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from personae.schema import literal_table
+
 # A dimension is broadcast only after counting that it has at most this many rows.
 BROADCAST_ROWS = 500_000
 # A join key with more rows than this is split over ceil(n / HOT_ROWS) salts.
@@ -75,26 +77,25 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> list[tuple[in
 
 def skew_join(
     fact: DataFrame, dim: DataFrame, on: Sequence[str], row_id: str | Sequence[str],
-    how: str = "left", hot_rows: int = HOT_ROWS, measured: DataFrame | None = None,
+    how: str = "left", hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Equi-join where any share of ``fact`` may sit on one key.
 
     Rows of hot keys get a salt from their ``row_id`` hash and the matching ``dim``
     row is copied once per salt. Rows with a NULL key match nothing; in a left join
-    they are spread instead of meeting in one task. ``measured`` is a cheaper table
-    with the same keys to look for hot ones in (by default ``fact`` itself).
+    they are spread instead of meeting in one task. ``fact`` is scanned once more to
+    measure its keys: join narrow or stored tables.
     """
     keys = list(on)
-    hot = hot_keys(fact if measured is None else measured, keys, hot_rows)
+    hot = hot_keys(fact, keys, hot_rows)
     spread = F.xxhash64(*([row_id] if isinstance(row_id, str) else row_id))
     none = F.lit(0).cast("bigint")
     if hot:
-        table = F.broadcast(  # at most HOT_KEYS rows
-            fact.sparkSession.createDataFrame(hot, "_hash bigint, _salts bigint")
-        )
+        # at most HOT_KEYS rows
+        table = F.broadcast(literal_table(fact.sparkSession, hot, ["_hash", "_salts"]))
         fact = fact.withColumn("_hash", F.xxhash64(*keys)).join(table, "_hash", "left")
         dim = dim.withColumn("_hash", F.xxhash64(*keys)).join(table, "_hash", "left")
-        last = F.coalesce("_salts", F.lit(1)) - 1
+        last = (F.coalesce("_salts", F.lit(1)) - 1).cast("bigint")
         dim = dim.withColumn("_salt", F.explode(F.sequence(none, last)))
         salt = F.coalesce(F.pmod(spread, F.col("_salts")), none)
         fact, dim = fact.withColumn("_salt", salt), dim.drop("_hash", "_salts")

@@ -20,6 +20,7 @@ from personae.schema import (
     CREATORS,
     IDENTITY_CACHE,
     IDENTITY_CACHE_KEYS,
+    IDENTITY_STATE,
     PROCESSING_LOGS,
     PROFILE_SNAPSHOTS,
     RESOLVED,
@@ -28,6 +29,7 @@ from personae.schema import (
 )
 
 CONFLICT = "conflicting_identity_cache_matches"
+NORMALIZED = ["n_full_name", "n_username", "n_email", "n_profile_url", "n_platform"]
 CANDIDATE_COLUMNS = ["cand_full_name", "cand_username", "cand_email", "cand_profile"]
 
 
@@ -82,10 +84,9 @@ def _hide_hits(df: DataFrame) -> DataFrame:
     The expressions and joins behind it are NULL-in NULL-out, so a hit costs next
     to nothing there. The true values stay in k_* for the log.
     """
-    names = ["n_full_name", "n_username", "n_email", "n_profile_url", "n_platform"]
     hit = F.col("cache_status") == "hit"
-    return df.withColumns({f"k{n[1:]}": F.col(n) for n in names}).withColumns(
-        {n: F.when(~hit, F.col(n)) for n in names}
+    return df.withColumns({f"k{n[1:]}": F.col(n) for n in NORMALIZED}).withColumns(
+        {n: F.when(~hit, F.col(n)) for n in NORMALIZED}
     )
 
 
@@ -116,8 +117,11 @@ def enrich(
     rank = F.col("import_id") if import_order is None else import_order
 
     incoming = conform(creators, CREATORS).withColumn("record_error", record_error())
-    records = normalize_records(incoming.where("record_error IS NULL"))
-    records = records.withColumn("import_rank", rank)
+    # only keys and normalized text go through the run; everything else a record
+    # carries (its payload above all) waits in ``creators`` for the last join
+    records = normalize_records(incoming.where("record_error IS NULL")).select(
+        "id", "import_id", "row_index", rank.alias("import_rank"), *NORMALIZED
+    )
     if mode == "snapshot":
         records = _hide_hits(C.lookup(records, keys, hot_rows=hot_rows))
     evidence = gather_candidates(records, dictionary, pages, weights, hot_rows)
@@ -127,40 +131,38 @@ def enrich(
     evidence = fill_from_input(score(evidence, CANDIDATE_COLUMNS, weights))
     evidence = materialize(evidence, "evidence")
 
+    # what the cache says about a record is worked out on narrow rows and joined to
+    # the wide evidence once
+    hit_id = F.when(F.col("cache_status") == "hit", F.get("matched_ids", F.lit(0)))
     if mode == "snapshot":
         writers = evidence.where("cache_status = 'miss' AND w_processing_status = 'enriched'")
         writes = C.plan_writes(writers, keys, ["import_rank", "row_index"], hot_rows=hot_rows)
-        new_keys = materialize(writes.new_keys, "new-keys")
-        looked_up = evidence
-        decided = evidence.join(writes.decisions, "id", "left")
+        new_keys = writes.new_keys
+        hits = evidence.where("cache_status = 'hit'").select("id", hit_id.alias("hit_id"))
+        outcome = C.attach_identities(hits, cache, "hit_id", hot_rows=hot_rows).unionByName(
+            writes.decisions, allowMissingColumns=True
+        )
     else:
         order = F.struct("import_rank", "row_index")
         decisions, written = decide_in_order(evidence, keys, order, hot_rows)
         new_keys = written.select(*C.KEY, "identity_cache_id")
-        looked_up = decisions
-        decided = evidence.join(decisions, "id", "left").withColumn(
-            "cache_status", F.coalesce("cache_status", F.lit("miss"))
+        creates = decisions.where("write_action = 'create'").select("id", "write_identity_id")
+        created = materialize(
+            C.new_identities(_fresh_result(evidence.join(creates, "id")), now), "created"
         )
-
-    decided = _settle(decided)
-    created = C.new_identities(decided.where("write_action = 'create'"), now)
-    if mode == "snapshot":
-        visible = cache
-    else:
-        created = materialize(created, "created")
         visible = conform(cache, IDENTITY_CACHE).unionByName(created)
-    hit_id = F.when(F.col("cache_status") == "hit", F.get("matched_ids", F.lit(0)))
-    final = C.attach_identities(
-        decided.withColumn("hit_id", hit_id), visible, "hit_id", hot_rows=hot_rows,
-        measured=looked_up.select(hit_id.alias("hit_id")),
+        outcome = C.attach_identities(
+            decisions.withColumn("hit_id", hit_id), visible, "hit_id", hot_rows=hot_rows
+        )
+    joined = evidence.join(outcome, "id", "left").withColumn(
+        "cache_status", F.coalesce("cache_status", F.lit("miss"))
     )
-    final = materialize(_apply_hits(final), "enriched")
+    final = materialize(_apply_hits(_fresh_result(joined)), "enriched")
 
     untouched = incoming.where("record_error IS NOT NULL")
-    resolved = _updated_creators(final, now).unionByName(conform(untouched, CREATORS))
     logs = processing_logs(final, run_id, now).unionByName(_error_logs(untouched, run_id, now))
     return EnrichResult(
-        creators=resolved,
+        creators=_updated_creators(incoming, final, now),
         logs=logs,
         snapshots=_snapshots(final, run_id, now),
         new_identities=C.new_identities(final.where("write_action = 'create'"), now),
@@ -168,11 +170,12 @@ def enrich(
     )
 
 
-def _settle(decided: DataFrame) -> DataFrame:
-    """Fresh result after conflict demotion (before cache hits are copied in)."""
-    conflict = F.col("cache_status") == "conflict"
-    status = demote_conflicts(F.col("w_processing_status"), conflict)
-    return decided.withColumns(
+def _fresh_result(df: DataFrame) -> DataFrame:
+    """The winner's scores, after conflict demotion where the lookup is known."""
+    status = F.col("w_processing_status")
+    if "cache_status" in df.columns:
+        status = demote_conflicts(status, F.col("cache_status") == "conflict")
+    return df.withColumns(
         {
             "confidence_score": F.col("w_confidence_score"),
             "confidence_source": F.col("w_confidence_source"),
@@ -205,19 +208,21 @@ def _apply_hits(final: DataFrame) -> DataFrame:
     return final.withColumns(columns).drop(*[c for c in final.columns if c.startswith("c_")])
 
 
-def _updated_creators(final: DataFrame, now: Column) -> DataFrame:
-    return conform(
-        final.withColumns(
-            {
-                # an identity link is only ever replaced, never cleared
-                "identity_cache_id": F.coalesce(
-                    "hit_id", "write_identity_id", "identity_cache_id"
-                ),
-                "updated_at": now,
-            }
-        ),
-        CREATORS,
+def _updated_creators(creators: DataFrame, final: DataFrame, now: Column) -> DataFrame:
+    """Write the results over the records; records that were not run stay as they are."""
+    changed = [*[f"resolved_{f}" for f in RESOLVED], *IDENTITY_STATE]
+    results = final.select(
+        "id", F.lit(True).alias("_run"), "hit_id", "write_identity_id",
+        *[F.col(c).alias(f"_{c}") for c in changed],
+    )
+    run = F.col("_run").isNotNull()
+    columns = {c: F.when(run, F.col(f"_{c}")).otherwise(F.col(c)) for c in changed}
+    # an identity link is only ever replaced, never cleared
+    columns["identity_cache_id"] = F.coalesce(
+        "hit_id", "write_identity_id", "identity_cache_id"
     )
+    columns["updated_at"] = F.when(run, now).otherwise(F.col("updated_at"))
+    return conform(creators.join(results, "id", "left").withColumns(columns), CREATORS)
 
 
 # --- audit log ---------------------------------------------------------------------

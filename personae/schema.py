@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,4 +117,13 @@ def new_creators(rows: DataFrame, now: Column | None = None) -> DataFrame:
 
 
 def empty(spark, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    """No rows, known to the optimizer as such."""
+    return conform(spark.range(0), schema)
+
+
+def literal_table(spark, rows: Iterable[Sequence], names: Sequence[str]) -> DataFrame:
+    """A few driver-side rows as a literal, without a Python worker behind them."""
+    entries = [
+        F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names, strict=True)]) for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*entries)))

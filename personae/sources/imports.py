@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from personae.operators.scale import dense_index, index_placed, materialize
-from personae.schema import IMPORT_HISTORY, conform, new_creators
+from personae.schema import CREATORS, IMPORT_HISTORY, conform, empty, new_creators
 
 
 def file_type(name: Column) -> Column:
@@ -58,7 +58,7 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
     options = {"multiLine": multi_line, "quote": '"', "escape": '"', "encoding": "UTF-8"}
     head = spark.read.options(**options, header=False).csv(path).first()
     if head is None:
-        return spark.createDataFrame([], T.StructType([]))
+        return spark.range(0).select()
     headers = unique_headers(list(head))
     schema = T.StructType([T.StructField(h, T.StringType()) for h in headers])
     rows = spark.read.options(**options, header=True, enforceSchema=True).schema(schema).csv(path)
@@ -96,9 +96,7 @@ def ingest_csv(
     raw = read_csv(spark, path, multi_line)
     headers = [c for c in raw.columns if not c.startswith("_")] if raw.columns else []
     if not headers:
-        creators = new_creators(
-            spark.createDataFrame([], "import_id string, row_index bigint"), now
-        )
+        creators = empty(spark, CREATORS)
     else:
         placed = raw.select(
             F.lit(import_id).alias("import_id"), payload(headers).alias("raw_payload"),

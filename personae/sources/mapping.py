@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from personae.config import COLUMN_ALIASES, PREVIEW_ROWS, RAW_COLUMNS
 from personae.functions.text import blank_to_null, js_trim, normalize_header
 from personae.operators.normalize import normalize_records
+from personae.schema import literal_table
 
 ColumnMapping = dict[str, str]
 
@@ -21,7 +22,7 @@ def alias_table(spark: SparkSession, aliases: Mapping[str, Sequence[str]] = COLU
         for pos, (field, names) in enumerate(aliases.items())
         for alias in names
     ]
-    return spark.createDataFrame(rows, "field string, field_pos int, alias string")
+    return literal_table(spark, rows, ["field", "field_pos", "alias"])
 
 
 def suggest_mapping(headers: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -46,7 +47,7 @@ def suggest_mapping(headers: DataFrame, aliases: DataFrame | None = None) -> Dat
 
 def suggested_mapping(spark: SparkSession, headers: Sequence[str]) -> ColumnMapping:
     """Mapping of one file's header line, in header order."""
-    table = spark.createDataFrame([(h,) for h in headers], "header string")
+    table = literal_table(spark, [(h,) for h in headers], ["header"])
     found = {r.header: r.field for r in suggest_mapping(table).collect()}
     return {h: found[h] for h in headers if h in found}
 

@@ -18,6 +18,7 @@ from personae.schema import (
     IDENTITY_CACHE_KEYS,
     PROCESSING_LOGS,
     PROFILE_SNAPSHOTS,
+    empty,
 )
 
 TABLES: dict[str, T.StructType] = {
@@ -51,7 +52,7 @@ class IncrementalEnrichment:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(path):
-            return self.spark.createDataFrame([], schema)
+            return empty(self.spark, schema)
         rows = self.spark.read.schema(schema).parquet(folder)
         return rows if before is None else rows.where(F.col("batch_id") < before)
 
