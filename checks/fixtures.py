@@ -252,15 +252,15 @@ FROM (SELECT *, row_index AS k FROM {raw_import}) AS source
 # every record of an import that shares an e-mail is merged into the first of them;
 # some requests are invalid
 MERGE_PAIRS = """
-SELECT k AS seq, CAST(k AS STRING) AS source_id,
-  CASE WHEN k % 40 = 3 THEN CAST(k AS STRING) WHEN k % 40 = 5 THEN 'nobody'
-       ELSE CAST(keep AS STRING) END AS target_id
-FROM (
-  SELECT row_index AS k,
-         min(row_index) OVER (PARTITION BY import_id, lower(trim(raw_email))) AS keep
-  FROM {raw_import} WHERE raw_email IS NOT NULL
-) AS grouped
-WHERE k <> keep
+SELECT r.row_index AS seq, CAST(r.row_index AS STRING) AS source_id,
+  CASE WHEN r.row_index % 40 = 3 THEN CAST(r.row_index AS STRING)
+       WHEN r.row_index % 40 = 5 THEN 'nobody' ELSE CAST(g.keep AS STRING) END AS target_id
+FROM {raw_import} AS r
+JOIN (SELECT import_id, lower(trim(raw_email)) AS email, min(row_index) AS keep
+      FROM {raw_import} WHERE raw_email IS NOT NULL
+      GROUP BY import_id, lower(trim(raw_email))) AS g
+  ON g.import_id = r.import_id AND g.email = lower(trim(r.raw_email))
+WHERE r.row_index <> g.keep
 """
 
 UNMERGE_REQUESTS = """
