@@ -29,9 +29,23 @@ def url_host(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(js_trim(c), _HOST, 1)), r"^www\.", "")
 
 
+def _percent_encoded(c: Column) -> Column:
+    """Characters a URL path cannot hold as they are, as %XX of their UTF-8 bytes."""
+    special = r"[^!-~]|[\"<>`{}]"
+    encoded = F.array_join(
+        F.transform(
+            F.split(c, ""),
+            lambda ch: F.when(ch == " ", "%20")
+            .when(ch.rlike(special), F.url_encode(ch)).otherwise(ch),
+        ),
+        "",
+    )
+    return F.when(c.rlike(special), encoded).otherwise(c)
+
+
 def canonical_profile_url(c: Column) -> Column:
     """Lower-case host and path; text that is no URL only loses trailing slashes."""
-    key = F.regexp_replace(F.lower(js_trim(c)), _KEY, "$1$2")
+    key = F.regexp_replace(F.lower(_percent_encoded(js_trim(c))), _KEY, "$1$2")
     absolute = js_trim(c).rlike(_HOST)
     plain = F.regexp_replace(F.lower(js_trim(c)), _OPAQUE_KEY, "$1")
     return F.when(absolute, key).otherwise(F.regexp_replace(plain, "/+$", ""))

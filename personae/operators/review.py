@@ -54,6 +54,14 @@ def blank(c: Column) -> Column:
     return F.coalesce(js_trim(c), F.lit("")) == ""
 
 
+def bulk_actions(creators: DataFrame, selected: Column, action: str, seq: int = 0) -> DataFrame:
+    """One approve / ignore action for every selected record."""
+    return creators.where(selected).select(
+        F.lit(seq).cast("bigint").alias("seq"), F.col("id").alias("creator_id"),
+        F.lit(action).alias("action"),
+    )
+
+
 # --- approve / ignore --------------------------------------------------------------
 
 

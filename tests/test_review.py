@@ -42,6 +42,13 @@ def test_last_review_action_wins(spark, now):
         4: "action must be approve or ignore", 5: "creator not found"}
 
 
+def test_bulk_selection(spark, now):
+    creators = creators_of(spark, [{"id": "a"}, {"id": "b", "needs_review": False}, {"id": "c"}])
+    chosen = V.bulk_actions(creators, F.col("needs_review"), "approve")
+    got = by_id(V.apply_review(creators, chosen, now).creators)
+    assert {i for i, r in got.items() if r.review_status == "approved"} == {"a", "c"}
+
+
 # --- overrides ------------------------------------------------------------------------------------
 
 

@@ -106,6 +106,9 @@ def test_canonical_keys(apply):
         "instagram.com/Jenn/": "instagram.com/jenn",
         "mailto:Jenn": "jenn",
         "https://x.com": "x.com",
+        "https://x.com/José <b>/": "x.com/jos%c3%a9%20%3cb%3e",
+        "https://x.com/É": "x.com/%c3%89",
+        "José ": "josé",
         "": "",
     }
     assert apply(K.canonical_profile_url, list(urls)) == list(urls.values())
