@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from personae.config import MIN_PREFIX, MIN_REMAINDER
 from personae.functions.text import utf16_length
-from personae.operators.scale import BROADCAST_ROWS, HOT_ROWS, fits_broadcast, skew_join
+from personae.operators.scale import (
+    BROADCAST_ROWS,
+    HOT_ROWS,
+    fits_broadcast,
+    materialize,
+    skew_join,
+)
 
 
 class NameDictionary:
@@ -19,11 +25,23 @@ class NameDictionary:
 
     def __init__(self, names: DataFrame, broadcast_rows: int = BROADCAST_ROWS,
                  hot_rows: int = HOT_ROWS) -> None:
-        self.names = (
-            names.select(F.lower("name").alias("name")).where("name <> ''").distinct()
-        )
+        lowered = names.select(F.lower("name").alias("name")).where("name <> ''").distinct()
+        # stored, because every lookup reads it
+        self.names = materialize(lowered, "names")
         self.hot_rows = hot_rows
         self.small = fits_broadcast(self.names, broadcast_rows)
+        self.buckets = materialize(self._prefix_buckets(), "prefixes") if self.small else None
+
+    def _prefix_buckets(self) -> DataFrame:
+        """Names that share their first letters as one small array per prefix.
+
+        The arrays together hold no more than the checked number of names.
+        """
+        return (
+            self.names.where(utf16_length(F.col("name")) >= MIN_PREFIX)
+            .groupBy(F.left("name", F.lit(MIN_PREFIX)).alias("_head"))
+            .agg(F.collect_list("name").alias("_names"))
+        )
 
     def flag(self, df: DataFrame, tokens: dict[str, str | Column], row_id: str) -> DataFrame:
         """Add a boolean column per entry of {new column: token column}."""
@@ -50,16 +68,9 @@ class NameDictionary:
         )
 
     def _prefix_by_bucket(self, df: DataFrame, token: str, out: str) -> DataFrame:
-        # names that share their first letters form one small array; the arrays
-        # together hold no more than the checked number of names
-        buckets = (
-            self.names.where(utf16_length(F.col("name")) >= MIN_PREFIX)
-            .groupBy(F.left("name", F.lit(MIN_PREFIX)).alias("_head"))
-            .agg(F.collect_list("name").alias("_names"))
-        )
         lowered = F.lower(token)
         joined = df.withColumn("_head", F.left(lowered, F.lit(MIN_PREFIX))).join(
-            F.broadcast(buckets), "_head", "left"
+            F.broadcast(self.buckets), "_head", "left"
         )
         room = utf16_length(F.col(token)) - MIN_REMAINDER
         fitting = F.filter(
