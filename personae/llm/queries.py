@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from personae.llm import bpe, langid, packing, quality, token_files
+from personae.llm import (
+    bpe, forest, jaccard, langid, packing, quality, secret_scan, suffix_tree, token_files, topk,
+)
 from personae.llm.batches import remainder, table
 from personae.operators.scale import materialize
 
@@ -29,6 +31,14 @@ def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(materialize(counts, "token-counts"))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, divisor=20, scale=64)
+
+
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), remainder("doc_id", 5) == 0
     model = quality.train(docs, table(spark, sf_dir, "labels"), where=~held_out)
@@ -45,12 +55,83 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op8_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(table(spark, sf_dir, "embeddings"), k=5, divisor=50)
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), remainder("doc_id", 5) == 1
+    tree, words = suffix_tree.train(docs, where=~held_out)
+    return suffix_tree.score(docs, tree, words, keep=["doc_id", held_out.alias("held_out")])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_best_fit": op2_best_fit,
+    "op3_top_k": op3_top_k,
+    "op4_jaccard": op4_jaccard,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
     "op7_token_files": op7_token_files,
+    "op8_hash_prefix_forest": op8_hash_prefix_forest,
+    "op9_secrets": op9_secrets,
+    "op10_suffix_tree": op10_suffix_tree,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_jaccard": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id,
+                   list_filter(
+                       regexp_split_to_array(
+                           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[\x20\x09-\x0D]+'),
+                       lambda w: w <> '') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id,
+                   CASE WHEN len(w) = 0 THEN []
+                        WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                   END AS s
+            FROM words
+        ), shingles AS (
+            SELECT doc_id, unnest(s) AS shingle FROM sets
+        ), shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+            FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM shared
+            JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+            WHERE 100 * n >= 80 * (len(x.s) + len(y.s) - n)
+        ), reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM sets
+            UNION
+            SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other
+        )
+        SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(reach.other) AS component_id
+        FROM sets JOIN reach ON reach.doc_id = sets.doc_id
+        GROUP BY sets.doc_id, len(s)
+    """,
+    "op3_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+}
