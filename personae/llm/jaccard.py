@@ -426,7 +426,10 @@ def join(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
     percent: int = PERCENT, keep: list[str] | None = None, block: int = BLOCK,
 ) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row, after its ``keep`` columns."""
+    """doc_id, n_shingles, component_id and component of each row, after its ``keep`` columns.
+
+    ``component`` is the key of the linked group, for rows without ids, too; null without words.
+    """
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = df.select(
         *(keep or []), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")
@@ -456,10 +459,11 @@ def join(
     named = materialize(named, "jaccard-classes")
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = materialize(
-        named.join(smallest, "root").select("cls", "component_id"), "jaccard-components"
+        named.join(smallest, "root").select("cls", "component_id", F.col("root").alias("component")), "jaccard-components"
     )
     out = docs.join(classes, "cls", "left")
     return out.select(
         *names[:-1], F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        "component",
     )

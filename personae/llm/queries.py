@@ -36,7 +36,7 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"))
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("component")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,7 +253,7 @@ def redacted(text: Column | str, spans: Column | str, mask: str = MASK) -> Colum
     """The text with each group of overlapping spans replaced by ``mask``."""
     text, spans = (F.col(c) if isinstance(c, str) else c for c in (text, spans))
     ends = F.transform(spans, lambda s: s["end"])
-    reach = _fold(ends, F.greatest, F.size(spans))  # furthest end up to each span
+    reach = _fold(ends, lambda a, x: F.greatest(a, x), F.size(spans))  # furthest end up to each span
 
     def part(s: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get(reach, i - 1)).otherwise(0)
