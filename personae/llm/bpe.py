@@ -69,7 +69,7 @@ class Vocabulary:
         if split["behavior"] != "Removed" or not split["invert"]:
             raise ValueError("the pattern must name what is kept")
         vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
-        self.pattern = regex.compile(split["pattern"]["Regex"])
+        self._words = regex.compile(split["pattern"]["Regex"] + "|\n")
         symbols = byte_symbols()
         self.inner = [vocab[s] for s in symbols]
         self.last = [vocab[s + suffix] for s in symbols]
@@ -91,19 +91,26 @@ class Vocabulary:
             t["id"]: t["content"] for t in spec["added_tokens"]
         }
 
-    def words(self, chunk: str) -> list[bytes]:
-        """Words of a chunk after normalization."""
-        if not chunk.isascii():
+    def cut(self, chunks: list[str]) -> list[list[str]]:
+        """Words of each chunk after normalization; every chunk has one at least."""
+        text = "\n".join(chunks)
+        if not text.isascii():
             # one character at a time, so that no letter's form depends on its neighbours
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        return [w.encode() for w in self.pattern.findall(chunk.lower())]
-
-    def merge(self, words: list[bytes]) -> list[list[int]]:
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        out: list[list[str]] = [[]]
+        for word in self._words.findall(text.lower()):
+            if word == "\n":
+                out.append([])
+            else:
+                out[-1].append(word)
+        return out if chunks else []
+
+    def merge(self, words: list[str]) -> list[list[int]]:
         """Ids of each word, by the pair occurrence index over all of them."""
         rank, merges = self.rank, self.merges
         symbol: list[int] = []
         first: list[int] = []
-        for word in words:
+        for word in map(str.encode, words):
             first.append(len(symbol))
             symbol += [self.inner[b] for b in word[:-1]]
             symbol.append(self.last[word[-1]])
@@ -173,23 +180,24 @@ class Codec:
     def __init__(self, path: str):
         self.vocabulary, self.splitter = Vocabulary(path), Splitter.from_file(path)
         self.memory = Memory(self._encode_chunks, note=self._written)
-        self._words: dict[bytes, list[int]] = {}
+        self._words: dict[str, list[int]] = {}
 
-    def _written(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+    def _written(self, ids: list[int]) -> tuple[str, str]:
+        return " ".join(map(str, ids)), self.decode(ids)
 
     def _encode_chunks(self, chunks: list[str]) -> list[list[int]]:
         special = self.splitter.specials
-        cut = [[] if c in special else self.vocabulary.words(c) for c in chunks]
+        cut = self.vocabulary.cut([c for c in chunks if c not in special])
         known = self._words
         if len(known) > WORDS:
             known.clear()
-        new = list({w for words in cut for w in words}.difference(known))
+        new = list(set().union(*cut).difference(known))
         if new:
             known.update(zip(new, self.vocabulary.merge(new), strict=True))
+        ids = iter(cut)
         return [
-            [special[c]] if c in special else [i for w in words for i in known[w]]
-            for c, words in zip(chunks, cut, strict=True)
+            [special[c]] if c in special else [i for w in next(ids) for i in known[w]]
+            for c in chunks
         ]
 
     def written(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
@@ -197,16 +205,14 @@ class Codec:
         out = []
         for i, j in steps(texts):
             chunks = [self.splitter(t) for t in texts[i:j]]
-            codes = self.memory.codes(chunks).tolist()
+            codes = self.memory.codes(chunks)
+            counts, codes = self.memory.counts(codes), codes.tolist()
             notes, at = self.memory.notes, 0
             for own in chunks:
                 got = [notes[c] for c in codes[at : at + len(own)]]
-                got = [g for g in got if g[0]]
+                n = int(counts[at : at + len(own)].sum())
                 at += len(own)
-                out.append((
-                    sum(g[0] for g in got), " ".join([g[1] for g in got]),
-                    " ".join([g[2] for g in got]),
-                ))
+                out.append((n, " ".join([g[0] for g in got]), " ".join([g[1] for g in got])))
         return out
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:

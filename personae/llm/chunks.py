@@ -43,8 +43,10 @@ class Splitter:
     def __call__(self, text: str | None) -> list[str]:
         if not text:
             return []
-        if self._special is None or not any(s in text for s in self.specials):
-            return _spaces(text)
+        if not any(s in text for s in self.specials):
+            small = _small(text)
+            # a special token in capitals is none, and must not become one
+            return _spaces(text if any(s in small for s in self.specials) else small)
         out: list[str] = []
         for k, part in enumerate(self._special.split(text)):
             if k % 2:
@@ -54,12 +56,35 @@ class Splitter:
         return out
 
 
+def _small(text: str) -> str:
+    """Lower case, as far as it is a matter of single characters.
+
+    The tokenizer lower-cases as well; done here, a word is remembered in one form.
+    """
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 def _spaces(text: str) -> list[str]:
     if _ODD.search(text):
         return [c for c in _WIDE.split(text) if c]
     return text.split()
 
 
+class _Codes(dict):
+    """Chunk -> code; a new chunk gets the next code and is noted in ``new``."""
+
+    new: list[str]
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = code = len(self)
+        self.new.append(chunk)
+        return code
+
+
 class Memory:
     """Code of each chunk; ``ids`` and ``starts`` hold the ids of each code in one array."""
 
@@ -71,7 +96,7 @@ class Memory:
         self._reset()
 
     def _reset(self) -> None:
-        self._code: dict[str, int] = {}
+        self._code = _Codes()
         self.notes: list = []  # what ``note`` makes of the ids of each code
         self._ids = np.zeros(1 << 16, np.uint32)
         self._starts = np.zeros(1, np.int64)
@@ -83,17 +108,16 @@ class Memory:
         self._round += 1
         if len(self._code) > self._limit:
             self._forget()
-        code = self._code
-        new = list(set().union(*texts).difference(code))
-        if new:
-            self._add(new, self._encode(new))
-        out = np.array(list(map(code.__getitem__, chain.from_iterable(texts))), np.int64)
+        self._code.new = []
+        out = np.array(
+            list(map(self._code.__getitem__, chain.from_iterable(texts))), np.int64
+        )
+        if self._code.new:
+            self._add(self._encode(self._code.new))
         self._used[out] = self._round
         return out
 
-    def _add(self, chunks: list[str], encoded: list[list[int]]) -> None:
-        first = len(self._code)
-        self._code.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+    def _add(self, encoded: list[list[int]]) -> None:
         if self._note:
             self.notes += map(self._note, encoded)
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
@@ -103,20 +127,23 @@ class Memory:
             self._ids = np.concatenate((self._ids, np.zeros(max(end, 1 << 16), np.uint32)))
         self._ids[self._starts[-1] : end] = list(chain.from_iterable(encoded))
         self._starts = np.concatenate((self._starts, starts))
-        self._used = np.concatenate((self._used, np.zeros(len(chunks), np.int64)))
+        self._used = np.concatenate((self._used, np.zeros(len(encoded), np.int64)))
 
     def _forget(self) -> None:
         """Keep the chunks of the last batches, at most half of the limit."""
         recent = np.sort(self._used)[-min(len(self._used), self._limit // 2)]
-        keep = [
-            (c, self._ids[self._starts[k] : self._starts[k + 1]].tolist())
-            for c, k in self._code.items() if self._used[k] > recent
-        ]
-        round_now = self._round
+        kept = np.flatnonzero(self._used > recent)
+        ids, counts = self.gather(kept)
+        place = np.full(len(self._used), -1)
+        place[kept] = np.arange(len(kept))
+        new = place.tolist()
+        code = _Codes((c, new[k]) for c, k in self._code.items() if new[k] >= 0)
+        notes = [self.notes[k] for k in kept.tolist()] if self._note else []
+        used, round_now = self._used[kept], self._round
         self._reset()
-        self._round = round_now
-        if keep:
-            self._add([c for c, _ in keep], [ids for _, ids in keep])
+        self._code, self.notes, self._used, self._round = code, notes, used, round_now
+        self._starts = np.concatenate(([0], np.cumsum(counts)))
+        self._ids = np.concatenate((ids, self._ids))
 
     def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``codes`` in order, and how many each code has."""
@@ -126,8 +153,8 @@ class Memory:
         shift = np.repeat(start - (ends - count), count)
         return self._ids[shift + np.arange(len(shift))], count
 
-    def ids_of(self, code: int) -> list[int]:
-        return self._ids[self._starts[code] : self._starts[code + 1]].tolist()
+    def counts(self, codes: np.ndarray) -> np.ndarray:
+        return self._starts[codes + 1] - self._starts[codes]
 
 
 class TokenStream:
