@@ -30,7 +30,7 @@ from personae.llm import vectors
 
 BITS = 64
 TREES = 64
-FRACTION = 0.4
+FRACTION = 0.5
 LEAST = 400
 
 

@@ -55,22 +55,34 @@ _BLOCK = 256
 _SPAN = "struct<start:int,kind:int,end:int>"
 
 
+def _let(fn: Callable[[Column], Column], **values: Column | str) -> Column:
+    """``fn`` of a struct of ``values``, each computed once and not again in inner lambdas."""
+    bound = F.struct(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in values.items()])
+    return F.transform(F.array(bound), fn)[0]
+
+
 def _fold(values: Column, op: Callable[[Column, Column], Column], n: Column) -> Column:
     """Prefix folds of an int array of ``n`` items, in blocks."""
     zero = F.lit(0)
-    blocks = F.transform(
-        F.sequence(zero, F.floor((n - 1) / _BLOCK).cast("int")),
-        lambda b: F.aggregate(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)), zero, op),
-    )
 
-    def upto(i: Column) -> Column:
-        b = F.floor(i / _BLOCK).cast("int")
-        whole = F.aggregate(F.slice(blocks, F.lit(1), b), zero, op)
-        return F.aggregate(F.slice(values, b * _BLOCK + 1, i % _BLOCK + 1), whole, op)
+    def blocks(x: Column) -> Column:
+        return F.transform(
+            F.sequence(zero, F.floor((x["n"] - 1) / _BLOCK).cast("int")),
+            lambda b: F.aggregate(F.slice(x["v"], b * _BLOCK + 1, F.lit(_BLOCK)), zero, op),
+        )
+
+    def prefixes(x: Column) -> Column:
+        def upto(i: Column) -> Column:
+            b = F.floor(i / _BLOCK).cast("int")
+            whole = F.aggregate(F.slice(x["blocks"], F.lit(1), b), zero, op)
+            return F.aggregate(F.slice(x["v"], b * _BLOCK + 1, i % _BLOCK + 1), whole, op)
 
-    return F.when(n > 0, F.transform(F.sequence(zero, n - 1), upto)).otherwise(
-        F.array().cast("array<int>")
+        return F.transform(F.sequence(zero, x["n"] - 1), upto)
+
+    folded = _let(
+        lambda x: _let(prefixes, v=x["v"], n=x["n"], blocks=blocks(x)), v=values, n=n
     )
+    return F.when(n > 0, folded).otherwise(F.array().cast("array<int>"))
 
 
 def _located(df: DataFrame, kind: str) -> DataFrame:
@@ -85,9 +97,12 @@ def _located(df: DataFrame, kind: str) -> DataFrame:
         .otherwise(F.array().cast("array<int>")),
     )
     # from the start of one match to the start of the next
-    step = F.transform(
-        F.slice(F.col(gaps), F.lit(1), n),
-        lambda gap, i: gap + F.when(i > 0, F.length(F.get(hits, i - 1))).otherwise(0),
+    step = _let(
+        lambda x: F.transform(
+            F.slice(x["gaps"], F.lit(1), F.size(x["hits"])),
+            lambda gap, i: gap + F.when(i > 0, F.length(F.get(x["hits"], i - 1))).otherwise(0),
+        ),
+        gaps=gaps, hits=hits,
     )
     df = df.withColumn(steps, step)
     df = df.withColumn(starts, _fold(F.col(steps), lambda a, x: a + x, n))
@@ -138,11 +153,24 @@ def evidence(hit: Column) -> Column:
         F.transform(F.split(coded, ""), lambda c: F.position(c, alphabet) - 1).alias("v"),
         F.length(alphabet).alias("k"), F.length(coded).cast("double").alias("n"),
     )
-    return F.transform(F.array(made), _battery)[0]
+    return F.transform(F.array(made), _parts)[0]
+
+
+def _parts(x: Column) -> Column:
+    """Values of one candidate, with what several tests need."""
+    v = x["v"]
+    return _let(
+        _battery, v=v, k=x["k"], n=x["n"],
+        mean=F.aggregate(v, F.lit(0.0), lambda a, b: a + b) / x["n"],
+        pairs=F.arrays_zip(
+            F.slice(v, F.lit(1), F.size(v) - 1).alias("a"),
+            F.slice(v, F.lit(2), F.size(v)).alias("b"),
+        ),
+    )
 
 
 def _battery(x: Column) -> Column:
-    v, k, n = x["v"], x["k"], x["n"]
+    v, k, n, mean, pairs = (x[name] for name in ("v", "k", "n", "mean", "pairs"))
     zero = F.lit(0.0)
     counts = F.transform(
         F.sequence(F.lit(0), F.lit(_PARTS - 1)),
@@ -151,16 +179,12 @@ def _battery(x: Column) -> Column:
     chi = F.aggregate(
         counts, zero, lambda a, c: a + (c - n / _PARTS) * (c - n / _PARTS) / (n / _PARTS)
     )
-    pairs = F.arrays_zip(
-        F.slice(v, F.lit(1), F.size(v) - 1).alias("a"), F.slice(v, F.lit(2), F.size(v)).alias("b")
-    )
     high = F.size(F.filter(v, lambda a: a * 2 >= k)).cast("double")
     low = n - high
     changes = F.size(F.filter(pairs, lambda p: (p["a"] * 2 >= k) != (p["b"] * 2 >= k)))
     expected = 2 * high * low / n
     spread = F.sqrt(F.greatest(expected * (2 * high * low - n) / (n * (n - 1)), F.lit(1e-9)))
     runs = F.abs((changes - expected) / spread)
-    mean = F.aggregate(v, zero, lambda a, b: a + b) / n
     variance = F.aggregate(v, zero, lambda a, b: a + (b - mean) * (b - mean))
     product = F.aggregate(pairs, zero, lambda a, p: a + (p["a"] - mean) * (p["b"] - mean))
     serial = F.abs(product / F.greatest(variance, F.lit(1e-9))) * F.sqrt(n)
@@ -170,6 +194,37 @@ def _battery(x: Column) -> Column:
     return F.when(agrees, p).otherwise(F.lit(1.0))
 
 
+def _discoveries(x: Column) -> Column:
+    """Weighted Benjamini-Hochberg over the tested candidates of one document."""
+    tested = x["tested"]
+    total = F.aggregate(tested, F.lit(0.0), lambda a, m: a + (m["end"] - m["start"]))
+
+    def weighed(y: Column) -> Column:
+        return F.transform(
+            y["tested"],
+            lambda m: F.struct(
+                m["start"].alias("start"), m["end"].alias("end"),
+                (m["p"] * y["total"] / ((m["end"] - m["start"]) * y["size"])).alias("p"),
+            ),
+        )
+
+    def kept(y: Column) -> Column:
+        ranked = F.array_sort(F.transform(y["weighed"], lambda m: m["p"]))
+        passing = F.filter(
+            F.transform(ranked, lambda p, i: F.when(p <= RATE * (i + 1) / y["size"], p)),
+            lambda p: p.isNotNull(),
+        )
+        return _let(
+            lambda z: F.filter(z["weighed"], lambda m: m["p"] <= z["limit"]),
+            weighed=y["weighed"], limit=F.coalesce(F.array_max(passing), F.lit(-1.0)),
+        )
+
+    return _let(
+        lambda y: _let(kept, weighed=weighed(y), size=y["size"]),
+        tested=tested, total=total, size=F.size(tested),
+    )
+
+
 def scan(df: DataFrame, text_col: str = "text", keep: list[str | Column] | None = None) -> DataFrame:
     """``keep`` columns of each row with its text and ``spans``, an array of
 
@@ -194,28 +249,15 @@ def scan(df: DataFrame, text_col: str = "text", keep: list[str | Column] | None
             ),
         ),
     )
-    size = F.size("_tested")
-    total = F.aggregate("_tested", F.lit(0.0), lambda a, m: a + (m["end"] - m["start"]))
-    out = out.withColumn(
-        "_weighed",
-        F.transform(
-            "_tested",
-            lambda m: F.struct(
-                m["start"].alias("start"), m["end"].alias("end"),
-                (m["p"] * total / ((m["end"] - m["start"]) * size)).alias("p"),
+    out = out.withColumn("_found", _let(_discoveries, tested="_tested"))
+    added = _let(
+        lambda x: F.filter(
+            x["found"],
+            lambda m: ~F.exists(
+                x["base"], lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])
             ),
         ),
-    )
-    out = out.withColumn("_sorted", F.array_sort(F.transform("_weighed", lambda m: m["p"])))
-    passing = F.filter(
-        F.transform("_sorted", lambda p, i: F.when(p <= RATE * (i + 1) / size, p)),
-        lambda p: p.isNotNull(),
-    )
-    out = out.withColumn("_limit", F.coalesce(F.array_max(passing), F.lit(-1.0)))
-    added = F.filter(
-        "_weighed",
-        lambda m: (m["p"] <= F.col("_limit"))
-        & ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])),
+        found="_found", base="_base",
     )
     return out.withColumn(
         "spans",
@@ -253,15 +295,18 @@ def redacted(text: Column | str, spans: Column | str, mask: str = MASK) -> Colum
     """The text with each group of overlapping spans replaced by ``mask``."""
     text, spans = (F.col(c) if isinstance(c, str) else c for c in (text, spans))
     ends = F.transform(spans, lambda s: s["end"])
-    reach = _fold(ends, lambda a, x: F.greatest(a, x), F.size(spans))  # furthest end up to each span
-
-    def part(s: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(reach, i - 1)).otherwise(0)
-        return F.when(
-            (i == 0) | (s["start"] >= before),
-            F.concat(F.substring(text, before + 1, s["start"] - before), F.lit(mask)),
-        ).otherwise("")
-
-    tail = F.substring(text, F.array_max(ends) + 1, F.length(text))
-    joined = F.concat(F.array_join(F.transform(spans, part), ""), tail)
-    return F.when(F.size(spans) > 0, joined).otherwise(text)
+    reach = _fold(ends, lambda a, x: F.greatest(a, x), F.size(spans))  # furthest end so far
+
+    def joined(x: Column) -> Column:
+        def part(s: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(x["reach"], i - 1)).otherwise(0)
+            return F.when(
+                (i == 0) | (s["start"] >= before),
+                F.concat(F.substring(x["text"], before + 1, s["start"] - before), F.lit(mask)),
+            ).otherwise("")
+
+        tail = F.substring(x["text"], F.array_max(x["reach"]) + 1, F.length(x["text"]))
+        return F.concat(F.array_join(F.transform(x["spans"], part), ""), tail)
+
+    masked = _let(joined, text=text, spans=spans, reach=reach)
+    return F.when(F.size(spans) > 0, masked).otherwise(text)
