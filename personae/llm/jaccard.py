@@ -43,7 +43,7 @@ from personae.operators.scale import materialize
 
 WORDS = 5
 PERCENT = 80
-PER_GROUP = 8
+PER_GROUP = 2
 BLOCK = 128
 FANOUT = 8
 # A shingle is frequent if it makes up this share of all (so at most a million are), and
@@ -125,7 +125,17 @@ def point(shingles: np.ndarray) -> np.ndarray:
     """Counts by hash group; the number of groups is a power of two."""
     bits = max(3, int(np.ceil(np.log2(max(1, len(shingles)) / PER_GROUP))))
     groups = (shingles >> np.uint64(64 - bits)).astype(np.int64)
-    return np.bincount(groups, minlength=1 << bits).astype(np.uint16)
+    return np.bincount(groups, minlength=1 << bits)
+
+
+def packed(point: np.ndarray) -> bytes:
+    """A point in the narrowest integers that hold it, after a byte with their width."""
+    width = 1 if point.max(initial=0) < 256 else 4
+    return bytes([width]) + point.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
 
 
 def _folded(points: list[np.ndarray]) -> np.ndarray:
@@ -205,7 +215,7 @@ def _merged(rows: list[tuple]) -> list[tuple]:
 
 def _candidates(rows: list[tuple], percent: int) -> Iterator[tuple[int, int, int]]:
     """(bound, a, b): pairs of row numbers in one tree, of which at least one asks."""
-    points = _folded([np.frombuffer(r[3], np.uint16) for r in rows])
+    points = _folded([unpacked(r[3]) for r in rows])
     sizes = np.array([r[2] for r in rows])
     asks = np.array([r[1] for r in rows])
     tree = RTree(points, sizes)
@@ -277,8 +287,8 @@ def _verified(df: DataFrame, percent: int) -> DataFrame:
 class _Search:
     """Stored intermediate tables of one join."""
 
-    def __init__(self, texts: DataFrame, docs: DataFrame, words: int, percent: int):
-        self.texts, self.docs, self.words, self.percent = texts, docs, words, percent
+    def __init__(self, texts: DataFrame, first: DataFrame, words: int, percent: int):
+        self.texts, self.first, self.words, self.percent = texts, first, words, percent
 
     def signed(self, often: DataFrame) -> DataFrame:
         """cls, n, vec, sigs of each class, at least once."""
@@ -305,7 +315,7 @@ class _Search:
                         seen.add(own)
                         cls.append(own)
                         n.append(len(s))
-                        vec.append(point(s).tobytes())
+                        vec.append(packed(point(s)))
                         sigs.append(signatures(s, key, times, percent).view(np.int64))
                     if len(seen) > 500_000:
                         seen.clear()
@@ -360,10 +370,7 @@ class _Search:
 
     def sets(self, classes: DataFrame) -> DataFrame:
         """(cls, shingles) of the given classes, from one document of each."""
-        wanted = (
-            self.docs.join(classes, "cls", "left_semi").groupBy("cls")
-            .agg(F.min("id").alias("_id"))
-        )
+        wanted = self.first.join(classes, "cls", "left_semi").withColumnRenamed("first", "_id")
         wanted = materialize(wanted, "jaccard-representatives")
         if wanted.count() <= BROADCAST_IDS:
             wanted = F.broadcast(wanted)
@@ -443,7 +450,11 @@ def join(
         seen.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n"))
         .where(F.col("n") >= max(FREQUENT_LEAST, int(FREQUENT * total)))
     )
-    search = _Search(texts, docs, words, percent)
+    # copies meet here, summed up before they move
+    first = materialize(
+        docs.where("n > 0").groupBy("cls").agg(F.min("id").alias("first")), "jaccard-first"
+    )
+    search = _Search(texts, first, words, percent)
     signed = search.signed(often)
     points = materialize(
         signed.groupBy("cls").agg(F.first("n").alias("n"), F.first("vec").alias("vec")),
@@ -454,7 +465,6 @@ def join(
     if not trees.where(F.col("size") > block).isEmpty():
         links = links.union(search.links(_second_round(trees, links, block), points))
     root = components(links).withColumnRenamed("node", "cls")
-    first = docs.where("n > 0").groupBy("cls").agg(F.min("id").alias("first"))
     named = first.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     named = materialize(named, "jaccard-classes")
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
