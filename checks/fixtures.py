@@ -39,7 +39,8 @@ SELECT import_id, k AS row_index,
   CASE WHEN k % 11 <> 0 THEN NULL
        ELSE 'https://www.' || CASE k % 4 WHEN 0 THEN 'Instagram.com/'
               WHEN 1 THEN 'tiktok.com/@' WHEN 2 THEN 'facebook.com/' ELSE 'linktr.ee/' END
-            || f || l || CAST(ck % 200 AS STRING) || '/' END AS raw_profile_url,
+            || CASE WHEN k % 4 = 2 AND ck % 3 = 0 THEN 'profile.php?id=' || CAST(ck % 200 AS STRING)
+                    ELSE f || l || CAST(ck % 200 AS STRING) || '/' END END AS raw_profile_url,
   CAST(NULL AS STRING) AS raw_platform,
   f, l
 FROM (
@@ -52,8 +53,16 @@ FROM (
 FIRST_NAMES = "SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM {part}"
 
 # one page per distinct profile URL; a third is long enough to be a static page,
-# a third of the short ones has a browser copy, the rest has no usable page
+# a third of the short ones has a browser copy, the rest has no usable page;
+# every other URL has a long page without any name under another spelling
 PROFILE_PAGES = """
+SELECT replace(url, 'https://www.', 'http://') AS url, k,
+  '<html><head></head><body>' || repeat('<p>empty</p>', 200) || '</body></html>' AS html,
+  'static' AS copy
+FROM (SELECT raw_profile_url AS url, min(row_index) AS k
+      FROM {raw_import} WHERE raw_profile_url IS NOT NULL GROUP BY raw_profile_url) AS spelled
+WHERE k % 2 = 0
+UNION ALL
 SELECT url, k,
   '<html><head>'
   || CASE k % 6
@@ -80,7 +89,6 @@ FROM (
 
 # cache before the run: what the rows of one import left behind, with every tenth
 # username handed to another identity so that conflicts occur
-CACHE_IMPORT = "1-URGENT"
 IDENTITY_CACHE = """
 SELECT 'idn-' || email AS id, cf AS first_name, cl AS last_name, email,
        CAST(CASE WHEN k % 9 = 0 THEN NULL ELSE 95 END AS INT) AS confidence_score,
@@ -123,7 +131,7 @@ FROM (SELECT import_id, row_index AS k FROM {raw_import}) AS rows_
 
 PROCESSING_LOGS = """
 SELECT CAST(event_id AS STRING) AS id, CAST(user_id AS STRING) AS creator_id,
-       CAST(event_id AS INT) AS seq, event_type AS step,
+       CAST(event_id AS BIGINT) + 3000000000 AS seq, event_type AS step,
        CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'skipped'
             ELSE 'success' END AS status,
        props AS detail, ts AS created_at
@@ -159,10 +167,9 @@ def once(build):
 @once
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    # a table of one small file would otherwise be worked on by a single task
-    one_task = table in ("orders", "pages") and len(df.inputFiles()) == 1
-    return df.repartition(cores) if one_task else df
+    # one file of these would otherwise be worked on by a single task
+    spread = table in ("orders", "pages")
+    return df.repartition(spark.sparkContext.defaultParallelism) if spread else df
 
 
 @once
@@ -200,11 +207,6 @@ def identity_cache(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     )
 
 
-def later_creators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The imports that come after the one in the cache."""
-    return creators(spark, sf_dir).where(F.col("import_id") != CACHE_IMPORT)
-
-
 def processing_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PROCESSING_LOGS, events=read(spark, sf_dir, "events"))
 

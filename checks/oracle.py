@@ -237,6 +237,12 @@ def candidates_of(source: str, suffix: str = "") -> list[str]:
     ]
 
 
+def fetch_key(u: str) -> str:
+    host = f"lower(regexp_extract({u}, '(?i)^https?://(?:www\\.)?([^/?#]+)', 1))"
+    path = f"regexp_replace(regexp_extract({u}, '(?i)^https?://[^/?#]+([^?#]*)', 1), '/+$', '')"
+    return f"{host} || {path} || regexp_extract({u}, '\\?[^#]*')"
+
+
 USABLE = PAGES + [
     cte("usable", "SELECT url, html, 'static' AS fetched_via FROM fixture_pages "
                   "WHERE length(html) >= 2000 UNION ALL SELECT url, html, 'browser' "
@@ -244,14 +250,13 @@ USABLE = PAGES + [
 ]
 FIXTURE_FIELDS = USABLE + [
     cte("page_parts", f"""
-  SELECT {canonical_url('url')} AS url_key, min(fetched_via) AS fetched_via,
-    min(coalesce(nullif(regexp_extract(html, '<meta property="og:title" content="([^"]*)">', 1), ''),
-             nullif(regexp_extract(html, '<meta content="([^"]*)" property="og:title">', 1), '')))
+  SELECT url, {fetch_key('url')} AS fetched, fetched_via,
+    coalesce(nullif(regexp_extract(html, '<meta property="og:title" content="([^"]*)">', 1), ''),
+             nullif(regexp_extract(html, '<meta content="([^"]*)" property="og:title">', 1), ''))
       AS og_title,
-    min(nullif(regexp_extract(html, '<meta property="og:description" content="([^"]*)">', 1), ''))
-      AS bio,
-    min(nullif(regexp_extract(html, '<title>(.*?)</title>', 1), '')) AS title
-  FROM usable GROUP BY ALL""")
+    nullif(regexp_extract(html, '<meta property="og:description" content="([^"]*)">', 1), '') AS bio,
+    nullif(regexp_extract(html, '<title>(.*?)</title>', 1), '') AS title
+  FROM usable""")
 ]
 
 
@@ -260,9 +265,12 @@ def page_candidates_of(source: str, suffix: str = "") -> list[str]:
     return FIXTURE_FIELDS + [
         cte(f"scraped{s}", f"""
   SELECT r.id, r.n_profile_url AS url, {platform('r.n_profile_url')} AS platform,
-    p.url_key IS NOT NULL AS has_page, p.fetched_via, p.og_title, p.bio, p.title
-  FROM {source} r LEFT JOIN page_parts p ON p.url_key = {canonical_url('r.n_profile_url')}
-  WHERE r.n_profile_url IS NOT NULL"""),
+    p.url IS NOT NULL AS has_page, p.fetched_via, p.og_title, p.bio, p.title
+  FROM {source} r LEFT JOIN page_parts p ON p.fetched = {fetch_key('r.n_profile_url')}
+  WHERE r.n_profile_url IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY p.url = r.n_profile_url DESC NULLS LAST,
+    p.fetched_via = 'static' DESC, coalesce(p.og_title, p.title) IS NOT NULL DESC,
+    p.url) = 1"""),
         cte(f"shown{s}", f"""
   SELECT *,
     CASE WHEN platform IN ('instagram', 'tiktok') THEN nullif(trim(split_part(og_title, '(@', 1)), '')
@@ -334,9 +342,8 @@ def scoring(source: str, pages: bool, s: str = "") -> list[str]:
 def run(pages: bool, cached: bool) -> list[str]:
     """CTEs of a snapshot run; ``final`` has one row per record."""
     base = NORM + (CACHE if cached else NO_CACHE)
-    scope = "import_id <> '1-URGENT'" if cached else "true"
     return base + [
-        cte("batch", f"SELECT * FROM norm WHERE {scope}"),
+        cte("batch", "SELECT * FROM norm"),
         cte("batch_keys", key_rows("batch", "id", "n_email", "n_username", "n_profile_url")),
         cte("found", """
   SELECT b.id, list_sort(list(DISTINCT k.identity_cache_id)) AS ids
@@ -419,8 +426,8 @@ FROM sheet""")
 
 ORACLES["file_routing"] = """
 SELECT k, file_name, file_type,
-  CASE WHEN file_type IS NULL THEN 'unsupported file type, expected .csv or .xlsx'
-       WHEN file_type = 'xlsx' THEN 'convert the workbook to csv first' END AS reject_reason
+  CASE WHEN file_type IS NULL THEN 'file_type_unknown'
+       WHEN file_type = 'xlsx' THEN 'workbook' END AS reject_reason
 FROM (SELECT o_orderkey AS k,
     o_orderpriority || (['.CSV', '.xlsx', '.xls', '.txt'])[o_orderkey % 4 + 1] AS file_name,
     (['csv', 'xlsx', 'xlsx', NULL])[o_orderkey % 4 + 1] AS file_type FROM orders) AS files"""
@@ -833,7 +840,7 @@ WHERE NOT EXISTS (SELECT 1 FROM cache_keys c
 GROUP BY key_type, key_value""")
 ORACLES["override_rejects"] = sql(OVERRIDDEN, """
 SELECT seq, creator_id, CASE WHEN field NOT IN (SELECT field FROM known_fields)
-    THEN 'field cannot be overridden' ELSE 'value must be a non-empty string' END AS reject_reason
+    THEN 'field_not_editable' ELSE 'value_blank' END AS reject_reason
 FROM sent WHERE seq NOT IN (SELECT seq FROM good)""")
 
 MERGED = RESOLVED + [
@@ -865,7 +872,7 @@ SELECT source_id AS creator_id, 'merged_duplicate' AS step, target_id AS target,
 FROM good JOIN res ON res.id = source_id""")
 ORACLES["merge_rejects"] = sql(MERGED, """
 SELECT seq, source_id, target_id, CASE WHEN source_id = target_id
-    THEN 'cannot merge a creator into itself' ELSE 'target creator not found' END AS reject_reason
+    THEN 'target_is_source' ELSE 'no_such_target' END AS reject_reason
 FROM pairs WHERE seq NOT IN (SELECT seq FROM good)""")
 UNMERGED = MERGED + [cte("asked", X.UNMERGE_REQUESTS.format(raw_import="raw_import"))]
 ORACLES["unmerge"] = sql(UNMERGED + [cte("back", "SELECT s.id, " + ", ".join(
@@ -881,9 +888,9 @@ ORACLES["unmerge"] = sql(UNMERGED + [cte("back", "SELECT s.id, " + ", ".join(
   FROM res s JOIN (SELECT *, into_id IS NOT NULL AND id IN (SELECT creator_id FROM asked) AS u
                    FROM merged) m USING (id)""")], f"SELECT {STATE} FROM back")
 ORACLES["unmerge_rejects"] = sql(UNMERGED, """
-SELECT a.seq, a.creator_id, CASE WHEN m.id IS NULL THEN 'creator not found'
-    WHEN m.duplicate_of_creator_id IS NULL THEN 'creator is not marked as a duplicate'
-    ELSE 'no merge snapshot found' END AS reject_reason
+SELECT a.seq, a.creator_id, CASE WHEN m.id IS NULL THEN 'no_such_record'
+    WHEN m.duplicate_of_creator_id IS NULL THEN 'not_merged'
+    ELSE 'no_merge_on_record' END AS reject_reason
 FROM asked a LEFT JOIN merged m ON m.id = a.creator_id
 WHERE m.into_id IS NULL""")
 

@@ -408,7 +408,7 @@ def resolved(spark, sf_dir):
 @query
 def cache_lookup(spark, sf_dir):
     _, keys = X.identity_cache(spark, sf_dir)
-    rows = C.lookup(normalize_records(X.later_creators(spark, sf_dir)), keys)
+    rows = C.lookup(normalize_records(X.creators(spark, sf_dir)), keys)
     ids = F.coalesce(F.array_sort("matched_ids"), F.array().cast("array<string>"))
     return rows.select("id", "cache_status", joined(ids).alias("identities"))
 
@@ -417,7 +417,7 @@ def cache_lookup(spark, sf_dir):
 def cache_identities(spark, sf_dir):
     """Every key hit with the identity behind it."""
     cache, keys = X.identity_cache(spark, sf_dir)
-    hits = C.lookup_keys(normalize_records(X.later_creators(spark, sf_dir)), "id").join(
+    hits = C.lookup_keys(normalize_records(X.creators(spark, sf_dir)), "id").join(
         keys, C.KEY
     )
     cached = C.attach_identities(hits, X.conform(cache, R_CACHE), "identity_cache_id")
@@ -429,7 +429,7 @@ def cache_identities(spark, sf_dir):
 @X.once
 def enriched(spark, sf_dir, with_cache=True, with_pages=True, mode="snapshot") -> EnrichResult:
     cache, keys = X.identity_cache(spark, sf_dir) if with_cache else (None, None)
-    rows = X.later_creators(spark, sf_dir) if with_cache else X.creators(spark, sf_dir)
+    rows = X.creators(spark, sf_dir)
     pages = static_and_browser_pages(spark, sf_dir) if with_pages else None
     return enrich(
         rows, X.dictionary(spark, sf_dir),
@@ -454,7 +454,7 @@ def enrich_snapshot(spark, sf_dir):
 
 @query
 def enrich_with_cache(spark, sf_dir):
-    """Later imports against a filled cache, with pages."""
+    """All imports against a cache filled from one of them, with pages."""
     return enriched(spark, sf_dir).creators.select(*enriched_columns())
 
 
@@ -732,7 +732,7 @@ def approve_ignore(spark, sf_dir):
         (F.col("seq") + 1_000_000_000).alias("seq"), "creator_id", F.lit("ignore").alias("action")
     )
     result = V.apply_review(
-        X.resolved_creators(spark, sf_dir), actions.unionByName(second), X.now()
+        X.resolved_creators(spark, sf_dir), actions.unionByName(second), X.now(), "review"
     )
     logs = result.logs.groupBy("creator_id").agg(F.count("*").alias("logs"))
     rejects = result.rejects.groupBy("creator_id").agg(F.count("*").alias("rejects"))
@@ -754,7 +754,7 @@ def overridden(spark, sf_dir) -> V.ReviewResult:
     _, keys = X.identity_cache(spark, sf_dir)
     return V.apply_overrides(
         X.resolved_creators(spark, sf_dir), X.conform(cache, R_CACHE),
-        X.conform(keys, R_KEYS), X.overrides(spark, sf_dir), X.now(),
+        X.conform(keys, R_KEYS), X.overrides(spark, sf_dir), X.now(), "override",
     )
 
 
@@ -799,7 +799,7 @@ def override_rejects(spark, sf_dir):
 @X.once
 def merged(spark, sf_dir) -> V.ReviewResult:
     return V.merge_duplicates(
-        X.resolved_creators(spark, sf_dir), X.derived(spark, sf_dir, X.MERGE_PAIRS), X.now()
+        X.resolved_creators(spark, sf_dir), X.derived(spark, sf_dir, X.MERGE_PAIRS), X.now(), "merge"
     )
 
 
@@ -840,7 +840,7 @@ def merge_rejects(spark, sf_dir):
 def unmerged(spark, sf_dir) -> V.ReviewResult:
     before = merged(spark, sf_dir)
     return V.unmerge(
-        before.creators, before.logs, X.derived(spark, sf_dir, X.UNMERGE_REQUESTS), X.now()
+        before.creators, before.logs, X.derived(spark, sf_dir, X.UNMERGE_REQUESTS), X.now(), "unmerge"
     )
 
 
@@ -878,7 +878,7 @@ def export_csv(spark, sf_dir):
         X.resolved_creators(spark, sf_dir), "2-HIGH", "quick", folder, 1_700_000_000_000
     )
     name = O.export_name("quick", "2-HIGH", 1_700_000_000_000)
-    rows = S.read_csv(spark, f"{folder}/{name}").drop("_file", "_block", "_pos")
+    rows = S.read_csv(spark, f"{folder}/{name}").named()
     return rows.select(
         F.lit("row").alias("part"), F.col("firstName").alias("a"), F.col("email").alias("b"),
         F.col("socialHandle").alias("c"),

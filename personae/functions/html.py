@@ -35,17 +35,23 @@ def decode_entities(c: Column) -> Column:
     named = F.str_to_map(F.lit(_named_entities()), F.lit("\x02"), F.lit("\x01"))
 
     def decoded(piece: Column) -> Column:
-        digits = F.regexp_replace(piece, "[^0-9a-fA-F]", "")
-        hexadecimal = F.conv(F.left(digits, F.lit(8)), 16, 10).cast("long")
+        # leading zeros mean nothing; more digits than any character has are none
+        digits = F.regexp_replace(
+            F.regexp_replace(piece, "^&#[xX]?|;$", ""), "^0+", ""
+        )
+        none = F.lit(0x110000).cast("long")
+        hexadecimal = F.when(F.length(digits) > 8, none).otherwise(
+            F.conv(digits, 16, 10).cast("long")
+        )
+        decimal = F.when(F.length(digits) > 10, none).otherwise(digits.try_cast("long"))
         return (
             F.when(piece.rlike("^&#[xX]"), _from_code_point(hexadecimal))
-            .when(
-                piece.startswith("&#"),
-                _from_code_point(F.left(digits, F.lit(10)).try_cast("long")),
-            )
+            .when(piece.startswith("&#"), _from_code_point(decimal))
             .when(
                 piece.startswith("&"),
-                F.coalesce(F.try_element_at(named, F.substring(piece, 2, 64)), piece),
+                F.coalesce(
+                    F.try_element_at(named, F.substring(piece, F.lit(2), F.length(piece))), piece
+                ),
             )
             .otherwise(piece)
         )

@@ -12,6 +12,8 @@ _WITH_HOST = rf"(?is)^(?:{_SPECIAL}|[a-z][a-z0-9+.-]*://)(?:[^/@?#]*@)?"
 _HOST = rf"{_WITH_HOST}([^/:?#\\]+)"
 # host without www., path without trailing slashes; user, port, query and fragment go
 _KEY = rf"{_WITH_HOST}(?:www\.)?([^/:?#\\]+)(?::[0-9]*)?([^?#]*?)/*(?:[?#].*)?$"
+# the same with the query apart
+_FETCH = rf"{_WITH_HOST}(?:www\.)?([^/:?#\\]+)(?::[0-9]*)?([^?#]*?)/*(\?[^#]*)?(?:#.*)?$"
 # scheme:path without a host
 _OPAQUE_KEY = r"(?s)^[a-z][a-z0-9+.-]*:(?!//)(?!(?:https?|ftp|wss?):)([^?#]*?)/*(?:[?#].*)?$"
 
@@ -51,6 +53,16 @@ def canonical_profile_url(c: Column) -> Column:
     return F.when(absolute, key).otherwise(F.regexp_replace(plain, "/+$", ""))
 
 
+def fetch_key(c: Column) -> Column:
+    """What a request for the URL would ask for: host, path with its case, query.
+
+    Scheme, user, ``www.``, port, trailing slashes and fragment make no difference.
+    """
+    trimmed = js_trim(c)
+    asked = F.concat(url_host(c), F.regexp_replace(trimmed, _FETCH, "$2$3"))
+    return F.when(trimmed.rlike(_HOST), asked).otherwise(trimmed)
+
+
 def platform_of_host(host: Column) -> Column:
     def within(domain: str) -> Column:
         return (host == domain) | host.endswith("." + domain)

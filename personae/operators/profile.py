@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from personae.config import DEFAULT_WEIGHTS, PLATFORMS, SOURCE_BY_PLATFORM, Weights
 from personae.functions import text as T
 from personae.functions.html import markup, meta_content, meta_tags, page_title
-from personae.functions.keys import canonical_profile_url, platform_of_host, url_host
+from personae.functions.keys import fetch_key, platform_of_host, url_host
 from personae.operators.dictionary import NameDictionary
 from personae.operators.extract import CANDIDATE_TYPE, candidate
 from personae.operators.scale import HOT_ROWS, skew_join
@@ -101,28 +101,42 @@ def attach_pages(
     df: DataFrame, pages: DataFrame | None, url: str = "n_profile_url", row_id: str = "id",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Left-join page fields by canonical URL.
+    """Left-join the fields of the page that was fetched for each record's URL.
 
-    ``pages`` (url, html, fetched_via) is reduced to its fields before the join,
-    so no html is shuffled. One page per canonical URL is kept.
+    Pages are looked up by ``fetch_key``, query included: what identifies a person may
+    drop a query, what was fetched may not. Of several pages the one with exactly the
+    record's URL wins, then a static one, then one with a title. ``pages`` (url, html,
+    fetched_via) is reduced to its fields before the join, so no html is shuffled.
     """
     fields = ["og_title", "og_description", "title", "fetched_via"]
     if pages is None:
         return df.withColumns(
             {f: F.lit(None).cast("string") for f in fields} | {"has_page": F.lit(False)}
         )
+    untitled = F.coalesce("og_title", "title").isNull()
+    by_worth = F.struct(
+        (F.col("fetched_via") != "static").alias("_late"), untitled.alias("_untitled"),
+        T.js_trim(F.col("url")).alias("_spelled"), *fields,
+    )
     slim = page_fields(pages).select(
-        canonical_profile_url(F.col("url")).alias("_url"), *fields
+        fetch_key(F.col("url")).alias("_url"), T.js_trim(F.col("url")).alias("_spelled"),
+        by_worth.alias("_page"),
     )
-    one = slim.groupBy("_url").agg(
-        F.min(F.struct(*fields)).alias("_page")
-    ).select("_url", *[F.col(f"_page.{f}") for f in fields], F.lit(True).alias("_found"))
-    keyed = df.withColumn("_url", T.blank_to_null(canonical_profile_url(F.col(url))))
-    return (
-        skew_join(keyed, one, ["_url"], row_id, "left", hot_rows)
-        .withColumn("has_page", F.coalesce("_found", F.lit(False)))
-        .drop("_url", "_found")
+    # a handful of spellings per key
+    one = (
+        slim.groupBy("_url", "_spelled").agg(F.min("_page").alias("_page"))
+        .groupBy("_url").agg(
+            F.min("_page").alias("_best"),
+            F.map_from_entries(F.collect_list(F.struct("_spelled", "_page"))).alias("_exact"),
+        )
+    )
+    keyed = df.withColumn("_url", T.blank_to_null(fetch_key(F.col(url))))
+    joined = skew_join(keyed, one, ["_url"], row_id, "left", hot_rows).withColumn(
+        "_page", F.coalesce(F.element_at("_exact", T.js_trim(F.col(url))), "_best")
     )
+    return joined.withColumns(
+        {f: F.col(f"_page.{f}") for f in fields} | {"has_page": F.col("_page").isNotNull()}
+    ).drop("_url", "_best", "_exact", "_page")
 
 
 def with_profile_candidate(

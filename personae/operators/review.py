@@ -42,6 +42,19 @@ def _with_existing(actions: DataFrame, creators: DataFrame, column: str, flag: s
     return skew_join(actions, known, [column], "seq", "left", hot_rows)
 
 
+def _in_order(actions: DataFrame, row_id: str, hot_rows: int) -> DataFrame:
+    """Add ``_disorder``: why an action's place is unclear, NULL if it is not."""
+    repeated = (
+        actions.where("seq IS NOT NULL").groupBy("seq").agg(F.count("*").alias("_times"))
+        .where("_times > 1")
+    )
+    placed = skew_join(actions, repeated, ["seq"], row_id, "left", hot_rows)
+    return placed.withColumn(
+        "_disorder",
+        F.when(F.col("seq").isNull(), "seq_missing").when(F.col("_times") > 1, "seq_repeated"),
+    ).drop("_times")
+
+
 def _split(checked: DataFrame, reason: Column, drop: list[str]) -> tuple[DataFrame, DataFrame]:
     checked = checked.withColumn("reject_reason", reason).drop(*drop)
     return (
@@ -55,9 +68,10 @@ def blank(c: Column) -> Column:
 
 
 def bulk_actions(creators: DataFrame, selected: Column, action: str, seq: int = 0) -> DataFrame:
-    """One approve / ignore action for every selected record."""
+    """One approve / ignore action for every selected record, with numbers from ``seq`` on."""
     return creators.where(selected).select(
-        F.lit(seq).cast("bigint").alias("seq"), F.col("id").alias("creator_id"),
+        (F.lit(seq) + F.monotonically_increasing_id()).alias("seq"),
+        F.col("id").alias("creator_id"),
         F.lit(action).alias("action"),
     )
 
@@ -66,16 +80,17 @@ def bulk_actions(creators: DataFrame, selected: Column, action: str, seq: int =
 
 
 def apply_review(
-    creators: DataFrame, actions: DataFrame, now: Column, run_id: str = "review",
+    creators: DataFrame, actions: DataFrame, now: Column, run_id: str,
     hot_rows: int = HOT_ROWS,
 ) -> ReviewResult:
     """``actions`` (seq, creator_id, action): the last action per record decides."""
-    checked = _with_existing(actions, creators, "creator_id", "_known", hot_rows)
+    ordered = _in_order(actions, "creator_id", hot_rows)
+    checked = _with_existing(ordered, creators, "creator_id", "_known", hot_rows)
     reason = F.when(
         ~F.coalesce(F.col("action").isin("approve", "ignore"), F.lit(False)),
-        "action must be approve or ignore",
-    ).when(F.col("_known").isNull(), "creator not found")
-    good, bad = _split(checked, reason, ["_known"])
+        "unknown_action",
+    ).when(F.col("_known").isNull(), "no_such_record")
+    good, bad = _split(checked, F.coalesce("_disorder", reason), ["_known", "_disorder"])
     state = F.when(F.col("action") == "approve", "approved").otherwise("ignored")
     last = good.groupBy(F.col("creator_id").alias("id")).agg(
         F.max_by(state, "seq").alias("_state")
@@ -89,7 +104,7 @@ def apply_review(
     )
     logs = log_rows(
         good.select(
-            "creator_id", F.col("seq").cast("int").alias("seq"),
+            "creator_id", "seq",
             F.concat(F.lit("review_"), state).alias("step"), F.lit("success").alias("status"),
             F.lit(None).cast("string").alias("detail"),
         ),
@@ -113,7 +128,7 @@ def _last_per_field(actions: DataFrame, key: str) -> DataFrame:
 
 def apply_overrides(
     creators: DataFrame, identity_cache: DataFrame, identity_cache_keys: DataFrame,
-    actions: DataFrame, now: Column, run_id: str = "override", hot_rows: int = HOT_ROWS,
+    actions: DataFrame, now: Column, run_id: str, hot_rows: int = HOT_ROWS,
 ) -> ReviewResult:
     """``actions`` (seq, creator_id, field, value, reason): a human answer wins.
 
@@ -121,16 +136,17 @@ def apply_overrides(
     never cached first gets an identity of its own. Each action leaves an audit
     row with the value it replaced.
     """
-    checked = _with_existing(actions, creators, "creator_id", "_known", hot_rows)
+    ordered = _in_order(actions, "creator_id", hot_rows)
+    checked = _with_existing(ordered, creators, "creator_id", "_known", hot_rows)
     reason = (
         F.when(
             ~F.coalesce(F.col("field").isin(list(OVERRIDABLE_FIELDS)), F.lit(False)),
-            "field cannot be overridden",
+            "field_not_editable",
         )
-        .when(blank(F.col("value")), "value must be a non-empty string")
-        .when(F.col("_known").isNull(), "creator not found")
+        .when(blank(F.col("value")), "value_blank")
+        .when(F.col("_known").isNull(), "no_such_record")
     )
-    good, bad = _split(checked, reason, ["_known"])
+    good, bad = _split(checked, F.coalesce("_disorder", reason), ["_known", "_disorder"])
     good = materialize(good, "override-actions")
 
     per_record = _last_per_field(good, "creator_id").join(
@@ -210,7 +226,7 @@ def apply_overrides(
     )
     logs = log_rows(
         history.select(
-            "creator_id", F.col("seq").cast("int").alias("seq"),
+            "creator_id", "seq",
             F.lit("manual_override").alias("step"), F.lit("success").alias("status"),
             detail.alias("detail"),
         ),
@@ -277,7 +293,7 @@ def _snapshot() -> Column:
 
 
 def merge_duplicates(
-    creators: DataFrame, pairs: DataFrame, now: Column, run_id: str = "merge",
+    creators: DataFrame, pairs: DataFrame, now: Column, run_id: str,
     hot_rows: int = HOT_ROWS,
 ) -> ReviewResult:
     """``pairs`` (seq, source_id, target_id): the source takes over the target's identity.
@@ -286,15 +302,18 @@ def merge_duplicates(
     is that of running them one by one; merging many records into one target is a
     single wave.
     """
-    checked = _with_existing(pairs, creators, "source_id", "_source", hot_rows)
+    checked = _in_order(pairs, "source_id", hot_rows)
+    checked = _with_existing(checked, creators, "source_id", "_source", hot_rows)
     checked = _with_existing(checked, creators, "target_id", "_target", hot_rows)
     reason = (
-        F.when(blank(F.col("target_id")), "target is required")
-        .when(F.col("source_id") == F.col("target_id"), "cannot merge a creator into itself")
-        .when(F.col("_source").isNull(), "creator not found")
-        .when(F.col("_target").isNull(), "target creator not found")
+        F.when(blank(F.col("target_id")), "target_missing")
+        .when(F.col("source_id") == F.col("target_id"), "target_is_source")
+        .when(F.col("_source").isNull(), "no_such_record")
+        .when(F.col("_target").isNull(), "no_such_target")
+    )
+    good, bad = _split(
+        checked, F.coalesce("_disorder", reason), ["_source", "_target", "_disorder"]
     )
-    good, bad = _split(checked, reason, ["_source", "_target"])
     todo = materialize(good.select("seq", "source_id", "target_id"), "merges")
     involved = todo.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
     original = conform(creators, CREATORS)
@@ -305,7 +324,7 @@ def merge_duplicates(
         ready, todo = _next_wave(todo, hot_rows)
         merged = materialize(_merge_wave(ready, state, hot_rows), "merged")
         wave_logs = merged.select(
-            F.col("id").alias("creator_id"), F.col("seq").cast("int").alias("seq"),
+            F.col("id").alias("creator_id"), "seq",
             F.lit("merged_duplicate").alias("step"), F.lit("success").alias("status"), "detail",
         )
         logs = wave_logs if logs is None else logs.unionByName(wave_logs)
@@ -317,7 +336,7 @@ def merge_duplicates(
             changed = materialize(changed, "changed")
     if logs is None:
         logs = state.limit(0).select(
-            F.col("id").alias("creator_id"), F.lit(0).alias("seq"), F.lit("").alias("step"),
+            F.col("id").alias("creator_id"), F.lit(0).cast("bigint").alias("seq"), F.lit("").alias("step"),
             F.lit("").alias("status"), F.lit("").alias("detail"),
         )
     updated = original.join(changed.select("id"), "id", "left_anti").unionByName(changed)
@@ -380,7 +399,7 @@ def _merge_wave(ready: DataFrame, state: DataFrame, hot_rows: int) -> DataFrame:
 
 def unmerge(
     creators: DataFrame, logs: DataFrame, requests: DataFrame, now: Column,
-    run_id: str = "unmerge", hot_rows: int = HOT_ROWS,
+    run_id: str, hot_rows: int = HOT_ROWS,
 ) -> ReviewResult:
     """``requests`` (seq, creator_id): undo the latest merge of each record.
 
@@ -401,19 +420,25 @@ def unmerge(
         )
     )
     state = current.join(merges, "creator_id", "left")
-    checked = skew_join(requests, state, ["creator_id"], "seq", "left", hot_rows)
-    first = requests.groupBy("creator_id").agg(F.min("seq").alias("_first_seq"))
+    ordered = _in_order(requests, "creator_id", hot_rows)
+    checked = skew_join(ordered, state, ["creator_id"], "seq", "left", hot_rows)
+    first = ordered.where("_disorder IS NULL").groupBy("creator_id").agg(
+        F.min("seq").alias("_first_seq")
+    )
     checked = skew_join(checked, first, ["creator_id"], "seq", "left", hot_rows)
     reason = (
-        F.when(F.col("_known").isNull(), "creator not found")
+        F.when(F.col("_known").isNull(), "no_such_record")
         .when(
             F.col("_duplicate_of").isNull() | (F.col("seq") > F.col("_first_seq")),
-            "creator is not marked as a duplicate",
+            "not_merged",
         )
-        .when(F.col("_log_id").isNull(), "no merge snapshot found")
-        .when(F.col("_snapshot").isNull(), "merge log has no snapshot to restore")
+        .when(F.col("_log_id").isNull(), "no_merge_on_record")
+        .when(F.col("_snapshot").isNull(), "merge_without_state")
+    )
+    good, bad = _split(
+        checked, F.coalesce("_disorder", reason),
+        ["_known", "_duplicate_of", "_first_seq", "_disorder"],
     )
-    good, bad = _split(checked, reason, ["_known", "_duplicate_of", "_first_seq"])
     restore = good.select(
         F.col("creator_id").alias("id"), F.col("seq").alias("_seq"), "_log_id", "_snapshot"
     )
@@ -430,7 +455,7 @@ def unmerge(
     restored["updated_at"] = F.when(hit, now).otherwise(F.col("updated_at"))
     new_logs = log_rows(
         good.select(
-            "creator_id", F.col("seq").cast("int").alias("seq"),
+            "creator_id", "seq",
             F.lit("unmerged_duplicate").alias("step"), F.lit("success").alias("status"),
             F.to_json(F.struct(F.col("_log_id").alias("restoredFrom"))).alias("detail"),
         ),

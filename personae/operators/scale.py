@@ -8,7 +8,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 from functools import reduce
@@ -16,6 +15,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from personae.schema import literal_table
 
@@ -26,23 +26,15 @@ HOT_ROWS = 1_000_000
 # No more than this many keys are treated as hot.
 HOT_KEYS = 1_000
 
-_local_dir: str | None = None
-
-
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    Where that is unset, a folder in the warehouse, which executors share as well.
     """
-    global _local_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="personae-")
-    return _local_dir
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -87,6 +79,13 @@ def skew_join(
     measure its keys: join narrow or stored tables.
     """
     keys = list(on)
+    # the hashes below depend on the type; a value that only the wider one holds has no match
+    for k in keys:
+        mine, other = fact.schema[k].dataType, dim.schema[k].dataType
+        if mine != other:
+            if not (isinstance(mine, IntegralType) and isinstance(other, IntegralType)):
+                raise TypeError(f"key {k} is {mine.simpleString()} and {other.simpleString()}")
+            dim = dim.withColumn(k, F.col(k).try_cast(mine))
     hot = hot_keys(fact, keys, hot_rows)
     spread = F.xxhash64(*([row_id] if isinstance(row_id, str) else row_id))
     none = F.lit(0).cast("bigint")

@@ -337,7 +337,9 @@ def _error_logs(bad: DataFrame, run_id: str, now: Column) -> DataFrame:
 
 def _snapshots(final: DataFrame, run_id: str, now: Column) -> DataFrame:
     return conform(
-        final.where("raw_snapshot IS NOT NULL AND fetched_via IS NOT NULL").select(
+        # a record answered by the cache has not looked at its page
+        final.where("raw_snapshot IS NOT NULL AND fetched_via IS NOT NULL")
+        .where(F.coalesce(F.col("cache_status"), F.lit("")) != "hit").select(
             F.sha2(F.concat_ws("|", F.lit(run_id), "id", F.lit("snapshot")), 256).alias("id"),
             F.col("id").alias("creator_id"), F.col("scrape_platform").alias("platform"),
             "fetched_via", "raw_snapshot", now.alias("fetched_at"),

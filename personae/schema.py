@@ -60,7 +60,7 @@ MANUAL_OVERRIDES = _table(
     "reason string, created_by string, created_at timestamp"
 )
 PROCESSING_LOGS = _table(
-    "id string, creator_id string, job_id string, seq int, step string, "
+    "id string, creator_id string, job_id string, seq bigint, step string, "
     "status string, detail string, created_at timestamp"
 )
 PROFILE_SNAPSHOTS = _table(

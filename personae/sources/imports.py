@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -28,8 +29,8 @@ def route_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     typed = files.withColumn("file_type", file_type(F.col("file_name")))
     reason = F.when(
-        F.col("file_type").isNull(), "unsupported file type, expected .csv or .xlsx"
-    ).when(F.col("file_type") == "xlsx", "convert the workbook to csv first")
+        F.col("file_type").isNull(), "file_type_unknown"
+    ).when(F.col("file_type") == "xlsx", "workbook")
     routed = typed.withColumn("reject_reason", reason)
     return (
         routed.where("reject_reason IS NULL").drop("reject_reason"),
@@ -38,36 +39,97 @@ def route_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def unique_headers(names: Sequence[str | None]) -> list[str]:
-    """Header cells as column names; a repeated name gets a running suffix."""
-    seen: dict[str, int] = {}
+    """Header cells as names of their own; a taken name gets the next free suffix."""
+    taken: set[str] = set()
     out = []
     for raw in names:
-        name = (raw or "").removeprefix("﻿")
-        count = seen.get(name, 0)
-        seen[name] = count + 1
-        out.append(f"{name}_{count}" if count else name)
+        name = (raw or "").removeprefix("\ufeff")
+        free, n = name, 0
+        while free in taken:
+            n += 1
+            free = f"{name}_{n}"
+        taken.add(free)
+        out.append(free)
     return out
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """All columns as strings, blank lines skipped, '' for an empty cell.
+DELIMITERS = [",", "\t", "|", ";"]
+SURPLUS = "__parsed_extra"
 
-    ``multi_line`` admits line breaks inside quotes but ties a file to one task;
-    turn it off for large files known to have none, and they are split.
+
+def delimiter_of(header: str) -> str:
+    """The delimiter that occurs most often outside quotes in a header line."""
+    plain = re.sub('"(?:[^"]|"")*"', "", header)
+    return max(DELIMITERS, key=plain.count)
+
+
+@dataclass
+class Sheet:
+    """Rows as arrays: ``cells`` by position of the header, and what lies beyond it.
+
+    Also the place of each row: ``file``, ``block`` and ``pos`` within the block.
+    """
+
+    headers: list[str]
+    rows: DataFrame | None
+
+    def named(self) -> DataFrame:
+        """A column for each header; needs headers that differ in more than case."""
+        return self.rows.select(
+            *[F.col("cells")[i].alias(h) for i, h in enumerate(self.headers)]
+        )
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> Sheet:
+    """All cells as strings, blank lines skipped, '' for an empty or missing cell.
+
+    The delimiter is taken from the header line. ``multi_line`` admits line breaks
+    inside quotes but ties a file to one task; files without them can turn it off
+    to be split, others must not.
     """
-    options = {"multiLine": multi_line, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+    first = spark.read.option("wholetext", False).text(path).first()
+    if first is None:
+        return Sheet([], None)
+    sep = delimiter_of(first.value)
+    options = {
+        "multiLine": multi_line, "quote": '"', "escape": '"', "encoding": "UTF-8", "sep": sep,
+    }
     head = spark.read.options(**options, header=False).csv(path).first()
-    if head is None:
-        return spark.range(0).select()
-    headers = unique_headers(list(head))
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in headers])
-    rows = spark.read.options(**options, header=True, enforceSchema=True).schema(schema).csv(path)
-    return rows.select(
-        *[F.coalesce(F.col(f"`{h}`"), F.lit("")).alias(h) for h in headers],
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_pos"),
+    headers = unique_headers(list(head or []))
+    # by position: header names may differ by case only, or begin with an underscore
+    names = [f"c{i}" for i in range(len(headers))]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "raw"]])
+    rows = (
+        spark.read.options(**options, header=True, enforceSchema=True, mode="PERMISSIVE",
+                           columnNameOfCorruptRecord="raw")
+        .schema(schema).csv(path)
+    )
+    quoted = re.escape(sep)
+    cells = F.regexp_extract_all(
+        F.regexp_replace("raw", "[\r\n]+$", ""),
+        F.lit(f'(?s)(?:^|{quoted})("(?:[^"]|"")*"|[^{quoted}]*)'), F.lit(1),
+    )
+    beyond = F.transform(
+        F.slice(cells, F.lit(len(names) + 1), F.greatest(F.size(cells), F.lit(1))),
+        lambda c: F.replace(F.regexp_replace(c, '(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"')),
+    )
+    return Sheet(headers, rows.select(
+        F.array(*[F.coalesce(n, F.lit("")) for n in names]).alias("cells"),
+        F.when(F.col("raw").isNotNull() & (F.size(cells) > len(names)), beyond).alias("surplus"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("pos"),
+    ))
+
+
+def cells_payload(headers: Sequence[str]) -> Column:
+    """``cells`` and ``surplus`` of a sheet as one JSON object, in the order of the file."""
+    named = F.to_json(F.struct(*[F.col("cells")[i].alias(h) for i, h in enumerate(headers)]))
+    extra = F.concat(
+        F.substring(named, F.lit(1), F.length(named) - 1), F.lit(f',"{SURPLUS}":'),
+        F.to_json("surplus"), F.lit("}"),
     )
+    return F.when(F.col("surplus").isNull(), named).otherwise(extra)
 
 
 def payload(columns: Sequence[str]) -> Column:
@@ -93,18 +155,18 @@ def ingest_csv(
     Rows are numbered in file order from their position inside each split, so no
     global sort is needed; the scan is stored once because the numbers depend on it.
     """
-    raw = read_csv(spark, path, multi_line)
-    headers = [c for c in raw.columns if not c.startswith("_")] if raw.columns else []
-    if not headers:
+    sheet = read_csv(spark, path, multi_line)
+    headers = sheet.headers
+    if sheet.rows is None:
         creators = empty(spark, CREATORS)
     else:
-        placed = raw.select(
-            F.lit(import_id).alias("import_id"), payload(headers).alias("raw_payload"),
-            "_file", "_block", "_pos",
+        placed = sheet.rows.select(
+            F.lit(import_id).alias("import_id"), cells_payload(headers).alias("raw_payload"),
+            "file", "block", "pos",
         )
         stored = materialize(placed, "ingest")
         creators = new_creators(
-            index_placed(stored, ["import_id"], ["_file", "_block"], "_pos", "row_index"), now
+            index_placed(stored, ["import_id"], ["file", "block"], "pos", "row_index"), now
         )
     history = creators.groupBy().agg(F.count("*").alias("row_count")).select(
         F.lit(import_id).alias("id"), F.lit(file_name or path.rsplit("/", 1)[-1])

@@ -17,7 +17,9 @@ def usable_pages(
     A short static page is a script shell or a consent wall; its URL falls back
     to the browser table, whatever the length there.
     """
-    good = static.where(utf16_length(F.col("html")) >= min_length).select(
+    # characters first: only pages just below the limit need a look at their encoding
+    long = (F.length("html") >= min_length) | (utf16_length(F.col("html")) >= min_length)
+    good = static.where(long).select(
         "url", "html", F.lit("static").alias("fetched_via")
     )
     if browser is None:

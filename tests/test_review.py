@@ -33,19 +33,19 @@ def test_last_review_action_wins(spark, now):
     actions = spark.createDataFrame(
         [(1, "a", "approve"), (2, "a", "ignore"), (3, "b", "approve"), (4, "b", "delete"),
          (5, "zz", "approve")], "seq bigint, creator_id string, action string")
-    got = V.apply_review(creators, actions, now, hot_rows=1)
+    got = V.apply_review(creators, actions, now, "r", hot_rows=1)
     assert {i: r.review_status for i, r in by_id(got.creators).items()} == {
         "a": "ignored", "b": "approved", "c": "pending"}
     assert sorted(r.step for r in got.logs.collect()) == [
         "review_approved", "review_approved", "review_ignored"]
     assert {r.seq: r.reject_reason for r in got.rejects.collect()} == {
-        4: "action must be approve or ignore", 5: "creator not found"}
+        4: "unknown_action", 5: "no_such_record"}
 
 
 def test_bulk_selection(spark, now):
     creators = creators_of(spark, [{"id": "a"}, {"id": "b", "needs_review": False}, {"id": "c"}])
     chosen = V.bulk_actions(creators, F.col("needs_review"), "approve")
-    got = by_id(V.apply_review(creators, chosen, now).creators)
+    got = by_id(V.apply_review(creators, chosen, now, "r").creators)
     assert {i for i, r in got.items() if r.review_status == "approved"} == {"a", "c"}
 
 
@@ -71,7 +71,7 @@ def test_overrides(spark, now):
          (5, "c", "firstName", "Three", None), (6, "a", "age", "5", None),
          (7, "a", "email", "  ", None), (8, "nobody", "email", "x", None)],
         "seq bigint, creator_id string, field string, value string, reason string")
-    got = V.apply_overrides(creators, cache, keys, actions, now, hot_rows=2)
+    got = V.apply_overrides(creators, cache, keys, actions, now, "r", hot_rows=2)
     rows = by_id(got.creators)
     a = rows["a"]
     assert (a.resolved_first_name, a.resolved_email, a.confidence_score, a.confidence_source) == (
@@ -127,7 +127,7 @@ def test_merge_waves_equal_one_by_one(spark, now, seed):
     got = V.merge_duplicates(
         creators_of(spark, rows),
         spark.createDataFrame(pairs, "seq bigint, source_id string, target_id string"), now,
-        hot_rows=3)
+        "r", hot_rows=3)
     for i, r in by_id(got.creators).items():
         for c in [*COPIED, "identity_cache_id", "duplicate_of_creator_id"]:
             assert r[c] == expected[i][c], (i, c)
@@ -146,19 +146,19 @@ def test_unmerge_restores_the_record(spark, now):
         {"id": "c", "duplicate_of_creator_id": "b"},
     ])
     pairs = spark.createDataFrame([(1, "a", "b")], "seq bigint, source_id string, target_id string")
-    merged = V.merge_duplicates(creators, pairs, now)
+    merged = V.merge_duplicates(creators, pairs, now, "r")
     a = by_id(merged.creators)["a"]
     assert (a.resolved_first_name, a.review_status, a.duplicate_of_creator_id) == ("B", "approved", "b")
     asked = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c"), (5, "zz")],
                                   "seq bigint, creator_id string")
-    undone = V.unmerge(merged.creators, merged.logs, asked, now)
+    undone = V.unmerge(merged.creators, merged.logs, asked, now, "u")
     before, after = by_id(creators)["a"], by_id(undone.creators)["a"]
     changed = {c for c in creators.columns if before[c] != after[c]}
     # the link of the target stays, as links are never cleared
     assert changed == {"identity_cache_id", "updated_at"} and after.identity_cache_id == "idn"
     assert {r.seq: r.reject_reason for r in undone.rejects.collect()} == {
-        2: "creator is not marked as a duplicate", 3: "creator is not marked as a duplicate",
-        4: "no merge snapshot found", 5: "creator not found"}
+        2: "not_merged", 3: "not_merged",
+        4: "no_merge_on_record", 5: "no_such_record"}
     log = undone.logs.first()
     assert json.loads(log.detail)["restoredFrom"] == merged.logs.first().id
 
@@ -268,6 +268,6 @@ def test_empty_cache_override(spark, now):
     actions = spark.createDataFrame([(1, "a", "firstName", "New", None)],
                                     "seq bigint, creator_id string, field string, value string, reason string")
     got = V.apply_overrides(creators, empty(spark, IDENTITY_CACHE), empty(spark, IDENTITY_CACHE_KEYS),
-                            actions, now)
+                            actions, now, "r")
     assert got.identity_cache.first().first_name == "New"
     assert got.identity_cache_keys.count() == 0     # nothing to find it by

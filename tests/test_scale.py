@@ -17,16 +17,15 @@ def test_scratch_dir_is_the_clusters(spark):
     assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
-def test_scratch_dir_refuses_a_cluster_without_one():
+def test_scratch_dir_without_a_setting_is_in_the_warehouse():
     class Conf:
         def get(self, key, default=None):
-            return {"spark.master": "yarn"}.get(key, default)
+            return {"spark.sql.warehouse.dir": "hdfs://host/warehouse/"}.get(key, default)
 
     class Session:
         conf = Conf()
 
-    with pytest.raises(ValueError):
-        scratch_dir(Session())
+    assert scratch_dir(Session()) == "hdfs://host/warehouse/_scratch"
 
 
 def test_materialize_and_size_check(spark):

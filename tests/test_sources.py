@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,37 @@ def test_ingest_numbers_part_files_in_order(spark, now, tmp_path):
     assert all(r.row_index == r.n for r in pairs) and len(pairs) == 2000
 
 
+def payloads(spark, now, tmp_path, text):
+    (tmp_path / "f.csv").write_text(text)
+    got = S.ingest_csv(spark, str(tmp_path / "f.csv"), "imp", now)
+    rows = got.creators.orderBy("row_index").collect()
+    return got.headers, [json.loads(r.raw_payload) for r in rows]
+
+
+@pytest.mark.parametrize("sep", [",", ";", "\t", "|"])
+def test_delimiters(spark, now, tmp_path, sep):
+    text = f'name{sep}"e{sep}mail"\nJane{sep}j@x\n"Doe{sep} Jo"{sep}"a ""b"" c"\n'
+    assert payloads(spark, now, tmp_path, text) == (
+        ["name", f"e{sep}mail"],
+        [{"name": "Jane", f"e{sep}mail": "j@x"}, {"name": f"Doe{sep} Jo", f"e{sep}mail": 'a "b" c'}],
+    )
+
+
+def test_headers_by_position(spark, now, tmp_path):
+    headers, rows = payloads(spark, now, tmp_path, "_id,Email,email,a,a,a_1,\n1,2,3,4,5,6,7\n")
+    assert headers == ["_id", "Email", "email", "a", "a_1", "a_1_1", ""]
+    assert rows == [dict(zip(headers, "1234567", strict=True))]
+
+
+def test_rows_that_are_longer_or_shorter_than_the_header(spark, now, tmp_path):
+    text = 'name,email\nJane,a@x,zzz,"q, ""r"""\nJo\n"two\nlines",b@x,\n  ,\n'
+    _, rows = payloads(spark, now, tmp_path, text)
+    assert rows == [
+        {"name": "Jane", "email": "a@x", S.SURPLUS: ["zzz", 'q, "r"']}, {"name": "Jo", "email": ""},
+        {"name": "two\nlines", "email": "b@x", S.SURPLUS: [""]}, {"name": "  ", "email": ""},
+    ]
+
+
 def test_empty_file(spark, now, tmp_path):
     (tmp_path / "e.csv").write_text("")
     got = S.ingest_csv(spark, str(tmp_path / "e.csv"), "imp", now)
