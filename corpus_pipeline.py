@@ -30,10 +30,9 @@ SURE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Op 6. Null, empty and letterless texts are undetermined and go."""
     model = langid.train(table(spark, sf_dir, "documents"), where=remainder("doc_id", 4) != 2)
-    named = [F.struct(*COLUMNS).alias("doc")]
-    found = langid.identify(docs, model, keep=named)
+    found = langid.identify(docs.select(*COLUMNS), model)
     kept = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= SURE))
-    return kept.select("doc.*")
+    return kept.select(*COLUMNS)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +41,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
         where=remainder("doc_id", 5) != 0,
     )
-    found = quality.classify(docs, model, keep=[F.struct(*COLUMNS).alias("doc")])
-    return found.where("predicted = 1").select("doc.*")
+    found = quality.classify(docs.select(*COLUMNS), model)
+    return found.where("predicted = 1").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

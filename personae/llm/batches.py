@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # Characters that one step of a numpy kernel works on, so that its temporary
 # arrays stay at some tens of megabytes whatever the rows of a batch hold.
-CHARS_PER_STEP = 1_000_000
+CHARS_PER_STEP = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,29 @@ def steps(texts: list[str | None], size: int = CHARS_PER_STEP) -> Iterator[tuple
         yield start, len(texts)
 
 
+def judged(
+    df: DataFrame, text_col: str, fn: Callable[[list[str | None]], dict[str, pa.Array]],
+    schema: str,
+) -> DataFrame:
+    """``df`` with the columns of ``schema`` that ``fn`` makes of its texts.
+
+    Only the texts travel to Python, and only the new columns come back. Columns of ``df``
+    with one of the new names are replaced.
+    """
+    names = [part.split()[0] for part in _fields(schema)]
+
+    def run(texts: pa.Array) -> pa.Array:
+        columns = fn(texts.to_pylist())
+        return pa.StructArray.from_arrays([pa.array(columns[n]) for n in names], names)
+
+    # not deterministic as far as Spark may know: it must not be run once more in a filter
+    udf = F.arrow_udf(run, f"struct<{schema}>").asNondeterministic()
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return df.select(*kept, udf(F.col(text_col)).alias("_judged")).select(
+        *kept, *[F.col(f"_judged.{n}").alias(n) for n in names]
+    )
+
+
 def map_rows(
     df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str
 ) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from personae.llm.batches import CHARS_PER_STEP, map_rows, steps
+from personae.llm.batches import CHARS_PER_STEP, judged, steps
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 14
@@ -167,21 +167,12 @@ def train(
     return Model(langs, prior, np.log(grams / grams.sum(axis=0)).astype(np.float32))
 
 
-def identify(
-    df: DataFrame, model: Model, text_col: str = "text",
-    keep: list[str | Column] | None = None,
-) -> DataFrame:
-    """``keep`` columns of each row with ``lang_pred`` and ``score``."""
-    kept = df.select(*(keep or []), F.col(text_col).alias("_text"))
-    names = kept.columns[:-1]
+def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``df`` with ``lang_pred`` and ``score``."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1])
 
-    def run(batch):
-        texts = batch.column(len(names)).to_pylist()
+    def run(texts):
         found, sure = shared.value.score(texts)
-        yield {n: batch.column(i) for i, n in enumerate(names)} | {
-            "lang_pred": found, "score": sure,
-        }
+        return {"lang_pred": found, "score": sure}
 
-    return map_rows(kept, run, f"{schema}lang_pred string, score double")
+    return judged(df, text_col, run, "lang_pred string, score double")

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from personae.llm.batches import CHARS_PER_STEP, map_rows, steps
+from personae.llm.batches import CHARS_PER_STEP, judged, map_rows, steps
 
 PASSAGE = 512
 SAMPLE = 6_000
@@ -207,19 +207,13 @@ def train(
 
 
 def classify(
-    docs: DataFrame, model: Model, text_col: str = "text",
-    keep: list[str | Column] | None = None, threshold: float = THRESHOLD,
+    docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
-    """``keep`` columns of each row with ``score`` and ``predicted``."""
-    kept = docs.select(*(keep or []), F.col(text_col).alias("_text"))
-    names = kept.columns[:-1]
+    """``docs`` with ``score`` and ``predicted``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1])
 
-    def run(batch):
-        score = shared.value.score(batch.column(len(names)).to_pylist())
-        yield {n: batch.column(i) for i, n in enumerate(names)} | {
-            "score": score, "predicted": (score >= threshold).astype(np.int32),
-        }
+    def run(texts):
+        score = shared.value.score(texts)
+        return {"score": score, "predicted": (score >= threshold).astype(np.int32)}
 
-    return map_rows(kept, run, f"{schema}score double, predicted int")
+    return judged(docs, text_col, run, "score double, predicted int")

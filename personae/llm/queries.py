@@ -42,13 +42,15 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), remainder("doc_id", 5) == 0
     model = quality.train(docs, table(spark, sf_dir, "labels"), where=~held_out)
-    return quality.classify(docs, model, keep=["doc_id", held_out.alias("held_out")])
+    rows = docs.select("doc_id", "text", held_out.alias("held_out"))
+    return quality.classify(rows, model).drop("text")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), remainder("doc_id", 4) == 2
     model = langid.train(docs, where=~held_out)
-    return langid.identify(docs, model, keep=["doc_id", held_out.alias("held_out")])
+    rows = docs.select("doc_id", "text", held_out.alias("held_out"))
+    return langid.identify(rows, model).drop("text")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

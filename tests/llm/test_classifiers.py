@@ -19,7 +19,7 @@ SCHEMA = "doc_id long, text string, lang string, score string"
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(docs, where=remainder("doc_id", 4) != 2)
-    rows = langid.identify(docs, model, keep=["doc_id", "lang"]).collect()
+    rows = langid.identify(docs, model).collect()
     held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
     assert len(held) > 200 and np.mean([r.lang == r.lang_pred for r in held]) > 0.97
     assert all(0 <= r.score <= 1 for r in rows)
@@ -56,12 +56,12 @@ def test_language_equals_plain_naive_bayes(spark):
 def test_language_of_odd_rows(spark):
     df = spark.createDataFrame(ODD, SCHEMA)
     model = langid.train(df)
-    rows = langid.identify(df, model, keep=["doc_id"]).collect()
+    rows = langid.identify(df, model).collect()
     assert [r.lang_pred for r in rows] == ["und", "und", "und", "en", "en", "de", "de"]
     assert [r.score for r in rows[:3]] == [0, 0, 0]
     nothing = langid.train(df.limit(0))
-    assert {r.lang_pred for r in langid.identify(df, nothing, keep=["doc_id"]).collect()} == {"und"}
-    assert langid.identify(df.limit(0), model, keep=["doc_id"]).count() == 0
+    assert {r.lang_pred for r in langid.identify(df, nothing).collect()} == {"und"}
+    assert langid.identify(df.limit(0), model).count() == 0
 
 
 def test_language_of_a_text_longer_than_a_step(monkeypatch):
@@ -74,7 +74,7 @@ def test_language_of_a_text_longer_than_a_step(monkeypatch):
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     model = quality.train(docs, labels, where=remainder("doc_id", 5) != 0)
-    got = {r.doc_id: r for r in quality.classify(docs, model, keep=["doc_id"]).collect()}
+    got = {r.doc_id: r for r in quality.classify(docs, model).collect()}
     assert len(got) == docs.count()
     held = [
         (r["quality"], got[r["doc_id"]])
@@ -91,14 +91,14 @@ def test_quality_of_odd_rows(spark):
         [(2, 1), (3, 0), (5, 1), (6, 0), (6, 1), (None, 1), (7, None)], "doc_id long, quality int"
     )
     model = quality.train(df, labels)
-    rows = quality.classify(df, model, keep=["doc_id"]).collect()
+    rows = quality.classify(df, model).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
     assert rows[0].score == rows[1].score and rows[5].score == rows[6].score
     one_class = quality.train(df, labels.where("quality = 1"))
     assert {r.score for r in quality.classify(df, one_class).collect()} == {1.0}
     nothing = quality.train(df, labels.limit(0))
     assert {r.score for r in quality.classify(df, nothing).collect()} == {0.5}
-    assert quality.classify(df.limit(0), model, keep=["doc_id"]).count() == 0
+    assert quality.classify(df.limit(0), model).count() == 0
 
 
 def test_attention_finds_the_passage_that_decides():
