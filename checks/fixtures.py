@@ -129,6 +129,9 @@ SELECT k AS seq, import_id, k AS row_index,
 FROM (SELECT import_id, row_index AS k FROM {raw_import}) AS rows_
 """
 
+# a star, a heart with its selector, a crown, a thumb with a skin tone
+PICTOGRAPHS = ["\U0001F31F", "\u2764\uFE0F", "\U0001F451", "\U0001F44D\U0001F3FD"]
+
 PROCESSING_LOGS = """
 SELECT CAST(event_id AS STRING) AS id, CAST(user_id AS STRING) AS creator_id,
        CAST(event_id AS BIGINT) + 3000000000 AS seq, event_type AS step,

@@ -27,7 +27,7 @@ def q(text: str) -> str:
 
 
 def sql(ctes: list[str], select: str) -> str:
-    return "WITH " + ",\n".join(dict.fromkeys(ctes)) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(dict.fromkeys(ctes)) + "\n" + select
 
 
 def cte(name: str, text: str) -> str:
@@ -566,6 +566,34 @@ SELECT s.id, s.platform AS scrape_platform,
   s.og_title AS snapshot_title
 FROM scraped s LEFT JOIN c_page c USING (id)""")
 
+# --- text beyond ASCII -----------------------------------------------------------------------
+
+ORACLES["folded_text"] = """
+SELECT doc_id, md5(strip_accents(text)) AS folded, md5(strip_accents(text)) AS folded_wide
+FROM documents"""
+SPACES = ", ".join(q(" " * len(p)) for p in X.PICTOGRAPHS)
+ORACLES["emoji_to_space"] = f"""
+SELECT doc_id, md5(replace(text, '.', '.' || [{SPACES}][doc_id % {len(X.PICTOGRAPHS)} + 1])) AS plain
+FROM documents"""
+
+
+def capitals(joint: str) -> str:
+    words = f"string_split(replace(p_name, ' ', {joint}), {joint})"
+    return f"array_to_string(list_transform({words}, lambda w: upper(w[1:1]) || w[2:]), {joint})"
+
+
+JOINTS = {0: "' '", 1: "chr(39)", 2: "'-'"}
+CAPITALS = "CASE p_partkey % 3 " + " ".join(
+    f"WHEN {k} THEN {capitals(j)}" for k, j in JOINTS.items()) + " END"
+ORACLES["title_cased"] = f"""
+SELECT p_partkey, {CAPITALS} AS lower, {CAPITALS} AS upper,
+  'Mc' || replace(p_name, ' ', [' ', chr(39), '-'][p_partkey % 3 + 1]) AS mixed FROM part"""
+ORACLES["snake_cased"] = """
+SELECT p_partkey, 'raw_' || replace(lower(p_name), ' ', '_') AS snake FROM part"""
+ORACLES["event_dates"] = """
+SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS utc,
+  strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS tokyo FROM events"""
+
 # --- scoring ---------------------------------------------------------------------------------
 
 SCORED = NORM + scoring("norm", True)
@@ -592,6 +620,89 @@ FROM batch_keys b JOIN cache_keys USING (key_type, key_value)
 LEFT JOIN cache c ON c.id = identity_cache_id""")
 ORACLES["enrich_snapshot"] = sql(run(False, False), ENRICHED)
 ORACLES["enrich_stream"] = ORACLES["enrich_snapshot"]
+
+
+def in_order() -> list[str]:
+    """CTEs of a run in which each record sees what all earlier ones wrote.
+
+    ``state`` is the definition: one step for each record, in order. It holds the owner of
+    every key and the outcome of every record that shares a key with a record that may write
+    it; nothing can depend on the others, whose outcome follows from their own evidence.
+    """
+    keys = "list(key_type || '|' || key_value) AS keys"
+    writers = "(SELECT * FROM fresh WHERE processing_status = 'enriched')"
+    return NORM + NO_CACHE + scoring("norm", True) + [
+        cte("read_keys", key_rows("norm", "id", "n_email", "n_username", "n_profile_url")),
+        cte("kept_keys", key_rows(writers, "id", "email", "social_handle", "profile_url")),
+        cte("touching", """
+  SELECT key_type, key_value, id, bool_or(w) AS w FROM (
+    SELECT id, key_type, key_value, false AS w FROM read_keys
+    UNION ALL SELECT id, key_type, key_value, true FROM kept_keys) AS both_kinds
+  GROUP BY ALL"""),
+        cte("contested", """
+  SELECT DISTINCT t.id FROM touching t JOIN (
+    SELECT key_type, key_value FROM touching GROUP BY ALL
+    HAVING count(*) > 1 AND bool_or(w)) AS shared USING (key_type, key_value)"""),
+        cte("all_evidence", f"""
+  SELECT f.id, f.import_id, f.row_index, coalesce(r.keys, []) AS r, coalesce(w.keys, []) AS w,
+    c.id IS NOT NULL AS contested
+  FROM fresh f
+  LEFT JOIN (SELECT id, {keys} FROM read_keys GROUP BY id) AS r USING (id)
+  LEFT JOIN (SELECT id, {keys} FROM kept_keys GROUP BY id) AS w USING (id)
+  LEFT JOIN contested c USING (id)"""),
+        cte("evidence", """
+  SELECT row_number() OVER (ORDER BY import_id, row_index) AS n, id, r, w
+  FROM all_evidence WHERE contested"""),
+        cte("state(kind, name, owner, status, n) USING KEY (kind, name)", """
+  SELECT '', '', NULL::VARCHAR, NULL::VARCHAR, 0::BIGINT
+  UNION
+  (WITH cur AS (SELECT e.* FROM state s JOIN evidence e ON e.n = s.n + 1 WHERE s.kind = ''),
+    looked AS (SELECT list_sort(list(DISTINCT o.owner)) AS ids
+      FROM (SELECT unnest(r) AS k FROM cur) AS x
+      JOIN recurring.state o ON o.kind = 'key' AND o.name = x.k),
+    owned AS (SELECT x.k, o.owner FROM (SELECT unnest(w) AS k FROM cur) AS x
+      LEFT JOIN recurring.state o ON o.kind = 'key' AND o.name = x.k),
+    verdict AS (SELECT cur.id, cur.n, coalesce(len(ids), 0) AS found, ids[1] AS hit,
+        CASE WHEN coalesce(len(ids), 0) = 0 AND len(cur.w) > 0 THEN
+          CASE (SELECT count(DISTINCT owner) FROM owned)
+            WHEN 0 THEN sha256('identity|' || cur.id)
+            WHEN 1 THEN (SELECT min(owner) FROM owned) END END AS wrote
+      FROM cur, looked)
+    SELECT '', '', NULL, NULL, n FROM verdict
+    UNION ALL SELECT 'id', id, CASE found WHEN 0 THEN wrote WHEN 1 THEN hit END,
+      CASE found WHEN 0 THEN 'miss' WHEN 1 THEN 'hit' ELSE 'conflict' END, n FROM verdict
+    UNION ALL SELECT 'key', k, wrote, NULL, n FROM verdict, owned
+      WHERE wrote IS NOT NULL AND owner IS NULL)"""),
+        cte("outcome", """
+  SELECT name AS id, status, owner FROM state WHERE kind = 'id'
+  UNION ALL SELECT id, 'miss', CASE WHEN len(w) > 0 THEN sha256('identity|' || id) END
+  FROM all_evidence WHERE NOT contested"""),
+        cte("final", """
+  SELECT f.id, o.status AS cache_status, o.owner AS identity_cache_id, f.first_name, f.last_name,
+    f.display_name, f.platform, f.profile_url, f.email, f.social_handle, f.confidence_score,
+    f.confidence_source,
+    CASE WHEN o.status = 'conflict' AND processing_status <> 'failed' THEN 'needs_review'
+      ELSE processing_status END AS processing_status,
+    f.needs_review OR (o.status = 'conflict' AND processing_status <> 'failed') AS needs_review
+  FROM fresh f JOIN outcome o USING (id) WHERE o.status <> 'hit'
+  UNION ALL
+  SELECT o.id, 'hit', o.owner, c.first_name, c.last_name, c.display_name, c.platform,
+    c.profile_url, c.email, c.social_handle, c.confidence_score, c.confidence_source,
+    'cache_hit', false
+  FROM outcome o JOIN fresh c ON o.owner = sha256('identity|' || c.id) WHERE o.status = 'hit'"""),
+    ]
+
+
+IN_ORDER = in_order()
+ORACLES["enrich_sequential"] = sql(IN_ORDER, ENRICHED)
+ORACLES["sequential_snapshots"] = sql(IN_ORDER, """
+SELECT s.id AS creator_id, s.platform, s.fetched_via, s.og_title, s.bio
+FROM scraped s JOIN final f USING (id) WHERE s.has_page AND f.cache_status <> 'hit'""")
+ORACLES["sequential_logs"] = sql(IN_ORDER, """
+SELECT cache_status, CASE WHEN cache_status = 'hit' THEN 3 WHEN n_url THEN 9 ELSE 8 END AS entries,
+  count(*) AS records
+FROM (SELECT f.cache_status, r.n_profile_url IS NOT NULL AS n_url
+      FROM final f JOIN norm r USING (id)) AS counted GROUP BY ALL""")
 ORACLES["enrich_with_cache"] = sql(LATER, ENRICHED)
 ORACLES["cache_conflict"] = sql(LATER, """
 SELECT id, processing_status, CAST(needs_review AS BIGINT) AS needs_review
@@ -779,6 +890,15 @@ FROM res LEFT JOIN (
     count(*) FILTER (WHERE action NOT IN ('approve', 'ignore')) AS bad
   FROM sent GROUP BY id) AS per_record USING (id)""")
 
+ORACLES["bulk_review"] = sql(RESOLVED + ACTIONS, """
+SELECT res.id, CASE WHEN res.needs_review THEN 'approved' ELSE res.review_status END AS review_status,
+  CAST(res.needs_review AS BIGINT) AS logs, CAST(res.needs_review AS BIGINT) AS log_ids,
+  a.reject_reason
+FROM res LEFT JOIN (
+  SELECT CAST(row_index AS VARCHAR) AS id,
+    CASE WHEN seq % 2 = 0 THEN 'seq_repeated' ELSE 'seq_missing' END AS reject_reason
+  FROM actions WHERE action = 'ignore') AS a USING (id)""")
+
 FIELD_CASES = " ".join(
     f"WHEN '{name}' THEN resolved_{column}" for name, column in OVERRIDABLE_FIELDS.items()
 )

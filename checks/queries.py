@@ -363,6 +363,63 @@ def page_candidates(spark, sf_dir):
     )
 
 
+# --- text beyond ASCII --------------------------------------------------------------------
+
+
+@query
+def folded_text(spark, sf_dir):
+    """Accents and full-width letters of whole documents, folded."""
+    docs = X.read(spark, sf_dir, "documents")
+    wide = F.translate("text", "aeZ", "ａｅＺ")
+    return docs.select(
+        "doc_id", F.md5(T.fold_unicode(F.col("text"))).alias("folded"),
+        F.md5(T.fold_unicode(wide)).alias("folded_wide"),
+    )
+
+
+@query
+def emoji_to_space(spark, sf_dir):
+    """Pictographs after every full stop of whole documents."""
+    docs = X.read(spark, sf_dir, "documents")
+    signs = F.array(*[F.lit(c) for c in X.PICTOGRAPHS])
+    sign = F.element_at(signs, (F.col("doc_id") % len(X.PICTOGRAPHS) + 1).cast("int"))
+    signed = F.replace("text", F.lit("."), F.concat(F.lit("."), sign))
+    return docs.select("doc_id", F.md5(T.strip_emoji(signed)).alias("plain"))
+
+
+@query
+def title_cased(spark, sf_dir):
+    """Names of parts, in one case, with blanks, apostrophes or hyphens."""
+    part = X.read(spark, sf_dir, "part")
+    joint = F.element_at(
+        F.array(F.lit(" "), F.lit("'"), F.lit("-")), (F.col("p_partkey") % 3 + 1).cast("int")
+    )
+    name = F.replace("p_name", F.lit(" "), joint)
+    return part.select(
+        "p_partkey", T.title_case_if_shouty(name).alias("lower"),
+        T.title_case_if_shouty(F.upper(name)).alias("upper"),
+        T.title_case_if_shouty(F.concat(F.lit("Mc"), name)).alias("mixed"),
+    )
+
+
+@query
+def snake_cased(spark, sf_dir):
+    part = X.read(spark, sf_dir, "part")
+    camel = F.concat(F.lit("raw"), F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")))
+    return part.select("p_partkey", T.snake_case(camel).alias("snake"))
+
+
+@query
+def event_dates(spark, sf_dir):
+    """Epoch milliseconds of all events as text, in two time zones."""
+    events = X.read(spark, sf_dir, "events")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return events.select(
+        "event_id", T.format_epoch_ms(ms).alias("utc"),
+        T.format_epoch_ms(ms, "Asia/Tokyo").alias("tokyo"),
+    )
+
+
 # --- scoring ------------------------------------------------------------------------------
 
 
@@ -539,6 +596,33 @@ def enrich_sequential(spark, sf_dir):
     )
 
 
+@query
+def sequential_snapshots(spark, sf_dir):
+    """Page snapshots of the records that no earlier record answered."""
+    return enriched(spark, sf_dir, False, True, "sequential").snapshots.select(
+        "creator_id", "platform", "fetched_via",
+        F.get_json_object("raw_snapshot", "$.ogTitle").alias("og_title"),
+        F.get_json_object("raw_snapshot", "$.bio").alias("bio"),
+    )
+
+
+@query
+def sequential_logs(spark, sf_dir):
+    """How many records left how many log entries, by outcome of the cache lookup."""
+    status = F.max(F.when(F.col("step") == "cache_lookup", F.col("status")))
+    per_record = (
+        enriched(spark, sf_dir, False, True, "sequential").logs.groupBy("creator_id")
+        .agg(F.count("*").alias("entries"), status.alias("status"))
+    )
+    outcome = (
+        F.when(F.col("status") == "success", "hit").when(F.col("status") == "failed", "conflict")
+        .otherwise("miss")
+    )
+    return per_record.groupBy(outcome.alias("cache_status"), "entries").agg(
+        F.count("*").alias("records")
+    )
+
+
 @query
 def enrich_stream(spark, sf_dir):
     """The orders file as a stream; its micro-batch runs like enrich_snapshot."""
@@ -743,6 +827,28 @@ def approve_ignore(spark, sf_dir):
     )
 
 
+@query
+def bulk_review(spark, sf_dir):
+    """Everything that waits for review approved at once; a few actions without a place."""
+    rows = X.resolved_creators(spark, sf_dir)
+    chosen = V.bulk_actions(rows, F.col("needs_review"), "approve", 3_000_000_000)
+    odd = X.review_actions(spark, sf_dir).where("action = 'ignore'").select(
+        F.when(F.col("seq") % 2 == 0, F.lit(7)).cast("bigint").alias("seq"),
+        F.col("row_index").cast("string").alias("creator_id"), "action",
+    )
+    result = V.apply_review(rows, chosen.unionByName(odd), X.now(), "bulk")
+    logs = result.logs.groupBy(F.col("creator_id").alias("id")).agg(
+        F.count("*").alias("logs"), F.countDistinct("id").alias("log_ids")
+    )
+    bad = result.rejects.groupBy(F.col("creator_id").alias("id")).agg(
+        F.max("reject_reason").alias("reject_reason")
+    )
+    return result.creators.join(logs, "id", "left").join(bad, "id", "left").select(
+        "id", "review_status", F.coalesce("logs", F.lit(0)).alias("logs"),
+        F.coalesce("log_ids", F.lit(0)).alias("log_ids"), "reject_reason",
+    )
+
+
 @X.once
 def overridden(spark, sf_dir) -> V.ReviewResult:
     cache = spark.sql(

@@ -19,12 +19,14 @@ from pyspark.sql.types import IntegralType
 
 from personae.schema import literal_table
 
-# A dimension is broadcast only after counting that it has at most this many rows.
+# A dimension is broadcast only after measuring that it has no more rows and bytes.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 # A join key with more rows than this is split over ceil(n / HOT_ROWS) salts.
 HOT_ROWS = 1_000_000
-# No more than this many keys are treated as hot.
-HOT_KEYS = 1_000
+# Counters of the sketch that measures keys, and the share 1/CERTAIN it never misses.
+SKETCH = 2_000
+CERTAIN = 500
 
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir``.
@@ -49,22 +51,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
+def fits_broadcast(
+    df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
+) -> bool:
+    """At most ``rows`` rows, whose text has at most ``size`` bytes."""
+    text = F.octet_length(F.concat_ws("", *[F.col(c).cast("string") for c in df.columns]))
+    n, total = df.select(text.alias("n")).limit(rows + 1).agg(
+        F.count("*"), F.coalesce(F.sum("n"), F.lit(0))
+    ).first()
+    return n <= rows and total <= size
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> list[tuple[int, int]]:
     """(key hash, salts) of the keys with more than ``hot_rows`` rows.
 
-    A frequent-items sketch per task, merged: no shuffle of the keys, never more
-    than HOT_KEYS results. Keys above 1/500 of all rows are certain to be found;
-    what a smaller key can do to a task is left to adaptive skew handling.
+    A frequent-items sketch per task, merged: no shuffle of the keys. It is certain to
+    find keys above 1/CERTAIN of all rows; a table so large that hot keys may be smaller
+    is counted exactly, which gives at most rows / hot_rows results.
     """
+    keyed = df.where(_all_present(keys)).select(F.xxhash64(*keys).alias("_hash"))
     sketch = F.call_function(
-        "approx_top_k", F.xxhash64(*keys), F.lit(HOT_KEYS), F.lit(2 * HOT_KEYS)
+        "approx_top_k", F.col("_hash"), F.lit(SKETCH // 2), F.lit(SKETCH)
     )
-    found = df.where(_all_present(keys)).agg(sketch.alias("top")).first()["top"] or []
-    return [(i["item"], -(-i["count"] // hot_rows)) for i in found if i["count"] > hot_rows]
+    found = keyed.agg(sketch.alias("top"), F.count("*").alias("n")).first()
+    counts = [(i["item"], i["count"]) for i in found["top"] or []]
+    if found["n"] > CERTAIN * hot_rows:
+        exact = keyed.groupBy("_hash").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows)
+        counts = [(r["_hash"], r["n"]) for r in exact.collect()]
+    return [(key, -(-n // hot_rows)) for key, n in counts if n > hot_rows]
 
 
 def skew_join(
@@ -90,7 +104,7 @@ def skew_join(
     spread = F.xxhash64(*([row_id] if isinstance(row_id, str) else row_id))
     none = F.lit(0).cast("bigint")
     if hot:
-        # at most HOT_KEYS rows
+        # one row for each hot key
         table = F.broadcast(literal_table(fact.sparkSession, hot, ["_hash", "_salts"]))
         fact = fact.withColumn("_hash", F.xxhash64(*keys)).join(table, "_hash", "left")
         dim = dim.withColumn("_hash", F.xxhash64(*keys)).join(table, "_hash", "left")

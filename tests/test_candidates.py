@@ -7,6 +7,7 @@ from personae.operators import extract as E
 from personae.operators.dictionary import NameDictionary
 from personae.operators.profile import attach_pages, page_fields, with_profile_candidate
 from personae.operators.score import score
+from personae.functions.html import decode_entities
 from personae.sources.pages import usable_pages
 
 
@@ -238,3 +239,8 @@ def test_no_email_backfill_from_a_loser(spark):
     both = [cand("full_name", "Jane", "Doe", 100), cand("email", "Jane", "Doe", 95, email="j@x.com")]
     df = spark.createDataFrame([(both,)], f"candidates array<{E.CANDIDATE_TYPE}>")
     assert score(df).first().w_email is None
+
+
+def test_numeric_references_of_any_length(apply):
+    given = ["&#x000000041;", "&#000000000065;", "&#x110000;", "&#99999999999;", "&#0;", "&#xD800;"]
+    assert apply(decode_entities, given) == ["A", "A", "�", "�", "�", "�"]

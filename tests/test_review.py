@@ -271,3 +271,27 @@ def test_empty_cache_override(spark, now):
                             actions, now, "r")
     assert got.identity_cache.first().first_name == "New"
     assert got.identity_cache_keys.count() == 0     # nothing to find it by
+
+
+def test_actions_need_a_place(spark, now):
+    creators = creators_of(spark, [{"id": c} for c in "abcd"])
+    pairs = [(1, "a", "b"), (1, "a", "c"), (None, "b", "c"), (3_000_000_000, "c", "d")]
+    schema = "seq bigint, source_id string, target_id string"
+    got = V.merge_duplicates(creators, spark.createDataFrame(pairs, schema), now, "r")
+    assert got.creators.count() == 4
+    assert [(r.creator_id, r.seq) for r in got.logs.collect()] == [("c", 3_000_000_000)]
+    assert sorted(r.reject_reason for r in got.rejects.collect()) == [
+        "seq_missing", "seq_repeated", "seq_repeated"]
+
+
+def test_runs_have_logs_of_their_own(spark, now):
+    creators = creators_of(spark, [{"id": "a"}])
+    actions = spark.createDataFrame([(1, "a", "approve")], "seq bigint, creator_id string, action string")
+    ids = [V.apply_review(creators, actions, now, run).logs.first().id for run in ("r1", "r2")]
+    assert ids[0] != ids[1]
+
+
+def test_bulk_actions_are_in_order(spark, now):
+    creators = creators_of(spark, [{"id": c} for c in "abcdef"]).repartition(3)
+    seqs = [r.seq for r in V.bulk_actions(creators, F.lit(True), "approve", 2**33).collect()]
+    assert len(set(seqs)) == 6 and min(seqs) >= 2**33

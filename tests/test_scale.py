@@ -56,6 +56,20 @@ def test_skew_join_equals_join(spark, how, hot_rows):
     assert sorted(map(str, salted.select("id", "k", "n", "v").collect())) == sorted(map(str, plain))
 
 
+def test_skew_join_of_different_types(spark):
+    fact = spark.createDataFrame([(i, 1 if i < 180 else i) for i in range(200)], "id int, k int")
+    dim = spark.createDataFrame([(k, "v") for k in [*range(200), 2**40 + 1]], "k bigint, v string")
+    joined = skew_join(fact, dim, ["k"], "id", "inner", 20)
+    assert joined.count() == 200
+    with pytest.raises(TypeError):
+        skew_join(fact, dim.withColumn("k", F.col("k").cast("string")), ["k"], "id")
+
+
+def test_broadcasts_are_measured_in_bytes(spark):
+    df = spark.range(10).select(F.repeat(F.lit("x"), 100).alias("s"))
+    assert fits_broadcast(df, 10, 1000) and not fits_broadcast(df, 10, 999)
+
+
 def test_skew_join_spreads_the_hot_key(spark):
     fact = spark.range(4000).select("id", F.lit("hot").alias("k"))
     dim = spark.createDataFrame([("hot", 1)], "k string, v int")
