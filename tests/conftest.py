@@ -9,8 +9,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 # names the examples below treat as known first names
 NAMES = [
-    "mia", "bonnie", "robertson", "jennifer", "james", "taylor", "kayla", "michelle",
-    "julianne", "krysta", "jane", "rachel", "cher", "jessikah",
+    "ida", "wendel", "harbisson", "marigold", "corin", "nestor", "tilda", "beatrice",
+    "clementa", "odette", "jane", "sybila", "noor", "philippa",
 ]
 
 

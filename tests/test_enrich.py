@@ -87,14 +87,14 @@ ROWS = [
     # import, row, name, username, email, url
     ("a", 0, "👑 Jane Doe | UGC Creator", "@janedoe", "jane.doe@x.com", None),
     ("a", 1, None, None, "Jane.Doe@x.com ", None),              # hit on the key row 0 wrote
-    ("a", 2, None, "kaylaprincipato", None, None),              # username only: review
+    ("a", 2, None, "tildabrindlewood", None, None),              # username only: review
     ("a", 3, None, None, None, None),                           # nothing: failed
-    ("a", 4, None, "@cheraslor", None, "https://www.instagram.com/cheraslor/"),
-    ("b", 0, None, "janedoe", "mia.shpirer@x.com", None),       # hit through the username
-    ("b", 1, None, "cheraslor", "jane.doe@x.com", None),        # two identities: conflict
-    ("b", 2, None, None, "vasquez.jennifer94@x.com", "https://linktr.ee/none"),
+    ("a", 4, None, "@noorvelm", None, "https://www.instagram.com/noorvelm/"),
+    ("b", 0, None, "janedoe", "ida.quorvin@x.com", None),       # hit through the username
+    ("b", 1, None, "noorvelm", "jane.doe@x.com", None),        # two identities: conflict
+    ("b", 2, None, None, "tolmand.marigold94@x.com", "https://linktr.ee/none"),
 ]
-HTML = '<meta property="og:title" content="Cher✨Aslor (@cheraslor)">'
+HTML = '<meta property="og:title" content="Noor✨Velm (@noorvelm)">'
 
 
 @pytest.fixture(scope="module")
@@ -108,7 +108,7 @@ def creators(spark, now):
 @pytest.fixture(scope="module")
 def pages(spark):
     return spark.createDataFrame(
-        [("https://instagram.com/cheraslor", HTML, "static")],
+        [("https://instagram.com/noorvelm", HTML, "static")],
         "url string, html string, fetched_via string")
 
 
@@ -130,18 +130,18 @@ def test_sequential_run(result):
     again = got["a", 1]
     assert again.processing_status == "cache_hit" and again.resolved_social_handle == "janedoe"
     assert again.identity_cache_id == jane.identity_cache_id and not again.needs_review
-    kayla = got["a", 2]
-    assert (kayla.resolved_first_name, kayla.processing_status, kayla.needs_review) == (
-        "Kayla", "needs_review", True)
-    assert kayla.identity_cache_id is None
+    tilda = got["a", 2]
+    assert (tilda.resolved_first_name, tilda.processing_status, tilda.needs_review) == (
+        "Tilda", "needs_review", True)
+    assert tilda.identity_cache_id is None
     assert got["a", 3].processing_status == "failed" and got["a", 3].needs_review
-    cher = got["a", 4]
-    assert (cher.confidence_source, cher.resolved_display_name, cher.resolved_platform) == (
-        "instagram", "Cher Aslor", "instagram")
+    noor = got["a", 4]
+    assert (noor.confidence_source, noor.resolved_display_name, noor.resolved_platform) == (
+        "instagram", "Noor Velm", "instagram")
     assert got["b", 0].processing_status == "cache_hit"
     assert got["b", 0].identity_cache_id == jane.identity_cache_id
     assert got["b", 1].processing_status == "needs_review"
-    assert got["b", 2].resolved_first_name == "Jennifer"
+    assert got["b", 2].resolved_first_name == "Marigold"
 
 
 def test_logs(result):

@@ -170,8 +170,8 @@ def test_duplicates(spark):
     creators = creators_of(spark, [
         {"id": "a", "raw_email": "Jane@Example.com", "raw_username": "alice"},
         {"id": "b", "resolved_email": "jane@example.com", "raw_email": "other@x.com"},
-        {"id": "c", "raw_username": "@JennV", "raw_profile_url": "https://www.instagram.com/jennv/"},
-        {"id": "d", "raw_username": "jennv", "raw_profile_url": "http://instagram.com/jennv"},
+        {"id": "c", "raw_username": "@Karov", "raw_profile_url": "https://www.instagram.com/karov/"},
+        {"id": "d", "raw_username": "karov", "raw_profile_url": "http://instagram.com/karov"},
         {"id": "e", "raw_email": "jane@example.com", "import_id": "other"},
         {"id": "f", "raw_email": "jane@example.com", "duplicate_of_creator_id": "a"},
         {"id": "g", "raw_email": "  "}, {"id": "h", "raw_email": "  "},
@@ -179,8 +179,8 @@ def test_duplicates(spark):
     ])
     groups = {(r.key_type, r.key_value): (r["size"], r.first_creator_id)
               for r in duplicate_groups(creators).collect()}
-    assert groups == {("email", "jane@example.com"): (3, "a"), ("username", "jennv"): (2, "c"),
-                      ("profile_url", "instagram.com/jennv"): (2, "c")}
+    assert groups == {("email", "jane@example.com"): (3, "a"), ("username", "karov"): (2, "c"),
+                      ("profile_url", "instagram.com/karov"): (2, "c")}
     members = duplicate_members(creators, hot_rows=1).where("key_type = 'email'")
     assert [r.creator_id for r in members.orderBy("row_index").collect()] == ["a", "b", "i"]
     pairs = duplicate_pairs_to_merge(creators).where("key_type = 'email'").collect()

@@ -15,7 +15,7 @@ def test_csv_ingest(spark, now, tmp_path):
     path = tmp_path / "people.csv"
     path.write_text(
         '﻿Full Name,Email,Email,Notes\n'
-        'Mia Shpirer,mia@example.com,,"likes, commas"\n\n'
+        'Ida Quorvin,ida@example.com,,"likes, commas"\n\n'
         '"Doe, ""Jane""",j@x.com,k@x.com,"two\nlines"\n'
         ',,last@x.com,\n', encoding="utf-8")
     got = S.ingest_csv(spark, str(path), "imp", now)
@@ -25,7 +25,7 @@ def test_csv_ingest(spark, now, tmp_path):
     assert {(r.processing_status, r.review_status) for r in rows} == {("failed", "pending")}
     payload = [r.p for r in got.creators.orderBy("row_index").select(
         F.from_json("raw_payload", "map<string,string>").alias("p")).collect()]
-    assert payload[0] == {"Full Name": "Mia Shpirer", "Email": "mia@example.com", "Email_1": "",
+    assert payload[0] == {"Full Name": "Ida Quorvin", "Email": "ida@example.com", "Email_1": "",
                           "Notes": "likes, commas"}
     assert payload[1]["Full Name"] == 'Doe, "Jane"' and payload[1]["Notes"] == "two\nlines"
     history = got.import_history.first()
@@ -37,9 +37,9 @@ def test_csv_ingest(spark, now, tmp_path):
     creators, imports, preview = M.confirm_mapping(
         got.creators, got.import_history, "imp", mapping, now)
     assert [r.raw_email for r in creators.orderBy("row_index").collect()] == [
-        "mia@example.com", "j@x.com", "last@x.com"]
+        "ida@example.com", "j@x.com", "last@x.com"]
     assert (imports.first().status, imports.first().row_count) == ("mapped", 3)
-    assert preview.orderBy("row_index").first().n_full_name == "Mia Shpirer"
+    assert preview.orderBy("row_index").first().n_full_name == "Ida Quorvin"
 
 
 def test_ingest_numbers_part_files_in_order(spark, now, tmp_path):
@@ -94,9 +94,9 @@ def test_mapping_examples(spark):
     assert M.suggested_mapping(spark, headers) == {
         "Full Name": "fullName", "Email Address": "email", "Instagram": "profileUrl",
         "Handle": "username", "full_name": "fullName", "USER-NAME": "username"}
-    row = spark.createDataFrame([("", "https://tiktok.com/@mia")], "Instagram string, TikTok string")
+    row = spark.createDataFrame([("", "https://tiktok.com/@ida")], "Instagram string, TikTok string")
     mapped = M.apply_mapping(row, {"Instagram": "profileUrl", "TikTok": "profileUrl"}).first()
-    assert mapped.raw_profile_url == "https://tiktok.com/@mia" and mapped.raw_email is None
+    assert mapped.raw_profile_url == "https://tiktok.com/@ida" and mapped.raw_email is None
 
 
 def test_file_routing(spark):
@@ -131,8 +131,8 @@ def batches(spark):
                 [(import_id, i, e) for i, e in enumerate(emails)],
                 "import_id string, row_index bigint, raw_email string")), CREATORS)
 
-    return [rows("a", ["mia.doe@x.com", "kayla.roe@x.com"]),
-            rows("b", ["mia.doe@x.com", "cher.poe@x.com"])]
+    return [rows("a", ["ida.doe@x.com", "tilda.roe@x.com"]),
+            rows("b", ["ida.doe@x.com", "noor.poe@x.com"])]
 
 
 def test_batches_share_the_cache_and_replay(spark, dictionary, batches, tmp_path):
