@@ -1,12 +1,17 @@
 """Settings of the enrichment model.
 
 Everything here is data a user may replace: pass another ``Weights``, another
-alias table or another descriptor list to the operators that take them.
+alias table or another list of ``Descriptors`` to the operators that take them, or
+read them from JSON files with ``weights_from``, ``aliases_from``, ``descriptors_from``.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import re
+from collections.abc import Sequence
+from dataclasses import dataclass, fields
+from functools import cached_property
 
 PIPELINE_VERSION = "1.0.0"
 
@@ -140,3 +145,69 @@ LIST_LIMIT = 50
 MIN_USABLE_HTML = 2000
 MIN_PREFIX = 5      # shortest first name accepted in front of a run-on handle
 MIN_REMAINDER = 4   # shortest surname accepted behind it
+
+
+# --- settings a user edits ----------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Descriptors:
+    """Words that describe a person, as patterns for the text functions.
+
+    Words are matched literally, whatever characters they hold, the longest first.
+    """
+
+    words: Sequence[str]
+
+    @cached_property
+    def _longest_first(self) -> list[str]:
+        return sorted({w.strip().lower() for w in self.words if w.strip()}, key=len, reverse=True)
+
+    @cached_property
+    def anywhere(self) -> str:
+        """A descriptor that stands alone among ASCII words."""
+        if not self.words:
+            return "(?!)"
+        some = "|".join(map(_literal, self._longest_first))
+        return rf"(?i)(?<![A-Za-z0-9_])(?:{some})(?![A-Za-z0-9_])"
+
+    @cached_property
+    def glued(self) -> str:
+        """Descriptors as they end a handle: their ASCII letters alone."""
+        bare = ("".join(ch for ch in w if "a" <= ch <= "z") for w in self._longest_first)
+        return "|".join(dict.fromkeys(b for b in bare if b)) or "(?!)"
+
+    @cached_property
+    def exact(self) -> list[str]:
+        return self._longest_first
+
+
+def _literal(word: str) -> str:
+    return re.sub(r"([^A-Za-z0-9 ])", r"\\\1", word)
+
+
+DEFAULT_DESCRIPTORS = Descriptors(tuple(DESCRIPTORS))
+
+
+def weights_from(path: str) -> Weights:
+    """Weights from a JSON object of their names; what it leaves out keeps its default."""
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    if unknown := sorted(set(given) - {f.name for f in fields(Weights)}):
+        raise ValueError(f"no such weights: {unknown}")
+    return Weights(**{k: int(v) for k, v in given.items()})
+
+
+def aliases_from(path: str) -> dict[str, list[str]]:
+    """Header spellings from a JSON object {canonical field: [spelling, ...]}."""
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    if unknown := sorted(set(given) - set(RAW_COLUMNS)):
+        raise ValueError(f"no such fields: {unknown}")
+    return given
+
+
+def descriptors_from(path: str) -> Descriptors:
+    """Descriptors from a JSON array of words."""
+    with open(path, encoding="utf-8") as f:
+        return Descriptors(tuple(json.load(f)))

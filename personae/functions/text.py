@@ -12,7 +12,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from personae.config import DESCRIPTORS
+from personae.config import DEFAULT_DESCRIPTORS, Descriptors
 
 # fixed values: the white space class and the separators trimmed off names
 _WS_SET = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -54,18 +54,18 @@ _EMOJI = (
     + _code_point_class(EMOJI_MODIFIERS) + r"\p{Mn}]"
 )
 
-_BY_LENGTH = sorted(DESCRIPTORS, key=len, reverse=True)
 _WORD = r"(?<![A-Za-z0-9_])"
 _WORD_END = r"(?![A-Za-z0-9_])"
-_DESCRIPTOR_WORDS = rf"(?i){_WORD}(?:{'|'.join(_BY_LENGTH)}){_WORD_END}"
-_SUFFIXES = "|".join(
-    dict.fromkeys("".join(ch for ch in d if ch in _LOWER) for d in _BY_LENGTH)
-)
 # two UTF-16 units must stay in front: two code points or one beyond U+FFFF
-_SUFFIX_ANY = rf"(?is)^([\x{{10000}}-\x{{10FFFF}}]|.{{2,}}?)(?:{_SUFFIXES})$"
-_SUFFIX_ONE_WORD = (
-    rf"(?is)^([\x{{10000}}-\x{{10FFFF}}]|{NON_WS}{{2,}}?)(?:{_SUFFIXES})$"
-)
+_FRONT = r"[\x{10000}-\x{10FFFF}]"
+
+
+def _suffix_any(words: Descriptors) -> str:
+    return rf"(?is)^({_FRONT}|.{{2,}}?)(?:{words.glued})$"
+
+
+def _suffix_one_word(words: Descriptors) -> str:
+    return rf"(?is)^({_FRONT}|{NON_WS}{{2,}}?)(?:{words.glued})$"
 
 
 def blank_to_null(c: Column) -> Column:
@@ -178,8 +178,8 @@ def collapse_punctuation(c: Column) -> Column:
     return F.regexp_replace(c, r"([.,;:|/_\-–—])\1+", "$1")
 
 
-def strip_descriptors(c: Column) -> Column:
-    return F.regexp_replace(c, _DESCRIPTOR_WORDS, "")
+def strip_descriptors(c: Column, words: Descriptors = DEFAULT_DESCRIPTORS) -> Column:
+    return F.regexp_replace(c, words.anywhere, "")
 
 
 def strip_of_count(c: Column) -> Column:
@@ -190,17 +190,17 @@ def trim_separators(c: Column) -> Column:
     return F.btrim(c, F.lit(WS_CHARS + SEPARATORS))
 
 
-def strip_descriptor_suffix(c: Column) -> Column:
+def strip_descriptor_suffix(c: Column, words: Descriptors = DEFAULT_DESCRIPTORS) -> Column:
     """Drop a descriptor glued to the end (``janepilates`` -> ``jane``)."""
-    return F.regexp_replace(c, _SUFFIX_ANY, "$1")
+    return F.regexp_replace(c, _suffix_any(words), "$1")
 
 
-def is_descriptor_word(c: Column) -> Column:
-    return F.lower(c).isin(DESCRIPTORS)
+def is_descriptor_word(c: Column, words: Descriptors = DEFAULT_DESCRIPTORS) -> Column:
+    return F.lower(c).isin(words.exact)
 
 
-def contains_descriptor(c: Column) -> Column:
-    return c.rlike(_DESCRIPTOR_WORDS)
+def contains_descriptor(c: Column, words: Descriptors = DEFAULT_DESCRIPTORS) -> Column:
+    return c.rlike(words.anywhere)
 
 
 def title_case_if_shouty(c: Column) -> Column:
@@ -219,29 +219,31 @@ def title_case_if_shouty(c: Column) -> Column:
     return F.when(c.rlike("[a-z]") != c.rlike("[A-Z]"), raised).otherwise(c)
 
 
-def strip_decoration(c: Column) -> Column:
+def strip_decoration(c: Column, words: Descriptors = DEFAULT_DESCRIPTORS) -> Column:
     """Everything of ``clean_name`` except the final casing."""
     name = strip_bio_tags(c)
     # neither folding nor pictographs concern plain ASCII
     c = F.when(is_ascii(name), name).otherwise(strip_emoji(fold_unicode(name)))
     c = collapse_whitespace(collapse_punctuation(c))
-    c = strip_of_count(strip_descriptors(c))
+    c = strip_of_count(strip_descriptors(c, words))
     c = collapse_whitespace(trim_separators(c))
-    return F.regexp_replace(c, _SUFFIX_ONE_WORD, "$1")
+    return F.regexp_replace(c, _suffix_one_word(words), "$1")
 
 
-def clean_name(c: Column) -> Column:
+def clean_name(c: Column, words: Descriptors = DEFAULT_DESCRIPTORS) -> Column:
     """A name-like string reduced to the name, '' if nothing is left."""
-    return title_case_if_shouty(strip_decoration(c))
+    return title_case_if_shouty(strip_decoration(c, words))
 
 
-def with_clean_names(df: DataFrame, names: dict[str, str]) -> DataFrame:
+def with_clean_names(
+    df: DataFrame, names: dict[str, str], words: Descriptors = DEFAULT_DESCRIPTORS
+) -> DataFrame:
     """Add ``clean_name`` of {new column: source column}, NULL if nothing is left.
 
     Same result as the Column function, but the stripped text is computed once in
     a projection of its own instead of once per use in the casing rule.
     """
-    stripped = {f"_s_{out}": strip_decoration(F.col(src)) for out, src in names.items()}
+    stripped = {f"_s_{out}": strip_decoration(F.col(src), words) for out, src in names.items()}
     cased = {
         out: blank_to_null(title_case_if_shouty(F.col(f"_s_{out}"))) for out in names
     }

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from personae.config import DEFAULT_WEIGHTS, Weights
+from personae.config import DEFAULT_DESCRIPTORS, DEFAULT_WEIGHTS, Descriptors, Weights
 from personae.functions import text as T
 from personae.operators.dictionary import NameDictionary
 
@@ -131,15 +131,16 @@ def with_email_candidate(
 def with_username_candidate(
     df: DataFrame, dictionary: NameDictionary, username: str = "n_username",
     out: str = "cand_username", row_id: str = "id", weights: Weights = DEFAULT_WEIGHTS,
+    descriptors: Descriptors = DEFAULT_DESCRIPTORS,
 ) -> DataFrame:
     """A name out of a handle if the dictionary confirms one, else ``@handle``."""
     raw, kept, n = F.col("_raw"), F.col("_kept"), F.size("_kept")
     df = (
         df.withColumn("_handle", T.js_trim(F.col(username)))
-        .withColumn("_raw", T.tokens(T.strip_descriptor_suffix(F.col("_handle"))))
+        .withColumn("_raw", T.tokens(T.strip_descriptor_suffix(F.col("_handle"), descriptors)))
         .withColumn(
             "_kept",
-            F.when(F.size(raw) > 1, F.filter(raw, lambda t: ~T.is_descriptor_word(t)))
+            F.when(F.size(raw) > 1, F.filter(raw, lambda t: ~T.is_descriptor_word(t, descriptors)))
             .otherwise(raw),
         )
         .withColumns({"_a": T.first_of(kept), "_b": T.last_of(kept)})
@@ -161,7 +162,9 @@ def with_username_candidate(
             .when(b_known, F.col("_a")),
         }
     )
-    df = T.with_clean_names(df, {"_first_clean": "_first", "_last_clean": "_last"})
+    df = T.with_clean_names(
+        df, {"_first_clean": "_first", "_last_clean": "_last"}, descriptors
+    )
     df = dictionary.flag(
         df, {"_first_known": "_first_clean", "_last_known": "_last_clean"}, row_id
     )

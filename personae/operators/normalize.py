@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from personae.config import DEFAULT_DESCRIPTORS, Descriptors
 from personae.functions import text as T
 
 
-def normalize_records(df: DataFrame) -> DataFrame:
+def normalize_records(
+    df: DataFrame, descriptors: Descriptors = DEFAULT_DESCRIPTORS
+) -> DataFrame:
     """Add n_full_name, n_username, n_email, n_profile_url and n_platform."""
-    df = T.with_clean_names(df, {"n_full_name": "raw_full_name"})
+    df = T.with_clean_names(df, {"n_full_name": "raw_full_name"}, descriptors)
     return df.withColumns(
         {
             "n_username": T.blank_to_null(

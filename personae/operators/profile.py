@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from personae.config import DEFAULT_WEIGHTS, PLATFORMS, SOURCE_BY_PLATFORM, Weights
+from personae.config import (
+    DEFAULT_DESCRIPTORS,
+    DEFAULT_WEIGHTS,
+    Descriptors,
+    PLATFORMS,
+    SOURCE_BY_PLATFORM,
+    Weights,
+)
 from personae.functions import text as T
 from personae.functions.html import markup, meta_content, meta_tags, page_title
 from personae.functions.keys import fetch_key, platform_of_host, url_host
@@ -142,6 +149,7 @@ def attach_pages(
 def with_profile_candidate(
     df: DataFrame, dictionary: NameDictionary, url: str = "n_profile_url",
     out: str = "cand_profile", row_id: str = "id", weights: Weights = DEFAULT_WEIGHTS,
+    descriptors: Descriptors = DEFAULT_DESCRIPTORS,
 ) -> DataFrame:
     """Scrape outcome per record: platform, candidate, snapshot and error.
 
@@ -164,7 +172,7 @@ def with_profile_candidate(
         }
     )
     shown, handle, name = F.col("_shown"), F.col("_handle"), F.col("_name")
-    df = T.with_clean_names(df, {"_name": "_shown"})
+    df = T.with_clean_names(df, {"_name": "_shown"}, descriptors)
     df = df.withColumn("_split", T.words(name)).withColumns(
         {"_first": T.first_of(F.col("_split")), "_last": T.last_of(F.col("_split"))}
     )
@@ -174,7 +182,9 @@ def with_profile_candidate(
         platform, {p: F.lit(getattr(weights, s)) for p, s in SOURCE_BY_PLATFORM.items()}
     )
     unnamed = name.isNull()
-    business = T.contains_descriptor(T.fold_unicode(T.strip_bio_tags(shown)))
+    business = T.contains_descriptor(
+        T.fold_unicode(T.strip_bio_tags(shown)), descriptors
+    )
     built = candidate(
         source,
         first_name=F.when(unnamed, F.concat(F.lit("@"), handle)).otherwise(F.col("_first")),

@@ -7,7 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from personae.config import DEFAULT_WEIGHTS, PIPELINE_VERSION, Weights
+from personae.config import (
+    DEFAULT_DESCRIPTORS,
+    DEFAULT_WEIGHTS,
+    Descriptors,
+    PIPELINE_VERSION,
+    Weights,
+)
 from personae.operators import cache as C
 from personae.operators import extract as X
 from personae.operators.dictionary import NameDictionary
@@ -57,12 +63,13 @@ def record_error() -> Column:
 def gather_candidates(
     records: DataFrame, dictionary: NameDictionary, pages: DataFrame | None = None,
     weights: Weights = DEFAULT_WEIGHTS, hot_rows: int = HOT_ROWS,
+    descriptors: Descriptors = DEFAULT_DESCRIPTORS,
 ) -> DataFrame:
     """All candidates of normalized records, one column per source."""
     # pages first: their join measures its keys on the records as they come in
     df = attach_pages(records, pages, hot_rows=hot_rows)
     df = X.with_full_name_candidate(df, weights=weights)
-    df = X.with_username_candidate(df, dictionary, weights=weights)
+    df = X.with_username_candidate(df, dictionary, weights=weights, descriptors=descriptors)
     df = X.with_email_candidate(df, dictionary, weights=weights)
     if pages is None:
         df = df.withColumns(
@@ -74,7 +81,7 @@ def gather_candidates(
             }
         )
     else:
-        df = with_profile_candidate(df, dictionary, weights=weights)
+        df = with_profile_candidate(df, dictionary, weights=weights, descriptors=descriptors)
     return df
 
 
@@ -101,11 +108,12 @@ def enrich(
     pages: DataFrame | None = None, mode: str = "sequential",
     weights: Weights = DEFAULT_WEIGHTS, import_order: Column | None = None,
     run_id: str = "run", now: Column | None = None, hot_rows: int = HOT_ROWS,
+    descriptors: Descriptors = DEFAULT_DESCRIPTORS,
 ) -> EnrichResult:
     """Resolve every record of the given imports.
 
     ``sequential`` gives each record the cache as left by all earlier records
-    (imports by ``import_order``, rows by row_index). ``snapshot`` looks
+    (imports by ``import_order``, else by their arrival, rows by row_index). ``snapshot`` looks
     everything up in the cache as of batch start: one pass, made for streams.
     """
     if mode not in ("sequential", "snapshot"):
@@ -114,17 +122,17 @@ def enrich(
     now = F.current_timestamp() if now is None else now
     cache = empty(spark, IDENTITY_CACHE) if identity_cache is None else identity_cache
     keys = empty(spark, IDENTITY_CACHE_KEYS) if identity_cache_keys is None else identity_cache_keys
-    rank = F.col("import_id") if import_order is None else import_order
+    rank = F.struct("created_at", "import_id") if import_order is None else import_order
 
     incoming = conform(creators, CREATORS).withColumn("record_error", record_error())
     # only keys and normalized text go through the run; everything else a record
     # carries (its payload above all) waits in ``creators`` for the last join
-    records = normalize_records(incoming.where("record_error IS NULL")).select(
+    records = normalize_records(incoming.where("record_error IS NULL"), descriptors).select(
         "id", "import_id", "row_index", rank.alias("import_rank"), *NORMALIZED
     )
     if mode == "snapshot":
         records = _hide_hits(C.lookup(records, keys, hot_rows=hot_rows))
-    evidence = gather_candidates(records, dictionary, pages, weights, hot_rows)
+    evidence = gather_candidates(records, dictionary, pages, weights, hot_rows, descriptors)
     if mode == "snapshot":
         evidence = _show_hits(evidence)
     # resolved_* are rebuilt here; cached fields replace them for hits below

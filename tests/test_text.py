@@ -166,3 +166,36 @@ def test_labels(apply, spark):
     df = spark.createDataFrame([(95,), (None,), (10,)], "confidence_score int")
     assert L.filter_buckets(df, []).count() == 3
     assert L.filter_buckets(df, ["high", "low"]).count() == 2
+
+
+def test_descriptors_of_ones_own(apply, tmp_path):
+    from personae.config import aliases_from, descriptors_from, weights_from
+
+    (tmp_path / "d.json").write_text('["C++ guru", "painter"]')
+    own = descriptors_from(str(tmp_path / "d.json"))
+    clean = lambda c: T.clean_name(c, own)
+    assert apply(clean, ["Jane Doe, C++ Guru", "Jane Coach", "janepainter", "Ida C# guru"]) == [
+        "Jane Doe", "Jane Coach", "Jane", "Ida C# guru"]
+    (tmp_path / "w.json").write_text('{"email": 90}')
+    weights = weights_from(str(tmp_path / "w.json"))
+    assert (weights.email, weights.username) == (90, 60)
+    (tmp_path / "a.json").write_text('{"email": ["mail"]}')
+    assert aliases_from(str(tmp_path / "a.json")) == {"email": ["mail"]}
+    for read, text in ((weights_from, '{"mail": 1}'), (aliases_from, '{"mail": []}')):
+        (tmp_path / "x.json").write_text(text)
+        with pytest.raises(ValueError):
+            read(str(tmp_path / "x.json"))
+
+
+def test_fixed_lists():
+    """The lists the oracles share with the engine, pinned by their digests."""
+    import hashlib
+    import json
+
+    from personae import config as K
+
+    def digest(x):
+        return hashlib.sha256(json.dumps(x, sort_keys=True).encode()).hexdigest()[:16]
+
+    assert [digest(x) for x in (K.DESCRIPTORS, K.COLUMN_ALIASES, vars(K.DEFAULT_WEIGHTS))] == [
+        "b8769a3ebd5343ee", "628f6700fd70d56d", "c61075c9913b0a68"]
