@@ -167,6 +167,11 @@ def once(build):
     return get
 
 
+def forget() -> None:
+    """Build everything anew from here on."""
+    _memo.clear()
+
+
 @once
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -136,10 +136,19 @@ def export_list(exports: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     return exports.orderBy(F.desc("created_at"), "id").limit(limit)
 
 
+# from the first to the last
+IMPORT_STAGES = ["uploaded", "mapped", "processing", "completed", "failed"]
+
+
 def update_import_status(imports: DataFrame, updates: DataFrame, now: Column) -> DataFrame:
-    """``updates`` (id, status, job_id): job_id kept if NULL, completed_at if not terminal."""
-    new = updates.select(
-        "id", F.col("status").alias("_status"), F.col("job_id").alias("_job"),
+    """``updates`` (id, status, job_id): job_id kept if NULL, completed_at if not terminal.
+
+    Of several updates of one import the one that is furthest along counts.
+    """
+    stages = F.array(*map(F.lit, IMPORT_STAGES))
+    far = F.struct(F.array_position(stages, F.col("status")).alias("at"), "status", "job_id")
+    new = updates.groupBy("id").agg(F.max(far).alias("_u")).select(
+        "id", F.col("_u.status").alias("_status"), F.col("_u.job_id").alias("_job"),
         F.lit(True).alias("_hit"),
     )
     terminal = F.col("_status").isin(TERMINAL)

@@ -19,7 +19,7 @@ from personae.operators import extract as X
 from personae.operators.dictionary import NameDictionary
 from personae.operators.normalize import normalize_records
 from personae.operators.profile import attach_pages, with_profile_candidate
-from personae.operators.scale import HOT_ROWS, materialize
+from personae.operators.scale import HOT_ROWS, materialize, skew_join
 from personae.operators.score import demote_conflicts, fill_from_input, score
 from personae.plans.sequential import decide_in_order
 from personae.schema import (
@@ -60,6 +60,20 @@ def record_error() -> Column:
     )
 
 
+def _without_repeats(incoming: DataFrame, hot_rows: int) -> DataFrame:
+    """Records that share an id are errors: which of them a result belongs to is unclear."""
+    repeated = materialize(
+        incoming.where("record_error IS NULL").groupBy("id").agg(F.count("*").alias("_times"))
+        .where("_times > 1"),
+        "repeated-ids",
+    )
+    if repeated.isEmpty():
+        return incoming
+    marked = skew_join(incoming, repeated, ["id"], "row_index", "left", hot_rows)
+    error = F.coalesce("record_error", F.when(F.col("_times") > 1, "id is repeated"))
+    return marked.withColumn("record_error", error).drop("_times")
+
+
 def gather_candidates(
     records: DataFrame, dictionary: NameDictionary, pages: DataFrame | None = None,
     weights: Weights = DEFAULT_WEIGHTS, hot_rows: int = HOT_ROWS,
@@ -125,6 +139,7 @@ def enrich(
     rank = F.struct("created_at", "import_id") if import_order is None else import_order
 
     incoming = conform(creators, CREATORS).withColumn("record_error", record_error())
+    incoming = _without_repeats(incoming, hot_rows)
     # only keys and normalized text go through the run; everything else a record
     # carries (its payload above all) waits in ``creators`` for the last join
     records = normalize_records(incoming.where("record_error IS NULL"), descriptors).select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,12 +49,12 @@ class IncrementalEnrichment:
     def table(self, name: str, before: int | None = None) -> DataFrame:
         """Stored rows of a table, optionally only those of batches < ``before``."""
         schema = T.StructType([*TABLES[name].fields, T.StructField("batch_id", T.LongType())])
-        folder = f"{self.state_dir}/{name}"
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return empty(self.spark, schema)
-        rows = self.spark.read.schema(schema).parquet(folder)
+        try:
+            rows = self.spark.read.schema(schema).parquet(f"{self.state_dir}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return empty(self.spark, schema)  # before the first batch
         return rows if before is None else rows.where(F.col("batch_id") < before)
 
     def run_batch(self, rows: DataFrame, batch_id: int) -> EnrichResult:

@@ -8,7 +8,7 @@ from personae.operators import cache as C
 from personae.operators.report import import_stats, resume_rows
 from personae.plans.enrich import enrich
 from personae.plans.sequential import decide_in_order
-from personae.schema import IDENTITY_CACHE, IDENTITY_CACHE_KEYS, conform, new_creators
+from personae.schema import CREATORS, IDENTITY_CACHE, IDENTITY_CACHE_KEYS, conform, new_creators
 
 
 # --- the definition, row by row -------------------------------------------------------------
@@ -249,3 +249,14 @@ def test_identity_without_free_keys_is_still_created(spark, now):
         cache, conform(keys, IDENTITY_CACHE_KEYS), record, ["o"], now)
     assert {r.id for r in got_cache.collect()} == {"one", "new"}
     assert {r.identity_cache_id for r in got_keys.collect()} == {"one"}
+
+
+def test_repeated_ids_are_errors(spark, dictionary, now):
+    rows = conform(new_creators(spark.createDataFrame(
+        [("imp", i, f"jane.doe{i}@x.com") for i in range(4)],
+        "import_id string, row_index bigint, raw_email string"), now), CREATORS)
+    same = rows.withColumn("id", F.when(F.col("row_index") < 2, F.lit("twice")).otherwise(F.col("id")))
+    got = enrich(same, dictionary, mode="snapshot", now=now)
+    assert got.creators.count() == 4
+    errors = got.logs.where("step = 'enrich_one'").collect()
+    assert [(r.creator_id, json.loads(r.detail)["error"]) for r in errors] == [("twice", "id is repeated")] * 2
