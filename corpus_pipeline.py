@@ -55,9 +55,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     alone = F.when(F.col("component").isNull(), F.col("_row"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))  # null ids last
     chosen = groups.groupBy("component", alone.alias("_alone")).agg(first.alias("first"))
-    return numbered.join(
-        materialize(chosen.select("first._row"), "near-duplicates"), "_row", "left_semi"
-    ).select(*COLUMNS)
+    # as many rows as documents stay: no side of this join is small
+    kept = materialize(chosen.select("first._row"), "near-duplicates").hint("merge")
+    return numbered.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Op 2, by tokens."""
-    counts = packing.token_counts(docs, tokenizer())
+    counts = packing.token_counts(docs, tokenizer(), memory=100_000)
     return packing.pack(materialize(counts, "token-counts"))
 
 

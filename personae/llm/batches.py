@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,14 +25,31 @@ def remainder(id_col: str, modulus: int) -> Column:
 
 def steps(texts: list[str | None], size: int = CHARS_PER_STEP) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``size`` characters together, one row at least."""
-    start = chars = 0
-    for i, text in enumerate(texts):
-        chars += len(text or "")
-        if chars >= size:
+    yield from _ranges([len(t or "") for t in texts], size)
+
+
+def text_steps(
+    column: pa.Array, size: int = CHARS_PER_STEP
+) -> Iterator[tuple[int, int, list[str | None]]]:
+    """The same ranges of an Arrow column, with only their own texts as Python strings.
+
+    What Arrow has freed goes back to the system, as a worker lives through many stages.
+    """
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for i, j in _ranges(lengths, size):
+        yield i, j, column[i:j].to_pylist()
+    pa.default_memory_pool().release_unused()
+
+
+def _ranges(lengths: list[int], size: int) -> Iterator[tuple[int, int]]:
+    start = total = 0
+    for i, n in enumerate(lengths):
+        total += n
+        if total >= size:
             yield start, i + 1
-            start, chars = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i + 1, 0
+    if start < len(lengths):
+        yield start, len(lengths)
 
 
 def judged(
@@ -46,8 +64,11 @@ def judged(
     names = [part.split()[0] for part in _fields(schema)]
 
     def run(texts: pa.Array) -> pa.Array:
-        columns = fn(texts.to_pylist())
-        return pa.StructArray.from_arrays([pa.array(columns[n]) for n in names], names)
+        parts = [
+            pa.StructArray.from_arrays([pa.array(columns[n]) for n in names], names)
+            for columns in (fn(some) for _, _, some in text_steps(texts))
+        ]
+        return pa.concat_arrays(parts)
 
     # not deterministic as far as Spark may know: it must not be run once more in a filter
     udf = F.arrow_udf(run, f"struct<{schema}>").asNondeterministic()

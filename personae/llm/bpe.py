@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from personae.llm.batches import map_rows, steps
+from personae.llm.batches import map_rows, steps, text_steps
 from personae.llm.chunks import Memory, Splitter
 
 
@@ -246,10 +246,9 @@ def encode(
     names = kept.columns[:-1]
 
     def run(batch):
-        texts = batch.column(len(names)).to_pylist()
-        for i, j in steps(texts):
+        for i, j, texts in text_steps(batch.column(len(names))):
             yield {n: batch.column(k)[i:j] for k, n in enumerate(names)} | {
-                "ids": pa.array(codec(path).encode(texts[i:j]), pa.list_(pa.int32()))
+                "ids": pa.array(codec(path).encode(texts), pa.list_(pa.int32()))
             }
 
     return map_rows(kept, run, _schema(kept) + "ids array<int>")
@@ -280,9 +279,8 @@ def digests(
     kept = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
 
     def run(batch):
-        texts = batch.column(1).to_pylist()
-        for i, j in steps(texts):
-            done = codec(path).written(texts[i:j])
+        for i, j, texts in text_steps(batch.column(1)):
+            done = codec(path).written(texts)
             yield {
                 "doc_id": batch.column(0)[i:j], "n_tokens": [n for n, _, _ in done],
                 "ids_sha256": [_sha(ids) for _, ids, _ in done],

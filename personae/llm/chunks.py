@@ -74,6 +74,10 @@ def _spaces(text: str) -> list[str]:
     return text.split()
 
 
+# Chunks that a worker remembers.
+MEMORY = 500_000
+
+
 class _Codes(dict):
     """Chunk -> code; a new chunk gets the next code and is noted in ``new``."""
 
@@ -89,7 +93,7 @@ class Memory:
     """Code of each chunk; ``ids`` and ``starts`` hold the ids of each code in one array."""
 
     def __init__(
-        self, encode: Callable[[list[str]], list[list[int]]], limit: int = 500_000,
+        self, encode: Callable[[list[str]], list[list[int]]], limit: int = MEMORY,
         note: Callable[[list[int]], object] | None = None,
     ):
         self._encode, self._limit, self._note = encode, limit, note
@@ -160,8 +164,11 @@ class Memory:
 class TokenStream:
     """Ids of whole texts through a memory, a bounded number of characters at a time."""
 
-    def __init__(self, splitter: Splitter, encode: Callable[[list[str]], list[list[int]]]):
-        self.splitter, self.memory = splitter, Memory(encode)
+    def __init__(
+        self, splitter: Splitter, encode: Callable[[list[str]], list[list[int]]],
+        limit: int = MEMORY,
+    ):
+        self.splitter, self.memory = splitter, Memory(encode, limit)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         chunks = [self.splitter(t) for t in texts]

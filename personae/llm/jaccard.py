@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from personae.llm.batches import map_rows, steps
+from personae.llm.batches import map_rows, text_steps
 from personae.llm.components import components
 from personae.llm.words import shingle_set, word_hashes
 from personae.operators.scale import materialize
@@ -46,11 +46,11 @@ PERCENT = 80
 PER_GROUP = 2
 BLOCK = 128
 FANOUT = 8
-# A shingle is frequent if it makes up this share of all (so at most a million are), and
-# is counted where it occurs so often in about LOCAL_ROWS shingles of one task.
-FREQUENT = 1e-6
-LOCAL_ROWS, LOCAL_LEAST = 1_000_000, 4
-FREQUENT_LEAST = 8
+# The most frequent shingles, so many at most, come last in the global order. They are
+# counted where they occur so often in about LOCAL_ROWS shingles of one task. Any order
+# gives the same result; this one keeps buckets small.
+FREQUENT = 500_000
+LOCAL_ROWS, LOCAL_LEAST = 1_000_000, 3
 BROADCAST_IDS = 200_000
 
 
@@ -79,23 +79,23 @@ def _inspect(rows: DataFrame, names: list[str], fields: str, words: int) -> Data
 
         for batch in batches:
             types = {c: batch.column(k).type for k, c in enumerate(names)}
-            texts = batch.column(len(names)).to_pylist()
-            sets = [shingle_set(word_hashes(t), words) for t in texts]
-            keys = [_class(s) for s in sets]
-            yield pa.RecordBatch.from_pydict(
-                {c: batch.column(k) for k, c in enumerate(names)} | {
-                    "kind": pa.array(np.zeros(len(sets)), pa.int32()),
-                    "cls": keys, "n": [len(s) for s in sets],
-                }
-            )
-            for key, s in zip(keys, sets, strict=True):
-                if key not in seen:
-                    seen.add(key)
-                    held.append(s)
-            if sum(map(len, held)) > LOCAL_ROWS:
-                yield frequent()
-                held.clear()
-                seen.clear()
+            for i, j, texts in text_steps(batch.column(len(names))):
+                sets = [shingle_set(word_hashes(t), words) for t in texts]
+                keys = [_class(s) for s in sets]
+                yield pa.RecordBatch.from_pydict(
+                    {c: batch.column(k)[i:j] for k, c in enumerate(names)} | {
+                        "kind": pa.array(np.zeros(len(sets)), pa.int32()),
+                        "cls": keys, "n": [len(s) for s in sets],
+                    }
+                )
+                for key, s in zip(keys, sets, strict=True):
+                    if key not in seen:
+                        seen.add(key)
+                        held.append(s)
+                if sum(map(len, held)) > LOCAL_ROWS:
+                    yield frequent()
+                    held.clear()
+                    seen.clear()
         if held:
             yield frequent()
 
@@ -292,7 +292,7 @@ class _Search:
 
     def signed(self, often: DataFrame) -> DataFrame:
         """cls, n, vec, sigs of each class, at least once."""
-        got = often.toArrow().sort_by("cls")  # bounded by FREQUENT
+        got = often.toArrow()  # at most FREQUENT rows
         key = got["cls"].to_numpy().view(np.uint64)
         order = np.argsort(key)
         shared = self.texts.sparkSession.sparkContext.broadcast(
@@ -304,10 +304,9 @@ class _Search:
             key, times = shared.value
             seen: set[int] = set()
             for batch in batches:
-                texts = batch.column("text").to_pylist()
-                for i, j in steps(texts):
+                for _, _, texts in text_steps(batch.column("text")):
                     cls, n, vec, sigs = [], [], [], []
-                    for text in texts[i:j]:
+                    for text in texts:
                         s = shingle_set(word_hashes(text), words)
                         own = _class(s)
                         if not len(s) or own in seen:
@@ -378,8 +377,8 @@ class _Search:
         words = self.words
 
         def run(batch):
-            for i, j in steps(texts := batch.column(1).to_pylist()):
-                sets = [shingle_set(word_hashes(t), words) for t in texts[i:j]]
+            for i, j, texts in text_steps(batch.column(1)):
+                sets = [shingle_set(word_hashes(t), words) for t in texts]
                 cls = batch.column(0)[i:j].to_pylist()
                 same = [k for k, s in enumerate(sets) if _class(s) == cls[k]]
                 yield {
@@ -429,6 +428,18 @@ def _second_round(trees: DataFrame, links: DataFrame, block: int) -> DataFrame:
     return asking.union(asked)
 
 
+def _most_frequent(counts: DataFrame, most: int = FREQUENT) -> DataFrame:
+    """At most ``most`` rows: those from the least power of two that leaves no more."""
+    stored = materialize(counts, "jaccard-frequent")
+    sizes = stored.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).count().collect()
+    total, least = 0, 64
+    for power, n in sorted(map(tuple, sizes), reverse=True):
+        if total + n > most:
+            break
+        total, least = total + n, power
+    return stored.where(F.col("n") >= F.lit(2**min(least, 62)))
+
+
 def join(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
     percent: int = PERCENT, keep: list[str] | None = None, block: int = BLOCK,
@@ -445,11 +456,7 @@ def join(
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     seen = materialize(_inspect(rows, names, fields, words), "jaccard-documents")
     docs = seen.where("kind = 0").drop("kind")
-    total = docs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = (
-        seen.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= max(FREQUENT_LEAST, int(FREQUENT * total)))
-    )
+    often = _most_frequent(seen.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")))
     # copies meet here, summed up before they move
     first = materialize(
         docs.where("n > 0").groupBy("cls").agg(F.min("id").alias("first")), "jaccard-first"

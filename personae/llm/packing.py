@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from personae.llm.batches import map_rows, steps
+from personae.llm.batches import map_rows, text_steps
+from personae.llm.chunks import MEMORY
 from personae.llm.token_files import stream
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
@@ -171,18 +172,20 @@ def _packed(parts, names, number, lengths, overhead):
 
 def token_counts(
     df: DataFrame, tokenizer: str, text_col: str = "text",
-    keep: Sequence[str | Column] = ("doc_id",),
+    keep: Sequence[str | Column] = ("doc_id",), memory: int = MEMORY,
 ) -> DataFrame:
-    """``keep`` columns of each row with ``n_tokens`` of its whole text."""
+    """``keep`` columns of each row with ``n_tokens`` of its whole text.
+
+    ``memory``: chunks that a worker remembers.
+    """
     kept = df.select(*keep, F.col(text_col).alias("_text"))
     names = kept.columns[:-1]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1])
 
     def run(batch):
-        texts = batch.column(len(names)).to_pylist()
-        for i, j in steps(texts):
+        for i, j, texts in text_steps(batch.column(len(names))):
             yield {n: batch.column(k)[i:j] for k, n in enumerate(names)} | {
-                "n_tokens": [len(x) for x in stream(tokenizer).encode(texts[i:j])]
+                "n_tokens": [len(x) for x in stream(tokenizer, memory).encode(texts)]
             }
 
     return map_rows(kept, run, f"{schema}n_tokens long")

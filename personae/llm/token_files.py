@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from personae.llm.batches import steps
-from personae.llm.chunks import Splitter, TokenStream
+from personae.llm.batches import text_steps
+from personae.llm.chunks import MEMORY, Splitter, TokenStream
 from personae.operators.scale import scratch_dir
 
 END = 1
@@ -38,7 +38,7 @@ SCHEMA = "doc_id bigint, offset bigint, n_tokens int, ids array<int>"
 
 
 @cache
-def stream(path: str) -> TokenStream:
+def stream(path: str, memory: int = MEMORY) -> TokenStream:
     """One encoder for each Python worker and tokenizer file."""
     from tokenizers import Tokenizer
 
@@ -49,7 +49,7 @@ def stream(path: str) -> TokenStream:
     def encode(chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in tool.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    return TokenStream(Splitter.from_file(path), encode)
+    return TokenStream(Splitter.from_file(path), encode, memory)
 
 
 def write(
@@ -68,9 +68,8 @@ def write(
     def run(batches):
         offset = 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in steps(texts):
-                ids = stream(tokenizer).encode(texts[i:j])
+            for i, j, texts in text_steps(batch.column(1)):
+                ids = stream(tokenizer).encode(texts)
                 tail = [] if end is None else [end]
                 ids = [np.append(x, tail).astype(np.int32) for x in ids]
                 counts = np.array([len(x) for x in ids])
