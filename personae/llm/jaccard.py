@@ -18,7 +18,8 @@ the next band is in both). This loses no link, and no tree grows with the corpus
 near copies. A tree with more than ``BLOCK`` members is dealt out to blocks that each hold its
 hub (smallest member) as well; afterwards only those not yet connected to the hub, by links
 within their block, meet all other blocks. Inside a block a pair that is already connected is
-not verified again. So groups of near copies cost time in proportion to their size, and no
+not verified again, and sets travel only for one tree of each class and for trees whose
+classes that has not connected. So groups of near copies cost time in proportion to their size, and no
 pairs are ever listed: trees return a spanning forest of links.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing. Texts of
@@ -358,6 +359,21 @@ class _Search:
             ), self.percent),
             "jaccard-survivors",
         )
+        # sets are long: first each class in one tree only, then the trees that still hold
+        # classes which are not connected
+        one = found.groupBy("cls").agg(F.min("center").alias("center"))
+        links = self.verified(found.join(one, ["cls", "center"]), points)
+        root = components(links).withColumnsRenamed({"node": "cls", "root": "r"})
+        named = found.join(root, "cls", "left").withColumn("r", F.coalesce("r", "cls"))
+        open_ = (
+            named.groupBy("center", "band", "i", "j")
+            .agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low < high")
+        )
+        rest = named.join(open_, ["center", "band", "i", "j"], "left_semi").drop("r")
+        return links.union(self.verified(materialize(rest, "jaccard-open"), points))
+
+    def verified(self, found: DataFrame, points: DataFrame) -> DataFrame:
+        """Links among the rows (center, band, i, j, cls, asks), checked on the sets."""
         sets = self.sets(found.select("cls").distinct())
         whole = found.join(points, "cls").join(sets, "cls")
         return materialize(
