@@ -50,7 +50,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without a word link with nothing and stay.
     """
+    # numbers follow the splits of a scan, which may differ from one scan to the next
     numbered = docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
+    numbered = materialize(numbered, "numbered")
     groups = jaccard.join(numbered, keep=["_row"])
     alone = F.when(F.col("component").isNull(), F.col("_row"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))  # null ids last

@@ -66,6 +66,24 @@ def test_one_row_of_each_group_stays(spark, odd):
     assert rows[0].__fields__ == P.COLUMNS
 
 
+def test_rows_stay_themselves_if_splits_change(spark, tmp_path):
+    rows = [(i, f"text {i // 2} of its own words a{i // 2} b{i // 2} c{i // 2}", "en", "s", 9)
+            for i in range(400)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, schema).repartitionByRange(12, "doc_id").write.parquet(path)
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "1k")
+        kept = P.near_duplicates(spark, spark.read.parquet(path), SF)
+        spark.conf.set(size, "128m")
+        got = sorted(r.doc_id for r in kept.collect())
+    finally:
+        spark.conf.set(size, before)
+    assert got == list(range(0, 400, 2))
+
+
 def test_letterless_texts_go(spark, odd):
     rows = P.language(spark, odd, SF).collect()
     assert sorted(str(r.doc_id) for r in rows) == ["3", "3", "4", "9", "None", "None"]
