@@ -64,7 +64,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Op 9. Spans of any kind are masked; n_chars is the new length, null for null text."""
-    found = secret_scan.scan(docs, keep=["doc_id", "lang", "source", "n_chars"])
+    found = secret_scan.scan(docs, keep=["doc_id", "lang", "source", "n_chars"], sharp=True)
     clean = found.withColumn("text", secret_scan.redacted("text", "spans"))
     changed = F.when(F.size("spans") > 0, F.length("text").cast("long"))
     return clean.select(

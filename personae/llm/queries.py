@@ -62,7 +62,7 @@ def op8_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.report(table(spark, sf_dir, "documents"))
+    return secret_scan.report(table(spark, sf_dir, "documents"), sharp=True)
 
 
 def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

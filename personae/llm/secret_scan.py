@@ -21,6 +21,15 @@ measured, which falls with the length. Benjamini-Hochberg over the candidates of
 weights in proportion to their lengths, keeps the false discovery rate below ``RATE``. What is
 found is of kind ``random`` unless it meets a base span.
 
+With ``sharp`` a likelihood ratio adds to that, which holds among hundreds of candidates: uniform
+characters of the whole inferred alphabet against written text, where a character keeps the class
+of the one before (upper case, lower case, digit, sign) with probability ``STAYS`` and letters have
+their frequencies in English, a tenth of them spread evenly. Runs and serial correlation take away
+what their p-values fall short of ``REJECT``. Under the model of written text the ratio exceeds 1/q
+with probability q at most; Benjamini-Hochberg, unweighted, takes q over the candidates that are
+not plainly words, numbers, paths or rule lines. Either rule is enough for a candidate; each has
+a false discovery rate of ``RATE`` under its own model.
+
 Defined cases: null text is empty and has no spans; offsets are code points, ends exclusive;
 repeated or null ids are scanned row by row; other columns are ignored. Prefix sums over matches
 work in blocks, so texts with very many matches stay below quadratic time.
@@ -28,6 +37,7 @@ work in blocks, so texts with very many matches stay below quadratic time.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -37,6 +47,7 @@ KINDS = ["assign", "access", "hex", "random"]
 SHORTEST = 20
 RATE = 0.01
 REJECT = 0.01
+STAYS = 0.85
 MASK = "[SECRET]"
 
 ASSIGN = (
@@ -50,6 +61,11 @@ PATTERNS = {
     "hex": r"(?<![0-9a-f])[0-9a-f]{24,}",
     "random": rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}",
 }
+# words and numbers between signs; longer runs of capitals may be base32, of digits hexadecimal
+WRITTEN = "^[+/_=-]*(([A-Z]?[a-z]+|[A-Z]{1,19}|[0-9]{1,19})([+/_=-]+|$))*$"
+# of a to z in English, in thousandths
+_LETTERS = [82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24,
+            2, 20, 1]
 _PARTS = 8
 _BLOCK = 256
 _SPAN = "struct<start:int,kind:int,end:int>"
@@ -136,8 +152,19 @@ def _phi(z: Column) -> Column:
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
-def evidence(hit: Column) -> Column:
-    """p against written text of one candidate; 1 if a test of randomness rejects it."""
+_SHARES = [0.9 * n / sum(_LETTERS) + 0.1 / 26 for n in _LETTERS]
+_CODES = _UPPER + _LOWER + _DIGIT + "+/"
+# -ln of the share of a character in its class
+_COSTS = [-math.log(p) for p in [*_SHARES, *_SHARES, *[1 / 10] * 10, *[1 / 2] * 2]]
+_CLASSES = [0] * 26 + [1] * 26 + [2] * 10 + [3] * 2
+
+
+def evidence(hit: Column, sharp: bool = False) -> Column:
+    """p against written text of one candidate; 1 if a test of randomness rejects it.
+
+    With ``sharp`` a struct of p and q, which the likelihood ratio gives; q is null for what is
+    plainly written.
+    """
     body = F.regexp_replace(hit, "=+$", "")
     is_hex = body.rlike("^([0-9a-f]+|[0-9A-F]+)$")
     is_32 = body.rlike("^[A-Z2-7]+$")
@@ -153,14 +180,31 @@ def evidence(hit: Column) -> Column:
         F.transform(F.split(coded, ""), lambda c: F.position(c, alphabet) - 1).alias("v"),
         F.length(alphabet).alias("k"), F.length(coded).cast("double").alias("n"),
     )
-    return F.transform(F.array(made), _parts)[0]
+    short = F.length(body) < 2  # '=' only, or after one character
+    if not sharp:
+        p = F.transform(F.array(made), lambda x: _parts(x))[0]
+        return F.when(short, F.lit(1.0)).otherwise(p)
+    codes = F.transform(F.split(coded, ""), lambda c: F.position(c, F.lit(_CODES)) - 1)
+    found = _let(
+        lambda x: F.transform(F.array(x["made"]), lambda m: _parts(m, x["codes"]))[0],
+        made=made, codes=codes,
+    )
+    both = _let(
+        lambda x: F.struct(
+            x["found"]["p"].alias("p"), F.when(~x["plain"], x["found"]["q"]).alias("q")
+        ),
+        found=found, plain=hit.rlike(WRITTEN),
+    )
+    nothing = F.struct(F.lit(1.0).alias("p"), F.lit(None).cast("double").alias("q"))
+    return F.when(short, nothing).otherwise(both)
 
 
-def _parts(x: Column) -> Column:
+def _parts(x: Column, codes: Column | None = None) -> Column:
     """Values of one candidate, with what several tests need."""
     v = x["v"]
+    more = {} if codes is None else {"codes": codes}
     return _let(
-        _battery, v=v, k=x["k"], n=x["n"],
+        _battery if codes is None else _both, v=v, k=x["k"], n=x["n"], **more,
         mean=F.aggregate(v, F.lit(0.0), lambda a, b: a + b) / x["n"],
         pairs=F.arrays_zip(
             F.slice(v, F.lit(1), F.size(v) - 1).alias("a"),
@@ -169,7 +213,44 @@ def _parts(x: Column) -> Column:
     )
 
 
+def _ratio(x: Column) -> Column:
+    """ln of the likelihood of uniform characters over that of written text."""
+    costs, classes = (F.array(*map(F.lit, values)) for values in (_COSTS, _CLASSES))
+    cost = lambda c: F.when(c < 0, 0.0).otherwise(F.get(costs, c) - F.log(x["k"]))
+
+    def move(a: Column, b: Column) -> Column:
+        same = F.get(classes, a) == F.get(classes, b)
+        step = F.when(same, -math.log(STAYS)).otherwise(-math.log((1 - STAYS) / 3))
+        return F.when((a < 0) | (b < 0), 0.0).otherwise(step)  # '=' tells nothing
+
+    codes = x["codes"]
+    first = F.aggregate(codes, F.lit(math.log(4)), lambda a, c: a + cost(c))
+    pairs = F.arrays_zip(
+        F.slice(codes, F.lit(1), F.size(codes) - 1).alias("a"),
+        F.slice(codes, F.lit(2), F.size(codes)).alias("b"),
+    )
+    return first + F.aggregate(pairs, F.lit(0.0), lambda a, p: a + move(p["a"], p["b"]))
+
+
+def _both(x: Column) -> Column:
+    runs, serial, p = _tests(x)
+    short = [
+        F.log(F.least(F.lit(1.0), F.greatest(2 * (1 - _phi(z)), F.lit(1e-12)) / REJECT))
+        for z in (runs, serial)
+    ]
+    agrees = (2 * (1 - _phi(runs)) >= REJECT) & (2 * (1 - _phi(serial)) >= REJECT)
+    q = F.exp(-F.greatest(F.lit(0.0), _ratio(x) + short[0] + short[1]))
+    return F.struct(F.when(agrees, p).otherwise(F.lit(1.0)).alias("p"), q.alias("q"))
+
+
 def _battery(x: Column) -> Column:
+    runs, serial, p = _tests(x)
+    agrees = (2 * (1 - _phi(runs)) >= REJECT) & (2 * (1 - _phi(serial)) >= REJECT)
+    return F.when(agrees, p).otherwise(F.lit(1.0))
+
+
+def _tests(x: Column) -> tuple[Column, Column, Column]:
+    """z of runs and of serial correlation, and p of chi-squared against written text."""
     v, k, n, mean, pairs = (x[name] for name in ("v", "k", "n", "mean", "pairs"))
     zero = F.lit(0.0)
     counts = F.transform(
@@ -188,14 +269,12 @@ def _battery(x: Column) -> Column:
     variance = F.aggregate(v, zero, lambda a, b: a + (b - mean) * (b - mean))
     product = F.aggregate(pairs, zero, lambda a, p: a + (p["a"] - mean) * (p["b"] - mean))
     serial = F.abs(product / F.greatest(variance, F.lit(1e-9))) * F.sqrt(n)
-    agrees = (2 * (1 - _phi(runs)) >= REJECT) & (2 * (1 - _phi(serial)) >= REJECT)
     text_mean = _PARTS - 1 + n
-    p = _phi((chi - text_mean) / F.sqrt(2 * (text_mean + n)))
-    return F.when(agrees, p).otherwise(F.lit(1.0))
+    return runs, serial, _phi((chi - text_mean) / F.sqrt(2 * (text_mean + n)))
 
 
-def _discoveries(x: Column) -> Column:
-    """Weighted Benjamini-Hochberg over the tested candidates of one document."""
+def _discoveries(x: Column, weights: bool) -> Column:
+    """Benjamini-Hochberg over the tested candidates of one document, weighted by length."""
     tested = x["tested"]
     total = F.aggregate(tested, F.lit(0.0), lambda a, m: a + (m["end"] - m["start"]))
 
@@ -204,7 +283,10 @@ def _discoveries(x: Column) -> Column:
             y["tested"],
             lambda m: F.struct(
                 m["start"].alias("start"), m["end"].alias("end"),
-                (m["p"] * y["total"] / ((m["end"] - m["start"]) * y["size"])).alias("p"),
+                (
+                    m["p"] * y["total"] / ((m["end"] - m["start"]) * y["size"])
+                    if weights else m["p"]
+                ).alias("p"),
             ),
         )
 
@@ -225,7 +307,20 @@ def _discoveries(x: Column) -> Column:
     )
 
 
-def scan(df: DataFrame, text_col: str = "text", keep: list[str | Column] | None = None) -> DataFrame:
+def _each(tested: Column, name: str) -> Column:
+    """The candidates with one of the fields of their evidence as p."""
+    return F.transform(
+        tested,
+        lambda m: F.struct(
+            m["start"].alias("start"), m["end"].alias("end"), m["p"][name].alias("p")
+        ),
+    )
+
+
+def scan(
+    df: DataFrame, text_col: str = "text", keep: list[str | Column] | None = None,
+    sharp: bool = False,
+) -> DataFrame:
     """``keep`` columns of each row with its text and ``spans``, an array of
 
     (start, kind, end) in that order; ``kind`` indexes ``KINDS``.
@@ -245,11 +340,26 @@ def scan(df: DataFrame, text_col: str = "text", keep: list[str | Column] | None
         F.transform(
             "random",
             lambda m: F.struct(
-                m["start"].alias("start"), m["end"].alias("end"), evidence(m["hit"]).alias("p")
+                m["start"].alias("start"), m["end"].alias("end"),
+                evidence(m["hit"], sharp).alias("p"),
             ),
         ),
     )
-    out = out.withColumn("_found", _let(_discoveries, tested="_tested"))
+    if sharp:
+        ruled = _let(
+            lambda x: F.concat(
+                _let(lambda y: _discoveries(y, True), tested=_each(x["tested"], "p")),
+                _let(
+                    lambda y: _discoveries(y, False),
+                    tested=F.filter(_each(x["tested"], "q"), lambda m: m["p"].isNotNull()),
+                ),
+            ),
+            tested="_tested",
+        )
+        at = F.transform(ruled, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
+        out = out.withColumn("_found", F.array_distinct(at))
+    else:
+        out = out.withColumn("_found", _let(lambda x: _discoveries(x, True), tested="_tested"))
     added = _let(
         lambda x: F.filter(
             x["found"],
@@ -276,9 +386,11 @@ def written(spans: Column) -> Column:
     )
 
 
-def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def report(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sharp: bool = False
+) -> DataFrame:
     """Counts by kind, a digest of the base spans, and all spans written out."""
-    found = scan(df, text_col, [F.col(id_col).alias("doc_id")])
+    found = scan(df, text_col, [F.col(id_col).alias("doc_id")], sharp)
 
     def count(kind: int) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")

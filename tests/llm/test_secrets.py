@@ -153,3 +153,108 @@ def test_no_python_in_the_plan(found):
 def test_empty_table(found):
     assert S.report(found.limit(0)).count() == 0
     assert found.select(S.redacted("text", F.array().cast(f"array<{S._SPAN}>")).alias("t")).count()
+
+
+def ratio(hit):
+    """q of one candidate in plain Python; None for what is plainly written."""
+    if re.fullmatch("[+/_=-]*(([A-Z]?[a-z]+|[A-Z]{1,19}|[0-9]{1,19})([+/_=-]+|$))*", hit):
+        return None
+    body = hit.rstrip("=")
+    code, k = body.translate(str.maketrans("-_", "+/")), 64
+    alphabet = UPPER + UPPER.lower() + DIGITS + "+/"
+    v = [alphabet.find(c) for c in code]
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", body):
+        code, k = body.lower(), 16
+        v = [(DIGITS + "abcdef").find(c) for c in code]
+    elif re.fullmatch("[A-Z2-7]+", body):
+        k = 32
+        v = [(UPPER + "234567").find(c) for c in code]
+    kinds = [UPPER, UPPER.lower(), DIGITS, "+/"]
+    out, last = math.log(4), None
+    for c in code:
+        kind = next((s for s in kinds if c in s), None)
+        if kind:
+            share = 1 / len(kind)
+            if kind in kinds[:2]:
+                n = S._LETTERS
+                share = 0.9 * n[kind.index(c)] / sum(n) + 0.1 / 26
+            out += -math.log(share) - math.log(k)
+            if last:
+                out += -math.log(0.85 if last == kind else 0.05)
+        last = kind
+    n, high = len(v), sum(a * 2 >= k for a in v)
+    changes = sum((a * 2 >= k) != (b * 2 >= k) for a, b in zip(v, v[1:], strict=False))
+    mu = 2 * high * (n - high) / n
+    runs = abs((changes - mu) / math.sqrt(max(mu * (2 * high * (n - high) - n) / (n * (n - 1)), 1e-9)))
+    mean = sum(v) / n
+    var = sum((a - mean) ** 2 for a in v)
+    near = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:], strict=False))
+    for z in (runs, abs(near / max(var, 1e-9)) * math.sqrt(n)):
+        out += math.log(min(1, max(2 * (1 - phi(min(z, 20))), 1e-12) / 0.01))
+    return math.exp(-max(0, out))
+
+
+def sharp(text):
+    text = text or ""
+    old = brute(text)
+    base = [s for s in old if s[1] < 3]
+    tested = [(m.start(), m.end(), ratio(m.group())) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text)]
+    tested = [t for t in tested if t[2] is not None]
+    ranked = sorted(q for *_, q in tested)
+    limit = max([q for i, q in enumerate(ranked) if q <= 0.01 * (i + 1) / len(ranked)], default=-1)
+    new = [
+        (s, 3, e) for s, e, q in tested
+        if q <= limit and not any(a < e and s < b for a, _, b in base)
+    ]
+    return sorted({*old, *new})
+
+
+def test_sharp_equals_brute_force(found):
+    got = {r.doc_id: r.spans for r in S.report(found, sharp=True).collect()}
+    more = 0
+    for i, text in enumerate(samples()):
+        assert got[i or None] == written(sharp(text)), text
+        more += len(sharp(text)) > len(brute(text))
+    assert more
+
+
+def test_keys_among_hundreds_of_candidates(spark):
+    """One key in each text, among paths, hyphenated words, rule lines and identifiers."""
+    rng = random.Random(13)
+    b64 = UPPER + UPPER.lower() + DIGITS + "+/"
+    words = "the record of every northern station value table model house number water".split()
+    many = lambda n, sign: sign.join(rng.choices(words, k=n))
+    makers = [
+        lambda: "/" + many(5, "/") + "/" + str(rng.randint(1, 99999)), lambda: many(5, "-"),
+        lambda: "-" * rng.randint(20, 70), lambda: "=" * 30, lambda: many(6, "_").upper(),
+        lambda: "get" + "".join(w.title() for w in rng.choices(words, k=4)) + str(rng.randint(1, 99)),
+        lambda: f"/{rng.randint(2000, 2024)}/11/{many(3, '-')}-{rng.randint(1, 10**7)}",
+    ]
+    rows, keys = [], {}
+    for size in (20, 24, 32, 40, 64):
+        for _ in range(40):
+            parts = [rng.choice(makers)() for _ in range(300)]
+            key = "".join(rng.choices(b64, k=size))
+            parts.insert(rng.randrange(300), key)
+            text = " ".join(parts)
+            keys[len(rows)] = (size, text.index(key), len(text))
+            rows.append((len(rows), text))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans.split(",") for r in S.report(df, sharp=True).collect()}
+    hits, wrong = {}, 0
+    for i, (size, at, _) in keys.items():
+        key = f"random:{at}:{at + size}"
+        hits[size] = hits.get(size, 0) + (key in got[i])
+        wrong += sum(s not in ("", key) for s in got[i])
+    assert hits[20] >= 30 and all(hits[n] >= 38 for n in (32, 40, 64)) and hits[24] >= 34, hits
+    assert wrong <= 0.02 * len(rows), wrong
+
+
+def test_rule_lines_of_equals_signs(spark):
+    key = "q7Zr0TgX9vKd2LmPb8Ns4Hw1YcJf6Ae3"
+    rows = [(1, "=" * 30), (2, "a" + "=" * 20), (3, f"{'=' * 40} {key} {'=' * 40}"), (4, "-" * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in (False, True):
+        got = {r.doc_id: r.spans for r in S.report(df, sharp=how).collect()}
+        assert got[1] == got[2] == got[4] == "" and got[3] in ("", "random:41:73")
+    assert got[3] == "random:41:73"
