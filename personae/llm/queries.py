@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from personae.llm import (
-    bpe, forest, hard_negatives, jaccard, langid, packing, quality, secret_scan, suffix_tree, token_files, topk,
+    bpe, forest, hard_negatives, jaccard, langid, packing, quality, secret_scan, source_audit,
+    suffix_tree, token_files, topk,
 )
 from personae.llm.batches import remainder, table
 from personae.operators.scale import materialize
@@ -80,6 +81,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows)
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_best_fit": op2_best_fit,
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_suffix_tree": op10_suffix_tree,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_source_audit": op13_source_audit,
 }
 
 SQL: dict[str, str] = {
@@ -168,4 +174,47 @@ SQL: dict[str, str] = {
         WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
         QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
     """,
+    "op13_source_audit": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS d, coalesce(text, '') AS text, coalesce(lang, '') AS lang,
+                   coalesce(source, '') AS source
+            FROM documents
+        ), words AS (
+            SELECT d, lang, source, unnest(regexp_extract_all(
+                       translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM docs
+        ), kept AS (
+            SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT d) >= 10
+        ), counts AS (
+            SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL
+        ), groups AS (
+            SELECT DISTINCT lang, source FROM docs
+        ), sizes AS (
+            SELECT lang, source, (SELECT count(*) FROM kept k WHERE k.lang = g.lang) AS v,
+                   (SELECT coalesce(sum(c), 0) FROM counts n WHERE n.lang = g.lang AND n.source = g.source) AS n,
+                   (SELECT coalesce(sum(c), 0) FROM counts n WHERE n.lang = g.lang) AS lang_n
+            FROM groups g
+        ), shares AS (
+            SELECT s.lang, s.source, k.term, coalesce(c.c, 0) AS c,
+                   1 + (1000000000 * (coalesce(c.c, 0) + 2)) // (s.n + 2 * s.v) AS p,
+                   1 + (1000000000 * (sum(coalesce(c.c, 0)) OVER (PARTITION BY s.lang, k.term) + 2)) // (s.lang_n + 2 * s.v) AS q
+            FROM sizes s JOIN kept k USING (lang)
+            LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+        ), pairs AS (
+            SELECT a.lang, a.source, b.source AS item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)), 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source
+            LEFT JOIN shares y ON y.lang = a.lang AND y.source = b.source AND y.term = x.term
+            GROUP BY ALL
+        ), both_parts AS (
+            SELECT lang, source, 'pair' AS part, item, value FROM pairs
+            UNION ALL
+            SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM shares WHERE c > 0 AND p > q
+        )
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+               CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM both_parts
+        QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 10
+    """,
 }
