@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from personae.llm import (
-    bpe, forest, hard_negatives, jaccard, langid, packing, quality, secret_scan, source_audit,
+    bpe, forest, hard_negatives, jaccard, langid, packing, pii, quality, secret_scan, source_audit,
     suffix_tree, token_files, topk,
 )
 from personae.llm.batches import remainder, table
@@ -81,6 +81,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows)
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.report(docs, pii.train(docs))
+
+
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents"))
 
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_suffix_tree": op10_suffix_tree,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_pii": op12_pii,
     "op13_source_audit": op13_source_audit,
 }
 
