@@ -360,3 +360,18 @@ def export_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Spark takes double quotes for strings, so the column names need backticks
     return derived(spark, sf_dir, SHEET.replace('"', "`"))
+
+
+BIO = """CASE WHEN row_index % 2 = 0 THEN concat('row ', row_index, chr(10), '"said", ok') ELSE 'plain' END"""
+# a header, a line for each order, and after nine tenths of the keys a quote that stays open
+DAMAGED_CSV = """
+SELECT o_orderpriority AS priority, o_orderkey AS at, 1 AS nth,
+  concat(o_orderkey, ',', CASE WHEN o_orderkey % 97 = 5 THEN cast(unhex('636166FF') AS string)
+                               ELSE o_orderstatus END) AS line
+FROM {orders}
+UNION ALL
+SELECT o_orderpriority, -1, 0, 'key,"status, as text"' FROM {orders} GROUP BY o_orderpriority
+UNION ALL
+SELECT o_orderpriority, (SELECT max(o_orderkey) FROM {orders}) * 9 div 10, 2, 'open,"never closed'
+FROM {orders} GROUP BY o_orderpriority
+"""

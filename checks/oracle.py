@@ -421,9 +421,33 @@ ORACLES["ingest_csv"] = sql(SHEET, """
 SELECT 'sheet' AS import_id, row_number() OVER (ORDER BY row_index) - 1 AS row_index,
   nullif(trim("Full Name"), '') AS raw_full_name, nullif(trim("Handle"), '') AS raw_username,
   nullif(trim("Email Address"), '') AS raw_email,
-  coalesce(nullif(trim("Instagram"), ''), nullif(trim("TikTok"), '')) AS raw_profile_url
+  coalesce(nullif(trim("Instagram"), ''), nullif(trim("TikTok"), '')) AS raw_profile_url,
+  CASE WHEN row_index % 2 = 0 THEN 'row ' || row_index || chr(10) || '"said", ok'
+       ELSE 'plain' END AS bio
 FROM sheet""")
 
+ORACLES["csv_quarantine"] = """
+WITH lines AS (
+  SELECT o_orderpriority AS priority, o_orderkey AS place, 1 AS nth, o_orderkey % 97 = 5 AS damaged,
+    o_orderkey || ',' || CASE WHEN o_orderkey % 97 = 5 THEN 'caf' || chr(65533) ELSE o_orderstatus END AS raw
+  FROM orders
+  UNION ALL
+  SELECT DISTINCT o_orderpriority, -1, 0, false, '' FROM orders
+  UNION ALL
+  SELECT DISTINCT o_orderpriority, (SELECT max(o_orderkey) FROM orders) * 9 // 10, 2, false, 'open,"never closed'
+  FROM orders
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY priority ORDER BY place, nth) AS line,
+    max(CASE WHEN nth = 2 THEN place END) OVER (PARTITION BY priority) AS opened
+  FROM lines
+)
+SELECT priority, 0 AS line, CAST(count(*) AS VARCHAR) AS raw, 'rows' AS reason, 1 AS kept
+FROM numbered WHERE nth = 1 AND place <= opened GROUP BY priority
+UNION ALL
+SELECT priority, line, raw, CASE WHEN place > opened OR nth = 2 THEN 'unclosed_quote' ELSE 'bad_encoding' END,
+  CASE WHEN place > opened OR nth = 2 THEN 0 ELSE 1 END
+FROM numbered WHERE place > opened OR nth = 2 OR damaged"""
+
 ORACLES["file_routing"] = """
 SELECT k, file_name, file_type,
   CASE WHEN file_type IS NULL THEN 'file_type_unknown'

@@ -108,15 +108,33 @@ def payload_fields(spark, sf_dir):
 
 @query
 def ingest_csv(spark, sf_dir):
-    """A CSV import written by Spark, scanned and numbered in file order."""
+    """A CSV import with line breaks in cells, scanned in splits and numbered in file order."""
     path = f"{scratch_dir(spark)}/csv-{uuid.uuid4().hex}"
-    (X.sheet(spark, sf_dir).orderBy("row_index").drop("row_index")
-     .write.options(**O.CSV_OPTIONS).csv(path))
-    result = S.ingest_csv(spark, path, "sheet", X.now(), "sheet.csv", multi_line=False)
+    sheet = X.sheet(spark, sf_dir).withColumn("Bio", F.expr(X.BIO))
+    sheet.orderBy("row_index").drop("row_index").write.options(**O.CSV_OPTIONS).csv(path)
+    result = S.ingest_csv(spark, path, "sheet", X.now(), "sheet.csv")
     mapping = M.suggested_mapping(spark, result.headers)
     return M.apply_mapping_to_payload(result.creators, mapping).select(
         "import_id", "row_index", "raw_full_name", "raw_username", "raw_email",
-        "raw_profile_url",
+        "raw_profile_url", F.get_json_object("raw_payload", "$.Bio").alias("bio"),
+    )
+
+
+@query
+def csv_quarantine(spark, sf_dir):
+    """One file for each priority, with bytes that are no text and a quote that is never closed."""
+    path = f"{scratch_dir(spark)}/csv-{uuid.uuid4().hex}"
+    lines = spark.sql(X.DAMAGED_CSV, orders=X.read(spark, sf_dir, "orders"))
+    (lines.repartition("priority").sortWithinPartitions("priority", "at", "nth")
+     .select("priority", "line").write.partitionBy("priority").text(path))
+    found = S.read_csv(spark, path)
+    priority = F.url_decode(F.regexp_extract("file", "priority=([^/]*)/", 1)).alias("priority")
+    good = found.rows.groupBy(priority).agg(
+        F.lit(0).cast("bigint").alias("line"), F.count("*").cast("string").alias("raw"),
+        F.lit("rows").alias("reason"), F.lit(1).cast("bigint").alias("kept"),
+    )
+    return good.unionByName(
+        found.rejects.select(priority, "line", "raw", "reason", flag("kept").alias("kept"))
     )
 
 

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from personae.operators.scale import dense_index, index_placed, materialize
 from personae.schema import CREATORS, IMPORT_HISTORY, conform, empty, new_creators
+from personae.sources import records
 
 
 def file_type(name: Column) -> Column:
@@ -53,16 +52,9 @@ def unique_headers(names: Sequence[str | None]) -> list[str]:
     return out
 
 
-DELIMITERS = [",", "\t", "|", ";"]
 SURPLUS = "__parsed_extra"
 
 
-def delimiter_of(header: str) -> str:
-    """The delimiter that occurs most often outside quotes in a header line."""
-    plain = re.sub('"(?:[^"]|"")*"', "", header)
-    return max(DELIMITERS, key=plain.count)
-
-
 @dataclass
 class Sheet:
     """Rows as arrays: ``cells`` by position of the header, and what lies beyond it.
@@ -72,6 +64,7 @@ class Sheet:
 
     headers: list[str]
     rows: DataFrame | None
+    rejects: DataFrame
 
     def named(self) -> DataFrame:
         """A column for each header; needs headers that differ in more than case."""
@@ -80,46 +73,33 @@ class Sheet:
         )
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> Sheet:
-    """All cells as strings, blank lines skipped, '' for an empty or missing cell.
+REJECTS = "file string, line long, raw string, reason string, kept boolean"
+
+
+def read_csv(spark: SparkSession, path: str) -> Sheet:
+    """All cells as strings, empty lines skipped, '' for an empty or missing cell.
 
-    The delimiter is taken from the header line. ``multi_line`` admits line breaks
-    inside quotes but ties a file to one task; files without them can turn it off
-    to be split, others must not.
+    Delimiter and names are taken from the header record. Files are split however many lines
+    their records have (see ``records``). ``rejects`` tells what could not be read: the lines
+    of a record whose quote is never closed or that is too long (reasons ``unclosed_quote``,
+    ``record_too_long``) are no rows, a line that is not UTF-8 (``bad_encoding``) is kept with
+    replacement characters.
     """
-    first = spark.read.option("wholetext", False).text(path).first()
-    if first is None:
-        return Sheet([], None)
-    sep = delimiter_of(first.value)
-    options = {
-        "multiLine": multi_line, "quote": '"', "escape": '"', "encoding": "UTF-8", "sep": sep,
-    }
-    head = spark.read.options(**options, header=False).csv(path).first()
-    headers = unique_headers(list(head or []))
+    found = records.scan(spark, path)
+    if found is None:
+        return Sheet([], None, spark.createDataFrame([], REJECTS))
+    headers = unique_headers(found.headers)
+    n = len(headers)
+    cells = F.col("all")
+    rows = found.rows.withColumn("all", records.Grammar(found.sep).cells(F.col("record")))
     # by position: header names may differ by case only, or begin with an underscore
-    names = [f"c{i}" for i in range(len(headers))]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "raw"]])
-    rows = (
-        spark.read.options(**options, header=True, enforceSchema=True, mode="PERMISSIVE",
-                           columnNameOfCorruptRecord="raw")
-        .schema(schema).csv(path)
-    )
-    quoted = re.escape(sep)
-    cells = F.regexp_extract_all(
-        F.regexp_replace("raw", "[\r\n]+$", ""),
-        F.lit(f'(?s)(?:^|{quoted})("(?:[^"]|"")*"|[^{quoted}]*)'), F.lit(1),
-    )
-    beyond = F.transform(
-        F.slice(cells, F.lit(len(names) + 1), F.greatest(F.size(cells), F.lit(1))),
-        lambda c: F.replace(F.regexp_replace(c, '(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"')),
-    )
     return Sheet(headers, rows.select(
-        F.array(*[F.coalesce(n, F.lit("")) for n in names]).alias("cells"),
-        F.when(F.col("raw").isNotNull() & (F.size(cells) > len(names)), beyond).alias("surplus"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
-    ))
+        F.transform(
+            F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.get(cells, i), F.lit(""))
+        ).alias("cells"),
+        F.when(F.size(cells) > n, F.slice(cells, F.lit(n + 1), F.size(cells))).alias("surplus"),
+        "file", "block", "pos",
+    ), found.rejects)
 
 
 def cells_payload(headers: Sequence[str]) -> Column:
@@ -144,18 +124,18 @@ class Ingested:
     creators: DataFrame
     import_history: DataFrame
     headers: list[str]
+    rejects: DataFrame
 
 
 def ingest_csv(
     spark: SparkSession, path: str, import_id: str, now: Column, file_name: str | None = None,
-    multi_line: bool = True,
 ) -> Ingested:
     """Read one import (a file, or a folder of part files with the same header).
 
     Rows are numbered in file order from their position inside each split, so no
     global sort is needed; the scan is stored once because the numbers depend on it.
     """
-    sheet = read_csv(spark, path, multi_line)
+    sheet = read_csv(spark, path)
     headers = sheet.headers
     if sheet.rows is None:
         creators = empty(spark, CREATORS)
@@ -174,7 +154,7 @@ def ingest_csv(
         F.lit("csv").alias("file_type"), "row_count", F.lit("uploaded").alias("status"),
         now.alias("created_at"),
     )
-    return Ingested(creators, conform(history, IMPORT_HISTORY), headers)
+    return Ingested(creators, conform(history, IMPORT_HISTORY), headers, sheet.rejects)
 
 
 def ingest_table(

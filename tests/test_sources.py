@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from personae.plans.enrich import enrich
 from personae.schema import CREATORS, IMPORT_HISTORY, conform, new_creators
 from personae.sources import imports as S
 from personae.sources import mapping as M
+from personae.sources import records as R
 from personae.streaming.incremental import IncrementalEnrichment
 
 
@@ -45,7 +47,7 @@ def test_csv_ingest(spark, now, tmp_path):
 def test_ingest_numbers_part_files_in_order(spark, now, tmp_path):
     df = spark.range(2000).select(F.col("id").alias("n"), F.lit("x").alias("name"))
     df.orderBy("n").repartitionByRange(5, "n").write.option("header", True).csv(str(tmp_path / "in"))
-    got = S.ingest_csv(spark, str(tmp_path / "in"), "imp", now, multi_line=False)
+    got = S.ingest_csv(spark, str(tmp_path / "in"), "imp", now)
     pairs = got.creators.select(
         "row_index", F.get_json_object("raw_payload", "$.n").cast("bigint").alias("n")).collect()
     assert all(r.row_index == r.n for r in pairs) and len(pairs) == 2000
@@ -165,3 +167,119 @@ def test_stream_of_files(spark, dictionary, batches, now, tmp_path):
     assert sum(r.processing_status == "cache_hit" for r in rows) == 1
     everything = enrich(batches[0].unionByName(batches[1]), dictionary, now=now)
     assert everything.new_identities.count() == job.table("identity_cache").count()
+
+
+def plain_records(text, sep=","):
+    """One character after another: records of cells, and whether the last one is closed."""
+    out, record, cell, inside, i = [], [], "", False, 0
+
+    def ends(at):
+        rest = text[at:].lstrip(" ")
+        return rest == "" or rest[0] in sep + "\n" or rest.startswith("\r\n")
+
+    start = True
+    while i < len(text):
+        c = text[i]
+        if inside:
+            if c == '"' and text[i + 1 : i + 2] == '"':
+                cell += '"'
+                i += 1
+            elif c == '"' and ends(i + 1):
+                inside = False
+                while text[i + 1 : i + 2] == " ":
+                    i += 1
+            else:
+                cell += c
+        elif c == '"' and start:
+            inside, start = True, False
+        elif c == sep:
+            record.append(cell)
+            cell, start = "", True
+        elif c == "\n" or text.startswith("\r\n", i):
+            i += c == "\r"
+            if record or cell or not start:
+                out.append([*record, cell])
+            record, cell, start = [], "", True
+        else:
+            cell, start = cell + c, False
+        i += 1
+    if record or cell or not start:
+        out.append([*record, cell])
+    return out, not inside
+
+
+@pytest.fixture
+def tiny_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64b")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_records_that_span_lines_and_splits(spark, tmp_path, tiny_splits):
+    rng = np.random.default_rng(6)
+    pieces = ['"a', 'b"', "x", ",", ",", "\n", "\n", '""', '"', " ", "long text without end ", "\r\n",
+              '"q, ""r"" \n s"', "\n\n", 'say "hi"', '",', ',"']
+    for n in range(6):
+        text = "h1,h2\n"
+        while len(text) < 1500:
+            text += "".join(rng.choice(pieces, 30))
+        text += '"\n' if not plain_records(text)[1] else ""
+        want, closed = plain_records(text)
+        (tmp_path / f"{n}.csv").write_text(text, newline="")
+        got = S.read_csv(spark, str(tmp_path / f"{n}.csv"))
+        rows = got.rows.orderBy("block", "pos").collect()
+        cells = [[*r.cells, *(r.surplus or [])] for r in rows]
+        assert closed and cells == [w + [""] * (2 - len(w)) for w in want[1:]]
+        assert got.rejects.count() == 0
+        assert len({r.block for r in rows}) > 3
+
+
+def test_line_breaks_are_kept_and_headers_may_hold_one(spark, now, tmp_path):
+    text = '\r\n"first\nname";email\r\n"a\r\nb";"c\n\nd"\r\n\r\nx;\r\n'
+    (tmp_path / "h.csv").write_text(text, newline="")
+    got = S.read_csv(spark, str(tmp_path / "h.csv"))
+    assert got.headers == ["first\nname", "email"]
+    assert [r.cells for r in got.rows.orderBy("pos").collect()] == [["a\r\nb", "c\n\nd"], ["x", ""]]
+    (tmp_path / "m.csv").write_text('a,b\r1,"x\ry"\r2,z\r', newline="")
+    got = S.read_csv(spark, str(tmp_path / "m.csv"))
+    assert [r.cells for r in got.rows.orderBy("pos").collect()] == [["1", "x\ry"], ["2", "z"]]
+
+
+def test_long_cells_in_short_and_surplus_rows(spark, now, tmp_path):
+    long = "x" * 100_000
+    text = f'name,bio,email\nA,"{long}"\nB,"{long}",e,"{long}""{long}"\n'
+    text += f'C,"{long}\n{long}",c@x\nD,{long}'
+    _, rows = payloads(spark, now, tmp_path, text)
+    assert [r["name"] for r in rows] == ["A", "B", "C", "D"]
+    assert [len(r["bio"]) for r in rows] == [100_000, 100_000, 200_001, 100_000]
+    assert len(rows[1][S.SURPLUS][0]) == 200_001 and rows[2]["email"] == "c@x"
+
+
+def test_rejects(spark, now, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes(b'name,bio\nA,x\nB,"caf\xff"\n\nC,"never\nclosed\n,\n')
+    (folder / "b.csv").write_bytes(b'name,bio\nD,"two\nlines"\n')
+    got = S.read_csv(spark, str(folder))
+    assert sorted(r.cells for r in got.rows.collect()) == [["A", "x"], ["B", "caf�"], ["D", "two\nlines"]]
+    assert sorted((r.file[-5:], r.line, r.raw, r.reason, r.kept) for r in got.rejects.collect()) == [
+        ("a.csv", 3, 'B,"caf�"', "bad_encoding", True), ("a.csv", 5, 'C,"never', "unclosed_quote", False),
+        ("a.csv", 6, "closed", "unclosed_quote", False), ("a.csv", 7, ",", "unclosed_quote", False),
+    ]
+    limited = R.scan(spark, str(folder / "b.csv"), longest=8)
+    assert limited.rows.count() == 0
+    assert {(r.line, r.reason) for r in limited.rejects.collect()} == {
+        (2, "record_too_long"), (3, "record_too_long")}
+
+
+def test_one_file_is_read_by_many_tasks(spark, now, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200kb")
+    lines = [f'{i},"note {i}\nline, ""two"" {"z" * (i % 90)}"\n' for i in range(30_000)]
+    (tmp_path / "big.csv").write_text("n,note\n" + "".join(lines))
+    got = S.ingest_csv(spark, str(tmp_path / "big.csv"), "imp", now)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rows = got.creators.select(
+        "row_index", F.get_json_object("raw_payload", "$.n").cast("bigint").alias("n"),
+        F.get_json_object("raw_payload", "$.note").alias("note")).collect()
+    assert len(rows) == 30_000 and all(r.row_index == r.n for r in rows)
+    assert all(r.note == f'note {r.n}\nline, "two" {"z" * (r.n % 90)}' for r in rows)
