@@ -375,3 +375,6 @@ UNION ALL
 SELECT o_orderpriority, (SELECT max(o_orderkey) FROM {orders}) * 9 div 10, 2, 'open,"never closed'
 FROM {orders} GROUP BY o_orderpriority
 """
+
+# a record's micro-batch is the remainder of its row_index
+STREAM_BATCHES = 4

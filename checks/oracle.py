@@ -7,6 +7,8 @@ look-around or back-references are spelled differently than in the engine.
 
 from __future__ import annotations
 
+import re
+
 from checks import fixtures as X
 from personae.config import (
     COLUMN_ALIASES,
@@ -643,7 +645,42 @@ SELECT b.id, key_type, identity_cache_id, c.first_name AS c_first_name, c.last_n
 FROM batch_keys b JOIN cache_keys USING (key_type, key_value)
 LEFT JOIN cache c ON c.id = identity_cache_id""")
 ORACLES["enrich_snapshot"] = sql(run(False, False), ENRICHED)
-ORACLES["enrich_stream"] = ORACLES["enrich_snapshot"]
+
+
+def stream() -> str:
+    """One snapshot run after another; each starts from what the earlier ones wrote."""
+    fields = "first_name, last_name, display_name, platform, profile_url, email, social_handle, "
+    fields += "confidence_score, confidence_source"
+    steps = [c for c in run(False, False) if c not in NORM + NO_CACHE]
+    names = [re.match(r"\w+", c).group() for c in steps] + ["cache", "cache_keys"]
+    any_name = re.compile(rf"\b({'|'.join(sorted(names, key=len, reverse=True))})\b(?!['(])")
+    nothing = ", ".join(f"'' AS {f}" if "score" not in f else f"0 AS {f}" for f in fields.split(", "))
+    out = NORM + [
+        cte("cache_0", f"SELECT '' AS id, {nothing} WHERE false"),
+        cte("cache_keys_0", "SELECT '' AS key_type, '' AS key_value, '' AS identity_cache_id WHERE false"),
+    ]
+    for n in range(X.STREAM_BATCHES):
+        for step in steps:
+            step = step.replace(
+                "NULL, NULL, NULL, c.email, NULL, coalesce",
+                "c.display_name, c.platform, c.profile_url, c.email, c.social_handle, coalesce",
+            )
+            step = any_name.sub(lambda m, n=n: f"{m.group()}_{n}", step)
+            if step.startswith(f"batch_{n} "):
+                step = cte(f"batch_{n}", f"SELECT * FROM norm WHERE row_index % {X.STREAM_BATCHES} = {n}")
+            out.append(step)
+        out += [
+            cte(f"cache_{n + 1}", f"SELECT * FROM cache_{n} UNION ALL SELECT write_id, {fields} "
+                                  f"FROM final_{n} WHERE write_action = 'create'"),
+            cte(f"cache_keys_{n + 1}", f"SELECT * FROM cache_keys_{n} UNION ALL SELECT key_type, "
+                f"key_value, write_id FROM first_writers_{n} JOIN writes_{n} USING (id)"),
+        ]
+    parts = [ENRICHED.replace("FROM final", f", {n} AS batch_id FROM final_{n}").replace(
+        "identity_cache_id ,", "identity_cache_id,") for n in range(X.STREAM_BATCHES)]
+    return sql(out, " UNION ALL ".join(parts))
+
+
+ORACLES["enrich_stream"] = stream()
 
 
 def in_order() -> list[str]:

@@ -643,19 +643,25 @@ def sequential_logs(spark, sf_dir):
 
 @query
 def enrich_stream(spark, sf_dir):
-    """The orders file as a stream; its micro-batch runs like enrich_snapshot."""
-    orders = X.read(spark, sf_dir, "orders")
+    """All imports in four micro-batches that share keys; the last one is delivered twice."""
+    folder = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = X.creators(spark, sf_dir)
+    for batch in range(X.STREAM_BATCHES):
+        # four files, so four files a trigger are one batch
+        rows.where(F.col("row_index") % X.STREAM_BATCHES == batch).repartition(4).write.mode(
+            "append"
+        ).parquet(f"{folder}/landing")
     stream = (
-        spark.readStream.schema(orders.schema).option("pathGlobFilter", "orders.parquet")
-        .parquet(sf_dir)
+        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4)
+        .parquet(f"{folder}/landing")
     )
-    rows = spark.sql(X.RAW_IMPORT, orders=stream, part=X.read(spark, sf_dir, "part"))
-    folder = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
-    job = IncrementalEnrichment(spark, f"{folder}/state", X.dictionary(spark, sf_dir))
-    job.start(
-        X.new_creators(rows, X.now()), f"{folder}/progress", availableNow=True
-    ).awaitTermination()
-    return job.table("creators").select(*enriched_columns())
+    job = IncrementalEnrichment(
+        spark, f"{folder}/state", X.dictionary(spark, sf_dir), buckets=8
+    )
+    job.start(stream, f"{folder}/progress", availableNow=True).awaitTermination()
+    last = X.STREAM_BATCHES - 1
+    job.run_batch(rows.where(F.col("row_index") % X.STREAM_BATCHES == last), last)
+    return job.table("creators").select(*enriched_columns(), "batch_id")
 
 
 # --- duplicates and reports --------------------------------------------------------------

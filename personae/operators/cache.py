@@ -7,6 +7,7 @@ stored identities are never overwritten by fresh evidence.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,17 @@ from personae.schema import IDENTITY_CACHE, IDENTITY_CACHE_KEYS, conform
 KEY = ["key_type", "key_value"]
 
 
+class Stored(Protocol):
+    """A table that reads only what may match some keys (see ``streaming.store``)."""
+
+    def touching(self, keys: DataFrame) -> DataFrame: ...
+
+
+def matching(table: DataFrame | Stored, keys: DataFrame) -> DataFrame:
+    """The rows of a cache table that may match ``keys``; all rows of a plain table."""
+    return table if isinstance(table, DataFrame) else table.touching(keys)
+
+
 def record_keys(
     df: DataFrame, email: Column, username: Column, profile_url: Column, *carry: str
 ) -> DataFrame:
@@ -74,11 +86,16 @@ def match_status(ids: Column) -> Column:
 
 
 def lookup(
-    records: DataFrame, cache_keys: DataFrame, row_id: str = "id", hot_rows: int = HOT_ROWS
+    records: DataFrame, cache_keys: DataFrame | Stored, row_id: str = "id",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add cache_status (miss / hit / conflict) and matched_ids to normalized records."""
-    stored = cache_keys.select(*KEY, "identity_cache_id")
-    found = skew_join(lookup_keys(records, row_id), stored, KEY, row_id, "inner", hot_rows)
+    """Add cache_status (miss / hit / conflict) and matched_ids to normalized records.
+
+    ``records`` are scanned several times: pass narrow stored rows.
+    """
+    keys = lookup_keys(records, row_id)
+    stored = matching(cache_keys, keys.select(*KEY)).select(*KEY, "identity_cache_id")
+    found = skew_join(keys, stored, KEY, row_id, "inner", hot_rows)
     matches = found.groupBy(row_id).agg(
         distinct_in_key_order(F.col("key_pos"), F.col("identity_cache_id")).alias("matched_ids")
     )
@@ -88,10 +105,11 @@ def lookup(
 
 
 def attach_identities(
-    records: DataFrame, identity_cache: DataFrame, on: str, row_id: str = "id",
+    records: DataFrame, identity_cache: DataFrame | Stored, on: str, row_id: str = "id",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Left-join the cached fields as c_* columns."""
+    identity_cache = matching(identity_cache, records.select(F.col(on).alias("id")))
     fields = [
         "first_name", "last_name", "display_name", "platform", "profile_url", "email",
         "social_handle", "confidence_score", "confidence_source",
@@ -109,7 +127,7 @@ class CacheWrites:
 
 
 def plan_writes(
-    writers: DataFrame, cache_keys: DataFrame, order: list[str], row_id: str = "id",
+    writers: DataFrame, cache_keys: DataFrame | Stored, order: list[str], row_id: str = "id",
     hot_rows: int = HOT_ROWS,
 ) -> CacheWrites:
     """Decide what a batch of writers adds to the cache as of batch start.
@@ -119,7 +137,7 @@ def plan_writes(
     that identity, first writer of a key wins. Several matches: skipped.
     """
     keys = write_keys(writers, row_id, *order)
-    stored = cache_keys.select(*KEY, "identity_cache_id")
+    stored = matching(cache_keys, keys.select(*KEY)).select(*KEY, "identity_cache_id")
     seen = skew_join(keys, stored, KEY, row_id, "left", hot_rows)
     per_record = Window.partitionBy(row_id)  # at most three keys
     seen = seen.withColumns(

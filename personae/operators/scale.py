@@ -1,6 +1,7 @@
 """Building blocks that keep plans healthy on large and skewed tables.
 
 * ``materialize``  - cut lineage with a table in the cluster's shared folder
+* ``scratch_scope`` - drop those tables once their results are stored
 * ``fits_broadcast`` - the size check in front of a broadcast
 * ``skew_join``    - equi-join whose hot keys are measured and salted
 * ``dense_index``  - 0..n-1 numbering per group without a one-task window
@@ -9,7 +10,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 from operator import and_
 
@@ -28,6 +31,7 @@ HOT_ROWS = 1_000_000
 SKETCH = 2_000
 CERTAIN = 500
 
+
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir``.
 
@@ -39,6 +43,32 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Drop the tables that ``materialize`` writes inside, once the block has ended well.
+
+    What is to outlive the block must be written elsewhere.
+    """
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+    for path in paths:
+        drop_folder(spark, path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -48,6 +78,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/personae/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (paths := _scope.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -118,7 +118,8 @@ def _show_hits(df: DataFrame) -> DataFrame:
 
 def enrich(
     creators: DataFrame, dictionary: NameDictionary,
-    identity_cache: DataFrame | None = None, identity_cache_keys: DataFrame | None = None,
+    identity_cache: DataFrame | C.Stored | None = None,
+    identity_cache_keys: DataFrame | C.Stored | None = None,
     pages: DataFrame | None = None, mode: str = "sequential",
     weights: Weights = DEFAULT_WEIGHTS, import_order: Column | None = None,
     run_id: str = "run", now: Column | None = None, hot_rows: int = HOT_ROWS,
@@ -145,6 +146,8 @@ def enrich(
     records = normalize_records(incoming.where("record_error IS NULL"), descriptors).select(
         "id", "import_id", "row_index", rank.alias("import_rank"), *NORMALIZED
     )
+    # normalized once: the lookup and the joins to come measure keys before they use them
+    records = materialize(records, "normalized")
     if mode == "snapshot":
         records = _hide_hits(C.lookup(records, keys, hot_rows=hot_rows))
     evidence = gather_candidates(records, dictionary, pages, weights, hot_rows, descriptors)
@@ -173,7 +176,8 @@ def enrich(
         created = materialize(
             C.new_identities(_fresh_result(evidence.join(creates, "id")), now), "created"
         )
-        visible = conform(cache, IDENTITY_CACHE).unionByName(created)
+        known = C.matching(cache, decisions.select(hit_id.alias("id")))
+        visible = conform(known, IDENTITY_CACHE).unionByName(created)
         outcome = C.attach_identities(
             decisions.withColumn("hit_id", hit_id), visible, "hit_id", hot_rows=hot_rows
         )

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from personae.config import DEFAULT_WEIGHTS, Weights
+from personae.config import DEFAULT_DESCRIPTORS, DEFAULT_WEIGHTS, Descriptors, Weights
+from personae.operators.cache import KEY
 from personae.operators.dictionary import NameDictionary
-from personae.plans.enrich import EnrichResult, enrich
+from personae.operators.scale import scratch_scope
+from personae.plans.enrich import enrich
 from personae.schema import (
     CREATORS,
     IDENTITY_CACHE,
@@ -21,13 +23,16 @@ from personae.schema import (
     PROFILE_SNAPSHOTS,
     empty,
 )
+from personae.streaming.store import KeyedStore
 
-TABLES: dict[str, T.StructType] = {
+APPENDED: dict[str, T.StructType] = {
     "creators": CREATORS,
     "processing_logs": PROCESSING_LOGS,
     "profile_snapshots": PROFILE_SNAPSHOTS,
-    "identity_cache": IDENTITY_CACHE,
-    "identity_cache_keys": IDENTITY_CACHE_KEYS,
+}
+KEYED: dict[str, tuple[T.StructType, list[str]]] = {
+    "identity_cache": (IDENTITY_CACHE, ["id"]),
+    "identity_cache_keys": (IDENTITY_CACHE_KEYS, KEY),
 }
 
 
@@ -35,9 +40,11 @@ TABLES: dict[str, T.StructType] = {
 class IncrementalEnrichment:
     """State folder plus the inputs that do not change between batches.
 
-    Each table is a folder with one sub-folder per batch. A batch reads only the
-    cache rows of earlier batches and overwrites its own sub-folders, so replaying
-    it after a failure gives the same rows and never sees the keys it wrote before.
+    Records, logs and snapshots are folders with one sub-folder per batch. The identity cache
+    and its keys are keyed stores: a batch reads the buckets that its keys fall into, as
+    earlier batches left them, and commits its own rows. Replaying the last batch after a
+    failure gives the same rows and never sees the keys it wrote before. Scratch tables of a
+    batch go as soon as it is committed.
     """
 
     spark: SparkSession
@@ -45,10 +52,23 @@ class IncrementalEnrichment:
     dictionary: NameDictionary
     pages: DataFrame | None = None
     weights: Weights = DEFAULT_WEIGHTS
+    descriptors: Descriptors = DEFAULT_DESCRIPTORS
+    buckets: int = 64
+
+    def store(self, name: str, before: int | None = None) -> KeyedStore:
+        schema, keys = KEYED[name]
+        return KeyedStore(
+            self.spark, f"{self.state_dir}/{name}", schema, keys, before, self.buckets
+        )
 
     def table(self, name: str, before: int | None = None) -> DataFrame:
-        """Stored rows of a table, optionally only those of batches < ``before``."""
-        schema = T.StructType([*TABLES[name].fields, T.StructField("batch_id", T.LongType())])
+        """Stored rows of a table, optionally only those of batches < ``before``.
+
+        Of the identity cache and its keys, only the last two states are kept.
+        """
+        if name in KEYED:
+            return self.store(name, before).rows()
+        schema = T.StructType([*APPENDED[name].fields, T.StructField("batch_id", T.LongType())])
         try:
             rows = self.spark.read.schema(schema).parquet(f"{self.state_dir}/{name}")
         except AnalysisException as error:
@@ -57,30 +77,32 @@ class IncrementalEnrichment:
             return empty(self.spark, schema)  # before the first batch
         return rows if before is None else rows.where(F.col("batch_id") < before)
 
-    def run_batch(self, rows: DataFrame, batch_id: int) -> EnrichResult:
+    def run_batch(self, rows: DataFrame, batch_id: int) -> None:
         """Enrich one batch of creators rows and store its outputs."""
-        cache = self.table("identity_cache", batch_id).drop("batch_id")
-        keys = self.table("identity_cache_keys", batch_id).drop("batch_id")
-        now = F.current_timestamp()
-        result = enrich(
-            rows, self.dictionary, cache, keys, self.pages, mode="snapshot",
-            weights=self.weights, run_id=f"batch-{batch_id}", now=now,
-        )
-        outputs = {
-            "creators": result.creators,
-            "processing_logs": result.logs,
-            "profile_snapshots": result.snapshots,
-            "identity_cache": result.new_identities,
-            "identity_cache_keys": result.new_keys,
-        }
-        for name, df in outputs.items():
-            target = f"{self.state_dir}/{name}/batch_id={batch_id}"
-            df.write.mode("overwrite").parquet(target)
-        return result
+        stores = {name: self.store(name, batch_id) for name in KEYED}
+        with scratch_scope(self.spark):
+            result = enrich(
+                rows, self.dictionary, stores["identity_cache"], stores["identity_cache_keys"],
+                self.pages, mode="snapshot", weights=self.weights,
+                descriptors=self.descriptors, run_id=f"batch-{batch_id}",
+                now=F.current_timestamp(),
+            )
+            outputs = {
+                "creators": result.creators,
+                "processing_logs": result.logs,
+                "profile_snapshots": result.snapshots,
+            }
+            for name, df in outputs.items():
+                df.write.mode("overwrite").parquet(
+                    f"{self.state_dir}/{name}/batch_id={batch_id}"
+                )
+            # keys last: who finds a key finds its identity
+            stores["identity_cache"].commit(result.new_identities, batch_id)
+            stores["identity_cache_keys"].commit(result.new_keys, batch_id)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Attach to a streaming DataFrame of creators rows."""
         writer = stream.writeStream.foreachBatch(
-            lambda rows, batch_id: self.run_batch(rows, batch_id) and None
+            self.run_batch
         ).option("checkpointLocation", checkpoint)
         return (writer.trigger(**trigger) if trigger else writer).start()

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from personae.operators.scale import (
     hot_keys,
     materialize,
     scratch_dir,
+    scratch_scope,
     skew_join,
 )
 
@@ -95,3 +97,12 @@ def test_dense_index(spark):
         for n, o in enumerate(sorted(o for x, o in rows if x == g)):
             expected[(g, o)] = n
     assert got == expected
+
+
+def test_scratch_scope_drops_its_tables(spark):
+    before = materialize(spark.range(3), "kept")
+    with scratch_scope(spark):
+        inner = materialize(spark.range(5), "dropped")
+        assert inner.count() == 5
+        path = inner.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert not Path(path).exists() and before.count() == 3
