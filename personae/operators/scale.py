@@ -115,14 +115,15 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> list[tuple[in
 
 def skew_join(
     fact: DataFrame, dim: DataFrame, on: Sequence[str], row_id: str | Sequence[str],
-    how: str = "left", hot_rows: int = HOT_ROWS,
+    how: str = "left", hot_rows: int = HOT_ROWS, hot: list[tuple[int, int]] | None = None,
 ) -> DataFrame:
     """Equi-join where any share of ``fact`` may sit on one key.
 
     Rows of hot keys get a salt from their ``row_id`` hash and the matching ``dim``
     row is copied once per salt. Rows with a NULL key match nothing; in a left join
     they are spread instead of meeting in one task. ``fact`` is scanned once more to
-    measure its keys: join narrow or stored tables.
+    measure its keys: join narrow or stored tables. ``hot`` are ``hot_keys`` measured before,
+    on the same or more rows.
     """
     keys = list(on)
     # the hashes below depend on the type; a value that only the wider one holds has no match
@@ -132,7 +133,7 @@ def skew_join(
             if not (isinstance(mine, IntegralType) and isinstance(other, IntegralType)):
                 raise TypeError(f"key {k} is {mine.simpleString()} and {other.simpleString()}")
             dim = dim.withColumn(k, F.col(k).try_cast(mine))
-    hot = hot_keys(fact, keys, hot_rows)
+    hot = hot_keys(fact, keys, hot_rows) if hot is None else hot
     spread = F.xxhash64(*([row_id] if isinstance(row_id, str) else row_id))
     none = F.lit(0).cast("bigint")
     if hot:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from personae.operators import cache as C
 from personae.operators.report import import_stats, resume_rows
 from personae.plans.enrich import enrich
+from personae.plans import sequential
 from personae.plans.sequential import decide_in_order
 from personae.schema import CREATORS, IDENTITY_CACHE, IDENTITY_CACHE_KEYS, conform, new_creators
 
@@ -34,37 +35,30 @@ def one_by_one(rows, owners):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_rounds_equal_one_by_one(spark, seed):
-    rng = random.Random(seed)
-    n = 60
-    batch, evidence = [], []
-    for i in range(n):
-        email = f"e{rng.randrange(12)}" if rng.random() < 0.6 else None
-        user = f"u{rng.randrange(6)}" if rng.random() < 0.6 else None
-        url = f"http://x.com/p{rng.randrange(25)}" if rng.random() < 0.5 else None
-        handle = f"u{rng.randrange(6)}" if url and rng.random() < 0.5 else user
-        good = rng.random() < 0.6
-        rid = f"r{i:03d}"
+OLD = {("email", "e0"): "old-1", ("username", "u0"): "old-2", ("email", "e1"): "old-2"}
 
-        def keys(u):
-            return ([("email", email)] if email else []) + ([("username", u)] if u else []) + (
-                [("profile_url", url[7:])] if url else [])
 
-        batch.append((rid, keys(user), keys(handle), good))
-        evidence.append((rid, i, email, user, url, email, handle, url,
-                         "enriched" if good else "needs_review"))
-    owners = {("email", "e0"): "old-1", ("username", "u0"): "old-2", ("email", "e1"): "old-2"}
+def assert_in_order(spark, rows, shuffle, owners=OLD, hot_rows=3):
+    """rows: (read, written, enriched), each with email, username and profile URL, in order."""
+    kinds = ("email", "username", "profile_url")
+    batch, evidence = [], []
+    for i, (read, write, good) in enumerate(rows):
+        rid = f"r{i:05d}"
+        keys = [[(t, v) for t, v in zip(kinds, r, strict=True) if v] for r in (read, write)]
+        batch.append((rid, *keys, good))
+        full = [(e, u, v and f"http://{v}") for e, u, v in (read, write)]
+        evidence.append((rid, i, *full[0], *full[1], "enriched" if good else "needs_review"))
+    owners = dict(owners)
+    old = dict(owners)
     stored = spark.createDataFrame([(t, v, o) for (t, v), o in owners.items()],
                                    "key_type string, key_value string, identity_cache_id string")
     expected = one_by_one(batch, owners)
-
     df = spark.createDataFrame(
-        rng.sample(evidence, n),
+        shuffle(evidence),
         "id string, row_index int, n_email string, n_username string, n_profile_url string, "
         "resolved_email string, resolved_social_handle string, resolved_profile_url string, "
         "w_processing_status string")
-    decisions, written = decide_in_order(df, stored, F.struct("row_index"), hot_rows=3)
+    decisions, written = decide_in_order(df, stored, F.struct("row_index"), hot_rows=hot_rows)
     named = {r.i: r.id for r in df.select("id", C.identity_id(F.col("id")).alias("i")).collect()}
 
     def name(identity):
@@ -77,8 +71,69 @@ def test_rounds_equal_one_by_one(spark, seed):
             assert got.pop(rid) == expected[rid], rid
     assert not got
     added = {(r.key_type, r.key_value): name(r.identity_cache_id) for r in written.collect()}
-    assert added == {k: o for k, o in owners.items() if not o.startswith("old") or k not in {
-        ("email", "e0"), ("username", "u0"), ("email", "e1")}}
+    assert added == {k: o for k, o in owners.items() if k not in old}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rounds_equal_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(60):
+        email = f"e{rng.randrange(12)}" if rng.random() < 0.6 else None
+        user = f"u{rng.randrange(6)}" if rng.random() < 0.6 else None
+        url = f"x.com/p{rng.randrange(25)}" if rng.random() < 0.5 else None
+        handle = f"u{rng.randrange(6)}" if url and rng.random() < 0.5 else user
+        rows.append(((email, user, url), (email, handle, url), rng.random() < 0.6))
+    assert_in_order(spark, rows, lambda e: rng.sample(e, len(e)))
+
+
+@pytest.fixture
+def steps(monkeypatch):
+    """Counts rounds and doubling steps by the tables that they store."""
+    counted = []
+    plain = sequential.materialize
+
+    def counting(df, label):
+        if label in ("seen", "chain-links"):
+            counted.append(label)
+        return plain(df, label)
+
+    monkeypatch.setattr(sequential, "materialize", counting)
+    return counted
+
+
+def chain(n, rng=None):
+    """Record i shares a key with record i - 1, another one with record i + 1."""
+    rows = []
+    for i in range(n):
+        own = [f"k{i}", f"k{i + 1}"][:: 1 if i % 2 else -1]
+        read = write = (*own, None)
+        if rng:
+            kind = rng.random()
+            write = (None, own[1], f"p{i}") if kind < 0.3 else (own[0], None, f"p{i}") if kind < 0.5 else write
+        rows.append((read, write, not rng or rng.random() < 0.9))
+    return rows
+
+
+def test_a_long_chain_takes_few_rounds(spark, steps):
+    assert_in_order(spark, chain(1000), lambda e: e, hot_rows=10_000)
+    assert len(steps) <= 12
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chains_of_copies_and_of_other_kinds(spark, seed, steps):
+    rng = random.Random(seed)
+    rows = [r for r in chain(80, rng) for _ in range(rng.choice([1, 1, 2, 3]))]
+    rows = [r for r in rows if rng.random() < 0.97]
+    assert_in_order(spark, rows, lambda e: rng.sample(e, len(e)), {("email", "k9"): "old"}, 100)
+
+
+def test_chains_through_written_keys(spark):
+    """Keys that are only written pass the identity on instead of hiding the record."""
+    rows = []
+    for i in range(40):
+        rows.append(((f"e{i}", None, None), (None, f"u{i // 2}" if i % 3 else f"u{i}", f"p{i // 3}"), True))
+    assert_in_order(spark, rows, lambda e: e[::-1], {("email", "e7"): "old"}, 100)
 
 
 # --- end to end ---------------------------------------------------------------------------------
