@@ -273,6 +273,16 @@ JOIN (SELECT import_id, lower(trim(raw_email)) AS email, min(row_index) AS keep
 WHERE r.row_index <> g.keep
 """
 
+# within some fifty neighbours of an import each record is merged into the one before, in order
+MERGE_CHAINS = """
+SELECT seq, source_id, target_id FROM (
+  SELECT row_index AS seq, CAST(row_index AS STRING) AS source_id,
+    CAST(lag(row_index) OVER (PARTITION BY import_id, row_index - row_index % 1000
+                              ORDER BY row_index) AS STRING) AS target_id
+  FROM {raw_import}) AS chained
+WHERE target_id IS NOT NULL
+"""
+
 UNMERGE_REQUESTS = """
 SELECT row_index AS seq,
   CASE WHEN row_index % 100 = 7 THEN 'nobody' ELSE CAST(row_index AS STRING) END AS creator_id

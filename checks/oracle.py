@@ -1046,6 +1046,18 @@ STATE = f"""id, {IDENTITY}, CAST(confidence_score AS VARCHAR) AS confidence_scor
   confidence_source, processing_status, CAST(needs_review AS BIGINT) AS needs_review,
   review_status, identity_cache_id, duplicate_of_creator_id"""
 ORACLES["merge"] = sql(MERGED, f"SELECT {STATE} FROM merged")
+IN_CHAIN = "OVER (PARTITION BY import_id, row_index - row_index % 1000 ORDER BY row_index)"
+ORACLES["merge_chains"] = sql(RESOLVED + [cte("chained", f"""
+  SELECT *, first_value(id) {IN_CHAIN} AS head, lag(id) {IN_CHAIN} AS target,
+    first_value(identity_cache_id IGNORE NULLS) {IN_CHAIN} AS link
+  FROM res""")] + [cte("merged", "SELECT s.id, " + ", ".join(
+    f"h.resolved_{c} AS {c}" for c in FIELDS) + """,
+    CASE WHEN s.target IS NULL THEN s.confidence_score ELSE coalesce(h.confidence_score, 0) END
+      AS confidence_score, h.confidence_source, h.processing_status,
+    s.target IS NULL AND s.needs_review AS needs_review,
+    CASE WHEN s.target IS NULL THEN s.review_status ELSE 'approved' END AS review_status,
+    s.link AS identity_cache_id, coalesce(s.target, s.duplicate_of_creator_id) AS duplicate_of_creator_id
+  FROM chained s JOIN res h ON h.id = s.head""")], f"SELECT {STATE} FROM merged")
 ORACLES["merge_logs"] = sql(MERGED, """
 SELECT source_id AS creator_id, 'merged_duplicate' AS step, target_id AS target,
   resolved_first_name AS first_name, CAST(coalesce(confidence_score, 0) AS VARCHAR) AS score,

@@ -947,6 +947,14 @@ def merge(spark, sf_dir):
     return merged(spark, sf_dir).creators.select(*state_columns())
 
 
+@query
+def merge_chains(spark, sf_dir):
+    """Records merged into records that were merged before them, some fifty times over."""
+    pairs = X.derived(spark, sf_dir, X.MERGE_CHAINS)
+    result = V.merge_duplicates(X.resolved_creators(spark, sf_dir), pairs, X.now(), "chains")
+    return result.creators.select(*state_columns())
+
+
 @query
 def merge_logs(spark, sf_dir):
     logs = merged(spark, sf_dir).logs

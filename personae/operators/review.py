@@ -14,7 +14,13 @@ from pyspark.sql import functions as F
 from personae.config import OVERRIDABLE_FIELDS, PIPELINE_VERSION
 from personae.functions.text import js_trim
 from personae.operators.cache import create_identities, identity_id, resolved_or_raw
-from personae.operators.scale import HOT_ROWS, dense_index, materialize, skew_join
+from personae.operators.scale import (
+    HOT_ROWS,
+    dense_index,
+    last_before,
+    materialize,
+    skew_join,
+)
 from personae.plans.enrich import log_rows
 from personae.schema import (
     CREATORS,
@@ -292,15 +298,20 @@ def _snapshot() -> Column:
     )
 
 
+_COPIED = [f"resolved_{c}" for c in RESOLVED] + [
+    "confidence_score", "confidence_source", "processing_status", "pipeline_version",
+]
+
+
 def merge_duplicates(
     creators: DataFrame, pairs: DataFrame, now: Column, run_id: str,
     hot_rows: int = HOT_ROWS,
 ) -> ReviewResult:
     """``pairs`` (seq, source_id, target_id): the source takes over the target's identity.
 
-    Merges that touch a record another merge changes run in waves, so the result
-    is that of running them one by one; merging many records into one target is a
-    single wave.
+    The result is that of running them one by one. A source gets what its target has at that
+    moment, which may be what an earlier merge gave the target; where that began is found by
+    pointer doubling over the merges, in steps that grow with the logarithm of the longest chain.
     """
     checked = _in_order(pairs, "source_id", hot_rows)
     checked = _with_existing(checked, creators, "source_id", "_source", hot_rows)
@@ -318,78 +329,141 @@ def merge_duplicates(
     involved = todo.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
     original = conform(creators, CREATORS)
     state = materialize(original.join(involved, "id", "left_semi"), "merge-state")
-    changed = state.limit(0)
-    logs = None
-    while not todo.isEmpty():
-        ready, todo = _next_wave(todo, hot_rows)
-        merged = materialize(_merge_wave(ready, state, hot_rows), "merged")
-        wave_logs = merged.select(
-            F.col("id").alias("creator_id"), "seq",
-            F.lit("merged_duplicate").alias("step"), F.lit("success").alias("status"), "detail",
+    merges = _forwarded(todo, state, hot_rows)
+    merged = materialize(_merged(merges, state, hot_rows), "merged")
+    last = merged.groupBy("id").agg(F.max("seq").alias("seq"))
+    changed = conform(
+        merged.join(last, ["id", "seq"], "left_semi").withColumn("updated_at", now), CREATORS
+    )
+    logs = merged.select(
+        F.col("id").alias("creator_id"), "seq", F.lit("merged_duplicate").alias("step"),
+        F.lit("success").alias("status"), "detail",
+    )
+    updated = original.join(last.select("id"), "id", "left_anti").unionByName(changed)
+    return ReviewResult(updated, log_rows(logs, run_id, now), bad)
+
+
+def _forwarded(todo: DataFrame, state: DataFrame, hot_rows: int) -> DataFrame:
+    """Merges with ``before``, ``root_id`` and ``identity``.
+
+    ``before``: the source's own merge before this one. ``root_id``: the record whose stored fields
+    arrive at the source. ``identity``: the identity link the source then has, which is the
+    target's or, where that has none, its own.
+    """
+    touched = todo.select(
+        F.col("source_id").alias("id"), "seq", F.col("seq").alias("merge"), F.lit(True).alias("own")
+    ).unionByName(
+        todo.select(F.col("target_id").alias("id"), "seq", F.lit(None).cast("bigint").alias("merge"),
+                    F.lit(False).alias("own"))
+    )
+    earlier = last_before(materialize(touched, "touched"), "id", "seq", "merge", "_earlier", hot_rows)
+    earlier = earlier.groupBy("seq").agg(
+        F.max(F.when(F.col("own"), F.col("_earlier"))).alias("before"),
+        F.max(F.when(~F.col("own"), F.col("_earlier"))).alias("pointer"),
+    )
+    links = state.select(F.col("id").alias("source_id"), F.col("identity_cache_id").alias("_link"))
+    merges = materialize(
+        skew_join(todo.join(earlier, "seq"), links, ["source_id"], "seq", "left", hot_rows),
+        "merge-links",
+    )
+    own, own_open = F.col("_link"), F.col("before").isNotNull()
+    while True:
+        # what the merge adds if the target comes without a link; open: not known yet
+        steps = merges.select(
+            "seq", "pointer", F.when(~own_open, own).alias("link"), own_open.alias("open"),
+            F.when(F.col("pointer").isNull(), F.col("target_id")).alias("root_id"),
         )
-        logs = wave_logs if logs is None else logs.unionByName(wave_logs)
-        done = conform(merged.withColumn("updated_at", now), CREATORS)
-        state = state.join(done.select("id"), "id", "left_anti").unionByName(done)
-        changed = changed.join(done.select("id"), "id", "left_anti").unionByName(done)
-        if not todo.isEmpty():
-            state = materialize(state, "merge-state")
-            changed = materialize(changed, "changed")
-    if logs is None:
-        logs = state.limit(0).select(
-            F.col("id").alias("creator_id"), F.lit(0).cast("bigint").alias("seq"), F.lit("").alias("step"),
-            F.lit("").alias("status"), F.lit("").alias("detail"),
+        roots = state.select(
+            F.col("id").alias("root_id"), F.col("identity_cache_id").alias("_root_link")
         )
-    updated = original.join(changed.select("id"), "id", "left_anti").unionByName(changed)
-    return ReviewResult(updated, log_rows(logs, run_id, now), bad)
+        found = skew_join(_to_roots(steps, hot_rows), roots, ["root_id"], "seq", "left", hot_rows)
+        unclear = F.col("_root_link").isNull() & F.col("open")
+        found = materialize(
+            found.select(
+                "seq", "root_id", unclear.alias("unclear"),
+                F.coalesce("_root_link", "link").alias("identity"),
+            ), "merge-roots",
+        )
+        if found.where("unclear").isEmpty():
+            known = merges.select("seq", "source_id", "target_id", "before")
+            return materialize(known.join(found.drop("unclear"), "seq"), "forwarded")
+        # merges of a source that was merged before wait for what that merge gave it
+        settled = found.where("NOT unclear").select(
+            F.col("seq").alias("before"), F.col("identity").alias("_before_link"),
+            F.lit(True).alias("_settled"),
+        )
+        merges = materialize(
+            skew_join(
+                merges.drop("_before_link", "_settled"), settled, ["before"], "seq", "left", hot_rows
+            ), "merge-links",
+        )
+        own = F.when(F.col("before").isNull(), F.col("_link")).otherwise(F.col("_before_link"))
+        own_open = F.col("before").isNotNull() & F.col("_settled").isNull()
+
+
+def _to_roots(steps: DataFrame, hot_rows: int) -> DataFrame:
+    """Follow all pointers to their ends. Of the links on the way the farthest counts."""
+    steps = materialize(steps, "merge-steps")
+    while not steps.where("pointer IS NOT NULL").isEmpty():
+        next_ = steps.select(
+            F.col("seq").alias("pointer"), F.col("pointer").alias("_pointer"),
+            F.col("link").alias("_link"), F.col("open").alias("_open"),
+            F.col("root_id").alias("_root_id"),
+        )
+        on = F.col("pointer").isNotNull()
+        joined = skew_join(steps, next_, ["pointer"], "seq", "left", hot_rows)
+        steps = materialize(
+            joined.select(
+                "seq", F.col("_pointer").alias("pointer"),
+                F.when(on & F.col("_open"), F.lit(None)).otherwise(F.coalesce("_link", "link"))
+                .alias("link"),
+                F.when(on, F.col("_open") | (F.col("_link").isNull() & F.col("open")))
+                .otherwise(F.col("open")).alias("open"),
+                F.when(on, F.col("_root_id")).otherwise(F.col("root_id")).alias("root_id"),
+            ), "merge-steps",
+        )
+    return steps
+
 
+def _merged(merges: DataFrame, state: DataFrame, hot_rows: int) -> DataFrame:
+    """The source of each merge as the merge leaves it, with ``seq`` and the log's ``detail``."""
+    score = "confidence_score"
 
-def _next_wave(todo: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Split merges into those no earlier pending merge interferes with, and the rest."""
-    touches = todo.select(
-        "seq",
-        F.explode(
-            F.array(
-                F.struct(F.col("source_id").alias("id"), F.lit(True).alias("writes")),
-                F.struct(F.col("target_id").alias("id"), F.lit(False).alias("writes")),
-            )
-        ).alias("t"),
-    ).select("seq", "t.id", "t.writes")
-    first = touches.groupBy("id").agg(
-        F.min(F.when(F.col("writes"), F.col("seq"))).alias("first_write"),
-        F.min(F.when(~F.col("writes"), F.col("seq"))).alias("first_read"),
-    )
-    waits = F.coalesce(F.col("first_write") < F.col("seq"), F.lit(False)) | (
-        F.col("writes") & F.coalesce(F.col("first_read") < F.col("seq"), F.lit(False))
-    )
-    verdict = (
-        skew_join(touches, first, ["id"], "seq", "inner", hot_rows)
-        .groupBy("seq").agg(F.bool_or(waits).alias("waits"))
-    )
-    split = materialize(todo.join(verdict, "seq"), "merge-wave")
-    return split.where("NOT waits").drop("waits"), split.where("waits").drop("waits")
-
-
-def _merge_wave(ready: DataFrame, state: DataFrame, hot_rows: int) -> DataFrame:
-    copied = [f"resolved_{c}" for c in RESOLVED] + [
-        "confidence_score", "confidence_source", "processing_status", "pipeline_version",
-        "identity_cache_id",
-    ]
-    target = state.select(
-        F.col("id").alias("target_id"), *[F.col(c).alias(f"t_{c}") for c in copied]
-    )
-    source = ready.withColumnRenamed("source_id", "id").join(state, "id")
-    joined = skew_join(source, target, ["target_id"], "seq", "inner", hot_rows)
+    def fields(key: str, prefix: str) -> DataFrame:
+        return state.select(
+            F.col("id").alias(key),
+            *[(F.coalesce(c, F.lit(0)) if c == score else F.col(c)).alias(f"{prefix}{c}")
+              for c in _COPIED],
+        )
+
+    rows = skew_join(
+        merges.withColumnRenamed("source_id", "id"), state, ["id"], "seq", "inner", hot_rows
+    )
+    rows = skew_join(rows, fields("root_id", "t_"), ["root_id"], "seq", "inner", hot_rows)
+    again = merges.where("before IS NOT NULL").select("before")
+    if not again.isEmpty():
+        # the state that an earlier merge left
+        earlier = merges.join(again.withColumnRenamed("before", "seq"), "seq", "left_semi").select(
+            F.col("seq").alias("before"), F.col("root_id").alias("_root"),
+            F.col("identity").alias("_identity"), F.col("target_id").alias("_target"),
+        )
+        earlier = skew_join(earlier, fields("_root", "p_"), ["_root"], "before", "inner", hot_rows)
+        rows = skew_join(rows, earlier, ["before"], "seq", "left", hot_rows)
+        on = F.col("before").isNotNull()
+        left = {c: F.col(f"p_{c}") for c in _COPIED} | {
+            "identity_cache_id": F.col("_identity"), "duplicate_of_creator_id": F.col("_target"),
+            "needs_review": F.lit(False), "review_status": F.lit("approved"),
+        }
+        rows = rows.withColumns({c: F.when(on, v).otherwise(F.col(c)) for c, v in left.items()})
     detail = F.to_json(
         F.struct(
             F.col("target_id").alias("targetCreatorId"), _snapshot().alias("preMergeSnapshot")
         )
     )
-    taken = {c: F.col(f"t_{c}") for c in copied}
-    taken["confidence_score"] = F.coalesce("t_confidence_score", F.lit(0))
-    taken["identity_cache_id"] = F.coalesce("t_identity_cache_id", "identity_cache_id")
-    return joined.withColumn("detail", detail).withColumns(
-        taken
+    return rows.withColumn("detail", detail).withColumns(
+        {c: F.col(f"t_{c}") for c in _COPIED}
         | {
+            "identity_cache_id": F.col("identity"),
             "needs_review": F.lit(False),
             "review_status": F.lit("approved"),
             "duplicate_of_creator_id": F.col("target_id"),

@@ -115,19 +115,12 @@ def merge_one_by_one(state, pairs):
     return state, logs
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_merge_waves_equal_one_by_one(spark, now, seed):
-    rng = random.Random(seed)
-    rows = [{"id": f"c{i}", "resolved_first_name": f"n{i}", "resolved_email": f"e{i}",
-             "confidence_score": rng.choice([None, 50, 95]),
-             "identity_cache_id": rng.choice([None, f"idn{i}"]), "duplicate_of_creator_id": None,
-             "processing_status": rng.choice(["enriched", "needs_review"])} for i in range(8)]
-    pairs = [(n, f"c{rng.randrange(8)}", f"c{rng.randrange(9)}") for n in range(9)]
+def assert_merged_in_order(spark, now, rows, pairs, hot_rows=3):
     expected, logs = merge_one_by_one({r["id"]: r for r in rows}, pairs)
     got = V.merge_duplicates(
         creators_of(spark, rows),
         spark.createDataFrame(pairs, "seq bigint, source_id string, target_id string"), now,
-        "r", hot_rows=3)
+        "r", hot_rows=hot_rows)
     for i, r in by_id(got.creators).items():
         for c in [*COPIED, "identity_cache_id", "duplicate_of_creator_id"]:
             assert r[c] == expected[i][c], (i, c)
@@ -137,6 +130,34 @@ def test_merge_waves_equal_one_by_one(spark, now, seed):
     assert [x[1:] for x in got_logs] == logs
 
 
+def some_rows(rng, n, linked=0.5):
+    return [{"id": f"c{i}", "resolved_first_name": f"n{i}", "resolved_email": f"e{i}",
+             "confidence_score": rng.choice([None, 50, 95]),
+             "identity_cache_id": f"idn{i}" if rng.random() < linked else None,
+             "duplicate_of_creator_id": None,
+             "processing_status": rng.choice(["enriched", "needs_review"])} for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_merges_equal_one_by_one(spark, now, seed):
+    rng = random.Random(seed)
+    n = [8, 8, 30][seed]
+    pairs = [(k, f"c{rng.randrange(n)}", f"c{rng.randrange(n + 1)}") for k in range(9 * (seed + 1))]
+    assert_merged_in_order(spark, now, some_rows(rng, n, 0.3), pairs)
+
+
+def test_long_chains_of_merges_take_few_steps(spark, now, monkeypatch):
+    stored = []
+    plain = V.materialize
+    monkeypatch.setattr(V, "materialize", lambda df, label: stored.append(label) or plain(df, label))
+    rng = random.Random(5)
+    pairs = [(k, f"c{k}", f"c{k - 1}") for k in range(1, 200)]
+    # a few sources are merged once more, in the middle and at the end
+    pairs += [(1000 + k, f"c{k}", f"c{199 - k}") for k in (3, 50, 120)]
+    assert_merged_in_order(spark, now, some_rows(rng, 200, 0.02), pairs, hot_rows=1000)
+    assert stored.count("merge-steps") <= 2 * 10
+
+
 def test_unmerge_restores_the_record(spark, now):
     creators = creators_of(spark, [
         {"id": "a", "resolved_first_name": "A", "confidence_score": 60, "confidence_source": "username",
