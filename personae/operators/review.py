@@ -16,7 +16,6 @@ from personae.functions.text import js_trim
 from personae.operators.cache import create_identities, identity_id, resolved_or_raw
 from personae.operators.scale import (
     HOT_ROWS,
-    dense_index,
     last_before,
     materialize,
     skew_join,
@@ -201,10 +200,8 @@ def apply_overrides(
 
     # the value an action replaced: the previous action on the same field of the
     # record, else the record's own value
-    numbered = dense_index(good, ["creator_id", "field"], ["seq"], "nth", "overrides")
-    previous = numbered.select(
-        "creator_id", "field", (F.col("nth") + 1).alias("nth"),
-        F.col("value").alias("_previous"), F.lit(True).alias("_has_previous"),
+    numbered = last_before(
+        materialize(good, "overrides"), ["creator_id", "field"], "seq", "value", "_previous", hot_rows
     )
     before = joined.where(touched).select(
         F.col("id").alias("creator_id"), F.col("_identity").alias("identity_cache_id"),
@@ -214,12 +211,8 @@ def apply_overrides(
     for name, column in OVERRIDABLE_FIELDS.items():
         original = F.when(F.col("field") == name, F.col(f"b_{column}")).otherwise(original)
     history = skew_join(
-        numbered.join(previous, ["creator_id", "field", "nth"], "left"),
-        before, ["creator_id"], "seq", "inner", hot_rows,
-    ).withColumn(
-        "old_value",
-        F.when(F.col("_has_previous"), F.col("_previous")).otherwise(original),
-    )
+        numbered, before, ["creator_id"], "seq", "inner", hot_rows
+    ).withColumn("old_value", F.coalesce("_previous", original))
     audit = history.select(
         "identity_cache_id", "field", "old_value", F.col("value").alias("new_value"), "reason",
         F.lit("local-user").alias("created_by"), now.alias("created_at"), "seq",
@@ -356,7 +349,7 @@ def _forwarded(todo: DataFrame, state: DataFrame, hot_rows: int) -> DataFrame:
         todo.select(F.col("target_id").alias("id"), "seq", F.lit(None).cast("bigint").alias("merge"),
                     F.lit(False).alias("own"))
     )
-    earlier = last_before(materialize(touched, "touched"), "id", "seq", "merge", "_earlier", hot_rows)
+    earlier = last_before(materialize(touched, "touched"), ["id"], "seq", "merge", "_earlier", hot_rows)
     earlier = earlier.groupBy("seq").agg(
         F.max(F.when(F.col("own"), F.col("_earlier"))).alias("before"),
         F.max(F.when(~F.col("own"), F.col("_earlier"))).alias("pointer"),

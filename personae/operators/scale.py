@@ -205,7 +205,7 @@ def index_placed(
 
 
 def last_before(
-    df: DataFrame, group: str, seq: str, value: str, name: str, span: int = HOT_ROWS
+    df: DataFrame, group: Sequence[str], seq: str, value: str, name: str, span: int = HOT_ROWS
 ) -> DataFrame:
     """Add ``name``: the last ``value`` that is not NULL among the group's rows of smaller ``seq``.
 
@@ -218,19 +218,19 @@ def last_before(
         return df.withColumn(name, F.lit(None).cast(df.schema[value].dataType))
     width = max(1, (high - low + 1) * span // n)
     df = df.withColumn("_range", F.call_function("div", F.col(seq) - low, F.lit(width)))
-    before = Window.partitionBy(group, "_range").orderBy(seq).rowsBetween(
+    before = Window.partitionBy(*group, "_range").orderBy(seq).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    over = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = df.where(F.col(value).isNotNull()).groupBy(group, "_range").agg(
+    over = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = df.where(F.col(value).isNotNull()).groupBy(*group, "_range").agg(
         F.max_by(value, seq).alias("_last")
     )
     # ranges without a value take part, too: they look back
-    ranges = df.select(group, "_range").distinct().join(carried, [group, "_range"], "left")
+    ranges = df.select(*group, "_range").distinct().join(carried, [*group, "_range"], "left")
     ranges = ranges.select(
-        group, "_range", F.last("_last", ignorenulls=True).over(over).alias("_carried")
+        *group, "_range", F.last("_last", ignorenulls=True).over(over).alias("_carried")
     )
     own = df.withColumn("_own", F.last(value, ignorenulls=True).over(before))
-    return own.join(ranges, [group, "_range"]).withColumn(
+    return own.join(ranges, [*group, "_range"]).withColumn(
         name, F.coalesce("_own", "_carried")
     ).drop("_range", "_own", "_carried")

@@ -114,11 +114,11 @@ def test_last_before(spark, span):
     rng = random.Random(span)
     rows = [(rng.choice(["a", "a", "b", "c"]), n * 7, rng.choice([None, None, n])) for n in range(80)]
     rng.shuffle(rows)
-    got = last_before(spark.createDataFrame(rows, "g string, seq bigint, v bigint"), "g", "seq", "v",
+    got = last_before(spark.createDataFrame(rows, "g string, seq bigint, v bigint"), ["g"], "seq", "v",
                       "p", span).collect()
     assert len(got) == 80
     for r in got:
         earlier = sorted((s, v) for g, s, v in rows if g == r.g and s < r.seq and v is not None)
         assert r.p == (earlier[-1][1] if earlier else None)
     none = spark.createDataFrame([], "g string, seq bigint, v bigint")
-    assert last_before(none, "g", "seq", "v", "p").count() == 0
+    assert last_before(none, ["g"], "seq", "v", "p").count() == 0
