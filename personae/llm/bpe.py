@@ -179,7 +179,7 @@ class Codec:
 
     def __init__(self, path: str):
         self.vocabulary, self.splitter = Vocabulary(path), Splitter.from_file(path)
-        self.memory = Memory(self._encode_chunks, note=self._written)
+        self.memory = Memory(self._encode_chunks, 500_000, self._written)
         self._words: dict[str, list[int]] = {}
 
     def _written(self, ids: list[int]) -> tuple[str, str]:

@@ -74,8 +74,11 @@ def _spaces(text: str) -> list[str]:
     return text.split()
 
 
-# Chunks that a worker remembers.
-MEMORY = 500_000
+# Chunks that a worker remembers, in about 250 MB.
+MEMORY = 1_200_000
+
+# Ids of many chunks: one list for each, or all in one array and how many each has.
+Encoded = list[list[int]] | tuple[np.ndarray, np.ndarray]
 
 
 class _Codes(dict):
@@ -93,7 +96,7 @@ class Memory:
     """Code of each chunk; ``ids`` and ``starts`` hold the ids of each code in one array."""
 
     def __init__(
-        self, encode: Callable[[list[str]], list[list[int]]], limit: int = MEMORY,
+        self, encode: Callable[[list[str]], Encoded], limit: int = MEMORY,
         note: Callable[[list[int]], object] | None = None,
     ):
         self._encode, self._limit, self._note = encode, limit, note
@@ -121,17 +124,24 @@ class Memory:
         self._used[out] = self._round
         return out
 
-    def _add(self, encoded: list[list[int]]) -> None:
+    def code_of(self, chunk: str) -> int:
+        return self._code[chunk]
+
+    def _add(self, encoded: Encoded) -> None:
+        if isinstance(encoded, tuple):
+            flat, lengths = encoded
+        else:
+            flat = list(chain.from_iterable(encoded))
+            lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
         if self._note:
             self.notes += map(self._note, encoded)
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
         starts = self._starts[-1] + np.cumsum(lengths)
         end = int(starts[-1])
         if end > len(self._ids):
             self._ids = np.concatenate((self._ids, np.zeros(max(end, 1 << 16), np.uint32)))
-        self._ids[self._starts[-1] : end] = list(chain.from_iterable(encoded))
+        self._ids[self._starts[-1] : end] = flat
         self._starts = np.concatenate((self._starts, starts))
-        self._used = np.concatenate((self._used, np.zeros(len(encoded), np.int64)))
+        self._used = np.concatenate((self._used, np.zeros(len(lengths), np.int64)))
 
     def _forget(self) -> None:
         """Keep the chunks of the last batches, at most half of the limit."""
@@ -161,18 +171,76 @@ class Memory:
         return self._starts[codes + 1] - self._starts[codes]
 
 
+# Closes a text among the chunks of many; the one chunk that is not encoded.
+_CLOSE = "\x00\x01close\x01\x00"
+
+
 class TokenStream:
-    """Ids of whole texts through a memory, a bounded number of characters at a time."""
+    """Ids of whole texts through a memory, a bounded number of characters at a time.
+
+    The texts of a call are split as one, which is the same where no text holds a special token
+    or a character that the tokenizer lower-cases in its own way; else they are split one by one.
+    """
 
     def __init__(
         self, splitter: Splitter, encode: Callable[[list[str]], list[list[int]]],
-        limit: int = MEMORY,
+        limit: int = MEMORY, end: int | None = None,
     ):
-        self.splitter, self.memory = splitter, Memory(encode, limit)
+        self.splitter, self._tool = splitter, encode
+        self._end = [] if end is None else [end]
+        self.memory = Memory(self._encode, limit)
+
+    def _encode(self, chunks: list[str]) -> Encoded:
+        """Ids of chunks, encoded as one text with a special token as border between them."""
+        close = chunks.index(_CLOSE) if _CLOSE in chunks else None
+        plain = ["" if c == _CLOSE else c for c in chunks] if close is not None else chunks
+        border = next((s for s in self.splitter.specials if s not in plain), None)
+        if border is None:
+            each = self._tool(plain)
+            ids = np.fromiter(chain.from_iterable(each), np.uint32)
+            counts = np.fromiter(map(len, each), np.int64, len(each))
+        else:
+            ids = np.array(self._tool([border.join(plain)])[0], np.uint32)
+            there = np.flatnonzero(ids == self.splitter.specials[border])
+            counts = np.diff(there, prepend=-1, append=len(ids)) - 1
+            ids = np.delete(ids, there)
+        if close is not None:
+            ids = np.insert(ids, counts[:close].sum(), self._end).astype(np.uint32)
+            counts[close] = len(self._end)
+        return ids, counts
+
+    def _chunks(self, texts: list[str | None]) -> list[str]:
+        joined = f" {_CLOSE} ".join([t or "" for t in texts]) + f" {_CLOSE}"
+        if joined.count(_CLOSE) == len(texts):
+            small = _small(joined)
+            plain = small is not joined or joined.isascii()
+            if plain and not any(s in small for s in self.splitter.specials):
+                return _spaces(small)
+        out: list[str] = []
+        for text in texts:
+            # the mark itself in a text: no token goes from its signs to its letters
+            own = self.splitter((text or "").replace(_CLOSE, "\x00\x01 close\x01\x00"))
+            out += own
+            out.append(_CLOSE)
+        return out
+
+    def _codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all chunks, and the number of ids of each text, its end included."""
+        codes = self.memory.codes([self._chunks(texts)])
+        ends = np.flatnonzero(codes == self.memory.code_of(_CLOSE)) + 1
+        lengths = np.concatenate(([0], np.cumsum(self.memory.counts(codes))))
+        return codes, np.diff(lengths[ends], prepend=0)
+
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        return self._codes(texts)[1] if texts else np.zeros(0, np.int64)
+
+    def flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, each text's end included, and their numbers."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        codes, counts = self._codes(texts)
+        return self.memory.gather(codes)[0], counts
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        chunks = [self.splitter(t) for t in texts]
-        ids, count = self.memory.gather(self.memory.codes(chunks))
-        per_chunk = np.concatenate(([0], np.cumsum(count)))
-        ends = per_chunk[np.cumsum([len(c) for c in chunks])] if chunks else []
-        return np.split(ids, ends[:-1]) if len(chunks) else []
+        ids, counts = self.flat(texts)
+        return np.split(ids, np.cumsum(counts)[:-1]) if len(texts) else []

@@ -185,7 +185,7 @@ def token_counts(
     def run(batch):
         for i, j, texts in text_steps(batch.column(len(names))):
             yield {n: batch.column(k)[i:j] for k, n in enumerate(names)} | {
-                "n_tokens": [len(x) for x in stream(tokenizer, memory).encode(texts)]
+                "n_tokens": stream(tokenizer, memory).counts(texts)
             }
 
     return map_rows(kept, run, f"{schema}n_tokens long")

@@ -38,8 +38,8 @@ SCHEMA = "doc_id bigint, offset bigint, n_tokens int, ids array<int>"
 
 
 @cache
-def stream(path: str, memory: int = MEMORY) -> TokenStream:
-    """One encoder for each Python worker and tokenizer file."""
+def stream(path: str, memory: int = MEMORY, end: int | None = None) -> TokenStream:
+    """One encoder for each Python worker, tokenizer file and end id."""
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(path)
@@ -49,7 +49,7 @@ def stream(path: str, memory: int = MEMORY) -> TokenStream:
     def encode(chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in tool.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    return TokenStream(Splitter.from_file(path), encode, memory)
+    return TokenStream(Splitter.from_file(path), encode, memory, end)
 
 
 def write(
@@ -69,10 +69,7 @@ def write(
         offset = 0
         for batch in batches:
             for i, j, texts in text_steps(batch.column(1)):
-                ids = stream(tokenizer).encode(texts)
-                tail = [] if end is None else [end]
-                ids = [np.append(x, tail).astype(np.int32) for x in ids]
-                counts = np.array([len(x) for x in ids])
+                ids, counts = stream(tokenizer, end=end).flat(texts)
                 before = offset + np.cumsum(counts) - counts
                 offset += int(counts.sum())
                 yield pa.RecordBatch.from_pydict({
@@ -80,7 +77,7 @@ def write(
                     "n_tokens": counts.astype(np.int32),
                     "ids": pa.ListArray.from_arrays(
                         np.concatenate(([0], np.cumsum(counts))).astype(np.int32),
-                        np.concatenate(ids),
+                        ids.view(np.int32),
                     ),
                 })
 
