@@ -7,7 +7,11 @@ vectors, and the matrix of smoothed log-probabilities (languages x buckets, the
 that reaches the driver) is broadcast. Scoring looks up each n-gram's row of the matrix and
 sums per text.
 
-Defined cases: null, empty or letterless text gives ``und`` and score 0, as does everything
+``fit`` tells whether a text is in that language at all, which the posterior cannot: the mean
+log-probability of its n-grams, less that of the training rows' n-grams of the language, plus
+``SLACK`` / sqrt(n-grams) for texts too short to tell. Other letters or scripts are 4 and more below.
+
+Defined cases: null, empty or letterless text gives ``und``, score 0 and no fit, as does everything
 if no training row has a language and a letter. Equal scores go to the language that sorts
 first. Texts of any length are worked through in steps of fixed size. Rows with repeated or
 null ids are scored one by one, other columns are ignored.
@@ -27,6 +31,7 @@ from personae.llm.batches import CHARS_PER_STEP, judged, steps
 UNDETERMINED = "und"
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
+SLACK = 6.0
 
 _tables: list[np.ndarray] = []
 
@@ -77,16 +82,24 @@ def _slices(text: str) -> list[str]:
 
 
 class Model:
-    """Languages in order, log priors, and log-probabilities by bucket and language."""
+    """Languages in order, log priors, and log-probabilities by bucket and language.
+
+    ``typical``: the mean log-probability of each language's own n-grams.
+    """
 
-    def __init__(self, langs: list[str], prior: np.ndarray, table: np.ndarray):
+    def __init__(
+        self, langs: list[str], prior: np.ndarray, table: np.ndarray,
+        typical: np.ndarray | None = None,
+    ):
         self.langs, self.prior, self.table = langs, prior, table
+        self.typical = np.zeros(len(langs)) if typical is None else typical
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and its posterior probability for each text."""
+    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[float | None]]:
+        """Language, its posterior probability and the fit of each text."""
         found, sure = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        fit: list[float | None] = [None] * len(texts)
         if not self.langs:
-            return found, sure
+            return found, sure, fit
         buckets = len(self.table)
         for i, j in steps(texts):
             grams, owner, at = [], [], 0
@@ -99,14 +112,18 @@ class Model:
             if not owner:
                 continue
             starts = [s for _, s in owner]
-            logp = np.add.reduceat(
+            own = np.add.reduceat(
                 self.table[np.concatenate(grams)], starts, axis=0, dtype=np.float64
-            ) + self.prior
+            )
+            number = np.diff(starts, append=at)
+            logp = own + self.prior
             best = logp.argmax(axis=1)
             total = np.exp(logp - logp.max(axis=1, keepdims=True)).sum(axis=1)
-            for (row, _), k, t in zip(owner, best, total, strict=True):
-                found[row], sure[row] = self.langs[k], 1.0 / t
-        return found, sure
+            mean = own[np.arange(len(best)), best] / number - self.typical[best]
+            near = mean + SLACK / np.sqrt(number)
+            for (row, _), k, t, f in zip(owner, best, total, near.tolist(), strict=True):
+                found[row], sure[row], fit[row] = self.langs[k], 1.0 / t, f
+        return found, sure, fit
 
 
 def train(
@@ -164,15 +181,17 @@ def train(
     n[counts["bucket"].to_numpy(), where_lang] = counts["n"].to_numpy()
     texts, grams = n[buckets], n[:buckets] + smoothing
     prior = np.log(texts / max(texts.sum(), 1.0)) if langs else texts
-    return Model(langs, prior, np.log(grams / grams.sum(axis=0)).astype(np.float32))
+    table = np.log(grams / grams.sum(axis=0))
+    typical = (n[:buckets] * table).sum(axis=0) / np.maximum(n[:buckets].sum(axis=0), 1.0)
+    return Model(langs, prior, table.astype(np.float32), typical)
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred`` and ``score``."""
+    """``df`` with ``lang_pred``, ``score`` and ``fit``."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(texts):
-        found, sure = shared.value.score(texts)
-        return {"lang_pred": found, "score": sure}
+        found, sure, fit = shared.value.score(texts)
+        return {"lang_pred": found, "score": sure, "fit": pa.array(fit, pa.float64())}
 
-    return judged(df, text_col, run, "lang_pred string, score double")
+    return judged(df, text_col, run, "lang_pred string, score double, fit double")

@@ -49,7 +49,7 @@ def test_language_equals_plain_naive_bayes(spark):
             prior + sum(np.log((counts[lang].get(g, 0) + 0.5) / total) for g in grams(text))
         )
     want = 1 / np.exp(np.array(logp) - max(logp)).sum()
-    found, sure = model.score([text])
+    found, sure, _ = model.score([text])
     assert found == ["de"] and sure[0] == pytest.approx(want, abs=1e-4)
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 import public_tokenizers
@@ -17,8 +18,8 @@ def plain(docs, language, good):
     """What the first four stages keep, document by document."""
     kept = []
     for d in docs:
-        lang, sure = language.score([d.text])
-        if lang[0] != "und" and sure[0] >= 0.5 and good.score([d.text])[0] >= 0.3:
+        lang, _, fit = language.score([d.text])
+        if lang[0] != "und" and fit[0] >= -P.FAR and good.score([d.text])[0] >= 0.3:
             kept.append(d)
     smallest = {r[2] for r in groups([(d.doc_id, d.text) for d in kept])}
     out = {}
@@ -89,6 +90,20 @@ def test_letterless_texts_go(spark, odd):
     assert sorted(str(r.doc_id) for r in rows) == ["3", "3", "4", "9", "None", "None"]
 
 
+def test_language_rejects_letters_that_are_no_language(spark):
+    rng = random.Random(4)
+    junk = [" ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=6)) for _ in range(n))
+            for n in (30, 100, 500)]
+    junk += ["Это русский текст о погоде и природе", "的一是在不了有和人这中大为上个国" * 3,
+             "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=400))]
+    docs = table(spark, SF, "documents").select(*P.COLUMNS)
+    odd = [(10**6 + i, text, "en", "s", len(text)) for i, text in enumerate(junk)]
+    both = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    kept = {r.doc_id for r in P.language(spark, both, SF).collect()}
+    lettered = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert max(kept) < 10**6 and kept == lettered  # clean, short and repetitive ones all stay
+
+
 def test_secrets_are_masked(spark, odd):
     rows = {r.doc_id: r for r in P.secrets(spark, odd, SF).where("doc_id is not null").collect()}
     assert rows[9].text == "[SECRET], the rest stays" and rows[9].n_chars == 24
