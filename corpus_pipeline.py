@@ -23,15 +23,17 @@ from personae.llm.queries import tokenizer
 from personae.operators.scale import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-# A language is identified if it is this probable among those learned.
-SURE = 0.5
+# A text is in the language found for it if its n-grams are, on the mean, at most this much less
+# probable (natural logarithm) than those of the language's training rows.
+FAR = 2.75
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Op 6. Null, empty and letterless texts are undetermined and go."""
+    """Op 6. Null, empty and letterless texts are undetermined and go; so do texts of other letters,
+    scripts and languages, whose n-grams fit none of those learned."""
     model = langid.train(table(spark, sf_dir, "documents"), where=remainder("doc_id", 4) != 2)
     found = langid.identify(docs.select(*COLUMNS), model)
-    kept = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= SURE))
+    kept = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("fit") >= -FAR))
     return kept.select(*COLUMNS)
 
 
