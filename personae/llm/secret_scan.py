@@ -62,7 +62,8 @@ PATTERNS = {
     "random": rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}",
 }
 # words and numbers between signs; longer runs of capitals may be base32, of digits hexadecimal
-WRITTEN = "^[+/_=-]*(([A-Z]?[a-z]+|[A-Z]{1,19}|[0-9]{1,19})([+/_=-]+|$))*$"
+# possessive, as a long run would need a stack as deep
+WRITTEN = "^[+/_=-]*+(?:(?:[A-Z]?[a-z]++|[A-Z]{1,19}+|[0-9]{1,19}+)(?:[+/_=-]++|$))*+$"
 # of a to z in English, in thousandths
 _LETTERS = [82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24,
             2, 20, 1]
@@ -165,35 +166,55 @@ def evidence(hit: Column, sharp: bool = False) -> Column:
     With ``sharp`` a struct of p and q, which the likelihood ratio gives; q is null for what is
     plainly written.
     """
-    body = F.regexp_replace(hit, "=+$", "")
-    is_hex = body.rlike("^([0-9a-f]+|[0-9A-F]+)$")
-    is_32 = body.rlike("^[A-Z2-7]+$")
-    plain = F.translate(body, "-_", "+/")
-    coded = F.when(is_hex, F.lower(plain)).otherwise(plain)
-    alphabet = (
+    return _let(
+        lambda x: _let(
+            lambda y: _let(
+                lambda z: _encoded(z, sharp), hit=y["hit"], body=y["body"], coded=y["coded"],
+                alphabet=_alphabet(y["is_hex"], y["is_32"]),
+            ),
+            hit=x["hit"], body=x["body"], is_hex=x["is_hex"], is_32=x["is_32"],
+            coded=F.when(x["is_hex"], F.lower(x["plain"])).otherwise(x["plain"]),
+        ),
+        # each of these reads the whole run: once, not for each of its characters
+        hit=hit, body=_body(hit), is_hex=_body(hit).rlike("^([0-9a-f]+|[0-9A-F]+)$"),
+        is_32=_body(hit).rlike("^[A-Z2-7]+$"), plain=F.translate(_body(hit), "-_", "+/"),
+    )
+
+
+def _body(hit: Column) -> Column:
+    return F.regexp_replace(hit, "=++$", "")
+
+
+def _alphabet(is_hex: Column, is_32: Column) -> Column:
+    return (
         F.when(is_hex, F.lit(_DIGIT + "abcdef"))
         .when(is_32, F.lit(_UPPER + "234567"))
         .otherwise(F.lit(_UPPER + _LOWER + _DIGIT + "+/"))
     )
+
+
+def _encoded(x: Column, sharp: bool) -> Column:
+    """Evidence of a run whose encoding is known."""
+    coded, alphabet = x["coded"], x["alphabet"]
     # '=' within a run is in no alphabet: its value is -1 and counts for no part
     made = F.struct(
         F.transform(F.split(coded, ""), lambda c: F.position(c, alphabet) - 1).alias("v"),
         F.length(alphabet).alias("k"), F.length(coded).cast("double").alias("n"),
     )
-    short = F.length(body) < 2  # '=' only, or after one character
+    short = F.length(x["body"]) < 2  # '=' only, or after one character
     if not sharp:
-        p = F.transform(F.array(made), lambda x: _parts(x))[0]
+        p = F.transform(F.array(made), lambda m: _parts(m))[0]
         return F.when(short, F.lit(1.0)).otherwise(p)
     codes = F.transform(F.split(coded, ""), lambda c: F.position(c, F.lit(_CODES)) - 1)
     found = _let(
-        lambda x: F.transform(F.array(x["made"]), lambda m: _parts(m, x["codes"]))[0],
+        lambda y: F.transform(F.array(y["made"]), lambda m: _parts(m, y["codes"]))[0],
         made=made, codes=codes,
     )
     both = _let(
-        lambda x: F.struct(
-            x["found"]["p"].alias("p"), F.when(~x["plain"], x["found"]["q"]).alias("q")
+        lambda y: F.struct(
+            y["found"]["p"].alias("p"), F.when(~y["plain"], y["found"]["q"]).alias("q")
         ),
-        found=found, plain=hit.rlike(WRITTEN),
+        found=found, plain=x["hit"].rlike(WRITTEN),
     )
     nothing = F.struct(F.lit(1.0).alias("p"), F.lit(None).cast("double").alias("q"))
     return F.when(short, nothing).otherwise(both)

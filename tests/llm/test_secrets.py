@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import time
 import re
 
 import pytest
@@ -258,3 +259,19 @@ def test_rule_lines_of_equals_signs(spark):
         got = {r.doc_id: r.spans for r in S.report(df, sharp=how).collect()}
         assert got[1] == got[2] == got[4] == "" and got[3] in ("", "random:41:73")
     assert got[3] == "random:41:73"
+
+
+def test_long_runs_take_linear_time(spark):
+    """Runs of up to a million characters; a key behind them is still found."""
+    rng = random.Random(3)
+    b64 = UPPER + UPPER.lower() + DIGITS + "+/"
+    key = "q7Zr0TgX9vKd2LmPb8Ns4Hw1YcJf6Ae3"
+    texts = ["".join(rng.choices(b64, k=n)) for n in (1_000, 1_000_000)] + ["a-" * 300_000, "=" * 500_000]
+    took = []
+    for text in texts:
+        df = spark.createDataFrame([(1, f"{text} {key}")], "doc_id long, text string")
+        began = time.time()
+        spans = S.report(df, sharp=True).first().spans.split(",")
+        took.append(time.time() - began)
+        assert f"random:{len(text) + 1}:{len(text) + 33}" in spans
+    assert max(took[1:]) < took[0] + 60, took
