@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -122,15 +123,17 @@ def enrich(
     identity_cache_keys: DataFrame | C.Stored | None = None,
     pages: DataFrame | None = None, mode: str = "sequential",
     weights: Weights = DEFAULT_WEIGHTS, import_order: Column | None = None,
-    run_id: str = "run", now: Column | None = None, hot_rows: int = HOT_ROWS,
+    run_id: str | None = None, now: Column | None = None, hot_rows: int = HOT_ROWS,
     descriptors: Descriptors = DEFAULT_DESCRIPTORS,
 ) -> EnrichResult:
     """Resolve every record of the given imports.
 
     ``sequential`` gives each record the cache as left by all earlier records
     (imports by ``import_order``, else by their arrival, rows by row_index). ``snapshot`` looks
-    everything up in the cache as of batch start: one pass, made for streams.
+    everything up in the cache as of batch start: one pass, made for streams. Log ids hold
+    ``run_id``: give one that a repeated run can use again, else it is a new one.
     """
+    run_id = f"run-{uuid.uuid4().hex}" if run_id is None else run_id
     if mode not in ("sequential", "snapshot"):
         raise ValueError(f"unknown mode: {mode}")
     spark = creators.sparkSession

@@ -45,10 +45,14 @@ def suggest_mapping(headers: DataFrame, aliases: DataFrame | None = None) -> Dat
     )
 
 
-def suggested_mapping(spark: SparkSession, headers: Sequence[str]) -> ColumnMapping:
+def suggested_mapping(
+    spark: SparkSession, headers: Sequence[str],
+    aliases: Mapping[str, Sequence[str]] = COLUMN_ALIASES,
+) -> ColumnMapping:
     """Mapping of one file's header line, in header order."""
     table = literal_table(spark, [(h,) for h in headers], ["header"])
-    found = {r.header: r.field for r in suggest_mapping(table).collect()}
+    known = suggest_mapping(table, alias_table(spark, aliases))
+    found = {r.header: r.field for r in known.collect()}
     return {h: found[h] for h in headers if h in found}
 
 

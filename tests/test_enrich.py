@@ -315,3 +315,11 @@ def test_repeated_ids_are_errors(spark, dictionary, now):
     assert got.creators.count() == 4
     errors = got.logs.where("step = 'enrich_one'").collect()
     assert [(r.creator_id, json.loads(r.detail)["error"]) for r in errors] == [("twice", "id is repeated")] * 2
+
+
+def test_runs_have_logs_of_their_own(creators, dictionary, now):
+    """Two runs without a name share no log id; a named run gives the same ids again."""
+    one, two = (enrich(creators, dictionary, now=now).logs for _ in range(2))
+    assert not {r.id for r in one.collect()} & {r.id for r in two.collect()}
+    one, two = (enrich(creators, dictionary, now=now, run_id="x").logs for _ in range(2))
+    assert {r.id for r in one.collect()} == {r.id for r in two.collect()}

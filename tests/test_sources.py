@@ -101,6 +101,12 @@ def test_mapping_examples(spark):
     assert mapped.raw_profile_url == "https://tiktok.com/@ida" and mapped.raw_email is None
 
 
+def test_own_aliases(spark):
+    own = {"fullName": ["Artist"], "email": ["Post Box"]}
+    assert M.suggested_mapping(spark, ["artist", "POST-BOX", "Full Name"], own) == {
+        "artist": "fullName", "POST-BOX": "email"}
+
+
 def test_file_routing(spark):
     files = spark.createDataFrame([("a.CSV",), ("b.xlsx",), ("c.xls",), ("d.txt",)], "file_name string")
     good, bad = S.route_files(files)
