@@ -20,7 +20,8 @@ hub (smallest member) as well; afterwards only those not yet connected to the hu
 within their block, meet all other blocks. Inside a block a pair that is already connected is
 not verified again, and sets travel only for one tree of each class and for trees whose
 classes that has not connected. So groups of near copies cost time in proportion to their size, and no
-pairs are ever listed: trees return a spanning forest of links.
+pairs are ever listed: a tree returns, for each member that links join to a smaller one, the
+smallest of those they join it to.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing. Texts of
 fewer than 5 words have one shingle. Rows with one doc_id and different texts are classes of
@@ -257,7 +258,10 @@ def _survivors(df: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(df: DataFrame, percent: int) -> DataFrame:
-    """Spanning links (a, b) of each tree, from rows (key, cls, asks, n, vec, shingles)."""
+    """(a, b): b is the least class of the tree that links join a to.
+
+    From rows (key, cls, asks, n, vec, shingles).
+    """
 
     def run(batches):
         for _, rows in _groups(batches, 4):
@@ -272,14 +276,15 @@ def _verified(df: DataFrame, percent: int) -> DataFrame:
                     parent[x] = x = parent[parent[x]]
                 return x
 
-            links = []
+            # rows are in the order of their classes, so the smaller number is the smaller class
             for _, a, b in sorted(_candidates(rows, percent), reverse=True):
-                if root(a) != root(b) and linked(sets[a], sets[b], percent):
-                    parent[root(a)] = root(b)
-                    links.append((rows[a][0], rows[b][0]))
-            if links:
+                low, high = sorted((root(a), root(b)))
+                if low != high and linked(sets[a], sets[b], percent):
+                    parent[high] = low
+            joined = [k for k in range(len(rows)) if root(k) != k]
+            if joined:
                 yield pa.RecordBatch.from_pydict(
-                    {"a": [a for a, _ in links], "b": [b for _, b in links]}
+                    {"a": [rows[k][0] for k in joined], "b": [rows[root(k)][0] for k in joined]}
                 )
 
     return _grouped(df).mapInArrow(run, "a long, b long")
@@ -351,8 +356,10 @@ class _Search:
         )
         return materialize(placed.join(sizes, ["center", "band"]), "jaccard-trees")
 
-    def links(self, rows: DataFrame, points: DataFrame) -> DataFrame:
-        """Links found in the trees of ``rows`` (center, band, i, j, cls, asks)."""
+    def roots(
+        self, rows: DataFrame, points: DataFrame, known: DataFrame | None = None
+    ) -> DataFrame:
+        """(node, root) after the links in the trees of ``rows`` (center, band, i, j, cls, asks)."""
         found = materialize(
             _survivors(rows.join(points, "cls").select(
                 "center", "band", "i", "j", "cls", "asks", "n", "vec"
@@ -362,15 +369,16 @@ class _Search:
         # sets are long: first each class in one tree only, then the trees that still hold
         # classes which are not connected
         one = found.groupBy("cls").agg(F.min("center").alias("center"))
-        links = self.verified(found.join(one, ["cls", "center"]), points)
-        root = components(links).withColumnsRenamed({"node": "cls", "root": "r"})
+        known = components(self.verified(found.join(one, ["cls", "center"]), points), known)
+        root = known.withColumnsRenamed({"node": "cls", "root": "r"})
         named = found.join(root, "cls", "left").withColumn("r", F.coalesce("r", "cls"))
         open_ = (
             named.groupBy("center", "band", "i", "j")
             .agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low < high")
         )
         rest = named.join(open_, ["center", "band", "i", "j"], "left_semi").drop("r")
-        return links.union(self.verified(materialize(rest, "jaccard-open"), points))
+        rest = materialize(rest, "jaccard-open")
+        return known if rest.isEmpty() else components(self.verified(rest, points), known)
 
     def verified(self, found: DataFrame, points: DataFrame) -> DataFrame:
         """Links among the rows (center, band, i, j, cls, asks), checked on the sets."""
@@ -387,21 +395,24 @@ class _Search:
         """(cls, shingles) of the given classes, from one document of each."""
         wanted = self.first.join(classes, "cls", "left_semi").withColumnRenamed("first", "_id")
         wanted = materialize(wanted, "jaccard-representatives")
-        if wanted.count() <= BROADCAST_IDS:
-            wanted = F.broadcast(wanted)
-        texts = self.texts.join(wanted, F.col("id").eqNullSafe(F.col("_id"))).select("cls", "text")
+        n, named = wanted.agg(F.count("*"), F.count("_id")).first()
+        side = F.broadcast if n <= BROADCAST_IDS else (lambda df: df)
+        ids = wanted.where("_id IS NOT NULL").select(F.col("_id").alias("id")).distinct()
+        texts = self.texts.join(side(ids), "id", "left_semi")
+        if named < n:
+            texts = texts.union(self.texts.where("id IS NULL"))
         words = self.words
 
         def run(batch):
-            for i, j, texts in text_steps(batch.column(1)):
-                sets = [shingle_set(word_hashes(t), words) for t in texts]
-                cls = batch.column(0)[i:j].to_pylist()
-                same = [k for k, s in enumerate(sets) if _class(s) == cls[k]]
+            for _, _, some in text_steps(batch.column(0)):
+                sets = [shingle_set(word_hashes(t), words) for t in some]
                 yield {
-                    "cls": [cls[k] for k in same], "shingles": [sets[k].tobytes() for k in same],
+                    "cls": [_class(s) for s in sets], "shingles": [s.tobytes() for s in sets],
                 }
 
-        made = map_rows(texts, run, "cls long, shingles binary")
+        made = map_rows(texts.select("text"), run, "cls long, shingles binary")
+        # ids may repeat on other texts, of other classes: each text comes once, whatever its id
+        made = made.join(side(wanted.select("cls")), "cls", "left_semi")
         return made.groupBy("cls").agg(F.first("shingles").alias("shingles"))
 
 
@@ -420,10 +431,10 @@ def _first_round(trees: DataFrame, block: int) -> DataFrame:
     return own.union(hubs)
 
 
-def _second_round(trees: DataFrame, links: DataFrame, block: int) -> DataFrame:
+def _second_round(trees: DataFrame, root: DataFrame, block: int) -> DataFrame:
     """Members of large trees that no links join to the hub, with all other members."""
     large = trees.where(F.col("size") > block)
-    root = components(links).withColumnsRenamed({"node": "cls", "root": "r"})
+    root = root.withColumnsRenamed({"node": "cls", "root": "r"})
     hub = root.withColumnsRenamed({"cls": "hub", "r": "hub_r"})
     named = large.join(root, "cls", "left").join(hub, "hub", "left")
     apart = F.coalesce(F.col("r"), F.col("cls")) != F.coalesce(F.col("hub_r"), F.col("hub"))
@@ -465,8 +476,9 @@ def join(
     ``component`` is the key of the linked group, for rows without ids, too; null without words.
     """
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    kept = keep or []
     rows = df.select(
-        *(keep or []), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")
+        *[F.col(f"`{c}`").alias(f"_keep{k}") for k, c in enumerate(kept)], F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")
     )
     names = rows.columns[:-1]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
@@ -484,10 +496,10 @@ def join(
         "jaccard-points",
     )
     trees = search.members(signed)
-    links = search.links(_first_round(trees, block), points)
+    root = search.roots(_first_round(trees, block), points)
     if not trees.where(F.col("size") > block).isEmpty():
-        links = links.union(search.links(_second_round(trees, links, block), points))
-    root = components(links).withColumnRenamed("node", "cls")
+        root = search.roots(_second_round(trees, root, block), points, root)
+    root = root.withColumnRenamed("node", "cls")
     named = first.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     named = materialize(named, "jaccard-classes")
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -496,7 +508,7 @@ def join(
     )
     out = docs.join(classes, "cls", "left")
     return out.select(
-        *names[:-1], F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+        *[F.col(f"_keep{k}").alias(c) for k, c in enumerate(kept)], F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
         "component",
     )

@@ -90,3 +90,28 @@ def test_components_of_a_long_chain(spark):
     want = {i: 0 for i in range(61)} | {100: 100, 101: 100, 103: 100}
     assert {r.node: r.root for r in got.collect()} == want
     assert got.count() == len(want)
+
+
+def test_later_links_meet_the_roots_known_so_far(spark):
+    schema = "a long, b long"
+    first = components(spark.createDataFrame([(1, 2), (2, 3), (10, 11), (20, 21)], schema))
+    got = components(spark.createDataFrame([(3, 11), (30, 31), (2, 1)], schema), first)
+    want = {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 20, 21: 20, 30: 30, 31: 30}
+    assert sorted(map(tuple, got.collect())) == sorted(want.items())
+    assert components(spark.createDataFrame([], schema), first).count() == 7
+
+
+def test_many_rows_without_id_or_with_one_id(spark):
+    rng = random.Random(5)
+    text = lambda: [rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(30)]
+    bases = [text() for _ in range(40)]
+    rows = [(None if k % 2 else 7, " ".join([*b, *["x"] * (k % 3)])) for b in bases for k in range(6)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n long")
+    got = jaccard.join(df, keep=["n"]).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.component, set()).add(r.n)
+    assert {frozenset(g) for g in groups.values()} == {
+        frozenset(range(6 * b, 6 * b + 6)) for b in range(40)
+    }
+    assert all(r.component_id == 7 for r in got)
