@@ -120,12 +120,13 @@ def skew_join(
     """Equi-join where any share of ``fact`` may sit on one key.
 
     Rows of hot keys get a salt from their ``row_id`` hash and the matching ``dim``
-    row is copied once per salt. Rows with a NULL key match nothing; in a left join
+    row is copied once per salt. Rows with a NULL key match nothing; in a left join or anti join
     they are spread instead of meeting in one task. ``fact`` is scanned once more to
     measure its keys: join narrow or stored tables. ``hot`` are ``hot_keys`` measured before,
     on the same or more rows.
     """
     keys = list(on)
+    keeps = how in ("left", "left_anti")  # rows without a match are in the result
     # the hashes below depend on the type; a value that only the wider one holds has no match
     for k in keys:
         mine, other = fact.schema[k].dataType, dim.schema[k].dataType
@@ -145,11 +146,11 @@ def skew_join(
         dim = dim.withColumn("_salt", F.explode(F.sequence(none, last)))
         salt = F.coalesce(F.pmod(spread, F.col("_salts")), none)
         fact, dim = fact.withColumn("_salt", salt), dim.drop("_hash", "_salts")
-    elif how == "left":
+    elif keeps:
         fact, dim = fact.withColumn("_salt", none), dim.withColumn("_salt", none)
     else:
         return fact.join(dim, keys, how)
-    if how == "left":
+    if keeps:
         salt = F.when(_all_present(keys), F.col("_salt")).otherwise(spread)
         fact = fact.withColumn("_salt", salt)
     return fact.join(dim, [*keys, "_salt"], how).drop("_salt", "_hash", "_salts")

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from personae.operators import integrity as I
 from personae.operators import review as V
 from personae.operators.dedupe import duplicate_groups, duplicate_members, duplicate_pairs_to_merge
 from personae.operators.integrity import delete_identities, delete_imports
@@ -225,14 +226,69 @@ def test_export(spark, tmp_path):
     assert {r.exportedAt for r in full.collect()} == {42}
     history = O.write_export(creators, "imp", "quick", str(tmp_path), 42, single_file=True).first()
     assert (history.row_count, history.file_name) == (2, "export-quick-imp-42.csv")
-    files = list((tmp_path / "export-quick-imp-42.csv").glob("*.csv"))
-    assert len(files) == 1
-    back = spark.read.csv(str(files[0]), header=True, escape='"').collect()
+    assert [f.name for f in tmp_path.iterdir()] == ["export-quick-imp-42.csv"]
+    back = spark.read.csv(str(tmp_path / "export-quick-imp-42.csv"), header=True, escape='"').collect()
     assert [r.firstName for r in back] == ['Jane "J", D', "Dee"]
     with pytest.raises(ValueError):
         O.export_rows(creators, "other", 0)
 
 
+def test_one_file_from_many_ranges(spark, tmp_path):
+    rows = [{"id": f"r{k}", "row_index": (k * 7919) % 500, "resolved_first_name": f"n{k}"}
+            for k in range(500)]
+    target = tmp_path / "export-quick-imp-1.csv"
+    target.write_text("older and longer " * 5_000)
+    creators = creators_of(spark, rows).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        O.write_export(creators, "imp", "quick", str(tmp_path), 1, single_file=True)
+        none = O.write_export(creators, "other", "quick", str(tmp_path), 1, single_file=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    lines = target.read_text().split("\n")
+    order = sorted(range(500), key=lambda k: (k * 7919) % 500)
+    assert lines == ["firstName,email,socialHandle", *[f"n{k},," for k in order], ""]
+    assert none.first().row_count == 0
+    assert (tmp_path / "export-quick-other-1.csv").read_text() == "firstName,email,socialHandle\n"
+
+
+def test_markers_of_several_deletes(spark):
+    creators = creators_of(spark, [
+        {"id": "a", "import_id": "gone"}, {"id": "b", "duplicate_of_creator_id": "a"},
+        {"id": "c", "duplicate_of_creator_id": "b"}, {"id": "d", "import_id": None}])
+    tables = {
+        "import_history": spark.createDataFrame([("gone",), ("imp",), (None,)], "id string"),
+        "creators": creators,
+        "processing_logs": spark.createDataFrame(
+            [("a",), ("b",), ("c",), ("c",), (None,)], "creator_id string")}
+    ids = lambda *found: spark.createDataFrame([(i,) for i in found], "id string")
+    markers = I.merge_markers(
+        I.mark_deleted(tables, "import_history", ids("gone", "gone", None, "unknown")),
+        I.mark_deleted(tables, "creators", ids("b")))
+    left = {name: I.live(name, t, markers, hot_rows=1) for name, t in tables.items()}
+    assert {r.id: r.duplicate_of_creator_id for r in left["creators"].collect()} == {
+        "c": None, "d": None}
+    assert [r.creator_id for r in left["processing_logs"].orderBy("creator_id").collect()] == [
+        None, "c", "c"]
+    assert {r.id for r in left["import_history"].collect()} == {"imp", None}
+    assert left["creators"].columns == creators.columns
+    plan = left["processing_logs"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "hashpartitioning" not in plan
+
+
+def test_large_markers_are_joined_by_salts(spark, monkeypatch):
+    monkeypatch.setattr(I, "fits_broadcast", lambda df: False)
+    logs = [("a",)] * 5 + [("b",)] * 5 + [(None,)] * 5
+    tables = {
+        "import_history": spark.createDataFrame([("gone",), ("imp",)], "id string"),
+        "creators": creators_of(spark, [{"id": "a", "import_id": "gone"}, {"id": "b"}]),
+        "processing_logs": spark.createDataFrame(logs, "creator_id string")}
+    left = delete_imports(tables, spark.createDataFrame([("gone",)], "id string"), hot_rows=2)
+    kept = [r.creator_id for r in left["processing_logs"].collect()]
+    assert sorted(kept, key=str) == [None] * 5 + ["b"] * 5
+    assert [r.id for r in left["creators"].collect()] == ["b"]
+
+
 def test_deletes_follow_the_keys(spark):
     creators = creators_of(spark, [
         {"id": "a", "import_id": "gone", "identity_cache_id": "i1"},
