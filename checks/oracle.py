@@ -1108,6 +1108,10 @@ SELECT 'row' AS part, coalesce(resolved_first_name, '') AS a, coalesce(resolved_
 UNION ALL
 SELECT 'history', 'export-quick-2-HIGH-1700000000000.csv', 'quick', CAST(count(*) AS VARCHAR)
 FROM res WHERE import_id = '2-HIGH' AND {EXPORTABLE}""")
+ORACLES["export_one_file"] = sql(RESOLVED, f"""
+SELECT row_number() OVER (ORDER BY row_index) - 1 AS place, coalesce(resolved_first_name, '') AS a,
+  coalesce(resolved_email, '') AS b, coalesce(resolved_social_handle, '') AS c
+FROM res WHERE import_id = '2-HIGH' AND {EXPORTABLE}""")
 
 LEFT = RESOLVED + IMPORTS + [
     cte("kept", "SELECT * FROM res WHERE import_id NOT IN ('2-HIGH', '5-LOW')"),

@@ -1028,6 +1028,25 @@ def export_csv(spark, sf_dir):
     )
 
 
+@query
+def export_one_file(spark, sf_dir):
+    """The same list as one file: its rows with their places in the file."""
+    folder = f"{scratch_dir(spark)}/export-{uuid.uuid4().hex}"
+    sent_at = 1_700_000_000_000
+    creators = X.resolved_creators(spark, sf_dir)
+    O.write_export(creators, "2-HIGH", "quick", folder, sent_at, single_file=True)
+    path = f"{folder}/{O.export_name('quick', '2-HIGH', sent_at)}"
+    rows = S.ingest_csv(spark, path, "back", X.now()).creators
+
+    def cell(name: str) -> Column:
+        return F.coalesce(F.get_json_object("raw_payload", f"$.{name}"), F.lit(""))
+
+    return rows.select(
+        F.col("row_index").cast("bigint").alias("place"), cell("firstName").alias("a"),
+        cell("email").alias("b"), cell("socialHandle").alias("c"),
+    )
+
+
 @X.once
 def after_delete(spark, sf_dir) -> I.Tables:
     creators = X.resolved_creators(spark, sf_dir)
