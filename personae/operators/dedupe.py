@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from personae.operators.cache import KEY, record_keys, resolved_or_raw
-from personae.operators.scale import HOT_ROWS, skew_join
+from personae.operators.scale import HOT_ROWS, materialize, skew_join
 
 SCOPE = ["import_id", *KEY]
 
@@ -43,7 +43,8 @@ def duplicate_groups(creators: DataFrame) -> DataFrame:
 
 def duplicate_members(creators: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every member of every group with its resolved name; order by row_index."""
-    keys = _member_keys(creators)
+    # stored, as grouping, measuring and joining each read the keys
+    keys = materialize(_member_keys(creators), "member-keys")
     return skew_join(keys, _groups(keys), SCOPE, "id", "inner", hot_rows).withColumnsRenamed(
         {"id": "creator_id", "resolved_first_name": "first_name",
          "resolved_last_name": "last_name"}

@@ -289,3 +289,17 @@ def test_one_file_is_read_by_many_tasks(spark, now, tmp_path):
         F.get_json_object("raw_payload", "$.note").alias("note")).collect()
     assert len(rows) == 30_000 and all(r.row_index == r.n for r in rows)
     assert all(r.note == f'note {r.n}\nline, "two" {"z" * (r.n % 90)}' for r in rows)
+
+
+def test_usable_pages_with_a_frequent_url(spark):
+    from personae.sources.pages import usable_pages
+
+    schema = "url string, html string"
+    static = spark.createDataFrame([("a", "x" * 50)] * 4 + [("b", "short")], schema)
+    browser = spark.createDataFrame(
+        [("a", f"y{k}") for k in range(6)] + [("b", f"z{k}") for k in range(6)] + [(None, "n")] * 3,
+        schema)
+    got = usable_pages(static, browser, min_length=20, hot_rows=2)
+    assert sorted((str(r.url), r.html, r.fetched_via) for r in got.collect()) == sorted(
+        [("a", "x" * 50, "static")] * 4 + [("b", f"z{k}", "browser") for k in range(6)]
+        + [("None", "n", "browser")] * 3)
