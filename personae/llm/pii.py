@@ -6,16 +6,18 @@ addresses, card numbers that pass Luhn's test, and international phone numbers.
 The tagger (``tagger``: bidirectional LSTM, CRF transitions) learns from labelled spans: the base
 spans of a sample of windows, as they are and rewritten in ways the patterns do not know (numbers
 without "+", other separators, "(at)" and "dot" written out), against windows without spans and
-windows with dates, prices, versions and counts. It reads every stretch of text within ``REACH``
-characters of a digit or "@"; a span it adds holds one of them by definition, so that other text
-has none. Stretches are cut into windows of ``WIDTH`` characters that overlap by half; each is
-decoded by itself (Viterbi). For a whole document the spans of all windows are then reconciled:
-pieces cut at an edge are joined with their other half, and of spans that overlap the set with
-the largest sum of margins stays. What has a margin below ``MARGIN``, or not the digits or signs
-that its kind needs, or meets a base span is dropped. The rest are kinds ``model_...``.
-
-Training is bounded: each task keeps the ``SAMPLE`` windows with the smallest hashes, of either
-class, and so does the whole. Scanning takes whole texts, in time linear in their length.
+windows with dates, prices, versions and counts. It reads every character of every text, in
+passages of ``PASSAGE`` characters that overlap by ``OVERLAP``, so that each place is read with what
+is around it; each passage is decoded by itself (Viterbi). For a whole document the spans of all
+passages are then reconciled: pieces cut at an edge are joined with their other half, and of spans
+that overlap the set with the largest sum of margins stays. What has a margin below ``MARGIN``, or
+not the digits or signs that its kind needs, or meets a base span is dropped. The rest are kinds
+``model_...``.
+
+Training is bounded: each task keeps the ``SAMPLE`` windows with the smallest hashes, of each of
+three classes, and so does the whole. Windows of ``WIDTH`` characters within ``REACH`` of a digit or
+"@" hold base spans or none; windows of text without either sign are the third class. Scanning
+takes whole texts, in time linear in their length.
 
 Defined cases: null text is empty and has no spans; offsets are code points, ends exclusive;
 repeated or null ids are scanned row by row; without a base span in the training rows the tagger
@@ -36,11 +38,14 @@ from pyspark.sql import functions as F
 
 from personae.llm import tagger
 from personae.llm.batches import judged, text_steps
+from personae.operators.scale import materialize
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = BASE + [f"model_{k}" for k in BASE]
 REACH = 31
 WIDTH = 128
+PASSAGE = 1024
+OVERLAP = 64
 SAMPLE = 1_500
 MARGIN = 4.0
 
@@ -52,6 +57,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NEAR = re.compile(rf"[0-9@](?:[^0-9@]{{0,{2 * REACH + 1}}}+[0-9@])*+")
 _DIGIT = re.compile(r"[0-9]")
+_SIGN = re.compile(r"[0-9@]")
 _SPAN = "struct<start:int,kind:int,end:int>"
 
 Span = tuple[int, int, int]  # start, end, kind
@@ -121,6 +127,15 @@ def windows(text: str) -> Iterator[tuple[int, int, bool, bool]]:
             at += WIDTH // 2
 
 
+def passages(text: str, width: int = PASSAGE) -> Iterator[tuple[int, int, bool, bool]]:
+    """(start, end, cut at its start, cut at its end) of overlapping parts of the whole text."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + width)
+        yield at, end, at > 0, end < len(text)
+        at = end if end == len(text) else end - OVERLAP
+
+
 def reconciled(found: list[tuple[int, int, int, float, bool]]) -> list[Span]:
     """The best spans that do not overlap, from (start, end, kind, margin, cut) of all windows."""
     joined: list[list] = []
@@ -173,12 +188,13 @@ class Model:
         """Reconciled spans of the tagger alone, of kinds in ``BASE``."""
         if self.net is None:
             return [[] for _ in texts]
-        places = [(i, *w) for i, text in enumerate(texts) for w in windows(text)]
+        places = [(i, *w) for i, text in enumerate(texts) for w in passages(text)]
         places.sort(key=lambda p: p[2] - p[1])
+        points = [tagger.codes(text) for text in texts]
         found: list[list[tuple]] = [[] for _ in texts]
-        for at in range(0, len(places), 512):
-            some = places[at : at + 512]
-            x, inside = tagger.filled([tagger.codes(texts[i][a:b]) for i, a, b, _, _ in some])
+        for at in range(0, len(places), 256):
+            some = places[at : at + 256]
+            x, inside = tagger.filled([points[i][a:b] for i, a, b, _, _ in some])
             path, above = self.net.decode(x, inside)
             for k in np.flatnonzero(path.any(axis=1)):
                 i, a, b, first, last = some[k]
@@ -208,9 +224,12 @@ _ROWS = "label int, hash long, text string, spans array<int>"
 
 
 def _examples(batches: Iterator[pa.RecordBatch], sample: int) -> Iterator[pa.RecordBatch]:
-    """The windows with the smallest hashes, with and without base spans; each text once."""
-    held: list[list[tuple]] = [[], []]  # heaps of (-hash, text, spans)
-    known: list[set[int]] = [set(), set()]
+    """The windows with the smallest hashes, with base spans, without, and far from any sign.
+
+    Each text comes once.
+    """
+    held: list[list[tuple]] = [[], [], []]  # heaps of (-hash, text, spans)
+    known: list[set[int]] = [set(), set(), set()]
 
     def offer(label: int, text: str, spans: list[Span]) -> None:
         digest = blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
@@ -239,7 +258,10 @@ def _examples(batches: Iterator[pa.RecordBatch], sample: int) -> Iterator[pa.Rec
                             inner.append((start - a, end - a, kind))
                     if whole:
                         offer(int(bool(inner)), text[a:b], inner)
-    for label in (0, 1):
+                for a, b, _, _ in passages(text, WIDTH):
+                    if not _SIGN.search(text, a, b):
+                        offer(2, text[a:b], [])
+    for label in range(3):
         if rows := held[label]:
             yield pa.RecordBatch.from_pydict({
                 "label": pa.array([label] * len(rows), pa.int32()),
@@ -315,18 +337,19 @@ def examples(
 def train(
     df: DataFrame, text_col: str = "text", where: Column | None = None, sample: int = SAMPLE
 ) -> Model:
-    """Learn from at most ``sample`` windows with base spans and as many without."""
+    """Learn from at most ``sample`` windows with base spans and as many of each other class."""
     rows = (df if where is None else df.where(where)).select(F.col(text_col).alias("text"))
     near = rows.where("text is not null").mapInArrow(lambda b: _examples(b, sample), _ROWS)
-    near = near.dropDuplicates(["label", "hash"])
+    near = materialize(near.dropDuplicates(["label", "hash"]), "pii-examples")
     held = [
         (r.text, list(zip(r.spans[::3], r.spans[1::3], r.spans[2::3], strict=True)))
         for label in (1, 0)
         for r in near.where(F.col("label") == label).orderBy("hash").limit(sample).collect()
     ]
+    far = near.where("label = 2").orderBy("hash").limit(sample).collect()
     if not any(spans for _, spans in held):
         return Model(None)
-    return Model(tagger.fit(examples(held), len(BASE)))
+    return Model(tagger.fit(examples(held) + [(r.text, []) for r in far], len(BASE)))
 
 
 def scan(df: DataFrame, model: Model, text_col: str = "text", keep: list | None = None) -> DataFrame:

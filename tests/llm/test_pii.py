@@ -70,6 +70,62 @@ def test_windows_cover_what_is_near_a_digit():
     assert (covered >= near).all() and not covered[-300:].any()
 
 
+class OneAddress:
+    """In place of a tagger: finds one address that has no digit and no "@"."""
+
+    address = "jo (at) we dot org"
+
+    def decode(self, x, inside):
+        path = np.zeros(x.shape, np.int8)
+        for row, codes, on in zip(path, x, inside, strict=True):
+            at = bytes(codes[on].astype(np.uint8)).find(self.address.encode())
+            if at >= 0:
+                row[at : at + len(self.address)] = 1
+        return path, path[:, :, None]
+
+    def spans(self, path, above):
+        marked = np.flatnonzero(path)
+        return [(int(marked[0]), int(marked[-1]) + 1, 0, 9.0)]
+
+
+def test_text_without_digits_and_signs_is_read_as_well():
+    texts, want = [], []
+    for before in [0, 1, 500, *range(900, 1030, 3), 5_000]:
+        texts.append("w" * before + " " + OneAddress.address + " word" * 500)
+        want.append([(before + 1, before + 1 + len(OneAddress.address), 4)])
+    assert pii.Model(OneAddress()).scan(texts) == want
+
+
+def test_passages_cover_every_character():
+    for size in (0, 1, pii.PASSAGE - 1, pii.PASSAGE, pii.PASSAGE + 1, 10_000):
+        seen, last = np.zeros(size, int), 0
+        for a, b, first_cut, last_cut in pii.passages("z" * size):
+            assert 0 < b - a <= pii.PASSAGE and first_cut == (a > 0) and last_cut == (b < size)
+            assert a == 0 or last - a == pii.OVERLAP
+            seen[a:b] += 1
+            last = b
+        assert (seen >= 1).all() and last == size
+
+
+def test_fast_reading_gives_the_same_states_and_tags():
+    rng = np.random.default_rng(7)
+    quiet = 0
+    for trial in range(40):
+        net = tagger.Tagger.fresh(3, 5, rng)
+        net.w["T"] = rng.normal(0, 1, net.w["T"].shape).astype(np.float32)
+        net.w["o"][1:] -= rng.uniform(0, 6)
+        texts = ["".join(rng.choice(list("a1 .@"), rng.integers(1, 30))) for _ in range(8)]
+        x, inside = tagger.filled([tagger.codes(t) for t in texts])
+        for side in "fb":
+            states, _ = net._states(side, x, inside)
+            assert np.allclose(net._read(side, x, inside).transpose(2, 0, 1), states, atol=1e-5)
+        emission = net.scores(x, inside)
+        path, above = net.decode(x, inside)
+        assert (path == net._best(emission, inside)).all()
+        quiet += net._quiet(above, inside).sum()
+    assert 20 < quiet < 300
+
+
 def test_reconciled_joins_halves_and_keeps_the_best():
     found = [
         (10, 20, 3, 5.0, True), (15, 30, 3, 6.0, True),  # two halves
