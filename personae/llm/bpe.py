@@ -20,11 +20,14 @@ ids are treated row by row, other columns ignored. A text of any length is one r
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
 import unicodedata
+from contextlib import contextmanager
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,8 @@ from personae.llm.batches import map_rows, steps, text_steps
 from personae.llm.chunks import Memory, Splitter
 
 
-# Words whose ids a worker remembers.
-WORDS = 400_000
+# Words whose ids a worker remembers: the last half, and what is left of the half before.
+WORDS = 800_000
 
 
 def byte_symbols() -> list[str]:
@@ -108,28 +111,28 @@ class Vocabulary:
     def merge(self, words: list[str]) -> list[list[int]]:
         """Ids of each word, by the pair occurrence index over all of them."""
         rank, merges = self.rank, self.merges
-        symbol: list[int] = []
-        first: list[int] = []
-        for word in map(str.encode, words):
-            first.append(len(symbol))
-            symbol += [self.inner[b] for b in word[:-1]]
-            symbol.append(self.last[word[-1]])
-        size = len(symbol)
-        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        for at in first:
-            before[at] = -1
-            if at:
-                after[at - 1] = -1
-        after[size - 1] = -1
-        index = self._positions(symbol, after)
+        if not words:
+            return []
+        data = [word.encode() for word in words]
+        joined = b"".join(data)
+        size, ends = len(joined), np.cumsum([len(d) for d in data])
+        first = ends - np.array([len(d) for d in data])
+        symbol = list(map(self.inner.__getitem__, joined))
+        after_all, before_all = np.arange(1, size + 1), np.arange(-1, size - 1)
+        after_all[ends - 1] = before_all[first] = -1
+        for at in (ends - 1).tolist():
+            symbol[at] = self.last[joined[at]]
+        index = self._positions(symbol, after_all)
+        after, before = after_all.tolist(), before_all.tolist()
         active = list(index)
         heapq.heapify(active)
-        find = rank.get
+        find, known, push = rank.get, index.get, heapq.heappush
         while active:
             r = heapq.heappop(active)
             a, b, c = merges[r]
             places = index.pop(r)
-            places.sort()
+            if len(places) > 1:
+                places.sort()
             for p in places:
                 q = after[p]
                 if symbol[p] != a or q < 0 or symbol[q] != b:
@@ -140,28 +143,28 @@ class Vocabulary:
                     before[n] = p
                     new = find(c << 32 | symbol[n])
                     if new is not None:
-                        if new in index:
-                            index[new].append(p)
+                        if (filed := known(new)) is not None:
+                            filed.append(p)
                         else:
                             index[new] = [p]
-                            heapq.heappush(active, new)
+                            push(active, new)
                 if (m := before[p]) >= 0:
                     new = find(symbol[m] << 32 | c)
                     if new is not None:
-                        if new in index:
-                            index[new].append(m)
+                        if (filed := known(new)) is not None:
+                            filed.append(m)
                         else:
                             index[new] = [m]
-                            heapq.heappush(active, new)
-        out = []
-        for at, end in zip(first, [*first[1:], size], strict=True):
-            out.append([s for s in symbol[at:end] if s >= 0])
-        return out
-
+                            push(active, new)
+        left = np.concatenate(([0], np.cumsum(np.array(symbol) >= 0)))
+        ids = [s for s in symbol if s >= 0]
+        return [
+            ids[at:end] for at, end in zip(left[first].tolist(), left[ends].tolist(), strict=True)
+        ]
 
-    def _positions(self, symbol: list[int], after: list[int]) -> dict[int, list[int]]:
+    def _positions(self, symbol: list[int], right: np.ndarray) -> dict[int, list[int]]:
         """Rank of each adjacent pair that can be merged -> its positions, ascending."""
-        s, right = np.array(symbol, np.int64), np.array(after, np.int64)
+        s = np.array(symbol, np.int64)
         p = np.flatnonzero(right >= 0)
         key = s[p] << 32 | s[right[p]]
         at = np.searchsorted(self._keys, key)
@@ -170,8 +173,11 @@ class Vocabulary:
         order = np.argsort(r, kind="stable")
         p, r = p[order], r[order]
         starts = np.flatnonzero(np.diff(r, prepend=-1))
-        parts = np.split(p, starts[1:]) if len(starts) else []
-        return {k: part.tolist() for k, part in zip(r[starts].tolist(), parts, strict=True)}
+        places, ends = p.tolist(), np.append(starts, len(p))[1:].tolist()
+        return {
+            k: places[at:end]
+            for k, at, end in zip(r[starts].tolist(), starts.tolist(), ends, strict=True)
+        }
 
 
 class Codec:
@@ -181,6 +187,7 @@ class Codec:
         self.vocabulary, self.splitter = Vocabulary(path), Splitter.from_file(path)
         self.memory = Memory(self._encode_chunks, 500_000, self._written)
         self._words: dict[str, list[int]] = {}
+        self._older: dict[str, list[int]] = {}  # words of the time before, until they come again
 
     def _written(self, ids: list[int]) -> tuple[str, str]:
         return " ".join(map(str, ids)), self.decode(ids)
@@ -188,10 +195,13 @@ class Codec:
     def _encode_chunks(self, chunks: list[str]) -> list[list[int]]:
         special = self.splitter.specials
         cut = self.vocabulary.cut([c for c in chunks if c not in special])
-        known = self._words
-        if len(known) > WORDS:
-            known.clear()
-        new = list(set().union(*cut).difference(known))
+        if len(self._words) > WORDS // 2:
+            self._older, self._words = self._words, {}
+        known, older = self._words, self._older
+        missing = set(chain.from_iterable(cut)).difference(known)
+        again = missing.intersection(older) if older else ()
+        known.update(zip(again, map(older.pop, again), strict=True))
+        new = list(missing.difference(again))
         if new:
             known.update(zip(new, self.vocabulary.merge(new), strict=True))
         ids = iter(cut)
@@ -202,6 +212,10 @@ class Codec:
 
     def written(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """Number of ids of each text, the ids and the decoded text written out."""
+        with _uncollected():
+            return self._written_texts(texts)
+
+    def _written_texts(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         out = []
         for i, j in steps(texts):
             chunks = [self.splitter(t) for t in texts[i:j]]
@@ -232,6 +246,18 @@ class Codec:
         return " ".join([tokens[i] for i in ids if i in tokens])
 
 
+@contextmanager
+def _uncollected():
+    """Without searches for cycles, which what is remembered has none of but would lengthen."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 @cache
 def codec(path: str) -> Codec:
     """One for each Python worker and file."""

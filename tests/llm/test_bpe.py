@@ -49,6 +49,19 @@ def test_a_small_memory_changes_nothing(library, monkeypatch):
     assert [i for t in texts for i in codec.encode([t])] == expected(library, texts)
 
 
+def test_words_that_come_again_are_merged_once(library, monkeypatch):
+    codec, merged = bpe.Codec(PATH), []
+    monkeypatch.setattr(bpe, "WORDS", 20)
+    monkeypatch.setattr(
+        codec.vocabulary, "merge",
+        lambda words, merge=codec.vocabulary.merge: merged.extend(words) or merge(words),
+    )
+    codec.memory._limit = 1
+    texts = [f"again and{'xyz'[i % 3]} {'abcdefghij'[i // 10] * 3}{'abcdefghij'[i % 10]}" for i in range(100)]
+    assert [codec.encode([t])[0] for t in texts] == expected(library, texts)
+    assert merged.count("again") == 1 and len(codec._words) + len(codec._older) <= 24
+
+
 def test_rows(spark, library):
     texts = [None, "", "The  thing's <|endoftext|>", "The  thing's <|endoftext|>", "word " * 20000]
     df = spark.createDataFrame(
