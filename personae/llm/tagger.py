@@ -1,4 +1,4 @@
-"""A character-level bidirectional LSTM with CRF transitions, in numpy.
+"""A character-level bidirectional LSTM with CRF transitions, in numpy; ``reader`` reads much text.
 
 Tags are O and, for each kind, B (first character) and I (further ones). Tag scores are a linear
 map of both directions' states; the CRF adds a score for each pair of neighbouring tags, where I
@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from personae.llm import reader
+
 # ASCII as it is but for digits, which are all one; one code each for other letters, other signs
 # and the filling of short windows
 CODES = 131
@@ -88,45 +90,16 @@ class Tagger:
         return out, trace
 
     def _read(self, side: str, x: np.ndarray, inside: np.ndarray) -> np.ndarray:
-        """The same states as ``_states``, by place, unit and window, for reading much text.
-
-        Gates lie one after the other, and every step works in the same few arrays.
-        """
-        n = self.w["W" + side].shape[0]
-        half = np.repeat([0.5, 0.5, 0.5, 1.0], n).astype(np.float32)  # exact, so done beforehand
-        given, own = self.w["X" + side] * half, (self.w["W" + side] * half).T.copy()
-        rows, width = x.shape
-        by_place, full = np.ascontiguousarray(x.T), inside.all(axis=0)
-        out = np.empty((width, n, rows), np.float32)
-        h, c = np.zeros((2, n, rows), np.float32)
-        z, row = np.empty((4 * n, rows), np.float32), np.empty((rows, 4 * n), np.float32)
-        i, f, o, g = (z[k * n : (k + 1) * n] for k in range(4))
-        gates = z[: 3 * n]
-        for t in range(width) if side == "f" else range(width - 1, -1, -1):
-            np.take(given, by_place[t], axis=0, out=row, mode="clip")
-            np.matmul(own, h, out=z)
-            z += row.T
-            np.tanh(z, out=z)
-            gates += 1
-            gates *= 0.5
-            c *= f
-            i *= g
-            c += i
-            if not full[t]:
-                c *= inside[:, t]
-            np.tanh(c, out=h)
-            h *= o
-            if not full[t]:
-                h *= inside[:, t]
-            out[t] = h
-        return out
+        """The same states as ``_states``, by place, unit and window, for reading much text."""
+        states = reader.states(x, inside, self.w["X" + side], self.w["W" + side], side == "b")
+        return states.transpose(0, 2, 1)
 
     def scores(self, x: np.ndarray, inside: np.ndarray) -> np.ndarray:
         """Score of each tag at each place."""
         n = self.w["Wf"].shape[0]
         out = np.matmul(self.w["O"][:n].T, self._read("f", x, inside))
         out += np.matmul(self.w["O"][n:].T, self._read("b", x, inside))
-        return np.ascontiguousarray(out.transpose(2, 0, 1)) + self.w["o"]
+        return out.transpose(2, 0, 1) + self.w["o"]  # in memory, windows lie side by side
 
     def _quiet(self, above: np.ndarray, inside: np.ndarray) -> np.ndarray:
         """Windows whose best tags are all O: no span of any kind can be worth more than O's.
@@ -138,10 +111,13 @@ class Tagger:
         enter = np.maximum(move[:-1].max(axis=0) - move[0, 0], move[-1] - move[-1, 0])[1::2]
         more = (move[:-1].max(axis=0) - move[0, 0])[2::2]
         leave = np.maximum(move[:-1, 0] - move[0, 0], 0)[1:].reshape(-1, 2).max(axis=1) + 1e-3
-        worth = most = np.full((len(above), len(enter)), -np.inf, np.float32)
+        first, further = above[:, :, 1::2] + enter, above[:, :, 2::2] + more
+        worth = most = np.full(first[:, 0].shape, -np.inf, np.float32)
+        full = inside.all(axis=0)
         for t in range(above.shape[1]):
-            worth = np.maximum(worth + above[:, t, 2::2] + more, above[:, t, 1::2] + enter)
-            most = np.maximum(most, np.where(inside[:, t, None], worth, -np.inf))
+            worth = np.maximum(worth + further[:, t], first[:, t])
+            here = worth if full[t] else np.where(inside[:, t, None], worth, -np.inf)
+            most = np.maximum(most, here)
         return (most + leave < 0).all(axis=1)
 
     def decode(self, x: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
