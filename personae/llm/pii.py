@@ -46,6 +46,7 @@ REACH = 31
 WIDTH = 128
 PASSAGE = 1024
 OVERLAP = 64
+CELLS = 1 << 20
 SAMPLE = 1_500
 MARGIN = 4.0
 
@@ -178,6 +179,17 @@ def plausible(text: str, kind: int) -> bool:
     return 9 <= len(digits) <= 15
 
 
+def _alike(lengths: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of passages of rising lengths that make a matrix of at most ``CELLS``, one at least."""
+    start = 0
+    for i, n in enumerate(lengths):
+        if i > start and (i + 1 - start) * n > CELLS:
+            yield start, i
+            start = i
+    if lengths:
+        yield start, len(lengths)
+
+
 class Model:
     """The tagger, or none if there was nothing to learn."""
 
@@ -192,8 +204,8 @@ class Model:
         places.sort(key=lambda p: p[2] - p[1])
         points = [tagger.codes(text) for text in texts]
         found: list[list[tuple]] = [[] for _ in texts]
-        for at in range(0, len(places), 256):
-            some = places[at : at + 256]
+        for i, j in _alike([b - a for _, a, b, _, _ in places]):
+            some = places[i:j]
             x, inside = tagger.filled([points[i][a:b] for i, a, b, _, _ in some])
             path, above = self.net.decode(x, inside)
             for k in np.flatnonzero(path.any(axis=1)):

@@ -4,17 +4,26 @@ The graph is a ``Scan`` over the places of the windows, so that a step's sums an
 run as vector code; numpy's ``tanh`` alone takes longer than the whole step. Weights are inputs:
 one graph for each direction serves all models of a process. The file format (protocol buffers)
 is written here, as the runtime only reads it.
+
+Outside of a window a code of its own closes all gates but the new value's, which sets the state
+to zero. So windows of any length may follow each other in one ``lane``, with one such place
+between them, and no time goes into filling. Scores are further columns of the step's product,
+those of the state before.
 """
 
 from __future__ import annotations
 
+import heapq
 from functools import cache
 
 import numpy as np
 
+LANES = 320
+
 _FLOAT, _LONG = 1, 7
 _INT, _GRAPH, _INTS = 2, 5, 7
 _IR, _OPSET = 8, 17
+_CLOSED = -1e4
 
 
 def _number(n: int) -> bytes:
@@ -61,35 +70,30 @@ def _graph(nodes: list[bytes], inputs: list[bytes], outputs: list[bytes]) -> byt
 
 
 @cache
-def _session(backwards: bool):
+def _session(backwards: bool, scored: bool):
     import onnxruntime  # only where text is read, not in every driver and worker
 
     step = _graph(
         [
-            _node("Gather", "given code", "row"), _node("MatMul", "h own", "fed"),
-            _node("Add", "row fed", "z"), _node("Split", "z three_and_one", "zs zg", _int("axis", 1)),
-            _node("Sigmoid", "zs", "gates"), _node("Tanh", "zg", "g"),
-            _node("Split", "gates thirds", "i f o", _int("axis", 1)),
-            _node("Mul", "f c", "fc"), _node("Mul", "i g", "ig"), _node("Add", "fc ig", "sum"),
-            # outside of a window the state is zero
-            _node("Mul", "sum on", "c_next"), _node("Tanh", "c_next", "s"),
-            _node("Mul", "o s", "h_next"), _node("Identity", "h_next", "state"),
-        ],
-        [_value("h", "R", "N"), _value("c", "R", "N"), _value("code", "R", kind=_LONG),
-         _value("on", "R", "one")],
-        [_value("h_next", "R", "N"), _value("c_next", "R", "N"), _value("state", "R", "N")],
+            _node("Gather", "given code", "row"), _node("MatMul", "h own", "fed"), _node("Add", "row fed", "z"),
+            _node("Split", "z parts", "zi zf zo zg" + " out" * scored, _int("axis", 1)),
+            _node("Sigmoid", "zi", "i"), _node("Sigmoid", "zf", "f"), _node("Sigmoid", "zo", "o"),
+            _node("Tanh", "zg", "g"), _node("Mul", "f c", "fc"), _node("Mul", "i g", "ig"),
+            _node("Add", "fc ig", "c_next"), _node("Tanh", "c_next", "s"), _node("Mul", "o s", "h_next"),
+        ] + [_node("Identity", "h_next", "out")] * (not scored),
+        [_value("h", "R", "N"), _value("c", "R", "N"), _value("code", "R", kind=_LONG)],
+        [_value("h_next", "R", "N"), _value("c_next", "R", "N"), _value("out", "R", "S")],
     )
     scan = _node(
-        "Scan", "zero zero codes inside", "h_last c_last states", _message((1, "body"), (6, step), (20, _GRAPH)),
-        _int("num_scan_inputs", 2), _ints("scan_input_directions", backwards, backwards),
+        "Scan", "zero zero codes", "h_last c_last outs", _message((1, "body"), (6, step), (20, _GRAPH)),
+        _int("num_scan_inputs", 1), _ints("scan_input_directions", backwards),
         _ints("scan_output_directions", backwards),
     )
     graph = _graph(
         [scan],
-        [_value("zero", "R", "N"), _value("codes", "T", "R", kind=_LONG),
-         _value("inside", "T", "R", "one"), _value("given", "C", "G"), _value("own", "N", "G"),
-         _value("three_and_one", "two", kind=_LONG), _value("thirds", "three", kind=_LONG)],
-        [_value("states", "T", "R", "N")],
+        [_value("zero", "R", "N"), _value("codes", "T", "R", kind=_LONG), _value("given", "C", "G"),
+         _value("own", "N", "G"), _value("parts", "P", kind=_LONG)],
+        [_value("outs", "T", "R", "S")],
     )
     options = onnxruntime.SessionOptions()
     options.intra_op_num_threads = options.inter_op_num_threads = 1  # Spark's tasks fill the cores
@@ -97,15 +101,80 @@ def _session(backwards: bool):
     return onnxruntime.InferenceSession(model, options, providers=["CPUExecutionProvider"])
 
 
-def states(
-    codes: np.ndarray, inside: np.ndarray, given: np.ndarray, own: np.ndarray, backwards: bool
+def _run(
+    codes: np.ndarray, given: np.ndarray, own: np.ndarray, backwards: bool,
+    out: np.ndarray | None = None,
 ) -> np.ndarray:
-    """(place, window, unit) of windows (window, place); gates lie in the order i, f, o, g."""
+    """(place, lane, unit) of codes (place, lane), where code len(given) is outside of all windows.
+
+    With ``out`` it is (place, lane, score): of the place read before, and at the first one 0.
+    """
     n = own.shape[0]
-    return _session(backwards).run(["states"], {
-        "zero": np.zeros((len(codes), n), np.float32),
-        "codes": np.ascontiguousarray(codes.T, dtype=np.int64),
-        "inside": np.ascontiguousarray(inside.T, dtype=np.float32)[:, :, None],
+    parts = [n] * 4
+    given = np.vstack([given, np.repeat(np.array([_CLOSED, 0], given.dtype), (3 * n, n))])
+    if out is not None:
+        parts.append(out.shape[1])
+        given = np.hstack([given, np.zeros((len(given), out.shape[1]), given.dtype)])
+        own = np.hstack([own, out])
+    return _session(backwards, out is not None).run(["outs"], {
+        "zero": np.zeros((codes.shape[1], n), np.float32), "codes": codes,
         "given": given.astype(np.float32, copy=False), "own": own.astype(np.float32, copy=False),
-        "three_and_one": np.array([3 * n, n]), "thirds": np.array([n, n, n]),
+        "parts": np.array(parts),
     })[0]
+
+
+def states(
+    codes: np.ndarray, inside: np.ndarray, given: np.ndarray, own: np.ndarray, backwards: bool
+) -> np.ndarray:
+    """(place, window, unit) of windows (window, place); gates lie in the order i, f, o, g."""
+    codes = np.ascontiguousarray(np.where(inside, codes, len(given)).T, np.int64)
+    return _run(codes, given, own, backwards)
+
+
+def lanes(lengths: np.ndarray, most: int = LANES) -> tuple[np.ndarray, np.ndarray, int]:
+    """Lane and first place of each window, and the number of places, the first and last outside.
+
+    The longest come first, each into the lane that is filled least.
+    """
+    lane, start = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    filled = [(1, i) for i in range(max(1, min(most, len(lengths))))]
+    for k in np.argsort(-lengths, kind="stable").tolist():
+        at, i = filled[0]
+        start[k], lane[k] = at, i
+        heapq.heapreplace(filled, (at + int(lengths[k]) + 1, i))
+    return lane, start, max(at for at, _ in filled) + 1
+
+
+class Scores:
+    """Scores of windows that lie in lanes: ``total`` (place, score, lane); ``scores[k]`` are window k's.
+
+    ``owner`` (place, lane) is the window there, or -1.
+    """
+
+    def __init__(
+        self, codes: np.ndarray, inside: np.ndarray,
+        sides: list[tuple[np.ndarray, np.ndarray, np.ndarray]],
+    ):
+        """Windows (window, place) begin at their first place; ``sides`` are given, own, and what maps
+        states to scores, forwards and backwards."""
+        self.width, self.lengths = codes.shape[1], inside.sum(axis=1)
+        self.lane, self.start, places = lanes(self.lengths)
+        count = int(self.lane.max(initial=0)) + 1
+        self.owner = np.full((places, count), -1, np.int32)
+        packed = np.full((places, count), len(sides[0][0]), np.int64)
+        window, place = np.nonzero(inside)
+        at = self.start[window] + place, self.lane[window]
+        self.owner[at], packed[at] = window, codes[inside]
+        (given, own, out), back = sides
+        self.total = np.zeros((places, out.shape[1], count), np.float32)
+        got = _run(packed, given, own, False, out).transpose(0, 2, 1)
+        self.total[:-1] = got[1:]
+        got = _run(packed, *back[:2], True, back[2]).transpose(0, 2, 1)
+        self.total[1:] += got[:-1]
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        """(place, score), 0 outside."""
+        out = np.zeros((self.width, self.total.shape[1]), np.float32)
+        start, n = self.start[k], self.lengths[k]
+        out[:n] = self.total[start : start + n, :, self.lane[k]]
+        return out

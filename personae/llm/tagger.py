@@ -47,6 +47,22 @@ def _allowed(tags: int) -> np.ndarray:
     return out
 
 
+def _paired(a: np.ndarray) -> np.ndarray:
+    """Columns of all B, then of all I, without O."""
+    return np.concatenate([a[..., 1::2], a[..., 2::2]], axis=-1)
+
+
+class Above(reader.Scores):
+    """Scores of tags above O's: ``total`` has all B, then all I; ``above[k]`` (place, tag) is window k's."""
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        paired = super().__getitem__(k)
+        kinds = paired.shape[1] // 2
+        out = np.zeros((len(paired), 2 * kinds + 1), np.float32)
+        out[:, 1::2], out[:, 2::2] = paired[:, :kinds], paired[:, kinds:]
+        return out
+
+
 class Tagger:
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
@@ -101,7 +117,16 @@ class Tagger:
         out += np.matmul(self.w["O"][n:].T, self._read("b", x, inside))
         return out.transpose(2, 0, 1) + self.w["o"]  # in memory, windows lie side by side
 
-    def _quiet(self, above: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    def above(self, x: np.ndarray, inside: np.ndarray) -> Above:
+        """What ``scores`` gives, less the score of O."""
+        n = self.w["Wf"].shape[0]
+        out = _paired(self.w["O"] - self.w["O"][:, :1])
+        sides = zip("fb", (out[:n], out[n:]), strict=True)
+        got = Above(x, inside, [(self.w["X" + s], self.w["W" + s], part) for s, part in sides])
+        got.total += _paired(self.w["o"] - self.w["o"][0])[:, None]
+        return got
+
+    def _quiet(self, above: Above, inside: np.ndarray) -> np.ndarray:
         """Windows whose best tags are all O: no span of any kind can be worth more than O's.
 
         A span is worth its scores above O's, the steps in it, and at most the best step to it
@@ -111,34 +136,39 @@ class Tagger:
         enter = np.maximum(move[:-1].max(axis=0) - move[0, 0], move[-1] - move[-1, 0])[1::2]
         more = (move[:-1].max(axis=0) - move[0, 0])[2::2]
         leave = np.maximum(move[:-1, 0] - move[0, 0], 0)[1:].reshape(-1, 2).max(axis=1) + 1e-3
-        first, further = above[:, :, 1::2] + enter, above[:, :, 2::2] + more
-        worth = most = np.full(first[:, 0].shape, -np.inf, np.float32)
-        full = inside.all(axis=0)
-        for t in range(above.shape[1]):
-            worth = np.maximum(worth + further[:, t], first[:, t])
-            here = worth if full[t] else np.where(inside[:, t, None], worth, -np.inf)
-            most = np.maximum(most, here)
-        return (most + leave < 0).all(axis=1)
+        kinds = len(enter)
+        worth = above.total[:, :kinds] + (enter + leave).astype(np.float32)[:, None]
+        further = above.total[:, kinds:] + more.astype(np.float32)[:, None]
+        worth.transpose(0, 2, 1)[above.owner < 0] = -np.inf
+        for t in range(1, len(worth)):
+            further[t] += worth[t - 1]
+            np.maximum(worth[t], further[t], out=worth[t], where=above.owner[t] >= 0)
+        quiet = np.ones(len(inside), bool)
+        quiet[above.owner[(worth >= 0).any(axis=1)]] = False
+        return quiet
 
-    def decode(self, x: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def decode(self, x: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, Above]:
         """The best tags of each window, and tag scores less the score of O."""
-        emission = self.scores(x, inside)
-        above = emission - emission[:, :, :1]
+        above = self.above(x, inside)
         path = np.zeros(x.shape, np.int8)
         loud = np.flatnonzero(~self._quiet(above, inside))
         if len(loud):
-            path[loud] = self._best(emission[loud], inside[loud])
+            path[loud] = self._best(np.stack([above[k] for k in loud]), inside[loud])
         return path, above
 
     def _best(self, emission: np.ndarray, inside: np.ndarray) -> np.ndarray:
         """Tags with the largest score (Viterbi)."""
         move = self.w["T"] + self.fixed
         score = emission[:, 0] + move[-1]
+        full = inside.all(axis=0)
         back = np.zeros(emission.shape, np.int8)
         for t in range(1, emission.shape[1]):
             step = score[:, :, None] + move[:-1]
             back[:, t] = step.argmax(axis=1)
             best = step.max(axis=1) + emission[:, t]
+            if full[t]:
+                score = best
+                continue
             on = inside[:, t, None]
             score = np.where(on, best, score)
             back[:, t] = np.where(on, back[:, t], np.arange(self.tags))

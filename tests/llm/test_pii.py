@@ -6,7 +6,7 @@ import time
 import numpy as np
 import pytest
 
-from personae.llm import pii, tagger
+from personae.llm import pii, reader, tagger
 from personae.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -149,6 +149,28 @@ def test_reading_takes_less_time_than_the_activations_of_numpy():
     assert reading < tanh
 
 
+def test_windows_share_lanes_without_filling(monkeypatch):
+    rng = np.random.default_rng(11)
+    net = tagger.Tagger.fresh(3, 5, rng)
+    net.w["o"] = rng.normal(0, 1, 7).astype(np.float32)
+    texts = ["".join(rng.choice(list("a1 .@"), n)) for n in rng.integers(1, 200, 700)]
+    x, inside = tagger.filled([tagger.codes(t) for t in texts])
+    read, run = [], reader._run
+
+    def spied(codes, *args):
+        read.append(codes.size)
+        return run(codes, *args)
+
+    monkeypatch.setattr(reader, "_run", spied)
+    above = net.above(x, inside)
+    assert len(read) == 2 and max(read) < 1.1 * inside.sum() < 0.6 * x.size
+    monkeypatch.undo()
+    want = net.scores(x, inside)
+    want = want - want[:, :, :1]
+    for k, n in enumerate(inside.sum(axis=1)):
+        assert np.allclose(above[k][:n], want[k, :n], atol=1e-4)
+
+
 def test_reconciled_joins_halves_and_keeps_the_best():
     found = [
         (10, 20, 3, 5.0, True), (15, 30, 3, 6.0, True),  # two halves
