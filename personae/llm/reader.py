@@ -18,7 +18,7 @@ from functools import cache
 
 import numpy as np
 
-LANES = 320
+LANES = 256
 
 _FLOAT, _LONG = 1, 7
 _INT, _GRAPH, _INTS = 2, 5, 7
