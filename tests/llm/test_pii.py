@@ -153,7 +153,7 @@ def test_windows_share_lanes_without_filling(monkeypatch):
     rng = np.random.default_rng(11)
     net = tagger.Tagger.fresh(3, 5, rng)
     net.w["o"] = rng.normal(0, 1, 7).astype(np.float32)
-    texts = ["".join(rng.choice(list("a1 .@"), n)) for n in rng.integers(1, 200, 700)]
+    texts = ["".join(rng.choice(list("a1 .@"), n)) for n in rng.integers(1, 200, 3_000)]
     x, inside = tagger.filled([tagger.codes(t) for t in texts])
     read, run = [], reader._run
 
