@@ -7,18 +7,18 @@ is written here, as the runtime only reads it.
 
 Outside of a window a code of its own closes all gates but the new value's, which sets the state
 to zero. So windows of any length may follow each other in one ``lane``, with one such place
-between them, and no time goes into filling. Scores are further columns of the step's product,
-those of the state before.
+between them, and no time goes into filling. The step gives scores instead of states, with lanes
+side by side.
 """
 
 from __future__ import annotations
 
-import heapq
+from bisect import bisect_left, insort
 from functools import cache
 
 import numpy as np
 
-LANES = 256
+LANES = 320
 
 _FLOAT, _LONG = 1, 7
 _INT, _GRAPH, _INTS = 2, 5, 7
@@ -76,13 +76,15 @@ def _session(backwards: bool, scored: bool):
     step = _graph(
         [
             _node("Gather", "given code", "row"), _node("MatMul", "h own", "fed"), _node("Add", "row fed", "z"),
-            _node("Split", "z parts", "zi zf zo zg" + " out" * scored, _int("axis", 1)),
+            _node("Split", "z parts", "zi zf zo zg", _int("axis", 1)),
             _node("Sigmoid", "zi", "i"), _node("Sigmoid", "zf", "f"), _node("Sigmoid", "zo", "o"),
             _node("Tanh", "zg", "g"), _node("Mul", "f c", "fc"), _node("Mul", "i g", "ig"),
             _node("Add", "fc ig", "c_next"), _node("Tanh", "c_next", "s"), _node("Mul", "o s", "h_next"),
-        ] + [_node("Identity", "h_next", "out")] * (not scored),
+            _node("Gemm", "score h_next", "out", _int("transB", 1)) if scored
+            else _node("Identity", "h_next", "out"),
+        ],
         [_value("h", "R", "N"), _value("c", "R", "N"), _value("code", "R", kind=_LONG)],
-        [_value("h_next", "R", "N"), _value("c_next", "R", "N"), _value("out", "R", "S")],
+        [_value("h_next", "R", "N"), _value("c_next", "R", "N"), _value("out", "A", "B")],
     )
     scan = _node(
         "Scan", "zero zero codes", "h_last c_last outs", _message((1, "body"), (6, step), (20, _GRAPH)),
@@ -92,8 +94,8 @@ def _session(backwards: bool, scored: bool):
     graph = _graph(
         [scan],
         [_value("zero", "R", "N"), _value("codes", "T", "R", kind=_LONG), _value("given", "C", "G"),
-         _value("own", "N", "G"), _value("parts", "P", kind=_LONG)],
-        [_value("outs", "T", "R", "S")],
+         _value("own", "N", "G"), _value("parts", "P", kind=_LONG)] + [_value("score", "A", "N")] * scored,
+        [_value("outs", "T", "A", "B")],
     )
     options = onnxruntime.SessionOptions()
     options.intra_op_num_threads = options.inter_op_num_threads = 1  # Spark's tasks fill the cores
@@ -107,19 +109,15 @@ def _run(
 ) -> np.ndarray:
     """(place, lane, unit) of codes (place, lane), where code len(given) is outside of all windows.
 
-    With ``out`` it is (place, lane, score): of the place read before, and at the first one 0.
+    With ``out``, which maps states to scores, it is (place, score, lane).
     """
     n = own.shape[0]
-    parts = [n] * 4
     given = np.vstack([given, np.repeat(np.array([_CLOSED, 0], given.dtype), (3 * n, n))])
-    if out is not None:
-        parts.append(out.shape[1])
-        given = np.hstack([given, np.zeros((len(given), out.shape[1]), given.dtype)])
-        own = np.hstack([own, out])
+    more = {} if out is None else {"score": np.ascontiguousarray(out.T, np.float32)}
     return _session(backwards, out is not None).run(["outs"], {
         "zero": np.zeros((codes.shape[1], n), np.float32), "codes": codes,
         "given": given.astype(np.float32, copy=False), "own": own.astype(np.float32, copy=False),
-        "parts": np.array(parts),
+        "parts": np.array([n] * 4), **more,
     })[0]
 
 
@@ -131,18 +129,27 @@ def states(
     return _run(codes, given, own, backwards)
 
 
-def lanes(lengths: np.ndarray, most: int = LANES) -> tuple[np.ndarray, np.ndarray, int]:
+def lanes(lengths: np.ndarray, least: int = LANES) -> tuple[np.ndarray, np.ndarray, int]:
     """Lane and first place of each window, and the number of places, the first and last outside.
 
-    The longest come first, each into the lane that is filled least.
+    Lanes have room for some of the longest windows, so few of them that there are ``least`` lanes or
+    more, where the windows suffice. The longest come first, each where it leaves the least room.
     """
     lane, start = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    filled = [(1, i) for i in range(max(1, min(most, len(lengths))))]
+    longest = int(lengths.max(initial=0)) + 1
+    places = longest * max(1, int(lengths.sum() + len(lengths)) // (least * longest))
+    rooms: list[tuple[int, int]] = []  # (room, lane), rising
+    count = 0
     for k in np.argsort(-lengths, kind="stable").tolist():
-        at, i = filled[0]
-        start[k], lane[k] = at, i
-        heapq.heapreplace(filled, (at + int(lengths[k]) + 1, i))
-    return lane, start, max(at for at, _ in filled) + 1
+        size = int(lengths[k]) + 1
+        at = bisect_left(rooms, (size, 0))
+        if at == len(rooms):
+            room, i, count = places, count, count + 1
+        else:
+            room, i = rooms.pop(at)
+        lane[k], start[k] = i, places - room + 1
+        insort(rooms, (room - size, i))
+    return lane, start, places + 1
 
 
 class Scores:
@@ -166,11 +173,8 @@ class Scores:
         at = self.start[window] + place, self.lane[window]
         self.owner[at], packed[at] = window, codes[inside]
         (given, own, out), back = sides
-        self.total = np.zeros((places, out.shape[1], count), np.float32)
-        got = _run(packed, given, own, False, out).transpose(0, 2, 1)
-        self.total[:-1] = got[1:]
-        got = _run(packed, *back[:2], True, back[2]).transpose(0, 2, 1)
-        self.total[1:] += got[:-1]
+        self.total = _run(packed, given, own, False, out)
+        self.total += _run(packed, *back[:2], True, back[2])
 
     def __getitem__(self, k: int) -> np.ndarray:
         """(place, score), 0 outside."""

@@ -15,24 +15,30 @@ from personae.llm import reader
 # ASCII as it is but for digits, which are all one; one code each for other letters, other signs
 # and the filling of short windows
 CODES = 131
-_ONE = np.arange(1 << 8)
-_ONE[ord("0") : ord("9") + 1] = ord("0")
+_ASCII = bytes(ord("0") if chr(c).isdigit() else c for c in range(128)).ljust(256, b"\0")
+_UNSEEN = 255
+_CODE = np.full(1 << 21, _UNSEEN, np.uint8)  # by code point; those beyond ASCII once they are met
+_CODE[:128] = np.frombuffer(_ASCII, np.uint8)[:128]
 _NEVER = -1e4
 
 
 def codes(text: str) -> np.ndarray:
+    if text.isascii():
+        return np.frombuffer(text.encode("ascii").translate(_ASCII), np.uint8)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = _ONE[np.minimum(points, 255)]
-    high = np.flatnonzero(points >= 128)
-    if len(high):
-        out[high] = [128 if chr(c).isalpha() else 129 for c in points[high]]
+    out = _CODE[points]
+    unseen = points[out == _UNSEEN]
+    if len(unseen):
+        for c in set(unseen.tolist()):
+            _CODE[c] = 128 if chr(c).isalpha() else 129
+        out = _CODE[points]
     return out
 
 
 def filled(windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """One matrix of codes, and where it is not filling."""
     lengths = np.array([len(w) for w in windows])
-    out = np.full((len(windows), lengths.max()), CODES - 1)
+    out = np.full((len(windows), lengths.max()), CODES - 1, np.uint8)
     inside = np.arange(out.shape[1]) < lengths[:, None]
     out[inside] = np.concatenate(windows)
     return out, inside
@@ -139,12 +145,15 @@ class Tagger:
         kinds = len(enter)
         worth = above.total[:, :kinds] + (enter + leave).astype(np.float32)[:, None]
         further = above.total[:, kinds:] + more.astype(np.float32)[:, None]
-        worth.transpose(0, 2, 1)[above.owner < 0] = -np.inf
+        worth[above.start - 1, :, above.lane] = -np.inf  # no span goes on from before a window
+        further[above.start - 1, :, above.lane] = -np.inf
         for t in range(1, len(worth)):
             further[t] += worth[t - 1]
-            np.maximum(worth[t], further[t], out=worth[t], where=above.owner[t] >= 0)
+            np.maximum(worth[t], further[t], out=worth[t])
+        place, _, lane = np.unravel_index(np.flatnonzero(worth >= 0), worth.shape)
+        owner = above.owner[place, lane]
         quiet = np.ones(len(inside), bool)
-        quiet[above.owner[(worth >= 0).any(axis=1)]] = False
+        quiet[owner[owner >= 0]] = False
         return quiet
 
     def decode(self, x: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, Above]:
@@ -157,38 +166,34 @@ class Tagger:
         return path, above
 
     def _best(self, emission: np.ndarray, inside: np.ndarray) -> np.ndarray:
-        """Tags with the largest score (Viterbi)."""
+        """Tags with the largest score (Viterbi); windows begin at their first place."""
         move = self.w["T"] + self.fixed
-        score = emission[:, 0] + move[-1]
-        full = inside.all(axis=0)
-        back = np.zeros(emission.shape, np.int8)
-        for t in range(1, emission.shape[1]):
-            step = score[:, :, None] + move[:-1]
-            back[:, t] = step.argmax(axis=1)
-            best = step.max(axis=1) + emission[:, t]
-            if full[t]:
-                score = best
-                continue
-            on = inside[:, t, None]
-            score = np.where(on, best, score)
-            back[:, t] = np.where(on, back[:, t], np.arange(self.tags))
-        tag = score.argmax(axis=1)
+        lengths = inside.sum(axis=1)
+        order = np.argsort(-lengths, kind="stable")  # so that those still read come first
+        on = np.searchsorted(-lengths[order], -np.arange(inside.shape[1]))
+        score = emission[order].transpose(1, 2, 0).copy()  # (place, tag, window)
+        score[0] += move[-1][:, None]
+        for t in range(1, len(score)):
+            n = on[t]
+            step = score[t - 1, :, None, :n] + move[:-1, :, None]
+            score[t, :, :n] += step.max(axis=0)
         path = np.zeros(inside.shape, np.int8)
-        for t in range(inside.shape[1] - 1, -1, -1):
-            path[:, t] = tag
-            tag = back[np.arange(len(path)), t, tag] if t else tag
-        return np.where(inside, path, 0)
+        tag = np.zeros(len(path), np.int64)
+        for t in range(len(score) - 1, -1, -1):
+            old, n = on[t + 1] if t + 1 < len(score) else 0, on[t]
+            tag[:old] = (score[t, :, :old] + move[:-1, tag[:old]]).argmax(axis=0)
+            tag[old:n] = score[t, :, old:n].argmax(axis=0)
+            path[order[:n], t] = tag[:n]
+        return path
 
     def spans(self, path: np.ndarray, above: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(start, end, kind, margin) of one window; the margin is over tags O instead."""
         move = self.w["T"] + self.fixed
-        out, t = [], 0
-        while t < len(path):
-            tag = int(path[t])
-            if tag == 0:
-                t += 1
+        out, end = [], 0
+        for t in np.flatnonzero(path).tolist():
+            if t < end:
                 continue
-            end = t + 1
+            tag, end = int(path[t]), t + 1
             while end < len(path) and path[end] == tag + 1:
                 end += 1
             inner = [int(g) for g in path[t:end]]
@@ -199,7 +204,6 @@ class Tagger:
             margin += sum(move[i, j] for i, j in zip(chain, chain[1:], strict=False))
             margin -= move[before, 0] + (end - t - 1) * move[0, 0] + sum(move[0, g] for g in after)
             out.append((t, end, (tag - 1) // 2, float(margin)))
-            t = end
         return out
 
     def loss(self, x: np.ndarray, inside: np.ndarray, y: np.ndarray):

@@ -2,8 +2,10 @@ import itertools
 import pickle
 import re
 import time
+from hashlib import blake2b
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from personae.llm import pii, reader, tagger
@@ -171,6 +173,77 @@ def test_windows_share_lanes_without_filling(monkeypatch):
         assert np.allclose(above[k][:n], want[k, :n], atol=1e-4)
 
 
+def test_lanes_of_passages_are_full():
+    rng = np.random.default_rng(13)
+    for _ in range(20):
+        texts = rng.lognormal(7.6, 1, 230).astype(int) + 1
+        lengths = np.array([b - a for n in texts for a, b, _, _ in pii.passages("z" * n)])
+        lane, start, places = reader.lanes(lengths)
+        assert (lane.max() + 1) * places < 1.04 * lengths.sum()
+        order = np.lexsort((start, lane))
+        same = np.diff(lane[order]) == 0
+        gaps = start[order][1:] - (start + lengths)[order][:-1]
+        assert (gaps[same] >= 1).all() and start.min() == 1 and (start + lengths).max() < places
+
+
+def test_digits_are_looked_for_without_losing_spans():
+    rng = np.random.default_rng(14)
+    pieces = list("ab.@%+-_ ()19é\n漢\ud800²٣") + [
+        "4111111111111111", "4111-1111-1111-1111", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "10.0.0.255",
+        "0010.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "1.2..3.4", "+49 30 1234567", "--", "word " * 9,
+    ]
+    found = [0, 0]
+    for _ in range(1_500):
+        text = "".join(rng.choice(pieces, rng.integers(1, 12)))
+        text = text.center(pii.SHORT + len(text), str(rng.choice(list("z é."))))
+        assert pii.base_spans(text) == plain_spans(text), text
+        found = [n + h for n, h in zip(found, pii._holds(text), strict=True)]
+        starts = [a for a, b, _, _ in pii.passages(text, pii.WIDTH) if not re.search("[0-9@]", text[a:b])]
+        assert pii.plain(text).tolist() == starts
+        want = [
+            48 if c in "0123456789" else ord(c) if c < "\x80" else 128 if c.isalpha() else 129 for c in text
+        ]
+        assert tagger.codes(text).tolist() == want
+    assert 100 < min(found) and max(found) < 1_200
+    assert pii.plain("").tolist() == [] and tagger.codes("").tolist() == []
+
+
+def test_examples_of_plain_text_have_the_smallest_hashes():
+    rng = np.random.default_rng(15)
+    texts = ["".join(rng.choice(list("abc é" if i % 3 else "abc 1"), rng.integers(1, 900))) for i in range(60)]
+    parts = {
+        t[a:b] for t in texts for a, b, _, _ in pii.passages(t, pii.WIDTH) if not re.search("[0-9@]", t[a:b])
+    }
+    keys = {
+        int.from_bytes(blake2b(p.encode(), digest_size=8).digest()) >> 1: p for p in parts
+    }
+    batches = [pa.RecordBatch.from_pydict({"text": texts[i : i + 7]}) for i in range(0, 60, 7)]
+    rows = [r for b in pii._examples(iter(batches), 50) for r in b.to_pylist() if r["label"] == 2]
+    assert {r["hash"]: r["text"] for r in rows} == {k: keys[k] for k in sorted(keys)[:50]}
+    assert len(rows) == 50 < len(keys)
+
+
+def test_best_tags_of_windows_of_any_lengths():
+    rng = np.random.default_rng(16)
+    net = tagger.Tagger.fresh(2, 4, rng)
+    net.w["T"] = rng.normal(0, 1, net.w["T"].shape).astype(np.float32)
+    move = net.w["T"] + net.fixed
+    lengths = np.array([3, 40, 1, 17, 40, 2, 25])
+    inside = np.arange(40) < lengths[:, None]
+    emission = rng.normal(0, 1, (7, 40, 5)).astype(np.float32)
+    path = net._best(emission, inside)
+    for row, n in enumerate(lengths):
+        score, back = emission[row, 0] + move[-1], []
+        for t in range(1, n):
+            step = score[:, None] + move[:-1]
+            back.append(step.argmax(axis=0))
+            score = step.max(axis=0) + emission[row, t]
+        tags = [int(score.argmax())]
+        for b in reversed(back):
+            tags.append(int(b[tags[-1]]))
+        assert path[row].tolist() == tags[::-1] + [0] * (40 - n)
+
+
 def test_reconciled_joins_halves_and_keeps_the_best():
     found = [
         (10, 20, 3, 5.0, True), (15, 30, 3, 6.0, True),  # two halves
