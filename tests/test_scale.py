@@ -59,6 +59,24 @@ def test_skew_join_equals_join(spark, how, hot_rows):
     assert sorted(map(str, salted.select("id", "k", "n", "v").collect())) == sorted(map(str, plain))
 
 
+@pytest.mark.parametrize("how", ["left", "left_anti"])
+def test_rows_without_a_key_do_not_meet_in_one_task(spark, how):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        fact = spark.range(1000).select("id", F.when(F.col("id") < 10, F.col("id")).alias("k"))
+        dim = spark.range(10).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+        joined = skew_join(fact, dim, ["k"], "id", how)
+        at = joined.where("k IS NULL").groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in at) == 990
+        assert max(r["count"] for r in at) < 500
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_skew_join_of_different_types(spark):
     fact = spark.createDataFrame([(i, 1 if i < 180 else i) for i in range(200)], "id int, k int")
     dim = spark.createDataFrame([(k, "v") for k in [*range(200), 2**40 + 1]], "k bigint, v string")
