@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from personae.operators.dictionary import NameDictionary
+from personae.operators.scale import materialize
 from personae.schema import CREATORS, conform, new_creators
 
 # one record per order; the person's names are the two words of a part name
@@ -187,13 +188,23 @@ def raw_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@once
+def stored_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_import`` as a table, for queries that read it again and again."""
+    return materialize(raw_import(spark, sf_dir), "raw-import")
+
+
+def _import(spark: SparkSession, sf_dir: str, stored: bool) -> DataFrame:
+    return (stored_import if stored else raw_import)(spark, sf_dir)
+
+
 def now() -> Column:
     return F.lit("2024-01-01 00:00:00").cast("timestamp")
 
 
 @once
-def creators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return new_creators(raw_import(spark, sf_dir), now())
+def creators(spark: SparkSession, sf_dir: str, stored: bool = False) -> DataFrame:
+    return new_creators(_import(spark, sf_dir, stored), now())
 
 
 @once
@@ -202,17 +213,21 @@ def dictionary(spark: SparkSession, sf_dir: str) -> NameDictionary:
 
 
 @once
-def profile_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PROFILE_PAGES, raw_import=raw_import(spark, sf_dir))
+def profile_pages(spark: SparkSession, sf_dir: str, stored: bool = False) -> DataFrame:
+    pages = spark.sql(PROFILE_PAGES, raw_import=_import(spark, sf_dir, stored))
+    return materialize(pages, "profile-pages") if stored else pages
 
 
 @once
-def identity_cache(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    raw = raw_import(spark, sf_dir)
-    return (
-        spark.sql(IDENTITY_CACHE, raw_import=raw),
-        spark.sql(IDENTITY_CACHE_KEYS, raw_import=raw),
-    )
+def identity_cache(
+    spark: SparkSession, sf_dir: str, stored: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    raw = _import(spark, sf_dir, stored)
+    cache = spark.sql(IDENTITY_CACHE, raw_import=raw)
+    keys = spark.sql(IDENTITY_CACHE_KEYS, raw_import=raw)
+    if stored:
+        cache, keys = materialize(cache, "identity-cache"), materialize(keys, "identity-keys")
+    return cache, keys
 
 
 def processing_logs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,12 +65,14 @@ def joined(c: str | Column) -> Column:
     return F.array_join(c, ",")
 
 
-def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize_records(X.creators(spark, sf_dir))
+def normalized(spark: SparkSession, sf_dir: str, stored: bool = False) -> DataFrame:
+    return normalize_records(X.creators(spark, sf_dir, stored))
 
 
-def static_and_browser_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = X.profile_pages(spark, sf_dir)
+def static_and_browser_pages(
+    spark: SparkSession, sf_dir: str, stored: bool = False
+) -> DataFrame:
+    pages = X.profile_pages(spark, sf_dir, stored)
     return usable_pages(
         pages.select("url", "html"), pages.where("copy = 'browser'").select("url", "html")
     )
@@ -442,8 +444,10 @@ def event_dates(spark, sf_dir):
 
 
 def scored(spark, sf_dir, with_pages: bool = True) -> DataFrame:
-    pages = static_and_browser_pages(spark, sf_dir) if with_pages else None
-    df = gather_candidates(normalized(spark, sf_dir), X.dictionary(spark, sf_dir), pages)
+    pages = static_and_browser_pages(spark, sf_dir, True) if with_pages else None
+    df = gather_candidates(
+        normalized(spark, sf_dir, with_pages), X.dictionary(spark, sf_dir), pages
+    )
     return fill_from_input(score(df, CANDIDATE_COLUMNS))
 
 
@@ -503,9 +507,9 @@ def cache_identities(spark, sf_dir):
 
 @X.once
 def enriched(spark, sf_dir, with_cache=True, with_pages=True, mode="snapshot") -> EnrichResult:
-    cache, keys = X.identity_cache(spark, sf_dir) if with_cache else (None, None)
-    rows = X.creators(spark, sf_dir)
-    pages = static_and_browser_pages(spark, sf_dir) if with_pages else None
+    cache, keys = X.identity_cache(spark, sf_dir, True) if with_cache else (None, None)
+    rows = X.creators(spark, sf_dir, True)
+    pages = static_and_browser_pages(spark, sf_dir, True) if with_pages else None
     return enrich(
         rows, X.dictionary(spark, sf_dir),
         None if cache is None else X.conform(cache, R_CACHE), keys, pages, mode, now=X.now(),

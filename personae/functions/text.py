@@ -192,7 +192,18 @@ def trim_separators(c: Column) -> Column:
 
 def strip_descriptor_suffix(c: Column, words: Descriptors = DEFAULT_DESCRIPTORS) -> Column:
     """Drop a descriptor glued to the end (``janepilates`` -> ``jane``)."""
-    return F.regexp_replace(c, _suffix_any(words), "$1")
+    return F.when(_may_end_in(c, words), F.regexp_replace(c, _suffix_any(words), "$1")).otherwise(c)
+
+
+def _may_end_in(c: Column, words: Descriptors) -> Column:
+    """Whether a glued descriptor can be at the end: the patterns try one at every character.
+
+    Their ``$`` also holds before a line break at the end.
+    """
+    glued = words.glued.split("|")
+    n = min(map(len, glued))
+    end = F.right(F.rtrim(c, F.lit("\n\r\u0085\u2028\u2029")), F.lit(n))
+    return F.lower(end).isin(sorted({w[-n:] for w in glued}))
 
 
 def is_descriptor_word(c: Column, words: Descriptors = DEFAULT_DESCRIPTORS) -> Column:
@@ -203,31 +214,41 @@ def contains_descriptor(c: Column, words: Descriptors = DEFAULT_DESCRIPTORS) ->
     return c.rlike(words.anywhere)
 
 
+def _first_raised(word: Column) -> Column:
+    return F.concat(
+        F.translate(F.left(word, F.lit(1)), _LOWER, _LOWER.upper()),
+        F.substring(word, 2, 2**31 - 1),
+    )
+
+
 def title_case_if_shouty(c: Column) -> Column:
     """Title-case text whose ASCII letters are all upper or all lower case."""
-    words = F.split(F.lower(c), rf"(?<=(?:{WS}|['-]))")
-    raised = F.array_join(
-        F.transform(
-            words,
-            lambda w: F.concat(
-                F.translate(F.left(w, F.lit(1)), _LOWER, _LOWER.upper()),
-                F.substring(w, 2, 2**31 - 1),
-            ),
-        ),
-        "",
-    )
+    lowered, gap = F.lower(c), f"(?:{WS}|['-])"
+    raised = F.array_join(F.transform(F.split(lowered, f"(?<={gap})"), _first_raised), "")
+    # most names are one word: nothing to split, which compiles its pattern for each row
+    raised = F.when(lowered.rlike(gap), raised).otherwise(_first_raised(lowered))
     return F.when(c.rlike("[a-z]") != c.rlike("[A-Z]"), raised).otherwise(c)
 
 
-def strip_decoration(c: Column, words: Descriptors = DEFAULT_DESCRIPTORS) -> Column:
-    """Everything of ``clean_name`` except the final casing."""
+def _bare(c: Column, words: Descriptors) -> Column:
+    """Everything of ``strip_decoration`` except the descriptor glued to the end."""
     name = strip_bio_tags(c)
     # neither folding nor pictographs concern plain ASCII
     c = F.when(is_ascii(name), name).otherwise(strip_emoji(fold_unicode(name)))
     c = collapse_whitespace(collapse_punctuation(c))
     c = strip_of_count(strip_descriptors(c, words))
-    c = collapse_whitespace(trim_separators(c))
-    return F.regexp_replace(c, _suffix_one_word(words), "$1")
+    return collapse_whitespace(trim_separators(c))
+
+
+def _without_glued(c: Column, words: Descriptors) -> Column:
+    return F.when(
+        _may_end_in(c, words), F.regexp_replace(c, _suffix_one_word(words), "$1")
+    ).otherwise(c)
+
+
+def strip_decoration(c: Column, words: Descriptors = DEFAULT_DESCRIPTORS) -> Column:
+    """Everything of ``clean_name`` except the final casing."""
+    return _without_glued(_bare(c, words), words)
 
 
 def clean_name(c: Column, words: Descriptors = DEFAULT_DESCRIPTORS) -> Column:
@@ -240,14 +261,15 @@ def with_clean_names(
 ) -> DataFrame:
     """Add ``clean_name`` of {new column: source column}, NULL if nothing is left.
 
-    Same result as the Column function, but the stripped text is computed once in
-    a projection of its own instead of once per use in the casing rule.
+    Same result as the Column function, but what is used more than once is computed once
+    in a projection of its own.
     """
-    stripped = {f"_s_{out}": strip_decoration(F.col(src), words) for out, src in names.items()}
+    bare = {f"_s_{out}": _bare(F.col(src), words) for out, src in names.items()}
+    stripped = {c: _without_glued(F.col(c), words) for c in bare}
     cased = {
         out: blank_to_null(title_case_if_shouty(F.col(f"_s_{out}"))) for out in names
     }
-    return df.withColumns(stripped).withColumns(cased).drop(*stripped)
+    return df.withColumns(bare).withColumns(stripped).withColumns(cased).drop(*bare)
 
 
 # --- tokens ----------------------------------------------------------------------
@@ -255,14 +277,16 @@ def with_clean_names(
 
 def tokens(c: Column) -> Column:
     """Split on ``. _ -``, strip digits at token ends, drop empty tokens."""
+    # a pattern to split at is compiled anew for each row, unless it is one character
     parts = F.transform(
-        F.split(c, "[._-]+"), lambda t: F.regexp_replace(t, "^[0-9]+|[0-9]+$", "")
+        F.split(F.translate(c, "_-", ".."), r"\."),
+        lambda t: F.regexp_replace(t, "^[0-9]+|[0-9]+$", ""),
     )
     return F.filter(parts, lambda t: t != "")
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(js_trim(c), WS + "+"), lambda t: t != "")
+    return F.filter(F.split(F.regexp_replace(c, WS + "+", " "), " "), lambda t: t != "")
 
 
 def first_of(arr: Column) -> Column:

@@ -78,6 +78,8 @@ ADAPTERS: dict[str, Callable[[Column], tuple[Column, Column]]] = {
     "youtube": generic_profile,
     "generic": generic_profile,
 }
+# what a record gets from its page, beside ``has_page``
+PAGE_FIELDS = ["og_title", "og_description", "title", "fetched_via"]
 # platforms whose snapshot also records the <title>
 TITLE_SNAPSHOT = {"facebook", "youtube", "generic"}
 
@@ -115,7 +117,7 @@ def attach_pages(
     record's URL wins, then a static one, then one with a title. ``pages`` (url, html,
     fetched_via) is reduced to its fields before the join, so no html is shuffled.
     """
-    fields = ["og_title", "og_description", "title", "fetched_via"]
+    fields = PAGE_FIELDS
     if pages is None:
         return df.withColumns(
             {f: F.lit(None).cast("string") for f in fields} | {"has_page": F.lit(False)}

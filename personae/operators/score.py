@@ -29,19 +29,19 @@ def is_verified(c: Column) -> Column:
     return ~c["handle_fallback"] & ((c["source"] == "full_name") | c["known_name"])
 
 
+def rank_key(c: Column, position: Column) -> list[Column]:
+    return [
+        is_plausible(c).alias("plausible"),
+        (~is_last_resort(c)).alias("evidence"),
+        is_verified(c).alias("verified"),
+        c["confidence"].alias("confidence"),
+        (-position).alias("earlier"),
+    ]
+
+
 def ranked(c: Column, position: Column) -> Column:
     """Candidate behind its sort key; NULL for an absent candidate."""
-    return F.when(
-        c.isNotNull(),
-        F.struct(
-            is_plausible(c).alias("plausible"),
-            (~is_last_resort(c)).alias("evidence"),
-            is_verified(c).alias("verified"),
-            c["confidence"].alias("confidence"),
-            (-position).alias("earlier"),
-            c.alias("candidate"),
-        ),
-    )
+    return F.when(c.isNotNull(), F.struct(*rank_key(c, position), c.alias("candidate")))
 
 
 def winner(candidates: Column) -> Column:
@@ -49,10 +49,18 @@ def winner(candidates: Column) -> Column:
     return F.array_max(F.transform(candidates, ranked))["candidate"]
 
 
-def winner_of(*candidates: str) -> Column:
-    """The strongest of several candidate columns (the earlier one on a full tie)."""
-    entries = [ranked(F.col(c), F.lit(i)) for i, c in enumerate(candidates)]
-    return F.greatest(*entries)["candidate"]
+def _best_of(candidates: list[str]) -> Column:
+    """Position of the strongest of several candidate columns (the earlier one on a full tie)."""
+    keys = [
+        F.when(F.col(c).isNotNull(), F.struct(*rank_key(F.col(c), F.lit(i))))
+        for i, c in enumerate(candidates)
+    ]
+    best = F.greatest(*keys) if len(keys) > 1 else keys[0]
+    return -best["earlier"]
+
+
+def _at(position: Column, candidates: list[str]) -> Column:
+    return F.coalesce(*[F.when(position == i, F.col(c)) for i, c in enumerate(candidates)])
 
 
 def score(
@@ -63,12 +71,16 @@ def score(
 
     ``candidates`` is an array column, or the names of single candidate columns.
     """
-    chosen = winner(F.col(candidates)) if isinstance(candidates, str) else winner_of(*candidates)
+    if isinstance(candidates, str):
+        df = df.withColumn("_winner", winner(F.col(candidates)))
+    else:
+        # the keys alone are compared, and only the winner is copied
+        df = df.withColumn("_best", _best_of(candidates))
+        df = df.withColumn("_winner", _at(F.col("_best"), candidates)).drop("_best")
     w = F.col("_winner")
     needs_review = w["ambiguous"] | (w["confidence"] < weights.review_threshold)
     return (
-        df.withColumn("_winner", chosen)
-        .withColumns(
+        df.withColumns(
             {
                 "w_first_name": title_case_if_shouty(w["first_name"]),
                 "w_last_name": title_case_if_shouty(w["last_name"]),

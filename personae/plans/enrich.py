@@ -19,7 +19,7 @@ from personae.operators import cache as C
 from personae.operators import extract as X
 from personae.operators.dictionary import NameDictionary
 from personae.operators.normalize import normalize_records
-from personae.operators.profile import attach_pages, with_profile_candidate
+from personae.operators.profile import PAGE_FIELDS, attach_pages, with_profile_candidate
 from personae.operators.scale import HOT_ROWS, materialize, skew_join
 from personae.operators.score import demote_conflicts, fill_from_input, score
 from personae.plans.sequential import decide_in_order
@@ -38,6 +38,15 @@ from personae.schema import (
 CONFLICT = "conflicting_identity_cache_matches"
 NORMALIZED = ["n_full_name", "n_username", "n_email", "n_profile_url", "n_platform"]
 CANDIDATE_COLUMNS = ["cand_full_name", "cand_username", "cand_email", "cand_profile"]
+# columns of the evidence: for logs and snapshots, for the result, and on the way to it
+DETAILS = [
+    *NORMALIZED, *CANDIDATE_COLUMNS, "scrape_platform", "scrape_error", "raw_snapshot", "fetched_via",
+]
+OUTCOME_ONLY = [
+    "w_confidence_score", "w_confidence_source", "w_processing_status", "w_pipeline_version",
+    "w_needs_review",
+]
+OUTCOME = [*[f"resolved_{f}" for f in RESOLVED], *OUTCOME_ONLY]
 
 
 @dataclass
@@ -63,8 +72,16 @@ def record_error() -> Column:
 
 def _without_repeats(incoming: DataFrame, hot_rows: int) -> DataFrame:
     """Records that share an id are errors: which of them a result belongs to is unclear."""
+    good = incoming.where("record_error IS NULL").select("id", F.xxhash64("id").alias("_hash"))
+    # hashes are shuffled instead of ids; of the few that repeat, ids tell whether they do
+    shared = materialize(
+        good.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash"),
+        "repeated-hashes",
+    )
+    if shared.isEmpty():
+        return incoming
     repeated = materialize(
-        incoming.where("record_error IS NULL").groupBy("id").agg(F.count("*").alias("_times"))
+        good.join(shared, "_hash", "left_semi").groupBy("id").agg(F.count("*").alias("_times"))
         .where("_times > 1"),
         "repeated-ids",
     )
@@ -83,9 +100,6 @@ def gather_candidates(
     """All candidates of normalized records, one column per source."""
     # pages first: their join measures its keys on the records as they come in
     df = attach_pages(records, pages, hot_rows=hot_rows)
-    df = X.with_full_name_candidate(df, weights=weights)
-    df = X.with_username_candidate(df, dictionary, weights=weights, descriptors=descriptors)
-    df = X.with_email_candidate(df, dictionary, weights=weights)
     if pages is None:
         df = df.withColumns(
             {
@@ -96,8 +110,27 @@ def gather_candidates(
             }
         )
     else:
-        df = with_profile_candidate(df, dictionary, weights=weights, descriptors=descriptors)
-    return df
+        df = _set_aside(df, ["id", "n_profile_url", *PAGE_FIELDS, "has_page"])
+        df = _taken_back(
+            with_profile_candidate(df, dictionary, weights=weights, descriptors=descriptors)
+        )
+    df = _set_aside(df, ["id", "n_full_name", "n_username", "n_email"])
+    df = X.with_username_candidate(df, dictionary, weights=weights, descriptors=descriptors)
+    df = X.with_email_candidate(df, dictionary, weights=weights)
+    return _taken_back(X.with_full_name_candidate(df, weights=weights))
+
+
+def _set_aside(df: DataFrame, needed: list[str]) -> DataFrame:
+    """``needed`` as they are, all other columns as one: every lookup copies its rows."""
+    rest = [F.col(c) for c in df.columns if c not in needed]
+    return df.select(*needed, F.struct(*rest).alias("_aside"))
+
+
+def _taken_back(df: DataFrame) -> DataFrame:
+    rest = df.schema["_aside"].dataType.names
+    return df.select(
+        *[c for c in df.columns if c != "_aside"], *[F.col("_aside")[c].alias(c) for c in rest]
+    )
 
 
 def _hide_hits(df: DataFrame) -> DataFrame:
@@ -158,7 +191,10 @@ def enrich(
         evidence = _show_hits(evidence)
     # resolved_* are rebuilt here; cached fields replace them for hits below
     evidence = fill_from_input(score(evidence, CANDIDATE_COLUMNS, weights))
-    evidence = materialize(evidence, "evidence")
+    wanted = {"id", "import_rank", "row_index", "cache_status", "matched_ids", *OUTCOME, *DETAILS}
+    evidence = materialize(
+        evidence.select(*[c for c in evidence.columns if c in wanted]), "evidence"
+    )
 
     # what the cache says about a record is worked out on narrow rows and joined to
     # the wide evidence once
@@ -184,17 +220,22 @@ def enrich(
         outcome = C.attach_identities(
             decisions.withColumn("hit_id", hit_id), visible, "hit_id", hot_rows=hot_rows
         )
-    joined = evidence.join(outcome, "id", "left").withColumn(
+    # what only logs and snapshots show stays behind until they are read
+    joined = evidence.drop(*DETAILS).join(outcome, "id", "left").withColumn(
         "cache_status", F.coalesce("cache_status", F.lit("miss"))
     )
-    final = materialize(_apply_hits(_fresh_result(joined)), "enriched")
+    final = _apply_hits(_fresh_result(joined))
+    final = materialize(final.drop("import_rank", "row_index", *OUTCOME_ONLY), "enriched")
 
     untouched = incoming.where("record_error IS NOT NULL")
-    logs = processing_logs(final, run_id, now).unionByName(_error_logs(untouched, run_id, now))
+    details = evidence.select("id", *DETAILS)
+    logs = processing_logs(final.join(details, "id"), run_id, now).unionByName(
+        _error_logs(untouched, run_id, now)
+    )
     return EnrichResult(
         creators=_updated_creators(incoming, final, now),
         logs=logs,
-        snapshots=_snapshots(final, run_id, now),
+        snapshots=_snapshots(final, details, run_id, now),
         new_identities=C.new_identities(final.where("write_action = 'create'"), now),
         new_keys=conform(new_keys.withColumn("created_at", now), IDENTITY_CACHE_KEYS),
     )
@@ -365,11 +406,12 @@ def _error_logs(bad: DataFrame, run_id: str, now: Column) -> DataFrame:
     )
 
 
-def _snapshots(final: DataFrame, run_id: str, now: Column) -> DataFrame:
+def _snapshots(final: DataFrame, details: DataFrame, run_id: str, now: Column) -> DataFrame:
+    # a record answered by the cache has not looked at its page
+    looked = final.where("cache_status != 'hit'").select("id")
     return conform(
-        # a record answered by the cache has not looked at its page
-        final.where("raw_snapshot IS NOT NULL AND fetched_via IS NOT NULL")
-        .where(F.coalesce(F.col("cache_status"), F.lit("")) != "hit").select(
+        details.where("raw_snapshot IS NOT NULL AND fetched_via IS NOT NULL")
+        .join(looked, "id", "left_semi").select(
             F.sha2(F.concat_ws("|", F.lit(run_id), "id", F.lit("snapshot")), 256).alias("id"),
             F.col("id").alias("creator_id"), F.col("scrape_platform").alias("platform"),
             "fetched_via", "raw_snapshot", now.alias("fetched_at"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from personae.operators import cache as C
 from personae.operators.report import import_stats, resume_rows
+from personae.plans import enrich as enrich_module
 from personae.plans.enrich import enrich
 from personae.plans import sequential
 from personae.plans.sequential import decide_in_order
@@ -323,3 +324,23 @@ def test_runs_have_logs_of_their_own(creators, dictionary, now):
     assert not {r.id for r in one.collect()} & {r.id for r in two.collect()}
     one, two = (enrich(creators, dictionary, now=now, run_id="x").logs for _ in range(2))
     assert {r.id for r in one.collect()} == {r.id for r in two.collect()}
+
+
+@pytest.mark.parametrize("mode", ["snapshot", "sequential"])
+def test_results_are_stored_without_what_only_logs_show(spark, dictionary, now, monkeypatch, mode):
+    stored = {}
+
+    def storing(df, label):
+        stored[label] = df.columns
+        return plain(df, label)
+
+    plain = enrich_module.materialize
+    monkeypatch.setattr(enrich_module, "materialize", storing)
+    rows = new_creators(spark.createDataFrame(
+        [("i", 1, "Jane Doe", "janedoe1@example.com"), ("i", 2, None, "janedoe1@example.com")],
+        "import_id string, row_index bigint, raw_full_name string, raw_email string"), now)
+    result = enrich(rows, dictionary, mode=mode, now=now, run_id="r")
+    assert not {"cand_full_name", "n_email", "raw_snapshot"} & set(stored["enriched"])
+    assert "og_title" not in stored["evidence"]
+    assert result.logs.where("step = 'parsed_full_name' AND status = 'success'").count() == 1
+    assert result.creators.where("processing_status = 'failed'").count() == 0

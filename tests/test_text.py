@@ -5,8 +5,9 @@ import unicodedata
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from personae.config import DESCRIPTORS
+from personae.config import DEFAULT_DESCRIPTORS, DESCRIPTORS
 from personae.functions import keys as K
 from personae.functions import labels as L
 from personae.functions import text as T
@@ -199,3 +200,34 @@ def test_fixed_lists():
 
     assert [digest(x) for x in (K.DESCRIPTORS, K.COLUMN_ALIASES, vars(K.DEFAULT_WEIGHTS))] == [
         "b8769a3ebd5343ee", "628f6700fd70d56d", "c61075c9913b0a68"]
+
+
+ODD = [
+    "jane.DOE", "JANE DOE", "o'neil-smith", "MARY\u00a0ANN", "-.-", "", " ", "12ab34_56-x..y", "ab12\u0085",
+    "janepilates", "JANEPILATES\n", "jane pilates\u2028", "xmr", "mr", "\U0001F31Fmr", "ÉCOLE coach", "a\tb",
+    "İPEK mrs", "it's", "x\u3000y z", None,
+]
+
+
+def test_shortcuts_equal_the_plain_patterns(spark):
+    """Patterns that are tried only where they can match give what they gave everywhere."""
+    df = spark.createDataFrame([(t,) for t in ODD], "t string")
+    c, words = F.col("t"), DEFAULT_DESCRIPTORS
+    plain_words = F.filter(F.split(T.js_trim(c), T.WS + "+"), lambda t: t != "")
+    plain_tokens = F.filter(
+        F.transform(F.split(c, "[._-]+"), lambda t: F.regexp_replace(t, "^[0-9]+|[0-9]+$", "")),
+        lambda t: t != "",
+    )
+    pieces = F.split(F.lower(c), rf"(?<=(?:{T.WS}|['-]))")
+    raised = F.array_join(F.transform(pieces, T._first_raised), "")
+    pairs = [
+        (T.words(c), plain_words),
+        (T.tokens(c), plain_tokens),
+        (T.strip_descriptor_suffix(c), F.regexp_replace(c, T._suffix_any(words), "$1")),
+        (T._without_glued(c, words), F.regexp_replace(c, T._suffix_one_word(words), "$1")),
+        (T.title_case_if_shouty(c),
+         F.when(c.rlike("[a-z]") != c.rlike("[A-Z]"), raised).otherwise(c)),
+    ]
+    for row in df.select("t", *[F.struct(a.alias("a"), b.alias("b")) for a, b in pairs]).collect():
+        for pair in row[1:]:
+            assert pair.a == pair.b, row
